@@ -115,11 +115,13 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     About one in ten names a column that does not exist (orphan); line items
     whose part key is a multiple of 7 re-annotate ``col_1`` so that the
     last-wins rule matters; split points share (group, axis) on purpose.
+    Line numbers repeat within an order, so submission order is ``(pos, tie)``.
     """
     li = table(spark, sf_dir, "lineitem")
     return li.selectExpr(
         "CAST(l_orderkey AS STRING) AS asset_id",
         "l_linenumber AS pos",
+        "l_partkey * 100003 + l_suppkey % 100003 AS tie",
         "CASE WHEN l_partkey % 10 = 0 THEN concat('orphan_', CAST(l_linenumber AS STRING)) "
         "WHEN l_partkey % 7 = 0 THEN 'col_1' ELSE concat('col_', CAST(l_linenumber AS STRING)) END AS column_name",
         "CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE concat('note ', CAST(l_partkey AS STRING)) END AS description",
@@ -145,7 +147,7 @@ def annotation_struct(df: DataFrame) -> DataFrame:
         F.struct(*[F.col(f.name).alias(f.name) for f in S.KIND.fields]),
     )
     return df.select(
-        "asset_id", "pos",
+        "asset_id", "pos", "tie",
         F.struct(F.col("column_name"), F.col("description"), kind.alias("kind")).alias("annotation"),
     )
 
@@ -241,11 +243,15 @@ def view_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def form_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat form cells ``(asset_id, idx, field, value)`` as a browser form would post them."""
+    """Flat form cells ``(asset_id, idx, tie, field, value)`` as a browser form would post them.
+
+    A form row is ``(asset_id, idx, tie)``: line numbers repeat within an order.
+    """
     li = table(spark, sf_dir, "lineitem")
     base = li.selectExpr(
         "CAST(l_orderkey AS STRING) AS asset_id",
         "l_linenumber - 1 AS idx",
+        "l_partkey * 100003 + l_suppkey % 100003 AS tie",
         "l_partkey", "l_suppkey", "l_tax",
     )
     fields = F.array(
@@ -271,6 +277,6 @@ def form_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("point_group").alias("field"),
                  F.when(F.col("l_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("pt"), (F.col("l_partkey") % 2).cast("string"))).alias("value")),
     )
-    return base.select("asset_id", "idx", F.explode(fields).alias("c")).select(
-        "asset_id", F.col("idx").cast("int").alias("idx"), F.col("c.field").alias("field"), F.col("c.value").alias("value")
+    return base.select("asset_id", "idx", "tie", F.explode(fields).alias("c")).select(
+        "asset_id", F.col("idx").cast("int").alias("idx"), "tie", F.col("c.field").alias("field"), F.col("c.value").alias("value")
     )

@@ -25,7 +25,7 @@ def name_error(name: Column | str) -> Column:
     """
     n = _c(name)
     segs = name_segments(n)
-    first_bad = F.element_at(F.filter(segs, lambda s: (s == "") | ~s.rlike(NAME_SEGMENT_PATTERN)), 1)
+    first_bad = F.try_element_at(F.filter(segs, lambda s: (s == "") | ~s.rlike(NAME_SEGMENT_PATTERN)), F.lit(1))
     return (
         F.when(n.isNull() | (n == ""), F.lit("Name must not be empty."))
         .when(F.size(segs) > 2, F.concat(F.lit("Name '"), n, F.lit("' has too many dot-separated segments (max 2). " + NAME_FORMAT_MESSAGE)))
@@ -38,7 +38,7 @@ def name_error_code(name: Column | str) -> Column:
     """Short code for the failing rule: empty / too_many / empty_segment / bad_segment / NULL."""
     n = _c(name)
     segs = name_segments(n)
-    first_bad = F.element_at(F.filter(segs, lambda s: (s == "") | ~s.rlike(NAME_SEGMENT_PATTERN)), 1)
+    first_bad = F.try_element_at(F.filter(segs, lambda s: (s == "") | ~s.rlike(NAME_SEGMENT_PATTERN)), F.lit(1))
     return (
         F.when(n.isNull() | (n == ""), F.lit("empty"))
         .when(F.size(segs) > 2, F.lit("too_many"))

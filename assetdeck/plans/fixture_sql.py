@@ -49,7 +49,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS asset_id, CAST(i AS INTEGER) AS pos,
 FROM (SELECT o_orderkey, unnest(range(1, 2 + o_orderkey % 6)) AS i FROM orders WHERE o_orderkey % 6 <> 0)"""
 
 CTES["cat_annotations"] = """
-SELECT CAST(l_orderkey AS VARCHAR) AS asset_id, l_linenumber AS pos,
+SELECT CAST(l_orderkey AS VARCHAR) AS asset_id, l_linenumber AS pos, l_partkey * 100003 + l_suppkey % 100003 AS tie,
   CASE WHEN l_partkey % 10 = 0 THEN 'orphan_' || CAST(l_linenumber AS VARCHAR)
     WHEN l_partkey % 7 = 0 THEN 'col_1' ELSE 'col_' || CAST(l_linenumber AS VARCHAR) END AS column_name,
   CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE 'note ' || CAST(l_partkey AS VARCHAR) END AS description,
@@ -121,8 +121,8 @@ FROM customer WHERE c_custkey % 2 = 0"""
 CTES["cat_view_requests"] = "SELECT event_id AS request_id, user_id, CAST(event_id AS VARCHAR) AS asset_id FROM events"
 
 CTES["cat_form_cells"] = """
-SELECT asset_id, idx, field, value FROM (
-  SELECT CAST(l_orderkey AS VARCHAR) AS asset_id, CAST(l_linenumber - 1 AS INTEGER) AS idx,
+SELECT asset_id, idx, tie, field, value FROM (
+  SELECT CAST(l_orderkey AS VARCHAR) AS asset_id, CAST(l_linenumber - 1 AS INTEGER) AS idx, l_partkey * 100003 + l_suppkey % 100003 AS tie,
     unnest([
       {'field': 'name', 'value': 'col_' || CAST(l_linenumber AS VARCHAR)},
       {'field': 'desc', 'value': CASE WHEN l_suppkey % 3 = 0 THEN '  ' ELSE ' note ' || CAST(l_partkey AS VARCHAR) END},
@@ -137,11 +137,7 @@ SELECT asset_id, idx, field, value FROM (
     ], max_depth := 2)
   FROM lineitem)"""
 
-# which fixtures each fixture needs
-_DEPS = {"cat_columns": [], "cat_annotations": []}
-
-
-def with_fixtures(body: str, *names: str) -> str:
-    """``WITH`` clause defining the named fixtures, followed by ``body``."""
-    ctes = ",\n".join(f"{n} AS ({CTES[n]}\n)" for n in names)
-    return f"WITH {ctes}\n{body}"
+def with_fixtures(body: str, *names: str, **extra: str) -> str:
+    """``WITH`` clause defining the named fixtures (then ``extra`` CTEs in order), followed by ``body``."""
+    parts = [f"{n} AS ({CTES[n]}\n)" for n in names] + [f"{n} AS ({q}\n)" for n, q in extra.items()]
+    return "WITH " + ",\n".join(parts) + "\n" + body
