@@ -280,3 +280,20 @@ def form_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select("asset_id", "idx", "tie", F.explode(fields).alias("c")).select(
         "asset_id", F.col("idx").cast("int").alias("idx"), "tie", F.col("c.field").alias("field"), F.col("c.value").alias("value")
     )
+
+
+def storage_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What exists in (simulated) object storage, with the table format actually found there.
+
+    Most catalog URIs still exist; candidate URIs exist when their number is
+    not a multiple of 3.  Used by the data-only reachability and sniff checks.
+    """
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 17 <> 0").selectExpr(
+        "concat('gs://bucket-', CAST(o_orderkey % 10 AS STRING), '/t/', CAST(o_orderkey AS STRING)) AS uri",
+        "CASE o_orderkey % 3 WHEN 0 THEN 'parquet' WHEN 1 THEN 'delta' ELSE 'other' END AS actual_format",
+    )
+    e = table(spark, sf_dir, "events").where("CAST(floor(value) AS BIGINT) % 3 <> 0").selectExpr(
+        "concat('gs://bucket-', CAST(user_id % 10 AS STRING), '/c/', CAST(CAST(floor(value) AS BIGINT) AS STRING)) AS uri",
+        "CASE WHEN CAST(floor(value) AS BIGINT) % 2 = 0 THEN 'parquet' ELSE 'delta' END AS actual_format",
+    ).distinct()
+    return o.unionByName(e)

@@ -137,6 +137,16 @@ SELECT asset_id, idx, tie, field, value FROM (
     ], max_depth := 2)
   FROM lineitem)"""
 
+CTES["cat_storage"] = """
+SELECT 'gs://bucket-' || CAST(o_orderkey % 10 AS VARCHAR) || '/t/' || CAST(o_orderkey AS VARCHAR) AS uri,
+  CASE o_orderkey % 3 WHEN 0 THEN 'parquet' WHEN 1 THEN 'delta' ELSE 'other' END AS actual_format
+FROM orders WHERE o_orderkey % 17 <> 0
+UNION ALL
+SELECT DISTINCT 'gs://bucket-' || CAST(user_id % 10 AS VARCHAR) || '/c/' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR),
+  CASE WHEN CAST(floor(value) AS BIGINT) % 2 = 0 THEN 'parquet' ELSE 'delta' END
+FROM events WHERE CAST(floor(value) AS BIGINT) % 3 <> 0"""
+
+
 def with_fixtures(body: str, *names: str, **extra: str) -> str:
     """``WITH`` clause defining the named fixtures (then ``extra`` CTEs in order), followed by ``body``."""
     parts = [f"{n} AS ({CTES[n]}\n)" for n in names] + [f"{n} AS ({q}\n)" for n, q in extra.items()]
