@@ -297,3 +297,14 @@ def storage_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN CAST(floor(value) AS BIGINT) % 2 = 0 THEN 'parquet' ELSE 'delta' END AS actual_format",
     ).distinct()
     return o.unionByName(e)
+
+
+def extracted_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata a reader would find at each readable storage URI: ``(uri, n_rows, n_bytes, columns)``."""
+    s = storage_objects(spark, sf_dir).where(F.col("actual_format").isin("parquet", "delta"))
+    h = F.abs(F.xxhash64("uri"))
+    cols = F.transform(
+        F.sequence(F.lit(1), (h % 6 + 1).cast("int")),
+        lambda i: F.struct(F.concat(F.lit("col_"), i.cast("string")).alias("name"), _dtype_col((h + i) % 8).alias("dtype")),
+    )
+    return s.select("uri", (h % 1000003).alias("n_rows"), (h % 1073741824).alias("n_bytes"), cols.alias("columns"))
