@@ -308,3 +308,33 @@ def extracted_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda i: F.struct(F.concat(F.lit("col_"), i.cast("string")).alias("name"), _dtype_col((h + i) % 8).alias("dtype")),
     )
     return s.select("uri", (h % 1000003).alias("n_rows"), (h % 1073741824).alias("n_bytes"), cols.alias("columns"))
+
+
+def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PATCH requests: per field a ``<field>_set`` flag (sent or not) and the value (NULL clears)."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS request_id",
+        "CAST(event_id * 2 AS STRING) AS id",
+        "event_id % 3 = 0 AS maturity_set",
+        "CASE WHEN event_id % 33 = 0 THEN NULL WHEN event_id % 21 = 0 THEN 'bogus' "
+        "WHEN event_id % 3 = 0 THEN 'deprecated' ELSE 'draft' END AS maturity",
+        "event_id % 4 = 0 AS access_group_set",
+        "CASE WHEN event_id % 8 = 0 THEN NULL ELSE concat('grp', CAST(user_id % 5 AS STRING)) END AS access_group",
+        "event_id % 5 = 0 AS expires_at_set",
+        "CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts + INTERVAL 60 DAYS END AS expires_at",
+    )
+
+
+def delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").where("event_id % 2 = 1").selectExpr("CAST(event_id * 5 AS STRING) AS id")
+
+
+def annotation_updates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Annotation replacement requests (every 5th order) and their new lists (even part keys; may be empty)."""
+    req = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").selectExpr("CAST(o_orderkey AS STRING) AS id")
+    new = annotations(spark, sf_dir).where("tie DIV 100003 % 2 = 0")
+    return req, new.join(req.withColumnRenamed("id", "asset_id"), "asset_id", "left_semi")
+
+
+def refresh_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").selectExpr("CAST(o_orderkey AS STRING) AS id")

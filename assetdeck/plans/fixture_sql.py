@@ -147,6 +147,18 @@ SELECT DISTINCT 'gs://bucket-' || CAST(user_id % 10 AS VARCHAR) || '/c/' || CAST
 FROM events WHERE CAST(floor(value) AS BIGINT) % 3 <> 0"""
 
 
+CTES["cat_patches"] = """
+SELECT event_id AS request_id, CAST(event_id * 2 AS VARCHAR) AS id, event_id % 3 = 0 AS maturity_set,
+  CASE WHEN event_id % 33 = 0 THEN NULL WHEN event_id % 21 = 0 THEN 'bogus' WHEN event_id % 3 = 0 THEN 'deprecated' ELSE 'draft' END AS maturity,
+  event_id % 4 = 0 AS access_group_set,
+  CASE WHEN event_id % 8 = 0 THEN NULL ELSE 'grp' || CAST(user_id % 5 AS VARCHAR) END AS access_group,
+  event_id % 5 = 0 AS expires_at_set,
+  CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts + INTERVAL 60 DAY END AS expires_at
+FROM events"""
+
+CTES["cat_deletes"] = "SELECT CAST(event_id * 5 AS VARCHAR) AS id FROM events WHERE event_id % 2 = 1"
+
+
 def with_fixtures(body: str, *names: str, **extra: str) -> str:
     """``WITH`` clause defining the named fixtures (then ``extra`` CTEs in order), followed by ``body``."""
     parts = [f"{n} AS ({CTES[n]}\n)" for n in names] + [f"{n} AS ({q}\n)" for n, q in extra.items()]
