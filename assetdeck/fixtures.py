@@ -158,7 +158,11 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     Contains bad names, reserved names, copies of catalog keys and URIs, and
     key/URI collisions inside the batch.
     """
-    ev = table(spark, sf_dir, "events")
+    return candidates_from(table(spark, sf_dir, "events"))
+
+
+def candidates_from(ev: DataFrame) -> DataFrame:
+    """The candidate derivation over any events DataFrame (batch or stream)."""
     return ev.selectExpr(
         "event_id AS seq",
         "user_id",
@@ -338,3 +342,21 @@ def annotation_updates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
 
 def refresh_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").selectExpr("CAST(o_orderkey AS STRING) AS id")
+
+
+def registration_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw registration-form text, one form per event (blank, padded and malformed values included)."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS seq",
+        "CASE WHEN event_id % 50 = 0 THEN '  ' ELSE concat('ds', CAST(user_id % 5 AS STRING)) END AS datastack",
+        "concat(' ', event_type, '_', CAST(user_id % 40 AS STRING), ' ') AS name",
+        "CASE WHEN event_id % 47 = 0 THEN '' ELSE concat('gs://bucket-', CAST(user_id % 10 AS STRING), '/f/', CAST(event_id AS STRING)) END AS uri",
+        "CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'parquet' WHEN 2 THEN ' delta ' ELSE 'precomputed' END AS format",
+        "CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN ' 903 ' WHEN 2 THEN 'abc' ELSE CAST(900 + user_id % 7 AS STRING) END AS mat_version",
+        "CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'x1' ELSE CAST(event_id % 3 AS STRING) END AS revision",
+        "CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'mutable' ELSE 'static' END AS mutability",
+        "CASE event_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'draft' ELSE 'stable' END AS maturity",
+        "CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END AS is_managed",
+        "CASE WHEN event_id % 7 = 0 THEN concat(' grp', CAST(user_id % 5 AS STRING), ' ') ELSE '  ' END AS access_group",
+        "CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'not json' WHEN 2 THEN '   ' ELSE props END AS properties",
+    )

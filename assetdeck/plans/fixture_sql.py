@@ -159,6 +159,22 @@ FROM events"""
 CTES["cat_deletes"] = "SELECT CAST(event_id * 5 AS VARCHAR) AS id FROM events WHERE event_id % 2 = 1"
 
 
+CTES["cat_forms"] = """
+SELECT event_id AS seq,
+  CASE WHEN event_id % 50 = 0 THEN '  ' ELSE 'ds' || CAST(user_id % 5 AS VARCHAR) END AS datastack,
+  ' ' || event_type || '_' || CAST(user_id % 40 AS VARCHAR) || ' ' AS name,
+  CASE WHEN event_id % 47 = 0 THEN '' ELSE 'gs://bucket-' || CAST(user_id % 10 AS VARCHAR) || '/f/' || CAST(event_id AS VARCHAR) END AS uri,
+  CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'parquet' WHEN 2 THEN ' delta ' ELSE 'precomputed' END AS format,
+  CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN ' 903 ' WHEN 2 THEN 'abc' ELSE CAST(900 + user_id % 7 AS VARCHAR) END AS mat_version,
+  CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'x1' ELSE CAST(event_id % 3 AS VARCHAR) END AS revision,
+  CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'mutable' ELSE 'static' END AS mutability,
+  CASE event_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'draft' ELSE 'stable' END AS maturity,
+  CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END AS is_managed,
+  CASE WHEN event_id % 7 = 0 THEN ' grp' || CAST(user_id % 5 AS VARCHAR) || ' ' ELSE '  ' END AS access_group,
+  CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'not json' WHEN 2 THEN '   ' ELSE props END AS properties
+FROM events"""
+
+
 def with_fixtures(body: str, *names: str, **extra: str) -> str:
     """``WITH`` clause defining the named fixtures (then ``extra`` CTEs in order), followed by ``body``."""
     parts = [f"{n} AS ({CTES[n]}\n)" for n in names] + [f"{n} AS ({q}\n)" for n, q in extra.items()]

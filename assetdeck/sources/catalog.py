@@ -1,0 +1,65 @@
+"""Catalog storage: a base snapshot plus append-only batches (SRC-01 reader, sinks' writer).
+
+Layout under a root folder (in the cluster's shared storage)::
+
+    root/base/datastack=.../part-*.parquet        full snapshot
+    root/appended/batch=<n>/datastack=.../...     rows admitted by batch n
+
+Readers see ``base UNION ALL appended``.  Partitioning by ``datastack`` (the
+listing's required filter) gives partition pruning.  A batch folder is
+written once; a replayed batch finds it and skips, so stream replays never
+admit twice.  Row changes (patch / delete / annotations) write a new base
+folder instead of rewriting files they read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schema as S
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return bool(fs.exists(p))
+
+
+def write_base(df: DataFrame, root: str, name: str = "base") -> str:
+    path = f"{root.rstrip('/')}/{name}"
+    df.select(*S.ASSET_COLUMNS).write.mode("errorifexists").partitionBy("datastack").parquet(path)
+    return path
+
+
+def batch_path(root: str, batch_id: int) -> str:
+    return f"{root.rstrip('/')}/appended/batch={batch_id}"
+
+
+def batch_done(spark: SparkSession, root: str, batch_id: int) -> bool:
+    return exists(spark, batch_path(root, batch_id) + "/_SUCCESS")
+
+
+def append_batch(df: DataFrame, root: str, batch_id: int) -> None:
+    """Write the admitted rows of one batch; overwriting the same batch folder on a retry is idempotent."""
+    df.select(*S.ASSET_COLUMNS).write.mode("overwrite").partitionBy("datastack").parquet(batch_path(root, batch_id))
+
+
+def read_catalog(spark: SparkSession, root: str, base: str = "base") -> DataFrame:
+    """SRC-01: the current catalog (base plus every completed appended batch)."""
+    b = spark.read.schema(S.ASSET).parquet(f"{root.rstrip('/')}/{base}")
+    app = f"{root.rstrip('/')}/appended"
+    if not exists(spark, app):
+        return b.select(*S.ASSET_COLUMNS)
+    a = spark.read.option("basePath", app).parquet(app)
+    return b.select(*S.ASSET_COLUMNS).unionByName(a.select(*[F.col(f.name).cast(f.dataType) for f in S.ASSET.fields]))
+
+
+def read_tables(spark: SparkSession, root: str) -> DataFrame:
+    """SRC-02: the table subtype, stated explicitly."""
+    return read_catalog(spark, root).where(F.col("asset_type") == "table")
