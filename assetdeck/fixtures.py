@@ -26,6 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer splits than cores (one big row group) over all cores.
+
+    On a cluster the input has far more splits than cores and this is a no-op;
+    on a single-row-group test file it turns one busy task into many."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def now_lit(now: str | None = None):
     return F.lit(now or DEFAULT_NOW).cast("timestamp")
 
@@ -66,13 +75,10 @@ def assets(spark: SparkSession, sf_dir: str, with_columns: bool = True) -> DataF
         "CAST(1 + o_orderkey % 6 AS INT) AS _n_cols",
         "o_orderkey AS _k",
     )
-    cols = F.transform(
-        F.sequence(F.lit(1), F.col("_n_cols")),
-        lambda i: F.struct(
-            F.concat(F.lit("col_"), i.cast("string")).alias("name"),
-            _dtype_col((F.col("_k") + i) % 8).alias("dtype"),
-        ),
-    )
+    # col_1 .. col_n built from plain (code-generated) expressions; no lambda per element
+    cols = F.slice(F.array(*[
+        F.struct(F.lit(f"col_{i}").alias("name"), _dtype_col((F.col("_k") + i) % 8).alias("dtype")) for i in range(1, 7)
+    ]), 1, F.col("_n_cols"))
     md = F.when(
         F.col("_is_table"),
         F.struct(
@@ -83,7 +89,7 @@ def assets(spark: SparkSession, sf_dir: str, with_columns: bool = True) -> DataF
             F.array().cast("array<string>").alias("partition_columns"),
         ),
     )
-    out = df.withColumn("cached_metadata", md.cast(S.TABLE_METADATA)).withColumn(
+    out = df.withColumn("cached_metadata", md).withColumn(
         "metadata_cached_at", F.when(F.col("_is_table"), F.col("created_at"))
     ).withColumn("column_annotations", F.lit(None).cast(T.ArrayType(S.ANNOTATION)))
     return out.select(*S.ASSET_COLUMNS)
@@ -117,7 +123,7 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     last-wins rule matters; split points share (group, axis) on purpose.
     Line numbers repeat within an order, so submission order is ``(pos, tie)``.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = balanced(table(spark, sf_dir, "lineitem"))
     return li.selectExpr(
         "CAST(l_orderkey AS STRING) AS asset_id",
         "l_linenumber AS pos",

@@ -45,9 +45,10 @@ def greedy_accept(eligible: DataFrame, max_rounds: int | None = None) -> tuple[D
         rounds += 1
         mk = undecided.groupBy("kkey").agg(F.min("seq").alias("_mk"))
         mu = undecided.groupBy("uri").agg(F.min("seq").alias("_mu"))
+        # acc is a cheap aggregate over the checkpointed round state; recomputing it later is exact
         acc = (undecided.join(mk, "kkey").join(mu, "uri")
                .where((F.col("seq") == F.col("_mk")) & (F.col("seq") == F.col("_mu")))
-               .select("seq", "kkey", "uri").checkpoint())
+               .select("seq", "kkey", "uri"))
         accepted_parts.append(acc)
         undecided = (undecided.join(acc.select("kkey"), "kkey", "left_anti")
                      .join(acc.select("uri"), "uri", "left_anti").checkpoint())
@@ -56,7 +57,7 @@ def greedy_accept(eligible: DataFrame, max_rounds: int | None = None) -> tuple[D
     out = accepted_parts[0]
     for p in accepted_parts[1:]:
         out = out.unionByName(p)
-    return out, rounds
+    return out.checkpoint(), rounds
 
 
 def admit(cands: DataFrame, assets: DataFrame, gate_status: str = "gate_status",

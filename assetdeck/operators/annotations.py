@@ -20,8 +20,12 @@ KIND_FIELDS = ["kind", "target_table", "target_column", "node_level", "resolutio
 
 
 def explode_columns(assets: DataFrame) -> DataFrame:
-    """PRJ-08: one row per (asset, position, name, dtype); assets without metadata give none."""
-    return assets.select("id", F.posexplode("cached_metadata.columns").alias("p", "c")).select(
+    """PRJ-08: one row per (asset, position, name, dtype); assets without metadata give none.
+
+    ``posexplode_outer`` + a filter on the element keeps Catalyst from inferring a
+    ``size(columns) > 0`` filter that would evaluate the metadata twice below the scan."""
+    return assets.select("id", F.posexplode_outer("cached_metadata.columns").alias("p", "c")).where(
+        F.col("c").isNotNull()).select(
         F.col("id").alias("asset_id"), (F.col("p") + 1).cast("int").alias("pos"),
         F.col("c.name").alias("name"), F.col("c.dtype").alias("dtype"))
 

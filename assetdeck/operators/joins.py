@@ -1,8 +1,11 @@
 """Join helpers: size-checked broadcast.
 
-A side is broadcast only after a bounded probe proves it has at most
-``max_rows`` rows (``limit(max_rows + 1).count()`` stops early).  Otherwise
-the join is left to Catalyst + AQE (sort-merge / shuffled hash, skew split).
+A side gets a broadcast hint only when the optimizer's size estimate for it
+is below the session's broadcast threshold (a plan-time check, no job).
+Sides that are larger, or whose estimate is unknown, are left to Catalyst
+and AQE: at run time AQE re-checks the real shuffle size and switches to a
+broadcast join only under ``spark.sql.adaptive.autoBroadcastJoinThreshold``;
+beyond it the join stays sort-merge / shuffled-hash with skew splitting.
 """
 
 from __future__ import annotations
@@ -10,13 +13,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_BYTES = 64 * 1024 * 1024
 
 
-def bounded(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of ``df`` (upper bound for file scans and their filters)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - no estimate available
+        return None
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven small, else ``df`` unchanged."""
-    return F.broadcast(df) if bounded(df, max_rows) else df
+def maybe_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """``broadcast(df)`` when its estimated size is proven under ``max_bytes``, else ``df``."""
+    limit = max_bytes
+    if limit is None:
+        conf = df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        try:
+            limit = min(int(str(conf).rstrip("bB")), DEFAULT_MAX_BYTES)
+        except ValueError:
+            limit = 10 * 1024 * 1024
+    size = estimated_bytes(df)
+    return F.broadcast(df) if size is not None and 0 <= size <= limit else df
