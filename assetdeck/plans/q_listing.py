@@ -26,6 +26,12 @@ def _assets(spark, d):
     return FX.assets(spark, d, with_columns=False)
 
 
+def _stored(spark, d):
+    """The catalog as stored (partitioned by datastack): listings prune partitions and push filters."""
+    from ..sources.catalog import stored_catalog
+    return stored_catalog(spark, d, lambda s, x: FX.assets(s, x, with_columns=False))
+
+
 def _sql(where: str, extra: str = "") -> str:
     return with_fixtures(f"SELECT {FLAT_COLS}{extra} FROM cat_assets WHERE {where}", "cat_assets")
 
@@ -139,24 +145,24 @@ _LIVE = f"(expires_at IS NULL OR expires_at > {NOW_SQL})"
 
 @query("order_nulls_first", _page_sql(f"datastack = 'ds0' AND {_LIVE}", "mat_version DESC NULLS FIRST, id", 40, 0))
 def order_nulls_first(spark, d):
-    return flat_page(L.list_assets(_assets(spark, d), "ds0", NOW, limit=40, sort_by="mat_version", sort_order="desc"))
+    return flat_page(L.list_assets(_stored(spark, d), "ds0", NOW, limit=40, sort_by="mat_version", sort_order="desc"))
 
 
 @query("sort_fallback", _page_sql(f"datastack = 'ds3' AND {_LIVE}", "name ASC NULLS FIRST, id", 30, 10))
 def sort_fallback(spark, d):
     # a dotted display key is not a column: the listing sorts by name
-    return flat_page(L.list_assets(_assets(spark, d), "ds3", NOW, limit=30, offset=10, sort_by="cached_metadata.n_rows"))
+    return flat_page(L.list_assets(_stored(spark, d), "ds3", NOW, limit=30, offset=10, sort_by="cached_metadata.n_rows"))
 
 
 @query("page", _page_sql(f"datastack = 'ds1' AND {_LIVE}", "created_at ASC NULLS FIRST, id", 100, 250))
 def page_(spark, d):
-    return flat_page(L.list_assets(_assets(spark, d), "ds1", NOW, limit=100, offset=250, sort_by="created_at"))
+    return flat_page(L.list_assets(_stored(spark, d), "ds1", NOW, limit=100, offset=250, sort_by="created_at"))
 
 
 @query("total_count", with_fixtures(
     f"SELECT datastack, count(*) AS total FROM cat_assets WHERE {_LIVE} GROUP BY datastack", "cat_assets"))
 def total_count(spark, d):
-    a = _assets(spark, d).where(P.not_expired(NOW))
+    a = _stored(spark, d).where(P.not_expired(NOW))
     return a.groupBy("datastack").agg(F.count(F.lit(1)).alias("total"))
 
 
@@ -176,13 +182,13 @@ def flat_page(df: DataFrame) -> DataFrame:
 @query("list_assets", _page_sql(
     f"datastack = 'ds2' AND {_LIVE} AND format = 'delta' AND name ILIKE '%by_key%'", "revision ASC NULLS FIRST, id", 50, 5))
 def list_assets(spark, d):
-    return flat_page(L.list_assets(_assets(spark, d), "ds2", NOW, limit=50, offset=5, sort_by="revision",
+    return flat_page(L.list_assets(_stored(spark, d), "ds2", NOW, limit=50, offset=5, sort_by="revision",
                                    format="delta", name_contains="by_key"))
 
 
 @query("list_tables", _sql(f"datastack = 'ds1' AND asset_type = 'table' AND {_LIVE} AND source = 'user' AND maturity = 'stable'"))
 def list_tables(spark, d):
-    return flat(L.list_tables(_assets(spark, d), "ds1", NOW, source="user", maturity="stable"))
+    return flat(L.list_tables(_stored(spark, d), "ds1", NOW, source="user", maturity="stable"))
 
 
 # --- explore view -----------------------------------------------------------
@@ -225,7 +231,7 @@ FROM ({inner}) p"""
 @query("explore_page", _explore_sql(f"datastack = 'ds1' AND {_LIVE} AND name ILIKE '%7%' AND maturity = 'stable'",
                                     "name ASC NULLS FIRST, id", 25, 50))
 def explore_page(spark, d):
-    return L.explore_page(_assets(spark, d), "ds1", NOW, limit=25, offset=50, name="7", maturity="stable", format="")
+    return L.explore_page(_stored(spark, d), "ds1", NOW, limit=25, offset=50, name="7", maturity="stable", format="")
 
 
 @query("display_view", with_fixtures(f"SELECT id, {EXPLORE_CELLS} FROM cat_assets", "cat_assets"))

@@ -33,7 +33,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def write_base(df: DataFrame, root: str, name: str = "base") -> str:
     path = f"{root.rstrip('/')}/{name}"
-    df.select(*S.ASSET_COLUMNS).write.mode("errorifexists").partitionBy("datastack").parquet(path)
+    # overwrite only replaces an unfinished attempt (no _SUCCESS) of the same snapshot
+    df.select(*S.ASSET_COLUMNS).write.mode("overwrite").partitionBy("datastack").parquet(path)
     return path
 
 
@@ -63,3 +64,18 @@ def read_catalog(spark: SparkSession, root: str, base: str = "base") -> DataFram
 def read_tables(spark: SparkSession, root: str) -> DataFrame:
     """SRC-02: the table subtype, stated explicitly."""
     return read_catalog(spark, root).where(F.col("asset_type") == "table")
+
+
+def stored_catalog(spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """The catalog built by ``build(spark, sf_dir)`` written once per session as a partitioned
+    base snapshot in the shared folder, then read back (listing plans then prune partitions
+    and push filters into the Parquet scan)."""
+    import hashlib
+
+    from ..session import shared_dir
+
+    key = hashlib.sha1(f"{spark.sparkContext.applicationId}:{sf_dir}".encode()).hexdigest()[:16]
+    root = shared_dir(spark, f"catalog-{key}")
+    if not exists(spark, f"{root}/base/_SUCCESS"):
+        write_base(build(spark, sf_dir), root)
+    return read_catalog(spark, root)
