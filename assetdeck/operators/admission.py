@@ -19,6 +19,7 @@ in the cluster's checkpoint folder, so a lost executor only recomputes one round
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,12 +44,13 @@ def greedy_accept(eligible: DataFrame, max_rounds: int | None = None) -> tuple[D
         if max_rounds is not None and rounds >= max_rounds:
             raise RuntimeError(f"admission did not converge in {max_rounds} rounds")
         rounds += 1
-        mk = undecided.groupBy("kkey").agg(F.min("seq").alias("_mk"))
-        mu = undecided.groupBy("uri").agg(F.min("seq").alias("_mu"))
-        # acc is a cheap aggregate over the checkpointed round state; recomputing it later is exact
-        acc = (undecided.join(mk, "kkey").join(mu, "uri")
-               .where((F.col("seq") == F.col("_mk")) & (F.col("seq") == F.col("_mu")))
-               .select("seq", "kkey", "uri"))
+        # the smallest seq of each key group and of each URI group; a seq that is both is accepted.
+        # Joining the two (small) group tables on seq avoids joining them back to every row.
+        mk = undecided.groupBy("kkey").agg(F.min("seq").alias("seq"))
+        mu = undecided.groupBy("uri").agg(F.min("seq").alias("seq"))
+        # kept (memory, spilling to disk) for the final union; if lost it is recomputed
+        # from the checkpointed round state
+        acc = mk.join(mu, "seq").select("seq", "kkey", "uri").persist(StorageLevel.MEMORY_AND_DISK)
         accepted_parts.append(acc)
         undecided = (undecided.join(acc.select("kkey"), "kkey", "left_anti")
                      .join(acc.select("uri"), "uri", "left_anti").checkpoint())
@@ -57,7 +59,10 @@ def greedy_accept(eligible: DataFrame, max_rounds: int | None = None) -> tuple[D
     out = accepted_parts[0]
     for p in accepted_parts[1:]:
         out = out.unionByName(p)
-    return out.checkpoint(), rounds
+    out = out.checkpoint()
+    for p in accepted_parts:
+        p.unpersist()
+    return out, rounds
 
 
 def admit(cands: DataFrame, assets: DataFrame, gate_status: str = "gate_status",
@@ -69,7 +74,9 @@ def admit(cands: DataFrame, assets: DataFrame, gate_status: str = "gate_status",
     accepted earlier candidate), then ``content_status`` (content, kind and
     extraction checks, NULL = passed), else ``created``.  Both status columns
     depend only on the row itself.  Returns (labelled candidates, rounds)."""
-    c = CK.find_by_uri(CK.find_duplicate(cands, assets), assets).withColumn("kkey", key_column())
+    # used twice (eligibility and labelling): keep it instead of re-joining the catalog
+    c = CK.find_by_uri(CK.find_duplicate(cands, assets), assets).withColumn("kkey", key_column()).persist(
+        StorageLevel.MEMORY_AND_DISK)
     eligible = c.where(F.col(gate_status).isNull() & F.col(content_status).isNull()
                        & F.col("dup_id").isNull() & F.col("uri_dup_id").isNull() & F.col("uri").isNotNull())
     accepted, rounds = greedy_accept(eligible)
