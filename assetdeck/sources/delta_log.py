@@ -28,14 +28,15 @@ SCHEMA_STRING = T.StructType([T.StructField("fields", T.ArrayType(T.StructType([
     T.StructField("name", T.StringType()), T.StructField("type", T.StringType())])))])
 
 
-def read_actions(spark: SparkSession, table_uris: list[str]) -> DataFrame:
-    """``(table, version, add_path, add_size, num_records, remove_path, schema_string, partition_columns)``."""
-    globs = [u.rstrip("/") + "/_delta_log/*.json" for u in table_uris]
-    raw = spark.read.text(globs).select(F.col("value"), F.col("_metadata.file_path").alias("f"))
-    a = raw.where(F.trim("value") != "").select(
-        F.regexp_replace(normalize_path(F.col("f")), r"/_delta_log/[^/]*$", "").alias("table"),
-        F.regexp_extract("f", r"/(\d+)\.json$", 1).cast("bigint").alias("version"),
-        F.from_json("value", ACTION).alias("a"))
+def _has_match(spark: SparkSession, glob: str) -> bool:
+    """Whether a path glob matches any file (a file-system listing, as Spark's own reader does)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(glob)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def _flatten(a: DataFrame) -> DataFrame:
     return a.select(
         "table", "version",
         F.col("a.add.path").alias("add_path"), F.col("a.add.size").alias("add_size"),
@@ -45,6 +46,35 @@ def read_actions(spark: SparkSession, table_uris: list[str]) -> DataFrame:
         F.col("a.metaData.partitionColumns").alias("partition_columns"))
 
 
+def read_actions(spark: SparkSession, table_uris: list[str]) -> DataFrame:
+    """``(table, version, add_path, add_size, num_records, remove_path, schema_string, partition_columns)``.
+
+    Actions of the newest Parquet checkpoint of each table plus the JSON commits after it
+    (older checkpoints are ignored: their removed files may no longer carry tombstones)."""
+    roots = [u.rstrip("/") + "/_delta_log" for u in table_uris]
+    json_globs = [g for g in (r + "/*.json" for r in roots) if _has_match(spark, g)]
+    if json_globs:
+        raw = spark.read.text(json_globs).select(F.col("value"), F.col("_metadata.file_path").alias("f"))
+    else:
+        raw = spark.createDataFrame([], "value string, f string")
+    commits = _flatten(raw.where(F.trim("value") != "").select(
+        F.regexp_replace(normalize_path(F.col("f")), r"/_delta_log/[^/]*$", "").alias("table"),
+        F.regexp_extract("f", r"/(\d+)\.json$", 1).cast("bigint").alias("version"),
+        F.from_json("value", ACTION).alias("a")))
+    globs = [g for g in (r + "/*.checkpoint*.parquet" for r in roots) if _has_match(spark, g)]
+    if not globs:
+        return commits
+    ck = spark.read.schema(ACTION).parquet(*globs)
+    ck = ck.select(F.struct(*[F.col(c) for c in ACTION.fieldNames()]).alias("a"), F.col("_metadata.file_path").alias("f"))
+    ck = _flatten(ck.select(
+        F.regexp_replace(normalize_path(F.col("f")), r"/_delta_log/[^/]*$", "").alias("table"),
+        F.regexp_extract("f", r"/(\d+)\.checkpoint", 1).cast("bigint").alias("version"), "a"))
+    newest = ck.groupBy("table").agg(F.max("version").alias("_ck"))
+    ck = ck.join(newest, "table").where(F.col("version") == F.col("_ck")).drop("_ck")
+    commits = commits.join(newest, "table", "left").where(F.col("version") > F.coalesce("_ck", F.lit(-1))).drop("_ck")
+    return commits.unionByName(ck)
+
+
 def live_files(actions: DataFrame, order: list[str] | None = None) -> DataFrame:
     """WIN-04: newest action per (table, path) by ``order`` (default: version); keep adds only."""
     order = order or ["version"]

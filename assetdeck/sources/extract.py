@@ -91,37 +91,65 @@ def _parquet_profile(uri: str) -> dict:
             "columns": cols, "partition_columns": parts}
 
 
+def _delta_checkpoint_actions(fs, log: str) -> tuple[int, list[dict]]:
+    """Actions stored in the newest Parquet checkpoint named by ``_last_checkpoint`` (version -1 if none)."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    pointer = f"{log}/_last_checkpoint"
+    if fs.get_file_info(pointer).type != pafs.FileType.File:
+        return -1, []
+    with fs.open_input_stream(pointer) as fh:
+        version = int(json.loads(fh.read().decode("utf-8"))["version"])
+    prefix = f"{version:020d}.checkpoint"
+    parts = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(log))
+                   if os.path.basename(f.path).startswith(prefix) and f.path.endswith(".parquet"))
+    actions: list[dict] = []
+    for part in parts:
+        with fs.open_input_file(part) as fh:
+            for row in pq.read_table(fh).to_pylist():
+                actions.extend({k: v} for k, v in row.items() if k in ("add", "remove", "metaData") and v is not None)
+    return version, actions
+
+
 def _delta_profile(uri: str) -> dict:
     import pyarrow.fs as pafs
 
     fs, path = _arrow_fs_path(uri)
     log = path.rstrip("/") + "/_delta_log"
-    info = fs.get_file_info(log)
-    commits = []
-    if info.type == pafs.FileType.Directory:
-        commits = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(log)) if f.path.endswith(".json"))
-    if not commits:
+    if fs.get_file_info(log).type != pafs.FileType.Directory:
         raise ValueError(f"No Delta transaction log found at '{uri}'. This path may not contain a Delta Lake table.")
-    latest: dict[str, tuple[int, dict | None]] = {}
+    ckpt_version, ckpt_actions = _delta_checkpoint_actions(fs, log)
+    commits = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(log)) if f.path.endswith(".json")
+                     and os.path.basename(f.path).split(".")[0].isdigit()
+                     and int(os.path.basename(f.path).split(".")[0]) > ckpt_version)
+    if not commits and ckpt_version < 0:
+        raise ValueError(f"No Delta transaction log found at '{uri}'. This path may not contain a Delta Lake table.")
+    # newest action per file path decides whether the file is live
+    latest: dict[str, dict | None] = {}
     metadata = None
+
+    def apply(act: dict) -> None:
+        nonlocal metadata
+        if act.get("metaData"):
+            metadata = act["metaData"]
+        elif act.get("add"):
+            latest[act["add"]["path"]] = act["add"]
+        elif act.get("remove"):
+            latest[act["remove"]["path"]] = None
+
+    for act in ckpt_actions:
+        apply(act)
     for c in commits:
-        version = int(os.path.basename(c).split(".")[0])
         with fs.open_input_stream(c) as fh:
             for line in fh.read().decode("utf-8").splitlines():
-                if not line.strip():
-                    continue
-                act = json.loads(line)
-                if "metaData" in act:
-                    metadata = act["metaData"]
-                elif "add" in act:
-                    latest[act["add"]["path"]] = (version, act["add"])
-                elif "remove" in act:
-                    latest[act["remove"]["path"]] = (version, None)
+                if line.strip():
+                    apply(json.loads(line))
     if metadata is None:
         raise ValueError(f"Delta log at '{uri}' has no metadata action")
     fields = json.loads(metadata["schemaString"]).get("fields", [])
     cols = [{"name": f["name"], "dtype": f["type"] if isinstance(f["type"], str) else json.dumps(f["type"])} for f in fields]
-    live = [a for _, a in latest.values() if a is not None]
+    live = [a for a in latest.values() if a is not None]
     sizes = [a.get("size") for a in live]
     counts = []
     for a in live:

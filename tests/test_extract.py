@@ -121,3 +121,44 @@ def test_uri_exists_against_listing(spark, files):
                                  "uri string")
     got = {r["uri"]: r["reachable_passed"] for r in ST.uri_exists(uris, listing).collect()}
     assert got == {f"{files}/simple.parquet": True, f"{files}/part": True, f"{files}/nope": False, f"file:{files}/part/": True}
+
+
+def test_delta_checkpoint_then_commits(spark, files):
+    """A Parquet checkpoint named by _last_checkpoint, older commits gone, newer commits applied on top."""
+    d = f"{files}/delta_ckpt"
+    os.makedirs(f"{d}/_delta_log")
+    schema = {"type": "struct", "fields": [{"name": "id", "type": "long", "nullable": True, "metadata": {}}]}
+    add_t = pa.struct([("path", pa.string()), ("size", pa.int64()), ("stats", pa.string())])
+    rem_t = pa.struct([("path", pa.string())])
+    md_t = pa.struct([("schemaString", pa.string()), ("partitionColumns", pa.list_(pa.string()))])
+    rows = [
+        {"add": None, "remove": None, "metaData": {"schemaString": json.dumps(schema), "partitionColumns": ["day"]}},
+        {"add": {"path": "a.parquet", "size": 10, "stats": json.dumps({"numRecords": 1})}, "remove": None, "metaData": None},
+        {"add": {"path": "b.parquet", "size": 20, "stats": json.dumps({"numRecords": 2})}, "remove": None, "metaData": None},
+    ]
+    pq.write_table(pa.Table.from_pylist(rows, pa.schema([("add", add_t), ("remove", rem_t), ("metaData", md_t)])),
+                   f"{d}/_delta_log/{3:020d}.checkpoint.parquet")
+    with open(f"{d}/_delta_log/_last_checkpoint", "w") as fh:
+        fh.write(json.dumps({"version": 3, "size": 3}))
+    with open(f"{d}/_delta_log/{4:020d}.json", "w") as fh:
+        fh.write(json.dumps({"remove": {"path": "a.parquet"}}) + "\n")
+        fh.write(json.dumps({"add": {"path": "c.parquet", "size": 30, "stats": json.dumps({"numRecords": 3})}}) + "\n")
+    got = _profile(spark, [(d, "delta")])[d]
+    assert (got["status"], got["n_rows"], got["n_bytes"], got["partition_columns"]) == ("ok", 5, 50, ["day"])
+
+
+def test_delta_checkpoint_as_dataframes(spark, files):
+    test_delta_checkpoint_then_commits(spark, files) if not os.path.exists(f"{files}/delta_ckpt") else None
+    acts = DL.read_actions(spark, [f"{files}/delta_ckpt", f"{files}/delta_tbl"])
+    tables = spark.createDataFrame([(f"{files}/delta_ckpt",), (f"{files}/delta_tbl",)], "uri string")
+    md = {r["uri"]: r for r in DL.table_metadata(acts, tables).collect()}
+    assert (md[f"{files}/delta_ckpt"]["n_rows"], md[f"{files}/delta_ckpt"]["n_bytes"]) == (5, 50)
+    assert md[f"{files}/delta_ckpt"]["partition_columns"] == ["day"]
+    assert (md[f"{files}/delta_tbl"]["n_rows"], md[f"{files}/delta_tbl"]["n_bytes"]) == (9, 250)
+
+
+def test_delta_reader_tolerates_tables_without_log(spark, files):
+    acts = DL.read_actions(spark, [f"{files}/empty_dir"])
+    tables = spark.createDataFrame([(f"{files}/empty_dir",)], "uri string")
+    row = DL.table_metadata(acts, tables).first()
+    assert row["error"].startswith("No Delta transaction log found")
