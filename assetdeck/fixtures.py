@@ -164,7 +164,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     Contains bad names, reserved names, copies of catalog keys and URIs, and
     key/URI collisions inside the batch.
     """
-    return candidates_from(table(spark, sf_dir, "events"))
+    return candidates_from(balanced(table(spark, sf_dir, "events")))
 
 
 def candidates_from(ev: DataFrame) -> DataFrame:

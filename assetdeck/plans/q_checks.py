@@ -81,7 +81,7 @@ FROM (SELECT *, CASE WHEN expired THEN 'Asset not found' WHEN NOT is_managed THE
       lower(regexp_extract(uri, '{URI_RE}', 1)) AS scheme, regexp_extract(uri, '{URI_RE}', 3) AS bucket,
       regexp_replace(regexp_extract(uri, '{URI_RE}', 4), '^/+', '') AS prefix FROM cat_assets))""", "cat_assets"))
 def access_plan(spark, d):
-    return AC.access_plan(_assets(spark, d), NOW)
+    return AC.access_plan(FX.balanced(_assets(spark, d)), NOW)
 
 
 # --- reference objects ------------------------------------------------------

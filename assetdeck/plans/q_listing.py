@@ -237,4 +237,5 @@ def explore_page(spark, d):
 @query("display_view", with_fixtures(f"SELECT id, {EXPLORE_CELLS} FROM cat_assets", "cat_assets"))
 def display_view(spark, d):
     from ..operators import display as D
-    return D.display_view(_assets(spark, d))
+    # per-row formatting is CPU work: spread an unsplittable input over all cores first
+    return D.display_view(FX.balanced(_assets(spark, d)))

@@ -4,7 +4,7 @@
 
 Every query runs to completion through the ``noop`` sink (all rows are
 produced, nothing is collected to the driver).  Each query is run once to
-warm up and then timed ``BENCH_REPEAT`` times (best time kept).
+warm up and then timed ``BENCH_REPEAT`` times (default 3, best time kept).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     only = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q]
     from assetdeck.plans import all_queries
     from assetdeck.session import build_session

@@ -3,7 +3,6 @@
 import datetime as dt
 
 import pytest
-from pyspark.sql import functions as F
 
 from assetdeck import fixtures as FX
 from assetdeck.operators import listing as L
@@ -77,4 +76,3 @@ def test_explore_page_on_driver_tables(spark):
     assert 0 < len(p) <= 10
     assert {r["showing_from"] for r in p} == {1}
     assert all(r["mat_version"] != "" for r in p)
-    assert F is not None
