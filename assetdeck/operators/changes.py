@@ -1,7 +1,9 @@
 """Row changes producing the next catalog snapshot (SNK-03, SNK-04, SNK-05, SNK-06).
 
 Each function is ``snapshot -> (new snapshot, per-request status)``; the
-caller writes the new snapshot to a new folder (``sources.catalog``).  All of
+caller writes the new snapshot to a new folder (``sources.catalog``).
+Column annotations are kept in long form (one row per asset and position),
+so replacing a list never gathers an asset's annotations into one row.  All of
 them are equality joins on ``id``; several requests for the same id collapse
 to the last one (``max_by`` on the request order, a partial aggregation).
 """
@@ -50,12 +52,17 @@ def delete_assets(assets: DataFrame, ids: DataFrame) -> DataFrame:
     return assets.join(ids.select("id").distinct(), "id", "left_anti")
 
 
-def replace_annotations(assets: DataFrame, updates: DataFrame, new_ann: DataFrame, mat: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+def replace_annotations(assets: DataFrame, annotations: DataFrame, updates: DataFrame, new_ann: DataFrame, mat: DataFrame,
+                        now) -> tuple[DataFrame, DataFrame]:
     """SNK-04: replace the whole annotation list of each requested table after the checks.
 
-    ``updates(id)`` lists the requests; ``new_ann`` holds their annotations in long
-    form keyed by ``asset_id`` (none = clear).  Missing or expired -> not_found, non-table
-    -> not_table; kind target, point group or dtype failures -> rejected, unchanged."""
+    Annotations are stored in long form (``annotations``: one row per asset and
+    position), so a replacement is an anti-join of the old rows plus a union of the
+    new ones - no per-asset list is ever collected.  ``updates(id)`` lists the
+    requests; ``new_ann`` holds their annotations keyed by ``asset_id`` (none =
+    clear).  Missing or expired -> not_found, non-table -> not_table; kind target,
+    point group or dtype failures -> rejected, unchanged.
+    Returns (next annotation table, per-request status)."""
     req = updates.select("id").distinct()
     tgt = assets.select("id", "asset_type", "datastack", is_expired(now).alias("_expired"))
     r = req.join(tgt, "id", "left")
@@ -70,19 +77,10 @@ def replace_annotations(assets: DataFrame, updates: DataFrame, new_ann: DataFram
               .when(F.coalesce(F.col("_bad"), F.lit(False)), F.lit("rejected"))
               .otherwise(F.lit("updated")))
     st = r.select("id", status.alias("status"))
-    ok = st.where(F.col("status") == "updated").select("id")
-    lists = (a.join(ok.withColumnRenamed("id", "asset_id"), "asset_id", "left_semi")
-             .groupBy("asset_id").agg(F.sort_array(F.collect_list(F.struct(
-                 "pos", "tie", F.struct("column_name", "description",
-                                        F.when(F.col("kind").isNotNull(), F.struct(*AN.KIND_FIELDS)).alias("kind")).alias("a")))).alias("_l"))
-             .select(F.col("asset_id").alias("id"), F.transform("_l", lambda x: x["a"]).alias("_new")))
-    upd = ok.join(lists, "id", "left").withColumn("_upd", F.lit(True))
-    j = assets.join(upd, "id", "left")
-    empty = F.array().cast(T.ArrayType(S.ANNOTATION))
-    out = j.select(*[
-        F.when(F.coalesce(F.col("_upd"), F.lit(False)), F.coalesce(F.col("_new"), empty)).otherwise(F.col(c)).alias(c)
-        if c == "column_annotations" else F.col(c) for c in assets.columns])
-    return out, st
+    ok = st.where(F.col("status") == "updated").select(F.col("id").alias("asset_id"))
+    kept = annotations.join(ok, "asset_id", "left_anti")
+    replaced = a.join(ok, "asset_id", "left_semi").select(*annotations.columns)
+    return kept.unionByName(replaced), st
 
 
 def refresh_metadata(assets: DataFrame, ids: DataFrame, extracted: DataFrame, now) -> tuple[DataFrame, DataFrame]:

@@ -26,6 +26,7 @@ class RegistrationResult:
     labelled: DataFrame   # one row per candidate with admission_status / existing_id / new_id
     snapshot: DataFrame   # catalog plus the created rows (SET-02)
     rounds: int
+    annotations: DataFrame | None = None  # long-form annotations of created tables (asset_id = new id)
 
 
 def _content_failed():
@@ -93,17 +94,15 @@ def register_tables(cands: DataFrame, ann: DataFrame, extracted: DataFrame, asse
     c = c.withColumn("content_status", content)
     labelled, rounds = AD.admit(c, assets)
     created = labelled.where(F.col("admission_status") == "created")
-    ann_arr = (a.join(created.select(F.col("seq").cast("string").alias("asset_id")), "asset_id", "left_semi")
-               .groupBy("asset_id").agg(F.sort_array(F.collect_list(F.struct(
-                   "pos", "tie", F.struct("column_name", "description",
-                                          F.when(F.col("kind").isNotNull(), F.struct(*AN.KIND_FIELDS)).alias("kind")).alias("a")))).alias("_l"))
-               .select("asset_id", F.transform("_l", lambda x: x["a"]).alias("column_annotations")))
-    created = created.join(ann_arr, "asset_id", "left").withColumn(
+    # annotations stay in long form, re-keyed to the new asset id (no per-asset list is collected)
+    new_ann = a.join(created.select(F.col("seq").cast("string").alias("asset_id"), "new_id"), "asset_id", "inner") \
+        .withColumn("asset_id", F.col("new_id")).drop("new_id")
+    created = created.withColumn(
         "cached_metadata", F.struct(F.col("_x_rows").cast("bigint").alias("n_rows"), F.size("_x_cols").alias("n_columns"),
                                     F.col("_x_bytes").cast("bigint").alias("n_bytes"), F.col("_x_cols").alias("columns"),
                                     F.array().cast("array<string>").alias("partition_columns"))).withColumn(
         "source", F.lit(S.DEFAULT_TABLE_SOURCE)).withColumn(
-        "column_annotations", F.coalesce("column_annotations", F.array().cast(T.ArrayType(S.ANNOTATION))))
+        "column_annotations", F.lit(None).cast(T.ArrayType(S.ANNOTATION)))
     new_rows = AD.to_asset_rows(created, now, table=True)
     snapshot = assets.unionByName(new_rows.select(*[c for c in S.ASSET_COLUMNS]), allowMissingColumns=True)
-    return RegistrationResult(labelled, snapshot, rounds)
+    return RegistrationResult(labelled, snapshot, rounds, new_ann)

@@ -59,7 +59,7 @@ FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 5
 def replace_annotations(spark, d):
     req, new = FX.annotation_updates(spark, d)
     assets = FX.assets(spark, d)
-    _, st = CH.replace_annotations(assets, req, new, FX.mat_objects(spark, d), NOW)
+    _, st = CH.replace_annotations(assets, FX.annotations(spark, d), req, new, FX.mat_objects(spark, d), NOW)
     counts = new.groupBy(F.col("asset_id").alias("id")).agg(F.count(F.lit(1)).alias("n_new"))
     return st.join(counts, "id", "left").select("id", "status", F.coalesce("n_new", F.lit(0)).alias("n_new"))
 

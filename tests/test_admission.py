@@ -76,3 +76,22 @@ def test_admission_chain_needs_many_rounds(spark):
     a = FX.assets(spark, SMALL, with_columns=False).limit(0)
     got, want, rounds = _run(spark, c, a)
     assert got == want
+
+
+def test_admission_with_a_hot_key(spark):
+    """A third of the batch shares one key (and another third one URI): still the sequential answer."""
+    rows = []
+    for seq in range(600):
+        if seq % 3 == 0:
+            name, uri = "hot", f"gs://b/{seq}"
+        elif seq % 3 == 1:
+            name, uri = f"n{seq}", "gs://b/hot"
+        else:
+            name, uri = f"n{seq % 50}", f"gs://b/{seq % 70}"
+        rows.append((seq, 1, "ds0", name, None, 0, uri, "delta", "table", True, "static", "stable", "{}", None, None))
+    c = spark.createDataFrame(rows, CANDIDATE).withColumn("gate_status", F.lit(None).cast("string")).withColumn(
+        "content_status", F.lit(None).cast("string"))
+    a = FX.assets(spark, SMALL, with_columns=False).limit(0)
+    got, want, _ = _run(spark, c, a)
+    assert got == want
+    assert sum(1 for s, _ in got.values() if s == "created") > 2
