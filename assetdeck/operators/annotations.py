@@ -59,7 +59,8 @@ def kind_target_check(ann: DataFrame, assets: DataFrame, mat: DataFrame) -> Data
     does not cover are skipped (pass).  One error row per offending annotation;
     the target column is not checked."""
     m = ann.where((F.col("kind") == "materialization") & (F.coalesce(F.col("target_table"), F.lit("")) != ""))
-    m = _with_datastack(m, assets)
+    if "datastack" not in m.columns:  # callers that already joined the asset rows skip a second join
+        m = _with_datastack(m, assets)
     tables = maybe_broadcast(mat.where((F.col("object_type") == "table") & F.col("is_current"))
                              .select("datastack", F.col("object_name").alias("target_table")).distinct())
     covered = maybe_broadcast(mat.select("datastack").distinct())

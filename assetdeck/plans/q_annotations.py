@@ -105,8 +105,10 @@ FROM (SELECT asset_id, 'kind_targets' AS c FROM t1 UNION ALL SELECT asset_id, 'p
 GROUP BY asset_id""", "cat_assets", "cat_annotations", "cat_mat_objects", "cat_columns",
     ta=TABLE_ANN_SQL, t1=TARGET_SQL, t2=GROUP_SQL.replace("FROM cat_annotations", "FROM ta"), t3=DTYPE_SQL))
 def kind_errors_per_asset(spark, d):
-    ann = _table_annotations(spark, d)
     assets = FX.assets(spark, d)
+    # one join gives both the table filter and the datastack the target check needs
+    tables = assets.where(F.col("asset_type") == "table").select(F.col("id").alias("asset_id"), "datastack")
+    ann = FX.annotations(spark, d).join(tables, "asset_id")
     return A.kind_errors_per_asset(
         A.kind_target_check(ann, assets, FX.mat_objects(spark, d)),
         A.point_group_uniqueness(ann),
