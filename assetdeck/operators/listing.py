@@ -102,7 +102,8 @@ def explore_page(assets: DataFrame, datastack: str, now, *, limit: int = S.EXPLO
     return shown.select(
         "*",
         F.lit(offset + 1).alias("showing_from"),
-        (F.lit(offset) + F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))).cast("int").alias("showing_to"),
+        # rows on this page = min(limit, total - offset): no extra pass over the page
+        (F.lit(offset) + F.least(F.lit(limit).cast("bigint"), total - F.lit(offset))).cast("int").alias("showing_to"),
         F.lit(offset // limit + 1).alias("page_number"),
         ((total - 1) / F.lit(limit)).cast("bigint").alias("_pc"),
         F.lit(offset > 0).alias("has_prev"),
