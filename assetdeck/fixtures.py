@@ -310,14 +310,17 @@ def storage_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extracted_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata a reader would find at each readable storage URI: ``(uri, n_rows, n_bytes, columns)``."""
+    """Metadata a reader would find at each readable storage URI: ``(uri, n_rows, n_bytes, columns)``.
+
+    Generated from the number at the end of the URI: ``1 + n % 6`` columns named
+    ``col_1..`` with dtypes from ``DTYPE_CYCLE``."""
     s = storage_objects(spark, sf_dir).where(F.col("actual_format").isin("parquet", "delta"))
-    h = F.abs(F.xxhash64("uri"))
-    cols = F.transform(
-        F.sequence(F.lit(1), (h % 6 + 1).cast("int")),
-        lambda i: F.struct(F.concat(F.lit("col_"), i.cast("string")).alias("name"), _dtype_col((h + i) % 8).alias("dtype")),
-    )
-    return s.select("uri", (h % 1000003).alias("n_rows"), (h % 1073741824).alias("n_bytes"), cols.alias("columns"))
+    n = F.regexp_extract("uri", r"/([0-9]+)$", 1).cast("bigint")
+    cols = F.slice(F.array(*[
+        F.struct(F.lit(f"col_{i}").alias("name"), _dtype_col((n + i) % 8).alias("dtype")) for i in range(1, 7)
+    ]), 1, (n % 6 + 1).cast("int"))
+    return s.select("uri", ((n * 7919) % 1000003).alias("n_rows"), ((n * 1048573) % 1073741824).alias("n_bytes"),
+                    cols.alias("columns"))
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,20 @@ def replace_annotations(spark, d):
     return st.join(counts, "id", "left").select("id", "status", F.coalesce("n_new", F.lit(0)).alias("n_new"))
 
 
-@query("refresh_metadata")
+REFRESH_SQL = f"""SELECT id, status,
+  CASE WHEN status = 'refreshed' THEN CAST(1 + num % 6 AS INTEGER) ELSE n_columns END AS n_columns,
+  CASE WHEN status = 'refreshed' THEN {NOW_SQL} ELSE metadata_cached_at END AS metadata_cached_at
+FROM (SELECT r.id, a.n_columns, a.metadata_cached_at,
+    CAST(regexp_extract(a.uri, '/([0-9]+)$', 1) AS BIGINT) AS num,
+    CASE WHEN a.id IS NULL OR coalesce(a.expires_at < {NOW_SQL}, false) THEN 'not_found'
+      WHEN a.asset_type <> 'table' THEN 'not_table' WHEN a.format IS NULL THEN 'no_format'
+      WHEN lower(a.format) NOT IN ('delta', 'parquet') THEN 'unsupported_format'
+      WHEN a.uri NOT IN (SELECT uri FROM cat_storage WHERE actual_format IN ('parquet', 'delta')) THEN 'extraction_failed'
+      ELSE 'refreshed' END AS status
+  FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 7 = 0) r LEFT JOIN cat_assets a ON a.id = r.id)"""
+
+
+@query("refresh_metadata", with_fixtures(REFRESH_SQL, "cat_assets", "cat_storage"))
 def refresh_metadata(spark, d):
     out, st = CH.refresh_metadata(FX.assets(spark, d), FX.refresh_requests(spark, d), FX.extracted_metadata(spark, d), NOW)
     return st.join(out.select("id", F.col("cached_metadata.n_columns").alias("n_columns"), "metadata_cached_at"), "id", "left")

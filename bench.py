@@ -35,19 +35,26 @@ def main() -> None:
     queries, _ = all_queries()
     names = only or HEADLINE
     times: dict[str, float] = {}
+    errors: dict[str, str] = {}
     for name in names:
         fn = queries[name]
-        fn(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
-        best = None
-        for _ in range(repeat):
-            t0 = time.perf_counter()
-            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            dt = time.perf_counter() - t0
-            best = dt if best is None else min(best, dt)
-        times[name] = round(best, 3)
+        try:
+            fn(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
+            best = None
+            for _ in range(repeat):
+                t0 = time.perf_counter()
+                fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
+                dt = time.perf_counter() - t0
+                best = dt if best is None else min(best, dt)
+            times[name] = round(best, 3)
+        except Exception as exc:  # noqa: BLE001 - report and keep measuring the others
+            errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "catalog_headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf, "cpus": cpus}))
+    out = {"metric": "catalog_headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
+           "queries": times, "sf": sf, "cpus": cpus}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
