@@ -1,5 +1,8 @@
-"""Registered queries: batch admission and registration pipelines (no SQL oracle:
-the admission loop is iterative; tests compare it with a sequential loop)."""
+"""Registered queries: batch admission and registration pipelines.
+
+Batch admission has a recursive-SQL oracle that runs the same greedy rounds;
+the pipelines built on it are checked by rows and by tests against a
+one-at-a-time loop."""
 
 from __future__ import annotations
 
@@ -9,7 +12,9 @@ from .. import fixtures as FX
 from ..operators import admission as AD
 from ..operators import registration as RG
 from ..operators.requests import with_request_check
+from .fixture_sql import with_fixtures
 from .q_listing import flat
+from .q_scalars import request_errors_sql
 from .registry import query
 
 NOW = FX.DEFAULT_NOW
@@ -20,10 +25,41 @@ def _assets(spark, d):
     return FX.assets(spark, d, with_columns=False)
 
 
-@query("batch_admission")
+def _admission_sql() -> str:
+    kkey = ("datastack || chr(1) || name || chr(1) || coalesce(CAST(mat_version AS VARCHAR), chr(0)) || chr(1) || "
+            "CAST(revision AS VARCHAR)")
+    body = f"""SELECT c.seq,
+  CASE WHEN c.bad THEN 'invalid_request'
+    WHEN c.dup_id IS NOT NULL OR k.seq < c.seq THEN 'duplicate'
+    WHEN c.uri_dup_id IS NOT NULL OR u.seq < c.seq THEN 'duplicate_uri'
+    WHEN k.seq = c.seq THEN 'created' END AS admission_status,
+  CASE WHEN c.bad THEN NULL WHEN c.dup_id IS NOT NULL THEN c.dup_id WHEN k.seq < c.seq THEN 'new-' || CAST(k.seq AS VARCHAR)
+    WHEN c.uri_dup_id IS NOT NULL THEN c.uri_dup_id WHEN u.seq < c.seq THEN 'new-' || CAST(u.seq AS VARCHAR) END AS existing_id,
+  CASE WHEN NOT c.bad AND c.dup_id IS NULL AND NOT coalesce(k.seq < c.seq, false) AND c.uri_dup_id IS NULL
+    AND NOT coalesce(u.seq < c.seq, false) AND k.seq = c.seq THEN 'new-' || CAST(c.seq AS VARCHAR) END AS new_id
+FROM cand c LEFT JOIN acc k ON k.kkey = c.kkey LEFT JOIN acc u ON u.uri = c.uri"""
+    cand = f"""SELECT x.seq, x.uri, {kkey} AS kkey, len({request_errors_sql()}) > 0 AS bad,
+  (SELECT min(a.id) FROM cat_assets a WHERE a.datastack = x.datastack AND a.name = x.name AND a.revision = x.revision
+     AND a.mat_version IS NOT DISTINCT FROM x.mat_version) AS dup_id,
+  (SELECT min(a.id) FROM cat_assets a WHERE a.uri = x.uri) AS uri_dup_id
+FROM cat_candidates x"""
+    rounds = """SELECT seq, kkey, uri, 'u' AS state FROM cand WHERE NOT bad AND dup_id IS NULL AND uri_dup_id IS NULL
+UNION ALL
+SELECT seq, kkey, uri, CASE WHEN acc THEN 'a' ELSE 'u' END FROM (
+  SELECT *, max(CASE WHEN acc THEN 1 ELSE 0 END) OVER (PARTITION BY kkey) AS hk,
+            max(CASE WHEN acc THEN 1 ELSE 0 END) OVER (PARTITION BY uri) AS hu FROM (
+    SELECT seq, kkey, uri, seq = min(seq) OVER (PARTITION BY kkey) AND seq = min(seq) OVER (PARTITION BY uri) AS acc
+    FROM r WHERE state = 'u'))
+WHERE acc OR (hk = 0 AND hu = 0)"""
+    sql = with_fixtures(body, "cat_assets", "cat_candidates", cand=cand)
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1).replace(
+        "\nSELECT c.seq,", f",\nr(seq, kkey, uri, state) AS ({rounds}\n),\nacc AS (SELECT DISTINCT seq, kkey, uri FROM r WHERE state = 'a')\nSELECT c.seq,", 1)
+
+
+@query("batch_admission", _admission_sql())
 def batch_admission(spark, d):
     """WIN-02 alone: every well-formed candidate competes for its key and URI."""
-    c = with_request_check(FX.candidates(spark, d)).withColumn(
+    c = with_request_check(FX.candidates(spark, d), F.col("asset_type") == "table").withColumn(
         "gate_status", F.when(~F.col("request_valid"), F.lit("invalid_request"))).withColumn(
         "content_status", F.lit(None).cast("string"))
     labelled, _ = AD.admit(c, _assets(spark, d))
@@ -66,3 +102,4 @@ def append_snapshot(spark, d):
     """SET-02: the catalog plus the rows accepted from the batch, by asset type and datastack."""
     snap = _register_assets(spark, d).snapshot
     return snap.groupBy("datastack", "asset_type").agg(F.count(F.lit(1)).alias("n_assets"))
+
