@@ -25,25 +25,30 @@ def _assets(spark, d):
     return FX.assets(spark, d, with_columns=False)
 
 
-def _admission_sql() -> str:
+def _admission_sql(cand: str | None = None, fixtures: tuple = ("cat_assets", "cat_candidates"), extra: dict | None = None,
+                   gate: str = "CASE WHEN c.bad THEN 'invalid_request' END", content: str = "NULL") -> str:
+    """Labels of the sequential admission as recursive SQL: the same rounds, written with windows."""
     kkey = ("datastack || chr(1) || name || chr(1) || coalesce(CAST(mat_version AS VARCHAR), chr(0)) || chr(1) || "
             "CAST(revision AS VARCHAR)")
-    body = f"""SELECT c.seq,
-  CASE WHEN c.bad THEN 'invalid_request'
+    body = """SELECT seq, admission_status, existing_id,
+  CASE WHEN admission_status = 'created' THEN 'new-' || CAST(seq AS VARCHAR) END AS new_id FROM (
+SELECT c.seq,
+  CASE WHEN c.gate IS NOT NULL THEN c.gate
     WHEN c.dup_id IS NOT NULL OR k.seq < c.seq THEN 'duplicate'
     WHEN c.uri_dup_id IS NOT NULL OR u.seq < c.seq THEN 'duplicate_uri'
+    WHEN c.content IS NOT NULL THEN c.content
     WHEN k.seq = c.seq THEN 'created' END AS admission_status,
-  CASE WHEN c.bad THEN NULL WHEN c.dup_id IS NOT NULL THEN c.dup_id WHEN k.seq < c.seq THEN 'new-' || CAST(k.seq AS VARCHAR)
-    WHEN c.uri_dup_id IS NOT NULL THEN c.uri_dup_id WHEN u.seq < c.seq THEN 'new-' || CAST(u.seq AS VARCHAR) END AS existing_id,
-  CASE WHEN NOT c.bad AND c.dup_id IS NULL AND NOT coalesce(k.seq < c.seq, false) AND c.uri_dup_id IS NULL
-    AND NOT coalesce(u.seq < c.seq, false) AND k.seq = c.seq THEN 'new-' || CAST(c.seq AS VARCHAR) END AS new_id
-FROM cand c LEFT JOIN acc k ON k.kkey = c.kkey LEFT JOIN acc u ON u.uri = c.uri"""
-    cand = f"""SELECT x.seq, x.uri, {kkey} AS kkey, len({request_errors_sql()}) > 0 AS bad,
+  CASE WHEN c.gate IS NOT NULL THEN NULL WHEN c.dup_id IS NOT NULL THEN c.dup_id WHEN k.seq < c.seq THEN 'new-' || CAST(k.seq AS VARCHAR)
+    WHEN c.uri_dup_id IS NOT NULL THEN c.uri_dup_id WHEN u.seq < c.seq THEN 'new-' || CAST(u.seq AS VARCHAR) END AS existing_id
+FROM cand c LEFT JOIN acc k ON k.kkey = c.kkey LEFT JOIN acc u ON u.uri = c.uri)"""
+    cand = cand or f"""SELECT x.seq, x.uri, {kkey} AS kkey, len({request_errors_sql()}) > 0 AS bad,
   (SELECT min(a.id) FROM cat_assets a WHERE a.datastack = x.datastack AND a.name = x.name AND a.revision = x.revision
      AND a.mat_version IS NOT DISTINCT FROM x.mat_version) AS dup_id,
   (SELECT min(a.id) FROM cat_assets a WHERE a.uri = x.uri) AS uri_dup_id
 FROM cat_candidates x"""
-    rounds = """SELECT seq, kkey, uri, 'u' AS state FROM cand WHERE NOT bad AND dup_id IS NULL AND uri_dup_id IS NULL
+    cand = f"SELECT *, {gate} AS gate, {content} AS content FROM ({cand}) c"
+    rounds = """SELECT seq, kkey, uri, 'u' AS state FROM cand WHERE gate IS NULL AND content IS NULL AND dup_id IS NULL
+  AND uri_dup_id IS NULL AND uri IS NOT NULL
 UNION ALL
 SELECT seq, kkey, uri, CASE WHEN acc THEN 'a' ELSE 'u' END FROM (
   SELECT *, max(CASE WHEN acc THEN 1 ELSE 0 END) OVER (PARTITION BY kkey) AS hk,
@@ -51,9 +56,13 @@ SELECT seq, kkey, uri, CASE WHEN acc THEN 'a' ELSE 'u' END FROM (
     SELECT seq, kkey, uri, seq = min(seq) OVER (PARTITION BY kkey) AND seq = min(seq) OVER (PARTITION BY uri) AS acc
     FROM r WHERE state = 'u'))
 WHERE acc OR (hk = 0 AND hu = 0)"""
-    sql = with_fixtures(body, "cat_assets", "cat_candidates", cand=cand)
+    ctes = dict(extra or {})
+    ctes["cand"] = cand
+    sql = with_fixtures(body, *fixtures, **ctes)
     return sql.replace("WITH ", "WITH RECURSIVE ", 1).replace(
-        "\nSELECT c.seq,", f",\nr(seq, kkey, uri, state) AS ({rounds}\n),\nacc AS (SELECT DISTINCT seq, kkey, uri FROM r WHERE state = 'a')\nSELECT c.seq,", 1)
+        "\nSELECT seq, admission_status,",
+        f",\nr(seq, kkey, uri, state) AS ({rounds}\n),\nacc AS (SELECT DISTINCT seq, kkey, uri FROM r WHERE state = 'a')"
+        "\nSELECT seq, admission_status,", 1)
 
 
 @query("batch_admission", _admission_sql())
@@ -77,7 +86,42 @@ def _register_tables(spark, d):
                               FX.permissions(spark, d), FX.users(spark, d), NOW)
 
 
-@query("register_assets")
+def _register_assets_sql() -> str:
+    from .q_checks import CHECKS_SQL, FIXES
+
+    kkey = ("datastack || chr(1) || name || chr(1) || coalesce(CAST(mat_version AS VARCHAR), chr(0)) || chr(1) || "
+            "CAST(revision AS VARCHAR)")
+    cand = f"""SELECT seq, uri, {kkey} AS kkey, len({request_errors_sql(False)}) > 0 AS bad, auth_passed AS allowed,
+  dup_id, uri_dup_id,
+  NOT coalesce(reservation_passed, true) OR NOT coalesce(reachable_passed, true) OR NOT coalesce(sniff_passed, true)
+    OR NOT coalesce(matverify_passed, true) AS content_failed
+FROM rep"""
+    return _admission_sql(cand, FIXES, dict(CHECKS_SQL),
+                          gate="CASE WHEN c.bad THEN 'invalid_request' WHEN NOT c.allowed THEN 'forbidden' END",
+                          content="CASE WHEN c.content_failed THEN 'invalid' END")
+
+
+REGISTER_SQL = _register_assets_sql()
+NEW_ROWS_SQL = """SELECT 'new-' || CAST(c.seq AS VARCHAR) AS id, c.datastack, c.name, c.mat_version, coalesce(c.revision, 0) AS revision,
+  c.uri, c.format, c.asset_type, c.user_id AS owner, coalesce(c.is_managed, false) AS is_managed,
+  coalesce(c.mutability, 'static') AS mutability, coalesce(c.maturity, 'stable') AS maturity,
+  CASE WHEN json_valid(c.properties) THEN c.properties ELSE '{}' END AS properties, c.access_group,
+  TIMESTAMP '1999-01-01 00:00:00' AS created_at, c.expires_at, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS BIGINT) AS n_rows,
+  CAST(NULL AS INTEGER) AS n_columns, CAST(NULL AS BIGINT) AS n_bytes, CAST(NULL AS TIMESTAMP) AS metadata_cached_at
+FROM cat_candidates c WHERE c.seq IN (SELECT seq FROM labels WHERE admission_status = 'created')"""
+
+
+def _snapshot_sql(select: str) -> str:
+    """``select`` over ``snap`` = catalog UNION ALL admitted rows (the admission labels as a CTE)."""
+    from .q_listing import FLAT_COLS
+
+    inner = REGISTER_SQL.replace("\nSELECT seq, admission_status, existing_id,", "\n, labels AS (SELECT seq, admission_status, existing_id,", 1)
+    return inner + f"""),
+snap AS (SELECT {FLAT_COLS} FROM cat_assets UNION ALL {NEW_ROWS_SQL})
+{select}"""
+
+
+@query("register_assets", REGISTER_SQL)
 def register_assets(spark, d):
     return _register_assets(spark, d).labelled.select(*LABEL_COLS)
 
@@ -87,7 +131,7 @@ def register_tables(spark, d):
     return _register_tables(spark, d).labelled.select(*LABEL_COLS)
 
 
-@query("admit_assets")
+@query("admit_assets", _snapshot_sql("SELECT * FROM snap"))
 def admit_assets(spark, d):
     return flat(_register_assets(spark, d).snapshot)
 
@@ -97,7 +141,7 @@ def admit_tables(spark, d):
     return flat(_register_tables(spark, d).snapshot)
 
 
-@query("append_snapshot")
+@query("append_snapshot", _snapshot_sql("SELECT datastack, asset_type, count(*) AS n_assets FROM snap GROUP BY datastack, asset_type"))
 def append_snapshot(spark, d):
     """SET-02: the catalog plus the rows accepted from the batch, by asset type and datastack."""
     snap = _register_assets(spark, d).snapshot

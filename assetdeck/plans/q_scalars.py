@@ -79,7 +79,7 @@ def valid_kind(spark, d):
                     K.kind_error(F.col("annotation.kind")).alias("kind_error"))
 
 
-def request_errors_sql() -> str:
+def request_errors_sql(table_format_required: bool = True) -> str:
     checks = [
         "CASE WHEN datastack IS NULL THEN 'datastack is required' END",
         name_error_sql("name"),
@@ -88,8 +88,9 @@ def request_errors_sql() -> str:
         "CASE WHEN coalesce(revision, 0) < 0 THEN 'revision must be >= 0' END",
         "CASE WHEN coalesce(mutability, 'static') NOT IN ('static', 'mutable') THEN 'mutability must be one of: static, mutable' END",
         "CASE WHEN coalesce(maturity, 'stable') NOT IN ('stable', 'draft', 'deprecated') THEN 'maturity must be one of: stable, draft, deprecated' END",
-        "CASE WHEN asset_type = 'table' AND format IS NULL THEN 'format is required for tables' END",
     ]
+    if table_format_required:
+        checks.append("CASE WHEN asset_type = 'table' AND format IS NULL THEN 'format is required for tables' END")
     return "list_filter([" + ", ".join(checks) + "], lambda x: x IS NOT NULL)"
 
 
