@@ -111,13 +111,13 @@ NEW_ROWS_SQL = """SELECT 'new-' || CAST(c.seq AS VARCHAR) AS id, c.datastack, c.
 FROM cat_candidates c WHERE c.seq IN (SELECT seq FROM labels WHERE admission_status = 'created')"""
 
 
-def _snapshot_sql(select: str) -> str:
+def _snapshot_sql(select: str, register_sql: str | None = None, new_rows_sql: str | None = None) -> str:
     """``select`` over ``snap`` = catalog UNION ALL admitted rows (the admission labels as a CTE)."""
     from .q_listing import FLAT_COLS
 
-    inner = REGISTER_SQL.replace("\nSELECT seq, admission_status, existing_id,", "\n, labels AS (SELECT seq, admission_status, existing_id,", 1)
+    inner = (register_sql or REGISTER_SQL).replace("\nSELECT seq, admission_status, existing_id,", "\n, labels AS (SELECT seq, admission_status, existing_id,", 1)
     return inner + f"""),
-snap AS (SELECT {FLAT_COLS} FROM cat_assets UNION ALL {NEW_ROWS_SQL})
+snap AS (SELECT {FLAT_COLS} FROM cat_assets UNION ALL {new_rows_sql or NEW_ROWS_SQL})
 {select}"""
 
 
@@ -126,7 +126,68 @@ def register_assets(spark, d):
     return _register_assets(spark, d).labelled.select(*LABEL_COLS)
 
 
-@query("register_tables")
+def _table_request_errors() -> str:
+    """Request rules for a table registration: the asset type is always 'table', so format is required."""
+    return request_errors_sql(True).replace("WHEN asset_type IS NULL", "WHEN false").replace(
+        "WHEN asset_type = 'table' AND format IS NULL", "WHEN format IS NULL")
+
+
+def _register_tables_sql() -> str:
+    from ..fixtures import DTYPE_CYCLE
+    from .q_checks import CHECKS_SQL, FIXES
+    from .q_scalars import dtype_class_sql
+
+    kkey = ("datastack || chr(1) || name || chr(1) || coalesce(CAST(mat_version AS VARCHAR), chr(0)) || chr(1) || "
+            "CAST(revision AS VARCHAR)")
+    dtype = "CASE (num + i) % 8 " + " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(DTYPE_CYCLE)) + " END"
+    extra = dict(CHECKS_SQL)
+    extra["ca"] = "SELECT * FROM cat_annotations WHERE asset_id IN (SELECT CAST(seq AS VARCHAR) FROM cat_candidates)"
+    extra["xcols"] = f"""SELECT uri, 'col_' || CAST(i AS VARCHAR) AS name, {dtype} AS dtype FROM (
+  SELECT uri, num, unnest(range(1, 2 + num % 6)) AS i FROM (
+    SELECT uri, CAST(regexp_extract(uri, '/([0-9]+)$', 1) AS BIGINT) AS num FROM cat_storage
+    WHERE actual_format IN ('parquet', 'delta')))"""
+    extra["pgdup"] = """SELECT DISTINCT asset_id FROM (
+  SELECT asset_id, row_number() OVER (PARTITION BY asset_id, point_group, axis ORDER BY pos, tie) AS rn FROM ca
+  WHERE kind = 'split_point' AND coalesce(point_group, '') <> '' AND coalesce(axis, '') <> '') WHERE rn > 1"""
+    cand = f"""SELECT q.seq, q.uri, {kkey} AS kkey, len({_table_request_errors()}) > 0 AS bad,
+  q.auth_passed AS allowed, q.dup_id, q.uri_dup_id,
+  NOT coalesce(q.reservation_passed, true) OR NOT coalesce(q.reachable_passed, true) OR NOT coalesce(q.sniff_passed, true)
+    OR NOT coalesce(q.matverify_passed, true) AS content_failed,
+  EXISTS (SELECT 1 FROM ca a WHERE a.asset_id = CAST(q.seq AS VARCHAR) AND a.kind = 'materialization'
+          AND coalesce(a.target_table, '') <> '' AND q.datastack IN (SELECT datastack FROM cat_mat_objects)
+          AND NOT EXISTS (SELECT 1 FROM cat_mat_objects m WHERE m.object_type = 'table' AND m.is_current
+                          AND m.datastack = q.datastack AND m.object_name = a.target_table)) AS kt,
+  CAST(q.seq AS VARCHAR) IN (SELECT asset_id FROM pgdup) AS pg,
+  lower(q.format) AS fmt,
+  q.uri IN (SELECT uri FROM xcols) AS has_x,
+  EXISTS (SELECT 1 FROM ca a JOIN xcols x ON x.uri = q.uri AND x.name = a.column_name
+          WHERE a.asset_id = CAST(q.seq AS VARCHAR)
+            AND ((a.kind = 'segmentation' AND {dtype_class_sql('x.dtype')} <> 'integer')
+              OR (a.kind IN ('packed_point', 'split_point') AND {dtype_class_sql('x.dtype')} NOT IN ('integer', 'float')))) AS dt,
+  (SELECT s.actual_format FROM cat_storage s WHERE s.uri = q.uri) AS actual
+FROM rep q"""
+    content = """CASE WHEN c.content_failed THEN 'invalid' WHEN c.kt THEN 'kind_invalid' WHEN c.pg THEN 'point_group_invalid'
+  WHEN c.fmt NOT IN ('delta', 'parquet') THEN 'unsupported_format'
+  WHEN NOT c.has_x OR coalesce(c.actual, '') <> c.fmt THEN 'extraction_failed' WHEN c.dt THEN 'dtype_invalid' END"""
+    return _admission_sql(cand, FIXES + ("cat_annotations",), extra,
+                          gate="CASE WHEN c.bad THEN 'invalid_request' WHEN NOT c.allowed THEN 'forbidden' END",
+                          content=content)
+
+
+REGISTER_TABLES_SQL = _register_tables_sql()
+NEW_TABLE_ROWS_SQL = """SELECT 'new-' || CAST(c.seq AS VARCHAR) AS id, c.datastack, c.name, c.mat_version, coalesce(c.revision, 0) AS revision,
+  c.uri, c.format, 'table' AS asset_type, c.user_id AS owner, coalesce(c.is_managed, false) AS is_managed,
+  coalesce(c.mutability, 'static') AS mutability, coalesce(c.maturity, 'stable') AS maturity,
+  CASE WHEN json_valid(c.properties) THEN c.properties ELSE '{}' END AS properties, c.access_group,
+  TIMESTAMP '1999-01-01 00:00:00' AS created_at, c.expires_at, 'user' AS source,
+  (n.num * 7919) % 1000003 AS n_rows, CAST(1 + n.num % 6 AS INTEGER) AS n_columns, (n.num * 1048573) % 1073741824 AS n_bytes,
+  TIMESTAMP '1999-01-01 00:00:00' AS metadata_cached_at
+FROM cat_candidates c JOIN (SELECT uri, CAST(regexp_extract(uri, '/([0-9]+)$', 1) AS BIGINT) AS num FROM cat_storage
+  WHERE actual_format IN ('parquet', 'delta')) n ON n.uri = c.uri
+WHERE c.seq IN (SELECT seq FROM labels WHERE admission_status = 'created')"""
+
+
+@query("register_tables", REGISTER_TABLES_SQL)
 def register_tables(spark, d):
     return _register_tables(spark, d).labelled.select(*LABEL_COLS)
 
@@ -136,7 +197,7 @@ def admit_assets(spark, d):
     return flat(_register_assets(spark, d).snapshot)
 
 
-@query("admit_tables")
+@query("admit_tables", _snapshot_sql("SELECT * FROM snap", REGISTER_TABLES_SQL, NEW_TABLE_ROWS_SQL))
 def admit_tables(spark, d):
     return flat(_register_tables(spark, d).snapshot)
 

@@ -8,10 +8,12 @@ from .. import fixtures as FX
 from ..session import shared_dir
 from ..sources import catalog as CAT
 from ..streaming import intake as IN
+from .q_admission import REGISTER_SQL
 from .registry import query
 
 
-@query("registration_intake")
+# the events file arrives as one micro-batch, so the labels equal one registration pass
+@query("registration_intake", REGISTER_SQL)
 def registration_intake(spark, d):
     """Events streamed file by file through the registration pipeline; returns the labels."""
     root = shared_dir(spark, f"intake-{uuid.uuid4().hex}")
