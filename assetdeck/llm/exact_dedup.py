@@ -57,7 +57,10 @@ class DigestIndex:
     def add(self, batch: DataFrame) -> None:
         """Admit the unknown digests of ``batch`` (``doc_id``, ``digest``)."""
         new = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        unknown = new.hint("merge").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        known = self.rows().select(F.col("digest").alias("known"))
+        # the second condition keeps the join above the aggregation: copies meet as one row per task first
+        unknown = new.hint("merge").join(known.hint("merge"), (F.col("digest") == F.col("known")) & (F.col("group_size") > 0),
+                                         "left_anti")
         self._write(unknown.select("digest", "keep_id", "group_size"))
 
 

@@ -91,27 +91,33 @@ def _signature(host: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\0", host, text)))
 
 
+def candidate_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``host, sig, lines``: digest of (host, text) and the lines that could be boilerplate, per row."""
+    host, text = _host(), C.text_or_empty()
+    return docs.select(host.alias("host"), text.alias("text")).select(
+        "host", _signature(F.col("host"), F.col("text")).alias("sig"),
+        _boilerplate_lines(F.col("text"), F.col("host"), limits).alias("lines"))
+
+
 def base(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Per row: id, host, digest of (host, text), the per-text counts and the candidate lines."""
-    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty().alias("text"),
-                    _host().alias("host"))
+    """Per row: id, digest of (host, text) and the per-text counts."""
+    t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty().alias("text"), _host().alias("host"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     t = t.select(
-        "doc_id", "host", _signature(F.col("host"), F.col("text")).alias("sig"),
+        "doc_id", _signature(F.col("host"), F.col("text")).alias("sig"),
         C.let(words_of(F.col("text")),
               lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("rep"))).alias("w"),
         F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        C.let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        _boilerplate_lines(F.col("text"), F.col("host"), limits).alias("lines"))
+        C.let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
     n, rep = F.col("w.n"), F.col("w.rep")
-    return t.select("doc_id", "host", "sig", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+    return t.select("doc_id", "sig", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
                     rep.alias("n_repeat_words"),
-                    ((n < limits.min_words) | (100 * rep > limits.max_repeat_percent * n)).alias("base_failed"), "lines")
+                    ((n < limits.min_words) | (100 * rep > limits.max_repeat_percent * n)).alias("base_failed"))
 
 
 def frequent_lines(counted: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``(h, keeper)`` of the lines above their host's limit, from the result of ``base``.
+    """``(h, keeper)`` of the lines above their host's limit, from the result of ``candidate_lines``.
 
     Three aggregations, all with partial aggregation on keys that spread: (line, text), line, host.
     """
@@ -139,10 +145,10 @@ def _passes(limits: Limits) -> Column:
     return ~F.col("base_failed") & (100 * lost <= limits.max_removed_percent * F.col("n_words"))
 
 
-def _judged(docs: DataFrame, limits: Limits) -> tuple[DataFrame, DataFrame]:
-    counted = C.written(base(docs, limits), "quality-base")
+def _lost(docs: DataFrame, limits: Limits) -> DataFrame:
+    counted = candidate_lines(docs, limits)
     frequent = C.written(frequent_lines(counted, limits), "frequent-lines")
-    return counted, C.written(removed_lines(counted, frequent), "removed-lines")
+    return C.written(removed_lines(counted, frequent), "removed-lines")
 
 
 def verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -151,19 +157,22 @@ def verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     Null text counts as empty (no words, so it fails), null source as host ''.  Repeated rows get equal verdicts,
     ids may repeat or be null, other columns are not read, an empty table gives an empty result.
     """
-    counted, removed = _judged(docs, limits)
-    return counted.drop("lines").join(removed.drop("lost"), "sig", "left").select(
+    removed = _lost(docs, limits).drop("lost")
+    return base(docs, limits).join(removed, "sig", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         _passes(limits).alias("kept"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"))
 
 
 def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The documents that pass, all columns, without the lines above the limits (``n_chars`` follows the text)."""
-    counted, removed = _judged(docs, limits)
-    texts = counted.groupBy("sig").agg(F.first("n_words").alias("n_words"), F.first("base_failed").alias("base_failed"))
-    keep = C.written(texts.join(removed, "sig", "left").where(_passes(limits)).select("sig", "lost"), "kept-texts")
-    rows = C.packed(docs, sig=_signature(_host(), C.text_or_empty())).join(keep, "sig")
-    text, host = C.text_or_empty("row.text"), _host("row.source")
-    left = F.array_join(F.filter(F.split(text, "\n", -1),
-                                 lambda x: ~F.array_contains("lost", F.xxhash64(host, normalised(x)))), "\n")
-    return rows.select(*C.with_text("row", docs.columns, F.when(F.col("lost").isNull(), text).otherwise(left)))
+    removed = _lost(docs, limits)
+    per_row = C.packed(docs, text=C.text_or_empty(), host=_host())
+    n = F.size(words_of(F.col("text")))
+    repeats = C.let(words_of(F.col("text")), _repeat_words)
+    failed = (n < limits.min_words) | (100 * repeats > limits.max_repeat_percent * n)
+    rows = (per_row.where(~failed).select("row", "text", "host", n.cast("long").alias("n_words"), F.lit(False).alias("base_failed"),
+                                          _signature(F.col("host"), F.col("text")).alias("sig"))
+            .join(removed, "sig", "left").where(_passes(limits)))
+    left = F.array_join(F.filter(F.split("text", "\n", -1),
+                                 lambda x: ~F.array_contains("lost", F.xxhash64("host", normalised(x)))), "\n")
+    return rows.select(*C.with_text("row", docs.columns, F.when(F.col("lost").isNull(), F.col("text")).otherwise(left)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import common as C
-from . import exact_dedup, quality_rules
+from . import bpe, exact_dedup, packing, quality_rules, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -59,3 +59,18 @@ FROM b
 @query("op7_quality_rules", QUALITY_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(C.documents(spark, sf_dir))
+
+
+@query("op6_byte_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(C.documents(spark, sf_dir))
+
+
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(C.documents(spark, sf_dir)))
+
+
+@query("op3_simhash_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(C.documents(spark, sf_dir), shingle=3, radius=2)
