@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, exact_dedup, packing, quality_rules, simhash
+from . import bpe, exact_dedup, licenses, packing, pii, quality_classifier, quality_rules, simhash, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -74,3 +75,124 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(C.documents(spark, sf_dir), shingle=3, radius=2)
+
+
+PII_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+hit AS (SELECT rid, 0 AS kind, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS ms,
+               string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS gs FROM t
+        UNION ALL SELECT rid, 1, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+               string_split_regex(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM t
+        UNION ALL SELECT rid, 2, regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(text, '[0-9](?:[\x20-]?[0-9])+') FROM t
+        UNION ALL SELECT rid, 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM t),
+one AS (SELECT rid, kind, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(0, len(ms))) AS i FROM hit WHERE len(ms) > 0),
+loc AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY rid, kind ORDER BY i)::BIGINT AS e FROM one),
+dig AS (SELECT rid, kind, m, e - length(m) AS s, e, regexp_replace(m, '[^0-9]', '', 'g') AS d FROM loc),
+ok AS (SELECT rid, kind, s, e, CASE kind WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE d END AS v FROM dig
+       WHERE kind = 0 OR (kind = 1 AND list_bool_and([length(ltrim(x, '0')) <= 3 AND ('0' || right(x, 4))::INT <= 255 FOR x IN string_split(m, '.')]))
+          OR (kind = 3 AND length(d) BETWEEN 8 AND 15)
+          OR (kind = 2 AND length(d) BETWEEN 16 AND 19 AND
+              list_sum([CASE WHEN k % 2 = 1 THEN d[length(d) - k + 1]::INT WHEN d[length(d) - k + 1]::INT < 5 THEN 2 * d[length(d) - k + 1]::INT
+                        ELSE 2 * d[length(d) - k + 1]::INT - 9 END FOR k IN range(1, length(d) + 1)]) % 10 = 0)),
+men AS (SELECT rid, kind || ':' || v AS entity, lower(
+          CASE WHEN s > 80 THEN regexp_replace(substr(text, (s - 79)::BIGINT, 80), '^\p{L}+', '') ELSE substr(text, 1, s) END || ' ' ||
+          CASE WHEN e + 80 < length(text) THEN regexp_replace(substr(text, e + 1, 80), '\p{L}+$', '') ELSE substr(text, e + 1, 80) END) AS around
+        FROM ok JOIN t USING (rid)),
+wrd AS (SELECT rid, entity, around, unnest(list_distinct(regexp_extract_all(around, '\p{L}{4,}'))) AS term FROM men),
+cand AS (SELECT entity, term, count(DISTINCT around) AS n_ct FROM wrd GROUP BY ALL HAVING count(DISTINCT around) >= 3),
+ent AS (SELECT entity, count(DISTINCT around) AS n_c FROM men GROUP BY ALL),
+frq AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}{4,}'))) AS term FROM t) GROUP BY ALL),
+rev AS (SELECT entity, term FROM cand JOIN ent USING (entity) JOIN frq USING (term)
+        WHERE n_ct::DOUBLE * n_ct * (SELECT count(*) FROM t) >= n_c::DOUBLE * n_t * n_t),
+mine AS (SELECT DISTINCT rid, term FROM wrd JOIN rev USING (entity, term)),
+th AS (SELECT rid, regexp_extract_all(text, '\p{L}{4,}') AS ms, string_split_regex(text, '\p{L}{4,}') AS gs FROM t WHERE rid IN (SELECT rid FROM mine)),
+t1 AS (SELECT rid, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(0, len(ms))) AS i FROM th),
+t2 AS (SELECT rid, m, sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY i)::BIGINT AS e FROM t1),
+spn AS (SELECT rid, kind, s, e FROM ok UNION ALL
+        SELECT rid, 4, e - length(m), e FROM t2 WHERE EXISTS (SELECT 1 FROM mine WHERE mine.rid = t2.rid AND mine.term = lower(t2.m))),
+nam AS (SELECT rid, kind, s, (['email', 'ip', 'card', 'phone', 'term'])[kind + 1] || ':' || s || ':' || e AS x FROM spn),
+agg AS (SELECT rid, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind = 1) AS n_ip, count(*) FILTER (kind = 2) AS n_card,
+               count(*) FILTER (kind = 3) AS n_phone, count(*) FILTER (kind = 4) AS n_term,
+               string_agg(x, ',' ORDER BY kind, s) FILTER (kind < 4) AS b, string_agg(x, ',' ORDER BY kind, s) AS a FROM nam GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_term, 0) AS n_term
+FROM t LEFT JOIN agg USING (rid)
+"""
+
+
+@query("op10_pii_sanitisation", PII_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(C.documents(spark, sf_dir))
+
+
+def source_files(docs: DataFrame) -> DataFrame:
+    """The corpus as a tree: source/language/thousand/ten, where the first document of a directory is its licence file."""
+    n = F.col("doc_id")
+    top = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
+    k, j = F.floor(n / 1000).cast("string"), F.floor(n / 10).cast("string")
+    path = (F.when(n % 1000 == 0, F.concat_ws("/", top, k, F.lit("LICENSE"))).when(n % 10 == 0, F.concat_ws("/", top, k, j, F.lit("LICENSE")))
+            .otherwise(F.concat_ws("/", top, k, j, F.concat(n.cast("string"), F.lit(".txt")))))
+    return docs.select(path.alias("path"), "text")
+
+
+def _license_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    stop = "[" + ", ".join(map(quoted, licenses.STOP)) + "]"
+    terms = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+')), lambda w: NOT list_contains({stop}, w))"
+    return f"""
+WITH f AS (SELECT CASE WHEN doc_id % 1000 = 0 THEN top || '/' || doc_id // 1000 || '/LICENSE'
+                       WHEN doc_id % 10 = 0 THEN top || '/' || doc_id // 1000 || '/' || doc_id // 10 || '/LICENSE'
+                       ELSE top || '/' || doc_id // 1000 || '/' || doc_id // 10 || '/' || doc_id || '.txt' END AS path, coalesce(text, '') AS text, doc_id
+           FROM (SELECT *, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS top FROM documents)),
+tpl(template, license, text) AS (VALUES {values}),
+tt AS (SELECT template, unnest({terms("text")}) AS term FROM tpl),
+ln AS (SELECT path, unnest(string_split(text, chr(10))) AS line FROM f),
+lw AS (SELECT DISTINCT line, unnest({terms("line")}) AS term FROM (SELECT DISTINCT line FROM ln)),
+hit AS (SELECT DISTINCT line FROM lw WHERE term IN (SELECT term FROM tt)),
+df AS (SELECT term, count(DISTINCT path) AS df FROM ln JOIN lw USING (line) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+n AS (SELECT count(*)::DOUBLE AS n FROM documents),
+idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS w FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), n),
+a AS (SELECT line, term, coalesce(w, ln(n + 1) + 1) AS w FROM lw LEFT JOIN idf USING (term), n WHERE line IN (SELECT line FROM hit)),
+b AS (SELECT template, term, w FROM tt JOIN idf USING (term)),
+an AS (SELECT line, sqrt(sum(w * w)) AS m FROM a GROUP BY line), bn AS (SELECT template, sqrt(sum(w * w)) AS m FROM b GROUP BY template),
+dot AS (SELECT line, template, sum(a.w * b.w) AS d FROM a JOIN b USING (term) GROUP BY line, template),
+sc AS (SELECT line, license, round(d / an.m / bn.m, 6) AS score FROM dot JOIN an USING (line) JOIN bn USING (template) JOIN tpl USING (template)),
+own AS (SELECT path, max(struct_pack(s := score, l := license)) AS x FROM ln JOIN sc USING (line) WHERE score >= 0.6 GROUP BY path),
+lic AS (SELECT path, regexp_replace(path, '/LICENSE$', '') AS dir, x.l AS license FROM own WHERE path LIKE '%/LICENSE'),
+anc AS (SELECT f.path, k, array_to_string(string_split(regexp_replace(f.path, '/[^/]*$', ''), '/')[1:k], '/') AS dir
+        FROM f, range(0, 6) AS r(k) WHERE k <= len(string_split(f.path, '/')) - 1 AND f.path NOT IN (SELECT path FROM own)),
+near AS (SELECT anc.path, max(struct_pack(k := k, f := lic.path, l := lic.license)) AS x FROM anc JOIN lic USING (dir) GROUP BY anc.path)
+SELECT f.doc_id, f.path, own.x.l AS own_license, own.x.s AS own_score, coalesce(own.x.l, near.x.l) AS license, near.x.f AS inherited_from
+FROM f LEFT JOIN own USING (path) LEFT JOIN near USING (path)
+"""
+
+
+@query("op4_license_scans", _license_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(source_files(C.documents(spark, sf_dir)))
+    part = F.split("path", "/")
+    name = F.element_at(part, -1)
+    doc_id = (F.when(name != "LICENSE", F.split(name, r"\.")[0].cast("long")).when(F.size(part) == 5, part[3].cast("long") * 10)
+              .otherwise(part[2].cast("long") * 1000))
+    return found.select(doc_id.alias("doc_id"), "*")
+
+
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir)
+    model = toxicity.train(docs, C.labels(spark, sf_dir), "toxic", _remainder(5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                                              "n_sentences", "n_toxic", "worst_start", "worst_end")
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir)
+    model = quality_classifier.train(docs, C.labels(spark, sf_dir), "quality", _remainder(3) != 1)
+    return quality_classifier.score(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "score",
+                                                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
