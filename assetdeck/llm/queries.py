@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
-from . import bpe, exact_dedup, licenses, packing, pii, quality_classifier, quality_rules, simhash, toxicity
+from . import bpe, exact_dedup, licenses, packing, pii, quality_classifier, quality_rules, simhash, suffixes, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -196,3 +196,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_classifier.train(docs, C.labels(spark, sf_dir), "quality", _remainder(3) != 1)
     return quality_classifier.score(docs, model).select("doc_id", (_remainder(3) == 1).alias("held_out"), "score",
                                                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op5_suffix_array_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.deduplicate(C.documents(spark, sf_dir), with_data=False)
