@@ -178,29 +178,72 @@ def _halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=list(batch.columns))
 
 
+def common_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
+    return n - (differ.bit_length() + 7) // 8
+
+
+def longest_shared(strings: list[bytes]) -> list[int]:
+    """For each string, the longest prefix it shares with another: that of a neighbour in sorted order."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    best = [0] * len(strings)
+    for i, j in zip(order, order[1:]):
+        n = common_prefix(strings[i], strings[j])
+        best[i] = max(best[i], n)
+        best[j] = max(best[j], n)
+    return best
+
+
 def repeated_windows(keys: list, before: list[bytes], after: list[bytes], lo: list[int], hi: list[int]) -> list[np.ndarray]:
-    """For each context, which of its windows (distances ``lo`` to ``hi``) another context with the same key also has."""
-    number: dict = {}
-    text, cores = [], []
-    for k, b, a in zip(keys, before, after):
-        text += [1, *(c + 2 for c in b)]
-        cores.append(len(text))
-        text += [300 + number.setdefault(k, len(number)), *(c + 2 for c in a)]
+    """For each context, which of its windows (distances ``lo`` to ``hi``) another context with the same key also has.
+
+    Only distances whose bytes on either side some other context of the key shares can repeat, so contexts are cut to
+    these; and bytes that lie in all their windows and are the same in all contexts of a key become part of the symbol
+    for the key.  The rest goes into one suffix array.
+    """
+    by_key: dict = {}
+    for i, k in enumerate(keys):
+        by_key.setdefault(k, []).append(i)
+    found = [np.zeros(b - a + 1, bool) for a, b in zip(lo, hi)]
+    text: list[int] = []
+    cores: list[tuple[int, ...]] = []  # context, symbol, first and last distance from it, symbols of a window, bytes before in the symbol
+    for number, at in enumerate(by_key.values()):
+        backwards = [before[i][::-1] for i in at]
+        shared_left, shared_right = longest_shared(backwards), longest_shared([after[i] for i in at])
+        cut = [(i, max(lo[i], REACH - 1 - r), min(hi[i], n), back) for i, n, r, back in zip(at, shared_left, shared_right, backwards)]
+        cut = [x for x in cut if x[1] <= x[2]]
+        if len(cut) < 2:
+            continue
+        first, last = cut[0][0], cut[0][3]
+        near, far = min(x[1] for x in cut), max(x[2] for x in cut)
+        near = min([near, *(common_prefix(last, x[3]) for x in cut[1:])])  # bytes before the anchor in the symbol
+        behind = min([REACH - 1 - far, *(common_prefix(after[first], after[x[0]]) for x in cut[1:])])
+        for i, a, b, back in cut:
+            text.append(1)
+            text.extend([c + 2 for c in before[i][len(back) - b : len(back) - near]])
+            cores.append((i, len(text), a - near, b - near, REACH - near - behind, near))
+            text.append(300 + number)
+            text.extend([c + 2 for c in after[i][behind : REACH - 1 - a]])
+    if not cores:
+        return found
     text.append(0)
     order = np.array(suffix_array(text), np.int64)
-    symbols = np.array(text, np.int32)
-    window = np.zeros(len(text), bool)
-    for c, a, b in zip(cores, lo, hi):
-        window[c - b : c - a + 1] = True
-    order = order[window[order]]  # the suffixes that begin with a window
-    found = np.zeros(len(text), bool)
+    symbols = np.array(text + [0] * REACH, np.int32)
+    length = np.zeros(len(text), np.int64)  # of the window that begins here
+    for _, c, a, b, m, _ in cores:
+        length[c - b : c - a + 1] = m
+    order = order[length[order] > 0]
+    twice = np.zeros(len(text), bool)
     reach = np.arange(REACH)
     for i in range(0, len(order) - 1, 4096):
         a, b = order[i : i + 4097][:-1], order[i + 1 : i + 4097]
-        same = (symbols[a[:, None] + reach] == symbols[b[:, None] + reach]).all(axis=1)
-        found[a[same]] = True
-        found[b[same]] = True
-    return [found[c - b : c - a + 1][::-1] for c, a, b in zip(cores, lo, hi)]
+        same = ((symbols[a[:, None] + reach] == symbols[b[:, None] + reach]) | (reach >= length[a][:, None])).all(axis=1)
+        twice[a[same]] = True
+        twice[b[same]] = True
+    for i, c, a, b, m, near in cores:
+        found[i][a + near - lo[i] : b + near - lo[i] + 1] = twice[c - b : c - a + 1][::-1]
+    return found
 
 
 def _sorted_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
