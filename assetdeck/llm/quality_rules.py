@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 WINDOW = 8
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
+SPACES = r"[\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
@@ -70,12 +71,14 @@ def _repeat_words(words: Column) -> Column:
 
 def normalised(line: Column) -> Column:
     """Lower case, digits as 0, runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), r"[\x20\x09-\x0D]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), SPACES, " "))
 
 
 def _boilerplate_lines(text: Column, host: Column, limits: Limits) -> Column:
     """``array<struct<h, w>>``: hash and word count of each line that could be boilerplate."""
-    norm = F.transform(F.split(text, "\n", -1), normalised)
+    n = limits.max_line_words + 3  # up to one empty part at either end: longer lines are out before they are normalised
+    short = F.filter(F.split(text, "\n", -1), lambda x: F.size(F.split(x, SPACES, n)) < n)
+    norm = F.transform(short, normalised)
     sized = F.transform(norm, lambda x: F.struct(F.xxhash64(host, x).alias("h"),
                                                  (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("w"),
                                                  (F.length(x) > 0).alias("any")))
@@ -106,12 +109,12 @@ def base(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     t = t.select(
         "doc_id", _signature(F.col("host"), F.col("text")).alias("sig"),
         C.let(words_of(F.col("text")),
-              lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("rep"))).alias("w"),
-        F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+              lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("rep"),
+                                 F.length(F.array_join(w, "")).cast("long").alias("chars"))).alias("w"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         C.let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
     n, rep = F.col("w.n"), F.col("w.rep")
-    return t.select("doc_id", "sig", n.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines",
+    return t.select("doc_id", "sig", n.alias("n_words"), F.col("w.chars").alias("word_chars"), "n_symbols", "n_dup_lines",
                     rep.alias("n_repeat_words"),
                     ((n < limits.min_words) | (100 * rep > limits.max_repeat_percent * n)).alias("base_failed"))
 
