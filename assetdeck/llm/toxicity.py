@@ -63,15 +63,28 @@ def features(word: str) -> list[str]:
     return [bare, *(f"{bare[:n]}-" for n in BEGINNINGS if len(bare) > n)]
 
 
-def fit(texts: list[str], y: np.ndarray, min_docs: int = 4, steps: int = 200, rate: float = 1.0) -> dict[str, float]:
+def telling(clean: Counter, toxic: Counter, n_clean: int, n_toxic: int, min_docs: int, deviations: float) -> list[str]:
+    """Features whose share of documents differs between the classes by so many standard deviations of chance."""
+    out = []
+    for f in sorted(clean.keys() | toxic.keys()):
+        a, b = clean[f], toxic[f]
+        p = (a + b) / (n_clean + n_toxic)
+        if a + b >= min_docs and n_clean and n_toxic and p < 1:
+            spread = (p * (1 - p) * (1 / n_clean + 1 / n_toxic)) ** 0.5
+            if abs(b / n_toxic - a / n_clean) >= deviations * spread:
+                out.append(f)
+    return out
+
+
+def fit(texts: list[str], y: np.ndarray, min_docs: int = 3, deviations: float = 4.0, steps: int = 200, rate: float = 1.0) -> dict[str, float]:
     """Weights by feature, ``""`` being the bias: Adagrad on the noisy-or likelihood, classes weighed equally."""
-    split, seen = [], Counter()
-    for t in texts:
+    split, seen = [], (Counter(), Counter())
+    for t, label in zip(texts, y):
         t = t.lower()
         doc = [t[a:b].split() for a, b in sentences(t)]
         split.append(doc)
-        seen.update({f for words in doc for w in set(words) for f in features(w)})
-    number = {f: k for k, f in enumerate(sorted(f for f, n in seen.items() if n >= min_docs))}
+        seen[label].update({f for words in doc for w in set(words) for f in features(w)})
+    number = {f: k for k, f in enumerate(telling(*seen, int((y == 0).sum()), int((y == 1).sum()), min_docs, deviations))}
     known: dict[str, list[int]] = {}
     index, per_sentence, per_doc = [], [], []
     for doc in split:

@@ -1,0 +1,38 @@
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+
+
+@pytest.fixture(scope="session")
+def spark():
+    from pyspark.sql import SparkSession
+
+    from assetdeck.session import ensure_checkpoint_dir
+
+    s = (SparkSession.builder.master("local[*]").appName("assetdeck-tests").config("spark.sql.shuffle.partitions", "8")
+         .config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate())
+    s.sparkContext.setLogLevel("ERROR")
+    ensure_checkpoint_dir(s)
+    return s
+
+
+LONG = " ".join(f"w{i * i % 977} q{i}" for i in range(4000))
+PASSAGE = " ".join(f"passage{i} text{i * 7}" for i in range(60))
+#: Nulls in every column, empty and very long texts, ties, repeated rows; the other columns clash with internal names.
+ROWS = [
+    (1, "Alpha beta gamma. " * 30, "en", "a"), (2, "Alpha beta gamma. " * 30, "en", "b"), (3, None, None, None), (4, "", "en", "a"),
+    (None, "no id here at all", "en", "a"), (5, LONG, "en", "a"), (6, LONG.replace("q77 ", "q77x "), "en", "a"), (7, "x" * 3000, "de", "b"),
+    (8, f"before one {PASSAGE} after one", "en", "a"), (9, f"other lead {PASSAGE} and tail", "fr", "b"), (9, f"other lead {PASSAGE} and tail", "fr", "b"),
+    (10, "mail Bob.X@mail.example.com or +49 (30) 1234-5678, ip 10.0.0.255 and 999.1.1.1, card 4111 1111 1111 1111, 12345", "en", "a"),
+    (11, "日本語 ünï 🤦🏼‍♂️  tabs\t\tand\r\nlines\n\nü" * 20, "ja", "c"), (12, " \n\t ", "en", "a"), (13, "don't we'll <|endoftext|>  %%%", "en", None),
+]
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, sig string, key long, fp string, row string, size int"
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    rows = [(i, t, g, s, len(t) if t else None, None, "s", 1, "f", "r", 2) for i, t, g, s in ROWS]
+    return spark.createDataFrame(rows, COLUMNS).repartition(3)
