@@ -30,7 +30,7 @@ from . import checks as CK
 def key_column() -> Column:
     """Join-safe text form of the key: NULL version is its own value."""
     mv = F.coalesce(F.col("mat_version").cast("string"), F.lit("\u0000"))
-    return F.concat_ws("\u0001", F.col("datastack"), F.col("name"), mv, F.col("revision").cast("string"))
+    return F.concat_ws("\u0001", F.col("datastack"), F.col("name"), mv, F.coalesce(F.col("revision"), F.lit(0)).cast("string"))
 
 
 def greedy_accept(eligible: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, int]:

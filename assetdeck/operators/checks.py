@@ -23,8 +23,10 @@ KEY = ["datastack", "name", "revision"]
 def find_duplicate(cands: DataFrame, assets: DataFrame, out: str = "dup_id") -> DataFrame:
     """JON-01: existing asset with the same (datastack, name, revision) and NULL-safe equal
     mat_version; expired assets count."""
-    a = assets.select(*[F.col(k).alias(f"_a_{k}") for k in KEY], F.col("mat_version").alias("_a_mv"), F.col("id").alias(out))
-    cond = [F.col(k) == F.col(f"_a_{k}") for k in KEY] + [F.col("mat_version").eqNullSafe(F.col("_a_mv"))]
+    zero = F.lit(0)  # an unset revision is revision 0
+    key = {k: F.coalesce(F.col(k), zero) if k == "revision" else F.col(k) for k in KEY}
+    a = assets.select(*[key[k].alias(f"_a_{k}") for k in KEY], F.col("mat_version").alias("_a_mv"), F.col("id").alias(out))
+    cond = [key[k] == F.col(f"_a_{k}") for k in KEY] + [F.col("mat_version").eqNullSafe(F.col("_a_mv"))]
     return cands.join(a, cond, "left").drop(*[f"_a_{k}" for k in KEY], "_a_mv")
 
 
