@@ -42,6 +42,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get(CHECKPOINT_CONF, None) or sc.getConf().get(CHECKPOINT_CONF, None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="assetdeck-ckpt-", dir=os.environ.get("ASSETDECK_SCRATCH", "/tmp"))
         spark.conf.set(CHECKPOINT_CONF, configured)
     sc.setCheckpointDir(configured)
