@@ -324,17 +324,18 @@ def extracted_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PATCH requests: per field a ``<field>_set`` flag (sent or not) and the value (NULL clears)."""
+    """PATCH requests, up to four an id: per field a ``<field>_set`` flag (sent or not) and the value (NULL clears)."""
     return table(spark, sf_dir, "events").selectExpr(
         "event_id AS request_id",
-        "CAST(event_id * 2 AS STRING) AS id",
+        "CAST(event_id DIV 4 * 4 AS STRING) AS id",
         "event_id % 3 = 0 AS maturity_set",
         "CASE WHEN event_id % 33 = 0 THEN NULL WHEN event_id % 21 = 0 THEN 'bogus' "
         "WHEN event_id % 3 = 0 THEN 'deprecated' ELSE 'draft' END AS maturity",
         "event_id % 4 = 0 AS access_group_set",
         "CASE WHEN event_id % 8 = 0 THEN NULL ELSE concat('grp', CAST(user_id % 5 AS STRING)) END AS access_group",
         "event_id % 5 = 0 AS expires_at_set",
-        "CASE WHEN event_id % 10 = 0 THEN NULL ELSE ts + INTERVAL 60 DAYS END AS expires_at",
+        "CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 15 = 0 THEN TIMESTAMP '1990-01-01' "
+        "ELSE ts + INTERVAL 60 DAYS END AS expires_at",
     )
 
 

@@ -33,7 +33,7 @@ def key_column() -> Column:
     return F.concat_ws("\u0001", F.col("datastack"), F.col("name"), mv, F.coalesce(F.col("revision"), F.lit(0)).cast("string"))
 
 
-def greedy_accept(eligible: DataFrame, max_rounds: int | None = None) -> tuple[DataFrame, int]:
+def greedy_accept(eligible: DataFrame) -> tuple[DataFrame, int]:
     """Rows of ``eligible(seq, kkey, uri)`` accepted by the sequential rule; returns (accepted, rounds)."""
     spark = eligible.sparkSession
     ensure_checkpoint_dir(spark)
@@ -41,8 +41,6 @@ def greedy_accept(eligible: DataFrame, max_rounds: int | None = None) -> tuple[D
     accepted_parts: list[DataFrame] = []
     rounds = 0
     while not undecided.isEmpty():
-        if max_rounds is not None and rounds >= max_rounds:
-            raise RuntimeError(f"admission did not converge in {max_rounds} rounds")
         rounds += 1
         # the smallest seq of each key group and of each URI group; a seq that is both is accepted.
         # Joining the two (small) group tables on seq avoids joining them back to every row.
@@ -74,9 +72,9 @@ def admit(cands: DataFrame, assets: DataFrame, gate_status: str = "gate_status",
     accepted earlier candidate), then ``content_status`` (content, kind and
     extraction checks, NULL = passed), else ``created``.  Both status columns
     depend only on the row itself.  Returns (labelled candidates, rounds)."""
-    # used twice (eligibility and labelling): keep it instead of re-joining the catalog
-    c = CK.find_by_uri(CK.find_duplicate(cands, assets), assets).withColumn("kkey", key_column()).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    # used twice (eligibility and labelling): cut here instead of re-joining the catalog; nothing stays cached
+    ensure_checkpoint_dir(cands.sparkSession)
+    c = CK.find_by_uri(CK.find_duplicate(cands, assets), assets).withColumn("kkey", key_column()).checkpoint()
     eligible = c.where(F.col(gate_status).isNull() & F.col(content_status).isNull()
                        & F.col("dup_id").isNull() & F.col("uri_dup_id").isNull() & F.col("uri").isNotNull())
     accepted, rounds = greedy_accept(eligible)

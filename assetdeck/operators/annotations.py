@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kinds as K
 from ..functions.dtypes import dtype_class
 from .joins import maybe_broadcast
 
@@ -89,6 +90,12 @@ def kind_dtype_check(ann: DataFrame, columns: DataFrame) -> DataFrame:
     return j.where(bad).select("asset_id", "pos", "tie", "column_name", "kind", reason.alias("reason"))
 
 
+def invalid_kinds(annotations: DataFrame) -> DataFrame:
+    """Annotations (long form) whose kind is itself malformed (SCL-04); a request holding one is invalid."""
+    kind = F.when(F.col("kind").isNotNull(), F.struct(*KIND_FIELDS))
+    return annotations.withColumn("kind_error", K.kind_error(kind)).where(F.col("kind_error").isNotNull())
+
+
 def point_group_uniqueness(ann: DataFrame) -> DataFrame:
     """WIN-01: split points with a non-empty group and axis; the 2nd and later
     annotation per (asset, group, axis) is an error naming the first column."""

@@ -4,13 +4,13 @@ Each function is ``snapshot -> (new snapshot, per-request status)``; the
 caller writes the new snapshot to a new folder (``sources.catalog``).
 Column annotations are kept in long form (one row per asset and position),
 so replacing a list never gathers an asset's annotations into one row.  All of
-them are equality joins on ``id``; several requests for the same id collapse
-to the last one (``max_by`` on the request order, a partial aggregation).
+them are equality joins on ``id``; several requests for the same id take effect
+in request order, each with its own status row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,25 +21,35 @@ from .predicates import is_expired
 PATCHABLE = ("maturity", "access_group", "expires_at")
 
 
-def _last_per_id(requests: DataFrame, order: str) -> DataFrame:
-    cols = [c for c in requests.columns if c not in ("id", order)]
-    g = requests.groupBy("id").agg(F.max_by(F.struct(order, *cols), F.col(order)).alias("r"))
-    return g.select("id", "r.*")
+def partition_columns(extracted: DataFrame) -> Column:
+    """The partition columns an extraction found; an empty list where it reports none."""
+    empty = F.array().cast("array<string>")
+    return F.coalesce(F.col("partition_columns"), empty) if "partition_columns" in extracted.columns else empty
 
 
 def patch_assets(assets: DataFrame, patches: DataFrame, now, order: str = "request_id") -> tuple[DataFrame, DataFrame]:
     """SNK-03: only maturity, access_group, expires_at.  Per field ``<f>_set`` says whether it
     was sent: unset keeps, explicit NULL clears.  Missing or expired -> not_found; an explicit
-    NULL or unknown maturity -> invalid (no change)."""
-    p = _last_per_id(patches, order)
+    NULL or unknown maturity -> invalid (no change).
+
+    All requests of an id apply in the order of the (unique) ``order`` column: per field the last valid request
+    that sets it wins, and the first one whose ``expires_at`` lies in the past makes the later ones not_found.
+    Returns (next snapshot, one status row per request)."""
+    p = patches
     target = assets.select("id", is_expired(now).alias("_expired"))
     st = p.join(target, "id", "left").select(
         "id", *[c for c in p.columns if c != "id"],
         F.when(F.col("_expired").isNull() | F.col("_expired"), F.lit("not_found"))
         .when(F.col("maturity_set") & (F.col("maturity").isNull() | ~F.col("maturity").isin(*S.MATURITY_VALUES)), F.lit("invalid"))
         .otherwise(F.lit("updated")).alias("status"))
-    ok = st.where(F.col("status") == "updated").select(
-        "id", *[F.col(f"{f}_set").alias(f"_{f}_set") for f in PATCHABLE], *[F.col(f).alias(f"_{f}") for f in PATCHABLE])
+    ends = st.where((F.col("status") == "updated") & F.col("expires_at_set") & is_expired(now)).groupBy("id").agg(
+        F.min(order).alias("_end"))
+    st = st.join(ends, "id", "left").withColumn(
+        "status", F.when(F.col(order) > F.col("_end"), F.lit("not_found")).otherwise(F.col("status"))).drop("_end")
+    sent = {f: F.when(F.col(f"{f}_set"), F.col(order)) for f in PATCHABLE}
+    ok = st.where(F.col("status") == "updated").groupBy("id").agg(
+        *[F.max(sent[f]).isNotNull().alias(f"_{f}_set") for f in PATCHABLE],
+        *[F.max_by(F.col(f), sent[f]).alias(f"_{f}") for f in PATCHABLE])
     j = assets.join(ok, "id", "left")
     out = j.select(*[
         F.when(F.coalesce(F.col(f"_{c}_set"), F.lit(False)), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in PATCHABLE else F.col(c)
@@ -53,34 +63,46 @@ def delete_assets(assets: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def replace_annotations(assets: DataFrame, annotations: DataFrame, updates: DataFrame, new_ann: DataFrame, mat: DataFrame,
-                        now) -> tuple[DataFrame, DataFrame]:
+                        now, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """SNK-04: replace the whole annotation list of each requested table after the checks.
 
     Annotations are stored in long form (``annotations``: one row per asset and
     position), so a replacement is an anti-join of the old rows plus a union of the
     new ones - no per-asset list is ever collected.  ``updates(id)`` lists the
     requests; ``new_ann`` holds their annotations keyed by ``asset_id`` (none =
-    clear).  Missing or expired -> not_found, non-table -> not_table; kind target,
-    point group or dtype failures -> rejected, unchanged.
+    clear).  With ``order``, a column of both that numbers the requests, a table may have several: each
+    is checked on its own and the list of the last valid one stays.
+    A malformed kind -> invalid_request; missing or expired -> not_found, non-table
+    -> not_table; kind target, point group or dtype failures -> rejected, unchanged.
     Returns (next annotation table, per-request status)."""
-    req = updates.select("id").distinct()
-    tgt = assets.select("id", "asset_type", "datastack", is_expired(now).alias("_expired"))
-    r = req.join(tgt, "id", "left")
-    a = new_ann.join(req.withColumnRenamed("id", "asset_id"), "asset_id", "left_semi")
-    cols = AN.explode_columns(assets.join(req, "id", "left_semi"))
-    bad = (AN.kind_target_check(a, assets, mat).select("asset_id")
+    number = F.col(order).cast("long") if order else F.lit(0).cast("long")
+    key = lambda asset: F.concat_ws("\u0001", F.col(asset), F.col("_order").cast("string"))
+    req = updates.select("id", number.alias("_order")).distinct()
+    tgt = assets.withColumn("_expired", is_expired(now))
+    r = req.join(tgt, "id", "left").withColumn("_key", key("id"))
+    # the checks see each request as an asset of its own
+    asked = r.drop("id").withColumnRenamed("_key", "id").drop("_order")
+    a = new_ann.withColumn("_order", number).withColumn("_asset", F.col("asset_id")).withColumn("asset_id", key("asset_id")).join(
+        r.select(F.col("_key").alias("asset_id")), "asset_id", "left_semi")
+    cols = AN.explode_columns(asked)
+    bad = (AN.kind_target_check(a, asked, mat).select("asset_id")
            .unionByName(AN.point_group_uniqueness(a).select("asset_id"))
            .unionByName(AN.kind_dtype_check(a, cols).select("asset_id"))).distinct().withColumn("_bad", F.lit(True))
-    r = r.join(bad.withColumnRenamed("asset_id", "id"), "id", "left")
-    status = (F.when(F.col("asset_type").isNull() | F.col("_expired"), F.lit("not_found"))
+    malformed = AN.invalid_kinds(a).select("asset_id").distinct().withColumn("_malformed", F.lit(True))
+    st = (r.select("id", "_order", "_key", "asset_type", "_expired")
+          .join(bad.withColumnRenamed("asset_id", "_key"), "_key", "left")
+          .join(malformed.withColumnRenamed("asset_id", "_key"), "_key", "left"))
+    status = (F.when(F.col("_malformed"), F.lit("invalid_request"))
+              .when(F.col("asset_type").isNull() | F.col("_expired"), F.lit("not_found"))
               .when(F.col("asset_type") != "table", F.lit("not_table"))
               .when(F.coalesce(F.col("_bad"), F.lit(False)), F.lit("rejected"))
               .otherwise(F.lit("updated")))
-    st = r.select("id", status.alias("status"))
-    ok = st.where(F.col("status") == "updated").select(F.col("id").alias("asset_id"))
-    kept = annotations.join(ok, "asset_id", "left_anti")
-    replaced = a.join(ok, "asset_id", "left_semi").select(*annotations.columns)
-    return kept.unionByName(replaced), st
+    st = st.select("id", "_order", status.alias("status"))
+    last = st.where(F.col("status") == "updated").groupBy("id").agg(F.max("_order").alias("_order"))
+    kept = annotations.join(last.select(F.col("id").alias("asset_id")), "asset_id", "left_anti")
+    replaced = a.join(last.select(key("id").alias("asset_id")), "asset_id", "left_semi").withColumn(
+        "asset_id", F.col("_asset")).select(*annotations.columns)
+    return kept.unionByName(replaced), st.withColumnRenamed("_order", order) if order else st.drop("_order")
 
 
 def refresh_metadata(assets: DataFrame, ids: DataFrame, extracted: DataFrame, now) -> tuple[DataFrame, DataFrame]:
@@ -88,11 +110,13 @@ def refresh_metadata(assets: DataFrame, ids: DataFrame, extracted: DataFrame, no
 
     ``extracted(uri, n_rows, n_bytes, columns)``.  Missing or expired -> not_found,
     non-table -> not_table, NULL format -> no_format, format without an extractor ->
-    unsupported_format, nothing readable at the URI -> extraction_failed."""
+    unsupported_format, nothing readable at the URI -> extraction_failed.  Several extractions
+    of one URI count as one; ``extracted.partition_columns``, where there, is stored."""
     ts = now if not isinstance(now, str) else F.lit(now).cast("timestamp")
     req = ids.select("id").distinct()
     tgt = assets.select("id", "asset_type", "format", "uri", is_expired(now).alias("_expired"))
-    ex = extracted.select(F.col("uri").alias("_x_uri"), "n_rows", "n_bytes", "columns")
+    ex = extracted.select(F.col("uri").alias("_x_uri"), "n_rows", "n_bytes", "columns",
+                          partition_columns(extracted).alias("partition_columns")).dropDuplicates(["_x_uri"])
     r = req.join(tgt, "id", "left").join(ex, F.col("uri") == F.col("_x_uri"), "left")
     status = (F.when(F.col("asset_type").isNull() | F.col("_expired"), F.lit("not_found"))
               .when(F.col("asset_type") != "table", F.lit("not_table"))
@@ -100,11 +124,11 @@ def refresh_metadata(assets: DataFrame, ids: DataFrame, extracted: DataFrame, no
               .when(~F.lower("format").isin(*S.SUPPORTED_EXTRACT_FORMATS), F.lit("unsupported_format"))
               .when(F.col("_x_uri").isNull(), F.lit("extraction_failed"))
               .otherwise(F.lit("refreshed")))
-    st = r.select("id", status.alias("status"), "n_rows", "n_bytes", "columns")
+    st = r.select("id", status.alias("status"), "n_rows", "n_bytes", "columns", "partition_columns")
     md = st.where(F.col("status") == "refreshed").select(
         "id", F.struct(F.col("n_rows").cast("bigint").alias("n_rows"), F.size("columns").cast("int").alias("n_columns"),
                        F.col("n_bytes").cast("bigint").alias("n_bytes"), F.col("columns").alias("columns"),
-                       F.array().cast("array<string>").alias("partition_columns")).cast(S.TABLE_METADATA).alias("_md"))
+                       F.col("partition_columns")).cast(S.TABLE_METADATA).alias("_md"))
     j = assets.join(md, "id", "left")
     out = j.select(*[
         F.coalesce(F.col("_md"), F.col(c)).alias(c) if c == "cached_metadata"

@@ -18,6 +18,7 @@ from . import admission as AD
 from . import annotations as AN
 from . import checks as CK
 from .access import datastack_permission
+from .changes import partition_columns
 from .requests import with_request_check
 
 
@@ -26,6 +27,7 @@ class RegistrationResult:
     labelled: DataFrame   # one row per candidate with admission_status / existing_id / new_id
     snapshot: DataFrame   # catalog plus the created rows (SET-02)
     rounds: int
+    created: DataFrame    # the created rows alone, in catalog columns
     annotations: DataFrame | None = None  # long-form annotations of created tables (asset_id = new id)
 
 
@@ -44,13 +46,16 @@ def _gate(c: DataFrame, permissions: DataFrame, users: DataFrame, table: bool, a
 def register_assets(cands: DataFrame, assets: DataFrame, mat: DataFrame, storage: DataFrame, permissions: DataFrame,
                     users: DataFrame, now, auth_enabled: bool = True) -> RegistrationResult:
     """PIP-05 + SNK-01: request, permission, key, URI, content checks, then insert."""
+    storage = storage.dropDuplicates(["uri"])
     c = _gate(cands, permissions, users, False, auth_enabled)
     c = CK.content_checks(c, mat, storage)
     c = c.withColumn("content_status", F.when(_content_failed(), F.lit("invalid")))
     labelled, rounds = AD.admit(c, assets)
     new_rows = AD.to_asset_rows(labelled.where(F.col("admission_status") == "created"), now)
     snapshot = assets.unionByName(new_rows, allowMissingColumns=True)
-    return RegistrationResult(labelled, snapshot, rounds)
+    created = new_rows.select(*[F.col(f.name) if f.name in new_rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                                for f in S.ASSET.fields])
+    return RegistrationResult(labelled, snapshot, rounds, created)
 
 
 def register_tables(cands: DataFrame, ann: DataFrame, extracted: DataFrame, assets: DataFrame, mat: DataFrame,
@@ -59,18 +64,27 @@ def register_tables(cands: DataFrame, ann: DataFrame, extracted: DataFrame, asse
     """PIP-06 + SNK-02: PIP-05's checks, then kind targets, point groups, extractor,
     extraction and dtypes; accepted rows carry metadata and annotations.
 
+    A malformed kind (SCL-04) makes the whole request invalid, before any other check.
+    A candidate's ``source`` column, where there is one, is kept (NULL or none: the default);
+    so are ``extracted.partition_columns`` (none: an empty list).  Several storage or
+    extraction rows of one URI count as one.
+
     ``ann``: candidate annotations in long form keyed ``asset_id`` = candidate seq (text);
     ``extracted(uri, n_rows, n_bytes, columns)``: metadata found at each URI.
     """
     c = cands.withColumn("asset_type", F.lit("table"))
+    storage, extracted = storage.dropDuplicates(["uri"]), extracted.dropDuplicates(["uri"])
+    malformed = AN.invalid_kinds(ann).select(F.col("asset_id").alias("_mk_id")).distinct()
     c = _gate(c, permissions, users, True, auth_enabled)
+    c = c.join(malformed, F.col("seq").cast("string") == F.col("_mk_id"), "left").withColumn(
+        "gate_status", F.when(F.col("_mk_id").isNotNull(), F.lit("invalid_request")).otherwise(F.col("gate_status"))).drop("_mk_id")
     c = CK.content_checks(c, mat, storage)
     key = c.select(F.col("seq").cast("string").alias("asset_id"), "datastack")
     a = ann.join(key.select("asset_id"), "asset_id", "left_semi")
     target_err = AN.kind_target_check(a, key.withColumnRenamed("asset_id", "id"), mat).select("asset_id").distinct()
     group_err = AN.point_group_uniqueness(a).select("asset_id").distinct()
     ex = extracted.select(F.col("uri").alias("_x_uri"), F.col("columns").alias("_x_cols"), F.col("n_rows").alias("_x_rows"),
-                          F.col("n_bytes").alias("_x_bytes"))
+                          F.col("n_bytes").alias("_x_bytes"), partition_columns(extracted).alias("_x_parts"))
     c = c.join(ex, F.col("uri") == F.col("_x_uri"), "left")
     cols_long = c.where(F.col("_x_cols").isNotNull()).select(
         F.col("seq").cast("string").alias("asset_id"), F.posexplode("_x_cols").alias("pos", "col")).select(
@@ -100,9 +114,11 @@ def register_tables(cands: DataFrame, ann: DataFrame, extracted: DataFrame, asse
     created = created.withColumn(
         "cached_metadata", F.struct(F.col("_x_rows").cast("bigint").alias("n_rows"), F.size("_x_cols").alias("n_columns"),
                                     F.col("_x_bytes").cast("bigint").alias("n_bytes"), F.col("_x_cols").alias("columns"),
-                                    F.array().cast("array<string>").alias("partition_columns"))).withColumn(
-        "source", F.lit(S.DEFAULT_TABLE_SOURCE)).withColumn(
+                                    F.col("_x_parts").alias("partition_columns"))).withColumn(
+        "source", F.coalesce(F.col("source") if "source" in cands.columns else F.lit(None).cast("string"),
+                             F.lit(S.DEFAULT_TABLE_SOURCE))).withColumn(
         "column_annotations", F.lit(None).cast(T.ArrayType(S.ANNOTATION)))
     new_rows = AD.to_asset_rows(created, now, table=True)
-    snapshot = assets.unionByName(new_rows.select(*[c for c in S.ASSET_COLUMNS]), allowMissingColumns=True)
-    return RegistrationResult(labelled, snapshot, rounds, new_ann)
+    new_rows = new_rows.select(*S.ASSET_COLUMNS)
+    snapshot = assets.unionByName(new_rows, allowMissingColumns=True)
+    return RegistrationResult(labelled, snapshot, rounds, new_rows, new_ann)

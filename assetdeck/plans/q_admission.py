@@ -135,13 +135,14 @@ def _table_request_errors() -> str:
 def _register_tables_sql() -> str:
     from ..fixtures import DTYPE_CYCLE
     from .q_checks import CHECKS_SQL, FIXES
-    from .q_scalars import dtype_class_sql
+    from .q_scalars import KIND_ERROR_SQL, dtype_class_sql
 
     kkey = ("datastack || chr(1) || name || chr(1) || coalesce(CAST(mat_version AS VARCHAR), chr(0)) || chr(1) || "
             "CAST(revision AS VARCHAR)")
     dtype = "CASE (num + i) % 8 " + " ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(DTYPE_CYCLE)) + " END"
     extra = dict(CHECKS_SQL)
     extra["ca"] = "SELECT * FROM cat_annotations WHERE asset_id IN (SELECT CAST(seq AS VARCHAR) FROM cat_candidates)"
+    extra["malformed"] = f"SELECT DISTINCT asset_id FROM ca WHERE ({KIND_ERROR_SQL}) IS NOT NULL"
     extra["xcols"] = f"""SELECT uri, 'col_' || CAST(i AS VARCHAR) AS name, {dtype} AS dtype FROM (
   SELECT uri, num, unnest(range(1, 2 + num % 6)) AS i FROM (
     SELECT uri, CAST(regexp_extract(uri, '/([0-9]+)$', 1) AS BIGINT) AS num FROM cat_storage
@@ -150,7 +151,7 @@ def _register_tables_sql() -> str:
   SELECT asset_id, row_number() OVER (PARTITION BY asset_id, point_group, axis ORDER BY pos, tie) AS rn FROM ca
   WHERE kind = 'split_point' AND coalesce(point_group, '') <> '' AND coalesce(axis, '') <> '') WHERE rn > 1"""
     cand = f"""SELECT q.seq, q.uri, {kkey} AS kkey, len({_table_request_errors()}) > 0 AS bad,
-  q.auth_passed AS allowed, q.dup_id, q.uri_dup_id,
+  CAST(q.seq AS VARCHAR) IN (SELECT asset_id FROM malformed) AS bad_kind, q.auth_passed AS allowed, q.dup_id, q.uri_dup_id,
   NOT coalesce(q.reservation_passed, true) OR NOT coalesce(q.reachable_passed, true) OR NOT coalesce(q.sniff_passed, true)
     OR NOT coalesce(q.matverify_passed, true) AS content_failed,
   EXISTS (SELECT 1 FROM ca a WHERE a.asset_id = CAST(q.seq AS VARCHAR) AND a.kind = 'materialization'
@@ -170,7 +171,7 @@ FROM rep q"""
   WHEN c.fmt NOT IN ('delta', 'parquet') THEN 'unsupported_format'
   WHEN NOT c.has_x OR coalesce(c.actual, '') <> c.fmt THEN 'extraction_failed' WHEN c.dt THEN 'dtype_invalid' END"""
     return _admission_sql(cand, FIXES + ("cat_annotations",), extra,
-                          gate="CASE WHEN c.bad THEN 'invalid_request' WHEN NOT c.allowed THEN 'forbidden' END",
+                          gate="CASE WHEN c.bad OR c.bad_kind THEN 'invalid_request' WHEN NOT c.allowed THEN 'forbidden' END",
                           content=content)
 
 

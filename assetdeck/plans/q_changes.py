@@ -9,6 +9,7 @@ from ..operators import changes as CH
 from .fixture_sql import NOW_SQL, with_fixtures
 from .q_annotations import DTYPE_SQL, GROUP_SQL, TARGET_SQL
 from .q_listing import FLAT_COLS, flat
+from .q_scalars import KIND_ERROR_SQL
 from .registry import query
 
 NOW = FX.DEFAULT_NOW
@@ -18,23 +19,38 @@ def _assets(spark, d):
     return FX.assets(spark, d, with_columns=False)
 
 
+#: Requests one by one: a request counts when no earlier one that counts has let the asset expire.
+PATCH_CTES = {
+    "pv": f"""SELECT p.*, CASE WHEN x.id IS NULL OR coalesce(x.expires_at < {NOW_SQL}, false) THEN 'not_found'
+    WHEN p.maturity_set AND (p.maturity IS NULL OR p.maturity NOT IN ('stable', 'draft', 'deprecated')) THEN 'invalid'
+    ELSE 'updated' END AS st FROM cat_patches p LEFT JOIN cat_assets x ON x.id = p.id""",
+    "ps": f"""SELECT p.* REPLACE (CASE WHEN EXISTS (SELECT 1 FROM pv q WHERE q.id = p.id AND q.request_id < p.request_id
+      AND q.st = 'updated' AND q.expires_at_set AND q.expires_at < {NOW_SQL}) THEN 'not_found' ELSE p.st END AS st) FROM pv p""",
+}
+
+
+def _patched(field: str) -> str:
+    last = f"(SELECT max(request_id) FROM ps WHERE ps.id = a.id AND st = 'updated' AND {field}_set)"
+    return f"CASE WHEN {last} IS NULL THEN a.{field} ELSE (SELECT {field} FROM ps WHERE request_id = {last}) END AS {field}"
+
+
 PATCH_SQL = f"""SELECT a.id, a.datastack, a.name, a.mat_version, a.revision, a.uri, a.format, a.asset_type, a.owner, a.is_managed,
-  a.mutability, CASE WHEN p.maturity_set THEN p.maturity ELSE a.maturity END AS maturity, a.properties,
-  CASE WHEN p.access_group_set THEN p.access_group ELSE a.access_group END AS access_group, a.created_at,
-  CASE WHEN p.expires_at_set THEN p.expires_at ELSE a.expires_at END AS expires_at,
+  a.mutability, {_patched("maturity")}, a.properties, {_patched("access_group")}, a.created_at, {_patched("expires_at")},
   a.source, a.n_rows, a.n_columns, a.n_bytes, a.metadata_cached_at
-FROM cat_assets a LEFT JOIN (
-  SELECT p.* FROM cat_patches p JOIN cat_assets x ON x.id = p.id
-  WHERE NOT coalesce(x.expires_at < {NOW_SQL}, false)
-    AND NOT (p.maturity_set AND (p.maturity IS NULL OR p.maturity NOT IN ('stable', 'draft', 'deprecated')))) p ON p.id = a.id"""
+FROM cat_assets a"""
 
 
-@query("patch_assets", with_fixtures(PATCH_SQL, "cat_assets", "cat_patches"))
+@query("patch_assets", with_fixtures(PATCH_SQL, "cat_assets", "cat_patches", **PATCH_CTES))
 def patch_assets(spark, d):
     out, _ = CH.patch_assets(_assets(spark, d), FX.patches(spark, d), NOW)
     return flat(out)
 
 
+@query("patch_status", with_fixtures("SELECT id, request_id, st AS status FROM ps", "cat_assets", "cat_patches", **PATCH_CTES))
+def patch_status(spark, d):
+    return CH.patch_assets(_assets(spark, d), FX.patches(spark, d), NOW)[1]
+
+
 @query("delete_assets", with_fixtures(f"SELECT {FLAT_COLS} FROM cat_assets WHERE id NOT IN (SELECT id FROM cat_deletes)",
                                       "cat_assets", "cat_deletes"))
 def delete_assets(spark, d):
@@ -44,7 +60,8 @@ def delete_assets(spark, d):
 _NA = ("SELECT * FROM cat_annotations WHERE (tie // 100003) % 2 = 0 "
        "AND asset_id IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey % 5 = 0)")
 REPLACE_SQL = f"""SELECT r.id,
-  CASE WHEN a.id IS NULL OR coalesce(a.expires_at < {NOW_SQL}, false) THEN 'not_found'
+  CASE WHEN r.id IN (SELECT asset_id FROM tm) THEN 'invalid_request'
+    WHEN a.id IS NULL OR coalesce(a.expires_at < {NOW_SQL}, false) THEN 'not_found'
     WHEN a.asset_type <> 'table' THEN 'not_table'
     WHEN r.id IN (SELECT asset_id FROM t1 UNION SELECT asset_id FROM t2 UNION SELECT asset_id FROM t3) THEN 'rejected'
     ELSE 'updated' END AS status,
@@ -54,7 +71,7 @@ FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 5
 
 @query("replace_annotations", with_fixtures(
     REPLACE_SQL, "cat_assets", "cat_annotations", "cat_mat_objects", "cat_columns",
-    ta=_NA, t1=TARGET_SQL, t2=GROUP_SQL.replace("FROM cat_annotations", "FROM ta"),
+    ta=_NA, tm=f"SELECT asset_id FROM ta WHERE ({KIND_ERROR_SQL}) IS NOT NULL", t1=TARGET_SQL, t2=GROUP_SQL.replace("FROM cat_annotations", "FROM ta"),
     t3=DTYPE_SQL.replace("FROM cat_annotations a", "FROM ta a")))
 def replace_annotations(spark, d):
     req, new = FX.annotation_updates(spark, d)

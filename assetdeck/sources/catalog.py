@@ -51,14 +51,22 @@ def append_batch(df: DataFrame, root: str, batch_id: int) -> None:
     df.select(*S.ASSET_COLUMNS).write.mode("overwrite").partitionBy("datastack").parquet(batch_path(root, batch_id))
 
 
+def completed_batches(spark: SparkSession, appended: str) -> list[str]:
+    """Batch folders with their success marker; an unfinished one belongs to a batch still to be replayed."""
+    fs, p = _fs(spark, f"{appended}/batch=*/_SUCCESS")
+    return sorted(s.getPath().getParent().toString() for s in (fs.globStatus(p) or []))
+
+
 def read_catalog(spark: SparkSession, root: str, base: str = "base") -> DataFrame:
     """SRC-01: the current catalog (base plus every completed appended batch)."""
-    b = spark.read.schema(S.ASSET).parquet(f"{root.rstrip('/')}/{base}")
+    b = spark.read.schema(S.ASSET).parquet(f"{root.rstrip('/')}/{base}").select(*S.ASSET_COLUMNS)
     app = f"{root.rstrip('/')}/appended"
-    if not exists(spark, app):
-        return b.select(*S.ASSET_COLUMNS)
-    a = spark.read.option("basePath", app).parquet(app)
-    return b.select(*S.ASSET_COLUMNS).unionByName(a.select(*[F.col(f.name).cast(f.dataType) for f in S.ASSET.fields]))
+    done = completed_batches(spark, app)
+    if not done:
+        return b
+    # the fixed schema also reads batches that admitted nothing, whose folders hold only the marker
+    a = spark.read.schema(S.ASSET).option("basePath", app).parquet(*done)
+    return b.unionByName(a.select(*S.ASSET_COLUMNS))
 
 
 def read_tables(spark: SparkSession, root: str) -> DataFrame:

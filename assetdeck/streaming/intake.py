@@ -7,7 +7,9 @@ catalog as of the previous batch and appends its admitted rows as batch
 order is the candidates' ``seq``; batches are processed in order, so the
 outcome equals one sequential pass over the whole stream.  A replayed batch
 (after a failure) finds its folder complete and is skipped: nothing is
-admitted twice.  Progress and replay bookkeeping live in the query's
+admitted twice.  A batch folder without its success marker is not part of the
+catalog, so a replay never meets its own rows; a batch that admits nothing
+leaves a marked, empty folder.  Progress and replay bookkeeping live in the query's
 checkpoint location in shared storage.
 """
 
@@ -42,8 +44,7 @@ def process_batch(ctx: IntakeContext, batch: DataFrame, batch_id: int) -> None:
                              auth_enabled=ctx.auth_enabled)
     labels_path = f"{ctx.catalog_root.rstrip('/')}/labels/batch={batch_id}"
     res.labelled.select("seq", "admission_status", "existing_id", "new_id").write.mode("overwrite").parquet(labels_path)
-    created = res.snapshot.join(res.labelled.where("admission_status = 'created'").selectExpr("new_id AS id"), "id", "left_semi")
-    CAT.append_batch(created, ctx.catalog_root, batch_id)
+    CAT.append_batch(res.created, ctx.catalog_root, batch_id)
 
 
 def start_intake(stream: DataFrame, ctx: IntakeContext, checkpoint_location: str, available_now: bool = True) -> StreamingQuery:

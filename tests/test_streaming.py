@@ -48,3 +48,26 @@ def test_stream_matches_batch_and_is_idempotent(spark):
     q2 = IN.start_intake(stream, ctx, f"{root}/chk")
     q2.awaitTermination()
     assert CAT.read_catalog(spark, catalog).count() == n_before
+
+
+def test_replay_without_marker_and_empty_batches(spark):
+    root = tempfile.mkdtemp(prefix="assetdeck-replay-") + "/store"
+    assets = FX.assets(spark, SMALL)
+    CAT.write_base(assets, root)
+    ctx = IN.IntakeContext(root, FX.mat_objects(spark, SMALL), FX.storage_objects(spark, SMALL),
+                           FX.permissions(spark, SMALL), FX.users(spark, SMALL), FX.DEFAULT_NOW)
+    cands = FX.candidates(spark, SMALL)
+    IN.process_batch(ctx, cands.where(F.col("name").isNull()), 0)  # admits nothing
+    assert CAT.batch_done(spark, root, 0) and CAT.read_catalog(spark, root).count() == assets.count()
+    IN.process_batch(ctx, cands.where("seq < 300"), 1)
+
+    def labels():
+        rows = IN.read_labels(spark, root).where("batch = 1").select("seq", "admission_status", "existing_id", "new_id")
+        return sorted(map(tuple, rows.collect()), key=str)
+
+    want, stored = labels(), CAT.read_catalog(spark, root).count()
+    assert stored > assets.count()
+    os.remove(CAT.batch_path(root, 1) + "/_SUCCESS")  # a crash between the files and the marker
+    assert CAT.read_catalog(spark, root).count() == assets.count()
+    IN.process_batch(ctx, cands.where("seq < 300"), 1)
+    assert labels() == want and CAT.read_catalog(spark, root).count() == stored
