@@ -64,14 +64,16 @@ def greedy_accept(eligible: DataFrame) -> tuple[DataFrame, int]:
 
 
 def admit(cands: DataFrame, assets: DataFrame, gate_status: str = "gate_status",
-          content_status: str = "content_status") -> tuple[DataFrame, int]:
+          content_status: str = "content_status", batch: int | str | None = None) -> tuple[DataFrame, int]:
     """Label each candidate with ``admission_status`` and the id it collides with.
 
     Stage order of a single registration: ``gate_status`` (request and permission
     checks, NULL = passed), then key conflict, then URI conflict (catalog or an
     accepted earlier candidate), then ``content_status`` (content, kind and
     extraction checks, NULL = passed), else ``created``.  Both status columns
-    depend only on the row itself.  Returns (labelled candidates, rounds)."""
+    depend only on the row itself.  New ids are ``new-<batch>-<seq>`` (``new-<seq>`` without a batch), so the
+    batches of one store must be told apart by ``batch``.  Returns (labelled candidates, rounds)."""
+    prefix = F.lit("new-" if batch is None else f"new-{batch}-")
     # used twice (eligibility and labelling): cut here instead of re-joining the catalog; nothing stays cached
     ensure_checkpoint_dir(cands.sparkSession)
     c = CK.find_by_uri(CK.find_duplicate(cands, assets), assets).withColumn("kkey", key_column()).checkpoint()
@@ -94,12 +96,12 @@ def admit(cands: DataFrame, assets: DataFrame, gate_status: str = "gate_status",
     existing = (
         F.when(gate.isNotNull(), F.lit(None).cast("string"))
         .when(F.col("dup_id").isNotNull(), F.col("dup_id"))
-        .when(key_hit, F.concat(F.lit("new-"), F.col("_k_seq").cast("string")))
+        .when(key_hit, F.concat(prefix, F.col("_k_seq").cast("string")))
         .when(F.col("uri_dup_id").isNotNull(), F.col("uri_dup_id"))
-        .when(uri_hit, F.concat(F.lit("new-"), F.col("_u_seq").cast("string")))
+        .when(uri_hit, F.concat(prefix, F.col("_u_seq").cast("string")))
     )
     out = j.withColumn("admission_status", status).withColumn("existing_id", existing).withColumn(
-        "new_id", F.when(status == "created", F.concat(F.lit("new-"), F.col("seq").cast("string"))))
+        "new_id", F.when(status == "created", F.concat(prefix, F.col("seq").cast("string"))))
     return out.drop("_k_seq", "_u_seq", "kkey"), rounds
 
 

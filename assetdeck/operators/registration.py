@@ -44,13 +44,13 @@ def _gate(c: DataFrame, permissions: DataFrame, users: DataFrame, table: bool, a
 
 
 def register_assets(cands: DataFrame, assets: DataFrame, mat: DataFrame, storage: DataFrame, permissions: DataFrame,
-                    users: DataFrame, now, auth_enabled: bool = True) -> RegistrationResult:
+                    users: DataFrame, now, auth_enabled: bool = True, batch: int | str | None = None) -> RegistrationResult:
     """PIP-05 + SNK-01: request, permission, key, URI, content checks, then insert."""
     storage = storage.dropDuplicates(["uri"])
     c = _gate(cands, permissions, users, False, auth_enabled)
     c = CK.content_checks(c, mat, storage)
     c = c.withColumn("content_status", F.when(_content_failed(), F.lit("invalid")))
-    labelled, rounds = AD.admit(c, assets)
+    labelled, rounds = AD.admit(c, assets, batch=batch)
     new_rows = AD.to_asset_rows(labelled.where(F.col("admission_status") == "created"), now)
     snapshot = assets.unionByName(new_rows, allowMissingColumns=True)
     created = new_rows.select(*[F.col(f.name) if f.name in new_rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
@@ -60,7 +60,7 @@ def register_assets(cands: DataFrame, assets: DataFrame, mat: DataFrame, storage
 
 def register_tables(cands: DataFrame, ann: DataFrame, extracted: DataFrame, assets: DataFrame, mat: DataFrame,
                     storage: DataFrame, permissions: DataFrame, users: DataFrame, now,
-                    auth_enabled: bool = True) -> RegistrationResult:
+                    auth_enabled: bool = True, batch: int | str | None = None) -> RegistrationResult:
     """PIP-06 + SNK-02: PIP-05's checks, then kind targets, point groups, extractor,
     extraction and dtypes; accepted rows carry metadata and annotations.
 
@@ -106,7 +106,7 @@ def register_tables(cands: DataFrame, ann: DataFrame, extracted: DataFrame, asse
         .when(F.coalesce(F.col("_dt"), F.lit(False)), F.lit("dtype_invalid"))
     )
     c = c.withColumn("content_status", content)
-    labelled, rounds = AD.admit(c, assets)
+    labelled, rounds = AD.admit(c, assets, batch=batch)
     created = labelled.where(F.col("admission_status") == "created")
     # annotations stay in long form, re-keyed to the new asset id (no per-asset list is collected)
     new_ann = a.join(created.select(F.col("seq").cast("string").alias("asset_id"), "new_id"), "asset_id", "inner") \

@@ -12,8 +12,8 @@ from .q_admission import REGISTER_SQL
 from .registry import query
 
 
-# the events file arrives as one micro-batch, so the labels equal one registration pass
-@query("registration_intake", REGISTER_SQL)
+# the events file arrives as one micro-batch, so the labels equal one registration pass with the ids of batch 0
+@query("registration_intake", REGISTER_SQL.replace("'new-'", "'new-0-'"))
 def registration_intake(spark, d):
     """Events streamed file by file through the registration pipeline; returns the labels."""
     root = shared_dir(spark, f"intake-{uuid.uuid4().hex}")

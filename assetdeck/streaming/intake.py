@@ -41,7 +41,7 @@ def process_batch(ctx: IntakeContext, batch: DataFrame, batch_id: int) -> None:
         return  # replay of a completed batch
     current = CAT.read_catalog(spark, ctx.catalog_root)
     res = RG.register_assets(batch, current, ctx.mat, ctx.storage, ctx.permissions, ctx.users, ctx.now,
-                             auth_enabled=ctx.auth_enabled)
+                             auth_enabled=ctx.auth_enabled, batch=batch_id)
     labels_path = f"{ctx.catalog_root.rstrip('/')}/labels/batch={batch_id}"
     res.labelled.select("seq", "admission_status", "existing_id", "new_id").write.mode("overwrite").parquet(labels_path)
     CAT.append_batch(res.created, ctx.catalog_root, batch_id)

@@ -1,6 +1,7 @@
 """Streaming intake equals one sequential pass; replays admit nothing twice."""
 
 import os
+import re
 import tempfile
 import time
 
@@ -35,7 +36,9 @@ def test_stream_matches_batch_and_is_idempotent(spark):
         .option("pathGlobFilter", "*.parquet").parquet(src)
     q = IN.start_intake(stream, ctx, f"{root}/chk")
     q.awaitTermination()
-    labels = {r["seq"]: (r["admission_status"], r["existing_id"]) for r in IN.read_labels(spark, catalog).collect()}
+    rows = IN.read_labels(spark, catalog).collect()
+    assert all(r["new_id"] == f"new-{r['batch']}-{r['seq']}" for r in rows if r["admission_status"] == "created")
+    labels = {r["seq"]: (r["admission_status"], r["existing_id"] and re.sub(r"^new-\d+-", "new-", r["existing_id"])) for r in rows}
     once = RG.register_assets(cands, assets, ctx.mat, ctx.storage, ctx.permissions, ctx.users, FX.DEFAULT_NOW)
     want = {r["seq"]: (r["admission_status"], r["existing_id"]) for r in once.labelled.collect()}
     assert labels == want
