@@ -56,12 +56,12 @@ def asset_view_access(spark, d):
 @query("shares_group", with_fixtures("""SELECT c.seq AS request_id, c.user_id,
   coalesce(u.is_admin, false) OR EXISTS (SELECT 1 FROM cat_memberships m WHERE m.user_id = c.user_id
     AND m.group_name IN (c.access_group, 'grp' || CAST(c.seq % 5 AS VARCHAR))) AS shares
-FROM cat_candidates c LEFT JOIN cat_users u ON u.user_id = c.user_id WHERE c.access_group IS NOT NULL""",
+FROM cat_candidates c LEFT JOIN cat_users u ON u.user_id = c.user_id""",
                                      "cat_candidates", "cat_memberships", "cat_users"))
 def shares_group(spark, d):
-    c = FX.candidates(spark, d).where(F.col("access_group").isNotNull()).select(
+    c = FX.candidates(spark, d).select(
         F.col("seq").alias("request_id"), "user_id",
-        F.array("access_group", F.concat(F.lit("grp"), (F.col("seq") % 5).cast("string"))).alias("required_groups"))
+        F.array_compact(F.array("access_group", F.concat(F.lit("grp"), (F.col("seq") % 5).cast("string")))).alias("required_groups"))
     return AC.shares_group(c, FX.memberships(spark, d), FX.users(spark, d)).select("request_id", "user_id", "shares")
 
 

@@ -56,10 +56,10 @@ NODE_RE = "(root_id|supervoxel_id|level[0-9]+_id)"
 
 
 @query("valid_node_level", with_fixtures(
-    f"SELECT asset_id, pos, tie, node_level, regexp_full_match(node_level, '{NODE_RE}') AS ok "
-    "FROM cat_annotations WHERE node_level IS NOT NULL", "cat_annotations"))
+    f"SELECT asset_id, pos, tie, node_level, coalesce(regexp_full_match(node_level, '{NODE_RE}'), false) AS ok "
+    "FROM cat_annotations", "cat_annotations"))
 def valid_node_level(spark, d):
-    a = FX.annotations(spark, d).where(F.col("node_level").isNotNull())
+    a = FX.annotations(spark, d)
     return a.select("asset_id", "pos", "tie", "node_level", K.valid_node_level("node_level").alias("ok"))
 
 
@@ -271,10 +271,10 @@ PREVIEW_SQL = ("CASE WHEN v IS NULL THEN NULL WHEN v >= 1073741824 THEN printf('
 
 
 @query("format_bytes_preview", with_fixtures(
-    f"SELECT src, ref, {PREVIEW_SQL} AS text FROM (SELECT src, ref, CAST(v AS BIGINT) AS v FROM ({_BYTES_INPUT_SQL}) WHERE src <> 'customer')",
+    f"SELECT src, ref, {PREVIEW_SQL} AS text FROM (SELECT src, ref, CAST(trunc(v) AS BIGINT) AS v FROM ({_BYTES_INPUT_SQL}))",
     "cat_assets"))
 def format_bytes_preview(spark, d):
-    x = _bytes_input(spark, d).where(F.col("src") != "customer")
+    x = _bytes_input(spark, d)
     return x.select("src", "ref", FM.format_bytes_preview(F.col("v").cast("bigint")).alias("text"))
 
 
@@ -289,9 +289,9 @@ def _decimal_sql(v: str) -> str:
 
 
 @query("format_bytes_decimal", with_fixtures(
-    f"SELECT src, ref, {_decimal_sql('v')} AS text FROM ({_BYTES_INPUT_SQL}) WHERE src <> 'customer'", "cat_assets"))
+    f"SELECT src, ref, {_decimal_sql('v')} AS text FROM ({_BYTES_INPUT_SQL})", "cat_assets"))
 def format_bytes_decimal(spark, d):
-    x = _bytes_input(spark, d).where(F.col("src") != "customer")
+    x = _bytes_input(spark, d)
     return x.select("src", "ref", FM.format_bytes_decimal("v").alias("text"))
 
 
