@@ -83,7 +83,7 @@ def replace_annotations(assets: DataFrame, annotations: DataFrame, updates: Data
     # the checks see each request as an asset of its own
     asked = r.drop("id").withColumnRenamed("_key", "id").drop("_order")
     a = new_ann.withColumn("_order", number).withColumn("_asset", F.col("asset_id")).withColumn("asset_id", key("asset_id")).join(
-        r.select(F.col("_key").alias("asset_id")), "asset_id", "left_semi")
+        req.select(key("id").alias("asset_id")), "asset_id", "left_semi")
     cols = AN.explode_columns(asked)
     bad = (AN.kind_target_check(a, asked, mat).select("asset_id")
            .unionByName(AN.point_group_uniqueness(a).select("asset_id"))
