@@ -44,10 +44,14 @@ def gcs_prefix(uri: Column | str) -> Column:
 def gcs_uri_error(uri: Column | str) -> Column:
     """NULL for a usable ``gs://bucket[/prefix]`` URI, else the reason."""
     u = _c(uri)
-    bucket, prefix = gcs_bucket(u), gcs_prefix(u)
+    return gcs_parts_error(u, uri_scheme(u), gcs_bucket(u), gcs_prefix(u))
+
+
+def gcs_parts_error(uri: Column, scheme: Column, bucket: Column, prefix: Column) -> Column:
+    """``gcs_uri_error`` where the URI has been parsed before."""
     return (
-        F.when((uri_scheme(u) != "gs") | (bucket == ""),
-               F.concat(F.lit("Invalid GCS URI "), _quoted(u), F.lit(": expected format gs://bucket[/prefix]")))
+        F.when((scheme != "gs") | (bucket == ""),
+               F.concat(F.lit("Invalid GCS URI "), _quoted(uri), F.lit(": expected format gs://bucket[/prefix]")))
         .when(~bucket.rlike(GCS_BUCKET_PATTERN), F.concat(F.lit("Invalid GCS bucket name: "), _quoted(bucket)))
         .when((prefix != "") & ~prefix.rlike(GCS_PREFIX_PATTERN), F.concat(F.lit("Invalid GCS prefix: "), _quoted(prefix)))
     )

@@ -95,24 +95,25 @@ def access_plan(assets: DataFrame, now) -> DataFrame:
     ``gcs`` with bucket, prefix and the prefix condition; a malformed GCS URI or
     another scheme is an error row.  Expired assets are not found.
     """
-    scheme = U.uri_scheme("uri")
-    gcs_err = U.gcs_uri_error("uri")
-    managed = F.col("is_managed")
+    # the URI is parsed in a projection of its own: its parts are used several times below
+    parsed = assets.select("id", "uri", "format", "is_managed", is_expired(now).alias("_expired"), U.uri_scheme("uri").alias("_scheme"),
+                           U.gcs_bucket("uri").alias("_bucket"), U.gcs_prefix("uri").alias("_prefix"))
+    scheme, bucket, prefix = F.col("_scheme"), F.col("_bucket"), F.col("_prefix")
     error = (
-        F.when(is_expired(now), F.lit("Asset not found"))
-        .when(~managed, F.lit(None).cast("string"))
+        F.when(F.col("_expired"), F.lit("Asset not found"))
+        .when(~F.col("is_managed"), F.lit(None).cast("string"))
         .when(scheme != "gs", F.concat(F.lit("Unsupported storage scheme: '"), scheme, F.lit("'")))
-        .otherwise(gcs_err)
+        .otherwise(U.gcs_parts_error(F.col("uri"), scheme, bucket, prefix))
     )
-    ok = error.isNull()
-    gcs = ok & managed
-    return assets.select(
-        "id", "uri", "format", F.col("is_managed"),
-        F.when(error.isNull(), F.lit("ok")).when(is_expired(now), F.lit("not_found")).otherwise(F.lit("error")).alias("status"),
-        error.alias("error"),
+    judged = parsed.withColumn("error", error)
+    gcs = F.col("error").isNull() & F.col("is_managed")
+    return judged.select(
+        "id", "uri", "format", "is_managed",
+        F.when(F.col("error").isNull(), F.lit("ok")).when(F.col("_expired"), F.lit("not_found")).otherwise(F.lit("error")).alias("status"),
+        "error",
         F.when(gcs, F.lit("gcs")).alias("storage_provider"),
         F.when(gcs, F.lit("Bearer")).alias("token_type"),
-        F.when(gcs, U.gcs_bucket("uri")).alias("bucket"),
-        F.when(gcs, U.gcs_prefix("uri")).alias("prefix"),
-        F.when(gcs, U.prefix_condition(U.gcs_bucket("uri"), U.gcs_prefix("uri"))).alias("condition"),
+        F.when(gcs, bucket).alias("bucket"),
+        F.when(gcs, prefix).alias("prefix"),
+        F.when(gcs, U.prefix_condition(bucket, prefix)).alias("condition"),
     )

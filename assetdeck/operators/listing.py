@@ -91,13 +91,12 @@ def explore_filters(**form: str) -> dict:
 
 
 def explore_page(assets: DataFrame, datastack: str, now, *, limit: int = S.EXPLORE_LIMIT_DEFAULT, offset: int = 0,
-                 sort_by: str = "name", sort_order: str = "asc", fields: list | None = None, **form: str) -> DataFrame:
+                 sort_by: str = "name", sort_order: str = "asc", paths: tuple = tuple(D.HEADINGS), **form: str) -> DataFrame:
     """SRT-05: filters + sort + page + total + page info + formatted cells, one plan."""
     check_page_args(limit, offset, S.EXPLORE_LIMIT_MAX)
     filtered = assets.where(compose_filters(datastack=datastack, now=now, **explore_filters(**form)))
     p = page(filtered, sort_by, sort_order, limit, offset)
-    fields = fields if fields is not None else D.resolve_fields()
-    shown = D.display_view(p, fields, keep=("id", "page_pos", "total"))
+    shown = D.display_view(p, paths, keep=("id", "page_pos", "total"))
     total = F.col("total")
     return shown.select(
         "*",

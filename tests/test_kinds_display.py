@@ -1,7 +1,10 @@
-"""Column kinds, form parsing and the display field list."""
+"""Column kinds, form parsing and the explore view's cells."""
+
+from datetime import datetime
 
 import pytest
 
+from assetdeck import schema as S
 from assetdeck.functions import kinds as K
 from assetdeck.operators import display as D
 from assetdeck.schema import KIND
@@ -62,26 +65,27 @@ def test_form_node_level_and_resolution(spark):
     assert [r["bad"] for r in got] == [False, False, False, True]
 
 
-def test_field_registry():
-    fields = {f.key: f for f in D.resolve_fields()}
-    assert fields["mat_version"].label == "Mat Version"
-    assert fields["cached_metadata.n_rows"].label == "Rows"
-    assert fields["cached_metadata.n_columns"].label == "Columns"
-    assert fields["format"].formatter == "badge"
-    assert fields["maturity"].formatter == "badge" and fields["maturity"].enum_values == ("stable", "draft", "deprecated")
-    assert fields["cached_metadata.n_bytes"].formatter == "bytes"
-    assert fields["created_at"].formatter == "datetime" and fields["created_at"].filter_type == "range"
-    assert fields["name"].formatter == "text" and fields["name"].filter_type == "substring"
-    assert fields["source"].asset_types == ("table",)
-    assert fields["name"].asset_types is None
-    assert [f.key for f in D.default_fields()] == ["name", "mat_version", "format", "maturity", "cached_metadata.n_rows"]
-    assert D.derive_label("is_managed") == "Managed" and D.derive_label("n_rows") == "Rows"
-
-
-def test_field_registry_unknown_key(monkeypatch):
-    monkeypatch.setattr(D, "FIELD_CONFIGS", D.FIELD_CONFIGS + [("nope.x", "", False, False, "", True)])
+def test_cells_print_by_type_and_carry_their_heading(spark):
+    row = {"id": "1", "name": "n", "mat_version": 1234, "format": None, "maturity": "stable", "asset_type": "table", "source": "user",
+           "mutability": "static", "created_at": datetime(2020, 1, 2, 3, 4, 5), "revision": 4321, "owner": 98765, "datastack": "d",
+           "uri": "u", "is_managed": True, "cached_metadata": (1234567, 3, 2048, None, None)}
+    other = row | {"id": "2", "asset_type": "asset"}
+    df = spark.createDataFrame([tuple(r.get(c) for c in S.ASSET_COLUMNS) for r in (row, other)], S.ASSET)
+    shown = D.display_view(df)
+    table, asset = shown.orderBy("id").collect()
+    assert table[1:] == ("n", "1234", "—", "stable", "1,234,567", "user", "table", "static", "2020-01-02 03:04:05", "3", "2.0 KB",
+                         "4,321", "98765")
+    assert (asset["cached_metadata_n_rows"], asset["cached_metadata_n_bytes"], asset["source"]) == ("—", "—", "—")
+    page = {f.name: f.metadata for f in shown.schema if f.metadata}
+    assert page["cached_metadata_n_rows"] == {"heading": "Rows", "at_first": True, "filter": False}
+    assert [c for c in page if page[c]["at_first"]] == ["name", "mat_version", "format", "maturity", "cached_metadata_n_rows"]
+    assert [c for c in page if not page[c]["filter"]] == ["cached_metadata_n_rows", "created_at", "cached_metadata_n_columns",
+                                                          "cached_metadata_n_bytes", "owner"]
+
+
+def test_unknown_path():
     with pytest.raises(ValueError, match="nope.x"):
-        D.resolve_fields()
+        D.cells(["name", "nope.x"])
 
 
 def test_dot_path_null_parent(spark):
