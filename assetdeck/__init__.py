@@ -1,6 +1,6 @@
-"""assetdeck: a Spark-native data-asset catalog.
+"""assetdeck: a Spark-native data-asset store.
 
-Catalog snapshots are ordinary DataFrames; listing, registration checks,
+Asset snapshots are ordinary DataFrames; listing, registration checks,
 annotation merges, metadata extraction and display formatting are expressed
 as DataFrame / Spark SQL operators so that Catalyst plans them.
 """

@@ -1,4 +1,4 @@
-"""Catalog inputs derived from the driver's tables.
+"""Asset inputs derived from the driver's tables.
 
 Each derivation is pure column arithmetic over one source table, so the same
 rows can be written a second time in plain SQL (``plans/fixture_sql.py``) and
@@ -31,7 +31,7 @@ def now_lit(now: str | None = None):
 
 
 def assets(spark: SparkSession, sf_dir: str, with_columns: bool = True) -> DataFrame:
-    """Catalog snapshot: one asset per order (``id`` = order key).
+    """Asset snapshot: one asset per order (``id`` = order key).
 
     ``cached_metadata.columns`` holds ``1 + id % 6`` generated columns named
     ``col_1..col_n``; annotations are attached separately (see ``annotations``).
@@ -77,7 +77,7 @@ def assets(spark: SparkSession, sf_dir: str, with_columns: bool = True) -> DataF
             F.col("_n_cols").alias("n_columns"),
             F.col("_n_bytes").cast("bigint").alias("n_bytes"),
             (cols if with_columns else F.lit(None).cast("array<struct<name:string,dtype:string>>")).alias("columns"),
-            F.array().cast("array<string>").alias("partition_columns"),
+            F.when(F.col("_k") % 4 == 1, F.array(F.lit("col_1"))).otherwise(F.array().cast("array<string>")).alias("partition_columns"),
         ),
     )
     out = df.withColumn("cached_metadata", md).withColumn(
@@ -152,7 +152,7 @@ def annotation_struct(df: DataFrame) -> DataFrame:
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registration batch: one candidate per event, in ``seq`` order.
 
-    Contains bad names, reserved names, copies of catalog keys and URIs, and
+    Contains bad names, reserved names, copies of asset keys and URIs, and
     key/URI collisions inside the batch.
     """
     return candidates_from(table(spark, sf_dir, "events"))
@@ -286,7 +286,7 @@ def form_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def storage_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What exists in (simulated) object storage, with the table format actually found there.
 
-    Most catalog URIs still exist; candidate URIs exist when their number is
+    Most asset URIs still exist; candidate URIs exist when their number is
     not a multiple of 3.  Used by the data-only reachability and sniff checks.
     """
     o = table(spark, sf_dir, "orders").where("o_orderkey % 17 <> 0").selectExpr(

@@ -1,7 +1,7 @@
 """Batch admission under two unique keys (WIN-02, PIP-05, PIP-06, SNK-01, SNK-02).
 
 Sequential semantics: candidates are processed in ``seq`` order and one is
-accepted unless an *accepted* earlier one (or the catalog) already holds its
+accepted unless an *accepted* earlier one (or the store) already holds its
 key ``(datastack, name, mat_version, revision)`` (NULL versions equal) or its
 URI.  Rejected rows never block later rows.
 
@@ -68,13 +68,13 @@ def admit(cands: DataFrame, assets: DataFrame, gate_status: str = "gate_status",
     """Label each candidate with ``admission_status`` and the id it collides with.
 
     Stage order of a single registration: ``gate_status`` (request and permission
-    checks, NULL = passed), then key conflict, then URI conflict (catalog or an
+    checks, NULL = passed), then key conflict, then URI conflict (store or an
     accepted earlier candidate), then ``content_status`` (content, kind and
     extraction checks, NULL = passed), else ``created``.  Both status columns
     depend only on the row itself.  New ids are ``new-<batch>-<seq>`` (``new-<seq>`` without a batch), so the
     batches of one store must be told apart by ``batch``.  Returns (labelled candidates, rounds)."""
     prefix = F.lit("new-" if batch is None else f"new-{batch}-")
-    # used twice (eligibility and labelling): cut here instead of re-joining the catalog; nothing stays cached
+    # used twice (eligibility and labelling): cut here instead of re-joining the store; nothing stays cached
     ensure_checkpoint_dir(cands.sparkSession)
     c = CK.find_by_uri(CK.find_duplicate(cands, assets), assets).withColumn("kkey", key_column()).checkpoint()
     eligible = c.where(F.col(gate_status).isNull() & F.col(content_status).isNull()
@@ -106,7 +106,7 @@ def admit(cands: DataFrame, assets: DataFrame, gate_status: str = "gate_status",
 
 
 def to_asset_rows(created: DataFrame, now, table: bool = False) -> DataFrame:
-    """Accepted candidates as catalog rows: fresh id, owner = requesting user, created now."""
+    """Accepted candidates as asset rows: fresh id, owner = requesting user, created now."""
     ts = now if isinstance(now, Column) else F.lit(now).cast("timestamp")
     base = created.select(
         F.col("new_id").alias("id"), "datastack", "name", "mat_version", F.coalesce("revision", F.lit(0)).alias("revision"),

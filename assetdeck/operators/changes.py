@@ -1,7 +1,7 @@
-"""Row changes producing the next catalog snapshot (SNK-03, SNK-04, SNK-05, SNK-06).
+"""Row changes producing the next asset snapshot (SNK-03, SNK-04, SNK-05, SNK-06).
 
 Each function is ``snapshot -> (new snapshot, per-request status)``; the
-caller writes the new snapshot to a new folder (``sources.catalog``).
+caller writes the new snapshot to a new folder (``sources.store``).
 Column annotations are kept in long form (one row per asset and position),
 so replacing a list never gathers an asset's annotations into one row.  All of
 them are equality joins on ``id``; several requests for the same id take effect

@@ -1,8 +1,8 @@
 """Registration checks over a batch of candidates (JON-01 .. JON-05, PIP-01 .. PIP-04, AGG-04).
 
 Every check is a column pair ``<check>_passed`` / ``<check>_message``
-(``NULL`` passed = not run).  Checks against the catalog are equality left
-joins: the catalog side is unique on the join key, so each candidate gets at
+(``NULL`` passed = not run).  Checks against the store are equality left
+joins: the store side is unique on the join key, so each candidate gets at
 most one match, and a hot candidate key is split by AQE's skew join.
 Reference data (``mat_objects``) is a small dimension: broadcast after a
 bounded size probe.

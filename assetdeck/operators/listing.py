@@ -1,4 +1,4 @@
-"""Catalog listing: filter, sort, page, total (SRT-01..05, AGG-01, PIP-07, PIP-08).
+"""Asset listing: filter, sort, page, total (SRT-01..05, AGG-01, PIP-07, PIP-08).
 
 Plan shape for a page: the filters reach the Parquet scan; ``orderBy + offset
 + limit`` becomes ``TakeOrderedAndProject`` (each task keeps only its top

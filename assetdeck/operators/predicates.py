@@ -1,4 +1,4 @@
-"""Catalog predicates (FLT-01 .. FLT-14).
+"""Asset predicates (FLT-01 .. FLT-14).
 
 Each function returns a ``Column``; ``compose_filters`` ANDs the ones whose
 argument is given.  All of them are plain comparisons, so Catalyst pushes
@@ -29,7 +29,7 @@ def not_expired(now) -> Column:
 
 def is_expired(now) -> Column:
     """Point-lookup rule: expiry strictly before ``now`` (equal is still visible)."""
-    return F.coalesce(F.col("expires_at") < _ts(now), F.lit(False))
+    return F.col("expires_at").isNotNull() & (F.col("expires_at") < _ts(now))
 
 
 def name_eq(name: str) -> Column:

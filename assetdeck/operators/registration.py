@@ -25,9 +25,9 @@ from .requests import with_request_check
 @dataclass
 class RegistrationResult:
     labelled: DataFrame   # one row per candidate with admission_status / existing_id / new_id
-    snapshot: DataFrame   # catalog plus the created rows (SET-02)
+    snapshot: DataFrame   # store plus the created rows (SET-02)
     rounds: int
-    created: DataFrame    # the created rows alone, in catalog columns
+    created: DataFrame    # the created rows alone, in asset columns
     annotations: DataFrame | None = None  # long-form annotations of created tables (asset_id = new id)
 
 

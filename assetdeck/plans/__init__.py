@@ -1,4 +1,4 @@
-"""Registered queries (one per catalog operator) and their SQL oracles."""
+"""Registered queries (one per asset operator) and their SQL oracles."""
 
 from __future__ import annotations
 

@@ -112,7 +112,7 @@ FROM cat_candidates c WHERE c.seq IN (SELECT seq FROM labels WHERE admission_sta
 
 
 def _snapshot_sql(select: str, register_sql: str | None = None, new_rows_sql: str | None = None) -> str:
-    """``select`` over ``snap`` = catalog UNION ALL admitted rows (the admission labels as a CTE)."""
+    """``select`` over ``snap`` = store UNION ALL admitted rows (the admission labels as a CTE)."""
     from .q_listing import FLAT_COLS
 
     inner = (register_sql or REGISTER_SQL).replace("\nSELECT seq, admission_status, existing_id,", "\n, labels AS (SELECT seq, admission_status, existing_id,", 1)
@@ -205,7 +205,7 @@ def admit_tables(spark, d):
 
 @query("append_snapshot", _snapshot_sql("SELECT datastack, asset_type, count(*) AS n_assets FROM snap GROUP BY datastack, asset_type"))
 def append_snapshot(spark, d):
-    """SET-02: the catalog plus the rows accepted from the batch, by asset type and datastack."""
+    """SET-02: the store plus the rows accepted from the batch, by asset type and datastack."""
     snap = _register_assets(spark, d).snapshot
     return snap.groupBy("datastack", "asset_type").agg(F.count(F.lit(1)).alias("n_assets"))
 

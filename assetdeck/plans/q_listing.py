@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as FX
 from ..operators import listing as L
 from ..operators import predicates as P
+from ..sources.store import stored_assets
 from .fixture_sql import NOW_SQL, with_fixtures
 from .registry import query
 
@@ -18,7 +19,7 @@ FLAT_COLS = ("id, datastack, name, mat_version, revision, uri, format, asset_typ
 
 
 def flat(df: DataFrame) -> DataFrame:
-    """Catalog rows with the metadata struct flattened to scalars."""
+    """Asset rows with the metadata struct flattened to scalars."""
     return df.select(*flat_cols())
 
 
@@ -27,86 +28,101 @@ def _assets(spark, d):
 
 
 def _stored(spark, d):
-    """The catalog as stored (partitioned by datastack): listings prune partitions and push filters."""
-    from ..sources.catalog import stored_catalog
-    return stored_catalog(spark, d, lambda s, x: FX.assets(s, x, with_columns=False))
+    """Whole rows as stored (partitioned by datastack): filters prune partitions and reach the Parquet scan."""
+    return stored_assets(spark, d, ["orders"], FX.assets)
 
 
 def _sql(where: str, extra: str = "") -> str:
     return with_fixtures(f"SELECT {FLAT_COLS}{extra} FROM cat_assets WHERE {where}", "cat_assets")
 
 
-@query("scan_assets", _sql("true"))
+#: Columns and partition columns of the metadata as text, for whole-row results.
+LISTS_SQL = (", (SELECT string_agg(c.name || ':' || c.dtype, ',' ORDER BY c.pos) FROM cat_columns c WHERE c.asset_id = cat_assets.id) "
+             "AS column_list, CASE WHEN asset_type = 'table' THEN CASE WHEN CAST(id AS BIGINT) % 4 = 1 THEN 'col_1' ELSE '' END END AS partition_list")
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """Asset rows with every part of the metadata."""
+    columns = F.transform("cached_metadata.columns", lambda c: F.concat_ws(":", c["name"], c["dtype"]))
+    return df.select(*flat_cols(), F.array_join(columns, ",").alias("column_list"),
+                     F.array_join("cached_metadata.partition_columns", ",").alias("partition_list"))
+
+
+def _whole_sql(where: str) -> str:
+    return with_fixtures(f"SELECT {FLAT_COLS}{LISTS_SQL} FROM cat_assets WHERE {where}", "cat_assets", "cat_columns")
+
+
+@query("scan_assets", _whole_sql("true"))
 def scan_assets(spark, d):
-    return flat(_assets(spark, d))
+    return whole(_stored(spark, d))
 
 
-@query("scan_tables", _sql("asset_type = 'table'"))
+@query("scan_tables", _whole_sql("asset_type = 'table'"))
 def scan_tables(spark, d):
-    return flat(_assets(spark, d).where(F.col("asset_type") == "table"))
+    return whole(_stored(spark, d).where(F.col("asset_type") == "table"))
 
 
 # --- predicates -------------------------------------------------------------
 
 @query("by_datastack", _sql("datastack = 'ds1'"))
 def by_datastack(spark, d):
-    return flat(_assets(spark, d).where(P.by_datastack("ds1")))
+    return flat(_stored(spark, d).where(P.by_datastack("ds1")))
 
 
 @query("not_expired", _sql(f"expires_at IS NULL OR expires_at > {NOW_SQL}"))
 def not_expired(spark, d):
-    return flat(_assets(spark, d).where(P.not_expired(NOW)))
+    return flat(_stored(spark, d).where(P.not_expired(NOW)))
 
 
 @query("is_expired", _sql(f"expires_at < {NOW_SQL}"))
 def is_expired(spark, d):
-    return flat(_assets(spark, d).where(P.is_expired(NOW)))
+    return flat(_stored(spark, d).where(P.is_expired(NOW)))
 
 
 @query("name_eq", _sql("name = 'tbl_42'"))
 def name_eq(spark, d):
-    return flat(_assets(spark, d).where(P.name_eq("tbl_42")))
+    return flat(_stored(spark, d).where(P.name_eq("tbl_42")))
 
 
 @query("name_contains", _sql("name ILIKE '%L_4%'"))
 def name_contains(spark, d):
     # '_' stays a wildcard: matches tbl_4.., tbl_14.. and "l" + any char + "4"
-    return flat(_assets(spark, d).where(P.name_contains("L_4")))
+    return flat(_stored(spark, d).where(P.name_contains("L_4")))
 
 
 @query("mat_version_eq", _sql("mat_version = 903"))
 def mat_version_eq(spark, d):
-    return flat(_assets(spark, d).where(P.eq("mat_version", 903)))
+    return flat(_stored(spark, d).where(P.eq("mat_version", 903)))
 
 
 @query("revision_eq", _sql("revision = 3"))
 def revision_eq(spark, d):
-    return flat(_assets(spark, d).where(P.eq("revision", 3)))
+    return flat(_stored(spark, d).where(P.eq("revision", 3)))
 
 
 @query("format_eq", _sql("format = 'delta'"))
 def format_eq(spark, d):
-    return flat(_assets(spark, d).where(P.eq("format", "delta")))
+    return flat(_stored(spark, d).where(P.eq("format", "delta")))
 
 
 @query("asset_type_eq", _sql("asset_type = 'asset'"))
 def asset_type_eq(spark, d):
-    return flat(_assets(spark, d).where(P.eq("asset_type", "asset")))
+    return flat(_stored(spark, d).where(P.eq("asset_type", "asset")))
 
 
 @query("mutability_eq", _sql("mutability = 'mutable'"))
 def mutability_eq(spark, d):
-    return flat(_assets(spark, d).where(P.eq("mutability", "mutable")))
+    return flat(_stored(spark, d).where(P.eq("mutability", "mutable")))
 
 
 @query("maturity_eq", _sql("maturity = 'draft'"))
 def maturity_eq(spark, d):
-    return flat(_assets(spark, d).where(P.eq("maturity", "draft")))
+    return flat(_stored(spark, d).where(P.eq("maturity", "draft")))
 
 
 @query("source_eq", _sql("source = 'materialization'"))
 def source_eq(spark, d):
-    return flat(_assets(spark, d).where(P.eq("source", "materialization")))
+    return flat(_stored(spark, d).where(P.eq("source", "materialization")))
 
 
 @query("compose_filters", _sql(
@@ -115,7 +131,7 @@ def source_eq(spark, d):
 def compose_filters(spark, d):
     pred = P.compose_filters(datastack="ds2", now=NOW, name_contains="1", format="delta", maturity="stable",
                              mutability="static", mat_version=None)
-    return flat(_assets(spark, d).where(pred))
+    return flat(_stored(spark, d).where(pred))
 
 
 _GET_IDS = "SELECT CAST(event_id * 3 AS VARCHAR) AS id FROM events WHERE event_id % 2 = 0"
@@ -126,7 +142,7 @@ _GET_IDS = "SELECT CAST(event_id * 3 AS VARCHAR) AS id FROM events WHERE event_i
     "cat_assets"))
 def get_by_id(spark, d):
     ids = FX.table(spark, d, "events").where("event_id % 2 = 0").selectExpr("CAST(event_id * 3 AS STRING) AS id")
-    return flat(P.get_by_id(_assets(spark, d), ids, now=NOW))
+    return flat(P.get_by_id(_stored(spark, d), ids, now=NOW))
 
 
 # --- sort / page / total ----------------------------------------------------

@@ -6,7 +6,7 @@ import uuid
 
 from .. import fixtures as FX
 from ..session import shared_dir
-from ..sources import catalog as CAT
+from ..sources import store as ST
 from ..streaming import intake as IN
 from .q_admission import REGISTER_SQL
 from .registry import query
@@ -17,7 +17,7 @@ from .registry import query
 def registration_intake(spark, d):
     """Events streamed file by file through the registration pipeline; returns the labels."""
     root = shared_dir(spark, f"intake-{uuid.uuid4().hex}")
-    CAT.write_base(FX.assets(spark, d), root)
+    ST.write_base(FX.assets(spark, d), root)
     events_schema = FX.table(spark, d, "events").schema
     stream = (spark.readStream.schema(events_schema).option("pathGlobFilter", "events.parquet")
               .option("maxFilesPerTrigger", 1).parquet(d))

@@ -1,4 +1,4 @@
-"""Catalog schemas, enumerations and fixed values.
+"""Asset schemas, enumerations and fixed values.
 
 Every asset lives in one wide row; table-only columns are NULL for other
 asset types.  Timestamps are UTC.

@@ -225,7 +225,7 @@ def sniff(profiled: DataFrame) -> DataFrame:
 
 
 def as_metadata(profiled: DataFrame) -> F.Column:
-    """The profile as the catalog's ``TABLE_METADATA`` struct (NULL for failures)."""
+    """The profile as the store's ``TABLE_METADATA`` struct (NULL for failures)."""
     return F.when(F.col("status") == "ok", F.struct(
         F.col("n_rows"), F.col("n_columns"), F.col("n_bytes"), F.col("columns"), F.col("partition_columns")
     ).cast(S.TABLE_METADATA))

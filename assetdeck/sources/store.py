@@ -1,4 +1,4 @@
-"""Catalog storage: a base snapshot plus append-only batches (SRC-01 reader, sinks' writer).
+"""Asset storage: a base snapshot plus append-only batches (SRC-01 reader, sinks' writer).
 
 Layout under a root folder (in the cluster's shared storage)::
 
@@ -14,10 +14,14 @@ folder instead of rewriting files they read.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from ..session import shared_dir
 
 
 def _fs(spark: SparkSession, path: str):
@@ -57,8 +61,8 @@ def completed_batches(spark: SparkSession, appended: str) -> list[str]:
     return sorted(s.getPath().getParent().toString() for s in (fs.globStatus(p) or []))
 
 
-def read_catalog(spark: SparkSession, root: str, base: str = "base") -> DataFrame:
-    """SRC-01: the current catalog (base plus every completed appended batch)."""
+def read_store(spark: SparkSession, root: str, base: str = "base") -> DataFrame:
+    """SRC-01: the current store (base plus every completed appended batch)."""
     b = spark.read.schema(S.ASSET).parquet(f"{root.rstrip('/')}/{base}").select(*S.ASSET_COLUMNS)
     app = f"{root.rstrip('/')}/appended"
     done = completed_batches(spark, app)
@@ -71,19 +75,19 @@ def read_catalog(spark: SparkSession, root: str, base: str = "base") -> DataFram
 
 def read_tables(spark: SparkSession, root: str) -> DataFrame:
     """SRC-02: the table subtype, stated explicitly."""
-    return read_catalog(spark, root).where(F.col("asset_type") == "table")
-
+    return read_store(spark, root).where(F.col("asset_type") == "table")
 
-def stored_catalog(spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """The catalog built by ``build(spark, sf_dir)`` written once per session as a partitioned
-    base snapshot in the shared folder, then read back (listing plans then prune partitions
-    and push filters into the Parquet scan)."""
-    import hashlib
 
-    from ..session import shared_dir
+def stored_assets(spark: SparkSession, sf_dir: str, tables: list[str], build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
+    """The rows of ``build(spark, sf_dir)`` as a partitioned base snapshot in the shared folder.
 
-    key = hashlib.sha1(f"{spark.sparkContext.applicationId}:{sf_dir}".encode()).hexdigest()[:16]
-    root = shared_dir(spark, f"catalog-{key}")
+    Written once per application and state (modification times) of the source ``tables``."""
+    states = []
+    for t in tables:
+        fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{t}.parquet")
+        states.append(f"{t}@{fs.getFileStatus(p).getModificationTime()}")
+    key = hashlib.sha1(":".join([spark.sparkContext.applicationId, sf_dir, *states]).encode()).hexdigest()[:16]
+    root = shared_dir(spark, f"store-{key}")
     if not exists(spark, f"{root}/base/_SUCCESS"):
         write_base(build(spark, sf_dir), root)
-    return read_catalog(spark, root)
+    return read_store(spark, root)

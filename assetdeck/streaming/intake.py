@@ -2,13 +2,13 @@
 
 Registrations arrive as a stream of candidate rows.  Each micro-batch runs
 the full registration pipeline (checks + admission rounds) against the
-catalog as of the previous batch and appends its admitted rows as batch
+store as of the previous batch and appends its admitted rows as batch
 ``<batch_id>``; labels go to ``labels/batch=<batch_id>``.  Inside a batch the
 order is the candidates' ``seq``; batches are processed in order, so the
 outcome equals one sequential pass over the whole stream.  A replayed batch
 (after a failure) finds its folder complete and is skipped: nothing is
 admitted twice.  A batch folder without its success marker is not part of the
-catalog, so a replay never meets its own rows; a batch that admits nothing
+store, so a replay never meets its own rows; a batch that admits nothing
 leaves a marked, empty folder.  Progress and replay bookkeeping live in the query's
 checkpoint location in shared storage.
 """
@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import registration as RG
-from ..sources import catalog as CAT
+from ..sources import store as ST
 
 
 @dataclass
 class IntakeContext:
-    catalog_root: str
+    store_root: str
     mat: DataFrame
     storage: DataFrame
     permissions: DataFrame
@@ -37,14 +37,14 @@ class IntakeContext:
 
 def process_batch(ctx: IntakeContext, batch: DataFrame, batch_id: int) -> None:
     spark = batch.sparkSession
-    if CAT.batch_done(spark, ctx.catalog_root, batch_id):
+    if ST.batch_done(spark, ctx.store_root, batch_id):
         return  # replay of a completed batch
-    current = CAT.read_catalog(spark, ctx.catalog_root)
+    current = ST.read_store(spark, ctx.store_root)
     res = RG.register_assets(batch, current, ctx.mat, ctx.storage, ctx.permissions, ctx.users, ctx.now,
                              auth_enabled=ctx.auth_enabled, batch=batch_id)
-    labels_path = f"{ctx.catalog_root.rstrip('/')}/labels/batch={batch_id}"
+    labels_path = f"{ctx.store_root.rstrip('/')}/labels/batch={batch_id}"
     res.labelled.select("seq", "admission_status", "existing_id", "new_id").write.mode("overwrite").parquet(labels_path)
-    CAT.append_batch(res.created, ctx.catalog_root, batch_id)
+    ST.append_batch(res.created, ctx.store_root, batch_id)
 
 
 def start_intake(stream: DataFrame, ctx: IntakeContext, checkpoint_location: str, available_now: bool = True) -> StreamingQuery:
@@ -55,5 +55,5 @@ def start_intake(stream: DataFrame, ctx: IntakeContext, checkpoint_location: str
     return w.start()
 
 
-def read_labels(spark: SparkSession, catalog_root: str) -> DataFrame:
-    return spark.read.parquet(f"{catalog_root.rstrip('/')}/labels")
+def read_labels(spark: SparkSession, store_root: str) -> DataFrame:
+    return spark.read.parquet(f"{store_root.rstrip('/')}/labels")

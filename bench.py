@@ -1,4 +1,4 @@
-"""Benchmark: run the headline catalog queries and print one JSON line.
+"""Benchmark: run the headline asset queries and print one JSON line.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
@@ -50,7 +50,7 @@ def main() -> None:
         except Exception as exc:  # noqa: BLE001 - report and keep measuring the others
             errors[name] = f"{type(exc).__name__}: {str(exc)[:200]}"
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    out = {"metric": "catalog_headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
+    out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
            "queries": times, "sf": sf, "cpus": cpus}
     if errors:
         out["errors"] = errors

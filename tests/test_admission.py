@@ -10,10 +10,10 @@ from assetdeck.schema import CANDIDATE
 from conftest import SMALL
 
 
-def sequential(cands, catalog):
+def sequential(cands, store):
     """Reference loop: one registration at a time in seq order."""
-    keys = {(a["datastack"], a["name"], a["mat_version"], a["revision"]): a["id"] for a in catalog}
-    uris = {a["uri"]: a["id"] for a in catalog}
+    keys = {(a["datastack"], a["name"], a["mat_version"], a["revision"]): a["id"] for a in store}
+    uris = {a["uri"]: a["id"] for a in store}
     out = {}
     for c in sorted(cands, key=lambda r: r["seq"]):
         k = (c["datastack"], c["name"], c["mat_version"], c["revision"])

@@ -7,6 +7,7 @@ import pytest
 from assetdeck import fixtures as FX
 from assetdeck.operators import listing as L
 from assetdeck.operators import predicates as P
+from assetdeck.plans import all_queries
 from conftest import SMALL
 
 # the five-asset listing seed: two NULL versions drive NULLS FIRST
@@ -76,3 +77,17 @@ def test_explore_page_on_driver_tables(spark):
     assert 0 < len(p) <= 10
     assert {r["showing_from"] for r in p} == {1}
     assert all(r["mat_version"] != "" for r in p)
+
+
+PUSHED = {"by_datastack": "PartitionFilters: [isnotnull(datastack", "not_expired": "Or(IsNull(expires_at)", "is_expired": "LessThan(expires_at",
+          "name_eq": "EqualTo(name,tbl_42)", "mat_version_eq": "EqualTo(mat_version,903)", "revision_eq": "EqualTo(revision,3)",
+          "format_eq": "EqualTo(format,delta)", "asset_type_eq": "EqualTo(asset_type,asset)", "mutability_eq": "EqualTo(mutability,mutable)",
+          "maturity_eq": "EqualTo(maturity,draft)", "source_eq": "EqualTo(source,materialization)", "scan_tables": "EqualTo(asset_type,table)",
+          "get_by_id": "expires_at", "compose_filters": "EqualTo(maturity,stable)"}
+
+
+@pytest.mark.parametrize("name", PUSHED)
+def test_predicates_reach_the_scan(spark, capsys, name):
+    all_queries()[0][name](spark, SMALL).explain("formatted")
+    filters = [line for line in capsys.readouterr().out.splitlines() if line.startswith(("PushedFilters", "PartitionFilters"))]
+    assert any(PUSHED[name] in line for line in filters), filters
