@@ -16,7 +16,7 @@ KF_FLAT = ("kind, target_table, target_column, node_level, array_to_string(list_
            "axis, point_group, axis_resolution")
 
 
-def _flat_kind(df):
+def flat_kind(df):
     return df.withColumn("resolution", F.array_join(F.transform("resolution", lambda x: x.cast("string")), ","))
 
 
@@ -42,7 +42,7 @@ def explode_columns(spark, d):
 @query("last_annotation_wins", with_fixtures(
     f"SELECT asset_id, column_name, pos, tie, description, {KF_FLAT} FROM ({LAST_SQL})", "cat_annotations"))
 def last_annotation_wins(spark, d):
-    return _flat_kind(A.last_annotation_wins(FX.annotations(spark, d)))
+    return flat_kind(A.last_annotation_wins(FX.annotations(spark, d)))
 
 
 @query("merge_columns", with_fixtures(
@@ -53,7 +53,7 @@ def last_annotation_wins(spark, d):
     "cat_columns", "cat_annotations"))
 def merge_columns(spark, d):
     cols = A.explode_columns(FX.assets(spark, d))
-    return _flat_kind(A.merge_columns(cols, FX.annotations(spark, d)))
+    return flat_kind(A.merge_columns(cols, FX.annotations(spark, d)))
 
 
 TARGET_SQL = """SELECT a.asset_id, a.pos, a.tie, a.column_name, 'materialization' AS kind,
@@ -142,4 +142,4 @@ FROM (SELECT *, nullif(trim(kind), '') AS k, nullif(trim(target_table), '') AS t
     f"SELECT * FROM ({CELLS_SQL}) WHERE description IS NOT NULL OR kind IS NOT NULL", "cat_form_cells", form_rows=FORM_ROWS_SQL))
 def annotation_cells_to_structs(spark, d):
     out = forms.cells_to_annotations(FX.form_cells(spark, d), keep_empty=False)
-    return out.select("asset_id", "idx", "tie", "column_name", "description", "kind.*", "form_error").transform(_flat_kind)
+    return out.select("asset_id", "idx", "tie", "column_name", "description", "kind.*", "form_error").transform(flat_kind)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as FX
+from ..fixtures import DTYPE_CYCLE
 from ..operators import changes as CH
 from .fixture_sql import NOW_SQL, with_fixtures
-from .q_annotations import DTYPE_SQL, GROUP_SQL, TARGET_SQL
-from .q_listing import FLAT_COLS, flat
+from .q_annotations import DTYPE_SQL, GROUP_SQL, TARGET_SQL, flat_kind
+from .q_listing import FLAT_COLS, LISTS_SQL, flat, whole
 from .q_scalars import KIND_ERROR_SQL
 from .registry import query
 
@@ -69,10 +70,14 @@ REPLACE_SQL = f"""SELECT r.id,
 FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 5 = 0) r LEFT JOIN cat_assets a ON a.id = r.id"""
 
 
+REPLACE_CTES = {
+    "ta": _NA, "tm": f"SELECT asset_id FROM ta WHERE ({KIND_ERROR_SQL}) IS NOT NULL", "t1": TARGET_SQL,
+    "t2": GROUP_SQL.replace("FROM cat_annotations", "FROM ta"), "t3": DTYPE_SQL.replace("FROM cat_annotations a", "FROM ta a"),
+}
+
+
 @query("replace_annotations", with_fixtures(
-    REPLACE_SQL, "cat_assets", "cat_annotations", "cat_mat_objects", "cat_columns",
-    ta=_NA, tm=f"SELECT asset_id FROM ta WHERE ({KIND_ERROR_SQL}) IS NOT NULL", t1=TARGET_SQL, t2=GROUP_SQL.replace("FROM cat_annotations", "FROM ta"),
-    t3=DTYPE_SQL.replace("FROM cat_annotations a", "FROM ta a")))
+    REPLACE_SQL, "cat_assets", "cat_annotations", "cat_mat_objects", "cat_columns", **REPLACE_CTES))
 def replace_annotations(spark, d):
     req, new = FX.annotation_updates(spark, d)
     assets = FX.assets(spark, d)
@@ -81,20 +86,44 @@ def replace_annotations(spark, d):
     return st.join(counts, "id", "left").select("id", "status", F.coalesce("n_new", F.lit(0)).alias("n_new"))
 
 
-REFRESH_SQL = f"""SELECT id, status,
-  CASE WHEN status = 'refreshed' THEN CAST(1 + num % 6 AS INTEGER) ELSE n_columns END AS n_columns,
-  CASE WHEN status = 'refreshed' THEN {NOW_SQL} ELSE metadata_cached_at END AS metadata_cached_at
-FROM (SELECT r.id, a.n_columns, a.metadata_cached_at,
-    CAST(regexp_extract(a.uri, '/([0-9]+)$', 1) AS BIGINT) AS num,
-    CASE WHEN a.id IS NULL OR coalesce(a.expires_at < {NOW_SQL}, false) THEN 'not_found'
+_ANN = ("asset_id, pos, tie, column_name, description, kind, target_table, target_column, node_level, "
+        "array_to_string(list_transform(resolution, lambda x: CAST(x AS VARCHAR)), ',') AS resolution, axis, point_group, axis_resolution")
+
+
+@query("replaced_annotations", with_fixtures(
+    f"SELECT {_ANN} FROM cat_annotations WHERE asset_id NOT IN (SELECT id FROM ok) "
+    f"UNION ALL SELECT {_ANN} FROM ta WHERE asset_id IN (SELECT id FROM ok)",
+    "cat_assets", "cat_annotations", "cat_mat_objects", "cat_columns", **REPLACE_CTES,
+    ok=f"SELECT id FROM ({REPLACE_SQL}) WHERE status = 'updated'"))
+def replaced_annotations(spark, d):
+    """SNK-04: the annotation table after the replacements."""
+    req, new = FX.annotation_updates(spark, d)
+    out, _ = CH.replace_annotations(FX.assets(spark, d), FX.annotations(spark, d), req, new, FX.mat_objects(spark, d), NOW)
+    return flat_kind(out)
+
+
+_DTYPES = "CASE (num + i) % 8 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(DTYPE_CYCLE)) + " END"
+
+
+def _refreshed(new: str, old: str, name: str) -> str:
+    return f"CASE WHEN status = 'refreshed' THEN {new} ELSE {old} END AS {name}"
+
+
+REFRESH_SQL = f"""SELECT id, {_refreshed("num * 7919 % 1000003", "n_rows", "n_rows")},
+  {_refreshed("CAST(1 + num % 6 AS INTEGER)", "n_columns", "n_columns")}, {_refreshed("num * 1048573 % 1073741824", "n_bytes", "n_bytes")},
+  {_refreshed(f"(SELECT string_agg('col_' || i || ':' || {_DTYPES}, ',' ORDER BY i) FROM range(1, 7) AS r(i) WHERE i <= 1 + num % 6)", "column_list", "column_list")},
+  {_refreshed("''", "partition_list", "partition_list")}, {_refreshed(NOW_SQL, "metadata_cached_at", "metadata_cached_at")}, status
+FROM (SELECT a.*, CAST(regexp_extract(a.uri, '/([0-9]+)$', 1) AS BIGINT) AS num,
+    CASE WHEN CAST(a.id AS BIGINT) % 7 <> 0 THEN NULL WHEN coalesce(a.expires_at < {NOW_SQL}, false) THEN 'not_found'
       WHEN a.asset_type <> 'table' THEN 'not_table' WHEN a.format IS NULL THEN 'no_format'
       WHEN lower(a.format) NOT IN ('delta', 'parquet') THEN 'unsupported_format'
       WHEN a.uri NOT IN (SELECT uri FROM cat_storage WHERE actual_format IN ('parquet', 'delta')) THEN 'extraction_failed'
       ELSE 'refreshed' END AS status
-  FROM (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 7 = 0) r LEFT JOIN cat_assets a ON a.id = r.id)"""
+  FROM (SELECT *{LISTS_SQL} FROM cat_assets) a)"""
 
 
-@query("refresh_metadata", with_fixtures(REFRESH_SQL, "cat_assets", "cat_storage"))
+@query("refresh_metadata", with_fixtures(REFRESH_SQL, "cat_assets", "cat_storage", "cat_columns"))
 def refresh_metadata(spark, d):
+    """SNK-05: the metadata of every asset after the refresh, with the status of the requested ones."""
     out, st = CH.refresh_metadata(FX.assets(spark, d), FX.refresh_requests(spark, d), FX.extracted_metadata(spark, d), NOW)
-    return st.join(out.select("id", F.col("cached_metadata.n_columns").alias("n_columns"), "metadata_cached_at"), "id", "left")
+    return whole(out).select("id", "n_rows", "n_columns", "n_bytes", "column_list", "partition_list", "metadata_cached_at").join(st, "id", "left")

@@ -19,10 +19,11 @@ def _listing(spark, d):
     return ST.list_files(spark, d, glob="*.parquet")
 
 
-@query("storage_listing")
+@query("storage_listing", "\nUNION ALL ".join(f"SELECT '{t}' AS table_name, true AS has_bytes" for t in TABLE_FILES))
 def storage_listing(spark, d):
-    """SRC-11 listing: every file of the data folder with its size (contents are not read)."""
-    return _listing(spark, d).select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("table_name"), "length")
+    """SRC-11 listing: every file of the data folder, by size not empty (contents are not read)."""
+    return _listing(spark, d).select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("table_name"),
+                                     (F.col("length") > 0).alias("has_bytes"))
 
 
 def _pm_sql() -> str:
@@ -36,7 +37,7 @@ def _pm_sql() -> str:
 def parquet_metadata(spark, d):
     """SRC-03: footers of every Parquet file in the data folder, read on executors."""
     files = _listing(spark, d).select(F.col("path").alias("uri"), F.lit("parquet").alias("format"))
-    prof = EX.profile_paths(files, parallelism=8)
+    prof = EX.profile_paths(files)
     return prof.select(F.regexp_extract("uri", r"([^/]+)\.parquet$", 1).alias("table_name"), "n_rows", "n_columns",
                        F.array_join(F.transform("columns", lambda c: c["name"]), ",").alias("column_names"))
 
@@ -53,19 +54,41 @@ def _profile_requests(spark, d):
     return real.unionByName(missing)
 
 
-@query("profile_paths")
+#: The requests and what becomes of them: format asked, whether the file is there.
+REQUESTS = ([(f"{t}.parquet", {"region": "delta", "labels": "delta", "benchmark": "csv", "nation": "Parquet"}.get(t, "parquet"), t)
+             for t in TABLE_FILES] + [(f"{t}.parquet.missing", "parquet", None) for t in ("orders", "part")])
+
+
+def _profiled_sql(file: str, fmt: str, t: str | None) -> str:
+    status = "unsupported_format" if fmt == "csv" else "ok" if t and fmt.lower() == "parquet" else "error"
+    n_rows, n_columns = (f"(SELECT count(*) FROM {t})", f"(SELECT count(*) FROM (DESCRIBE {t}))") if status == "ok" else ("NULL", "NULL")
+    return (f"SELECT '{file}' AS file_name, '{fmt}' AS format, '{status}' AS status, CAST({n_rows} AS BIGINT) AS n_rows, "
+            f"CAST({n_columns} AS INTEGER) AS n_columns, {str(status == 'ok').lower()} AS has_bytes")
+
+
+def _sniffed_sql(file: str, fmt: str, t: str | None) -> str:
+    message = ("No sniffer registered for format ''csv''" if fmt == "csv"
+               else f"Delta sniff failed: No Delta transaction log found at ''{file}''. This path may not contain a Delta Lake table."
+               if fmt == "delta" else None if t else f"Parquet sniff failed: No such file or directory: ''{file}''")
+    passed = message is None or fmt == "csv"
+    return (f"SELECT '{file}' AS file_name, '{fmt}' AS format, {str(passed).lower()} AS sniff_passed, "
+            f"CAST({'NULL' if message is None else f"'{message}'"} AS VARCHAR) AS sniff_message")
+
+
+@query("profile_paths", "\nUNION ALL ".join(_profiled_sql(*r) for r in REQUESTS))
 def profile_paths(spark, d):
     """SRC-06: profile (uri, format) requests; failures become status/error values."""
-    prof = EX.profile_paths(_profile_requests(spark, d), parallelism=8)
+    prof = EX.profile_paths(_profile_requests(spark, d))
     return prof.select(F.regexp_extract("uri", r"([^/]+)$", 1).alias("file_name"), "format", "status",
-                       "n_rows", "n_columns", "n_bytes")
+                       "n_rows", "n_columns", F.coalesce(F.col("n_bytes") > 0, F.lit(False)).alias("has_bytes"))
 
 
-@query("sniff_files")
+@query("sniff_files", "\nUNION ALL ".join(_sniffed_sql(*r) for r in REQUESTS))
 def sniff_files(spark, d):
-    """SRC-12/13/14 on real files: Parquet sniff reads the footer, Delta sniff needs a log."""
-    prof = EX.sniff(EX.profile_paths(_profile_requests(spark, d), parallelism=8))
-    return prof.select(F.regexp_extract("uri", r"([^/]+)$", 1).alias("file_name"), "format", "sniff_passed", "sniff_message")
+    """SRC-12/13/14 on real files: Parquet sniff reads the footer, Delta sniff needs a log (paths shortened to file names)."""
+    prof = EX.sniff(EX.profile_paths(_profile_requests(spark, d)))
+    return prof.select(F.regexp_extract("uri", r"([^/]+)$", 1).alias("file_name"), "format", "sniff_passed",
+                       F.regexp_replace("sniff_message", r"'[^']*/([^'/]+)'", "'$1'").alias("sniff_message"))
 
 
 @query("extractor_dispatch", with_fixtures(

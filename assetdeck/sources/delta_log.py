@@ -14,11 +14,15 @@ from pyspark.sql import types as T
 
 from .storage import normalize_path
 
+DELETION_VECTOR = T.StructField("deletionVector", T.StructType([
+    T.StructField("storageType", T.StringType()), T.StructField("pathOrInlineDv", T.StringType()), T.StructField("offset", T.IntegerType())]))
+
 ACTION = T.StructType([
     T.StructField("add", T.StructType([
         T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("stats", T.StringType()),
+        DELETION_VECTOR,
     ])),
-    T.StructField("remove", T.StructType([T.StructField("path", T.StringType())])),
+    T.StructField("remove", T.StructType([T.StructField("path", T.StringType()), DELETION_VECTOR])),
     T.StructField("metaData", T.StructType([
         T.StructField("schemaString", T.StringType()), T.StructField("partitionColumns", T.ArrayType(T.StringType())),
     ])),
@@ -36,18 +40,24 @@ def _has_match(spark: SparkSession, glob: str) -> bool:
     return found is not None and len(found) > 0
 
 
+def _vector(action: str) -> Column:
+    """Identity of a deletion vector; NULL for a file without one."""
+    v = F.col(f"a.{action}.deletionVector")
+    return F.when(v.isNotNull(), F.concat_ws("@", v["storageType"], v["pathOrInlineDv"], v["offset"].cast("string")))
+
+
 def _flatten(a: DataFrame) -> DataFrame:
     return a.select(
         "table", "version",
         F.col("a.add.path").alias("add_path"), F.col("a.add.size").alias("add_size"),
         F.get_json_object("a.add.stats", "$.numRecords").cast("bigint").alias("num_records"),
-        F.col("a.remove.path").alias("remove_path"),
+        F.col("a.remove.path").alias("remove_path"), F.coalesce(_vector("add"), _vector("remove"), F.lit("")).alias("vector"),
         F.col("a.metaData.schemaString").alias("schema_string"),
         F.col("a.metaData.partitionColumns").alias("partition_columns"))
 
 
 def read_actions(spark: SparkSession, table_uris: list[str]) -> DataFrame:
-    """``(table, version, add_path, add_size, num_records, remove_path, schema_string, partition_columns)``.
+    """``(table, version, add_path, add_size, num_records, remove_path, vector, schema_string, partition_columns)``.
 
     Actions of the newest Parquet checkpoint of each table plus the JSON commits after it
     (older checkpoints are ignored: their removed files may no longer carry tombstones)."""
@@ -76,12 +86,17 @@ def read_actions(spark: SparkSession, table_uris: list[str]) -> DataFrame:
 
 
 def live_files(actions: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """WIN-04: newest action per (table, path) by ``order`` (default: version); keep adds only."""
+    """WIN-04: newest action per (table, path, deletion vector) by ``order`` (default: version); keep adds only.
+
+    A commit that gives a file a new deletion vector adds it under that vector and removes it under the old one, so
+    the two are different entries.  ``actions`` without a column ``vector`` have none."""
     order = order or ["version"]
+    if "vector" not in actions.columns:
+        actions = actions.withColumn("vector", F.lit(""))
     acts = actions.where(F.col("add_path").isNotNull() | F.col("remove_path").isNotNull()).withColumn(
         "path", F.coalesce("add_path", "remove_path"))
     payload = F.struct(*order, F.col("add_path").isNotNull().alias("is_add"), "add_size", "num_records")
-    newest = acts.groupBy("table", "path").agg(F.max_by(payload, F.struct(*order)).alias("n"))
+    newest = acts.groupBy("table", "path", "vector").agg(F.max_by(payload, F.struct(*order)).alias("n"))
     return newest.where(F.col("n.is_add")).select("table", "path", F.col("n.add_size").alias("size"),
                                                    F.col("n.num_records").alias("num_records"))
 

@@ -125,18 +125,22 @@ def _delta_profile(uri: str) -> dict:
                      and int(os.path.basename(f.path).split(".")[0]) > ckpt_version)
     if not commits and ckpt_version < 0:
         raise ValueError(f"No Delta transaction log found at '{uri}'. This path may not contain a Delta Lake table.")
-    # newest action per file path decides whether the file is live
-    latest: dict[str, dict | None] = {}
+    # newest action per file and deletion vector decides whether the file is live
+    latest: dict[tuple, dict | None] = {}
     metadata = None
 
+    def entry(action: dict) -> tuple:
+        v = action.get("deletionVector") or {}
+        return action["path"], v.get("storageType"), v.get("pathOrInlineDv"), v.get("offset")
+
     def apply(act: dict) -> None:
         nonlocal metadata
         if act.get("metaData"):
             metadata = act["metaData"]
         elif act.get("add"):
-            latest[act["add"]["path"]] = act["add"]
+            latest[entry(act["add"])] = act["add"]
         elif act.get("remove"):
-            latest[act["remove"]["path"]] = None
+            latest[entry(act["remove"])] = None
 
     for act in ckpt_actions:
         apply(act)
@@ -189,13 +193,14 @@ def _profile_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=PROFILE.fieldNames())
 
 
-def profile_paths(paths: DataFrame, uri_col: str = "uri", format_col: str = "format", parallelism: int | None = None) -> DataFrame:
+def profile_paths(paths: DataFrame, uri_col: str = "uri", format_col: str = "format") -> DataFrame:
     """SRC-06: ``(uri, format)`` rows -> one metadata row per path with ``status``/``error``.
 
-    Unknown formats are an error naming the supported ones (SRC-05)."""
-    p = paths.select(F.col(uri_col).alias("uri"), F.col(format_col).alias("format"))
-    if parallelism:
-        p = p.repartition(parallelism, "uri")
+    Unknown formats are an error naming the supported ones (SRC-05).  The paths are spread over
+    ``spark.sql.shuffle.partitions`` tasks: the number is stated so that adaptive execution does not
+    merge rows that are few bytes but much work."""
+    tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = paths.select(F.col(uri_col).alias("uri"), F.col(format_col).alias("format")).repartition(tasks, "uri")
     return p.mapInPandas(_profile_batches, PROFILE)
 
 

@@ -109,10 +109,10 @@ def test_sniff(spark, files):
     df = spark.createDataFrame([(f"{files}/simple.parquet", "parquet"), (f"{files}/corrupt.parquet", "parquet"),
                                 (f"{files}/simple.parquet", None), (f"{files}/simple.parquet", "precomputed")],
                                "uri string, format string")
-    got = EX.sniff(EX.profile_paths(df)).collect()
-    assert [r["sniff_passed"] for r in got] == [True, False, True, True]
-    assert got[1]["sniff_message"].startswith("Parquet sniff failed")
-    assert got[2]["sniff_message"] == "No format specified; skipping sniff"
+    got = {(os.path.basename(r["uri"]), r["format"]): r for r in EX.sniff(EX.profile_paths(df)).collect()}
+    assert {k for k, r in got.items() if not r["sniff_passed"]} == {("corrupt.parquet", "parquet")} and len(got) == 4
+    assert got["corrupt.parquet", "parquet"]["sniff_message"].startswith("Parquet sniff failed")
+    assert {r["sniff_message"] for r in got.values() if r["format"] is None} == {"No format specified; skipping sniff"}
 
 
 def test_uri_exists_against_listing(spark, files):
@@ -162,3 +162,22 @@ def test_delta_reader_tolerates_tables_without_log(spark, files):
     tables = spark.createDataFrame([(f"{files}/empty_dir",)], "uri string")
     row = DL.table_metadata(acts, tables).first()
     assert row["error"].startswith("No Delta transaction log found")
+
+
+def test_new_deletion_vector_of_a_file(spark, files):
+    """One commit adds a file under its new deletion vector and removes it under the old one: it stays live, once."""
+    d = f"{files}/delta_dv"
+    os.makedirs(f"{d}/_delta_log")
+    schema = {"type": "struct", "fields": [{"name": "id", "type": "long", "nullable": True, "metadata": {}}]}
+    file = {"path": "f.parquet", "size": 70, "stats": json.dumps({"numRecords": 7})}
+    first, second = ({"storageType": "u", "pathOrInlineDv": x, "offset": 1} for x in ("ab", "cd"))
+    commits = [[{"metaData": {"schemaString": json.dumps(schema), "partitionColumns": []}}, {"add": file}],
+               [{"add": file | {"deletionVector": first}}, {"remove": {"path": "f.parquet"}}],
+               [{"add": file | {"deletionVector": second}}, {"remove": {"path": "f.parquet", "deletionVector": first}}]]
+    for i, c in enumerate(commits):
+        with open(f"{d}/_delta_log/{i:020d}.json", "w") as fh:
+            fh.write("\n".join(json.dumps(x) for x in c) + "\n")
+    got = _profile(spark, [(d, "delta")])[d]
+    assert (got["n_rows"], got["n_bytes"]) == (7, 70)
+    md = DL.table_metadata(DL.read_actions(spark, [d]), spark.createDataFrame([(d,)], "uri string")).first()
+    assert (md["n_rows"], md["n_bytes"]) == (7, 70)
