@@ -317,7 +317,7 @@ def extracted_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PATCH requests, up to four an id: per field a ``<field>_set`` flag (sent or not) and the value (NULL clears)."""
     return table(spark, sf_dir, "events").selectExpr(
-        "event_id AS request_id",
+        "event_id AS request_id", "user_id",
         "CAST(event_id DIV 4 * 4 AS STRING) AS id",
         "event_id % 3 = 0 AS maturity_set",
         "CASE WHEN event_id % 33 = 0 THEN NULL WHEN event_id % 21 = 0 THEN 'bogus' "
@@ -331,7 +331,9 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").where("event_id % 2 = 1").selectExpr("CAST(event_id * 5 AS STRING) AS id")
+    """DELETE requests, one or two an id; some ids do not exist."""
+    return table(spark, sf_dir, "events").where("event_id % 2 = 1").selectExpr(
+        "event_id AS request_id", "user_id", "CAST(event_id DIV 4 * 5 AS STRING) AS id")
 
 
 def annotation_updates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from . import access as AC
 from . import annotations as AN
 from .predicates import is_expired
 
@@ -27,19 +28,27 @@ def partition_columns(extracted: DataFrame) -> Column:
     return F.coalesce(F.col("partition_columns"), empty) if "partition_columns" in extracted.columns else empty
 
 
-def patch_assets(assets: DataFrame, patches: DataFrame, now, order: str = "request_id") -> tuple[DataFrame, DataFrame]:
+def _may_edit(requests: DataFrame, permissions: DataFrame | None, users: DataFrame | None) -> DataFrame:
+    """Adds ``allowed``: ``edit`` (or ``admin``) on ``datastack`` for ``user_id``; without permissions nothing is checked."""
+    return AC.datastack_permission(requests, permissions, users, "edit", auth_enabled=permissions is not None)
+
+
+def patch_assets(assets: DataFrame, patches: DataFrame, now, order: str = "request_id", permissions: DataFrame | None = None,
+                 users: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """SNK-03: only maturity, access_group, expires_at.  Per field ``<f>_set`` says whether it
     was sent: unset keeps, explicit NULL clears.  Missing or expired -> not_found; an explicit
-    NULL or unknown maturity -> invalid (no change).
+    NULL or unknown maturity -> invalid (no change).  With ``permissions`` and ``users``, a request whose ``user_id``
+    may not edit the asset's datastack is forbidden (after not_found, before invalid).
 
     All requests of an id apply in the order of the (unique) ``order`` column: per field the last valid request
     that sets it wins, and the first one whose ``expires_at`` lies in the past makes the later ones not_found.
     Returns (next snapshot, one status row per request)."""
     p = patches
-    target = assets.select("id", is_expired(now).alias("_expired"))
-    st = p.join(target, "id", "left").select(
+    target = assets.select("id", "datastack", is_expired(now).alias("_expired"))
+    st = _may_edit(p.join(target, "id", "left"), permissions, users).select(
         "id", *[c for c in p.columns if c != "id"],
         F.when(F.col("_expired").isNull() | F.col("_expired"), F.lit("not_found"))
+        .when(~F.col("allowed"), F.lit("forbidden"))
         .when(F.col("maturity_set") & (F.col("maturity").isNull() | ~F.col("maturity").isin(*S.MATURITY_VALUES)), F.lit("invalid"))
         .otherwise(F.lit("updated")).alias("status"))
     ends = st.where((F.col("status") == "updated") & F.col("expires_at_set") & is_expired(now)).groupBy("id").agg(
@@ -62,6 +71,19 @@ def delete_assets(assets: DataFrame, ids: DataFrame) -> DataFrame:
     return assets.join(ids.select("id").distinct(), "id", "left_anti")
 
 
+def delete_requests(assets: DataFrame, requests: DataFrame, permissions: DataFrame | None = None, users: DataFrame | None = None,
+                    order: str = "request_id") -> tuple[DataFrame, DataFrame]:
+    """SNK-06 per request (``id``, ``user_id`` and the unique ``order``): not_found, forbidden or deleted.
+
+    Expired assets can be deleted.  Of several permitted requests for one id the first deletes it, and every later
+    request finds nothing.  Returns (next snapshot, one status row per request)."""
+    r = _may_edit(requests.join(assets.select("id", "datastack"), "id", "left"), permissions, users)
+    first = r.where(F.col("datastack").isNotNull() & F.col("allowed")).groupBy("id").agg(F.min(order).alias("_first"))
+    status = (F.when(F.col("datastack").isNull() | (F.col(order) > F.col("_first")), F.lit("not_found"))
+              .when(~F.col("allowed"), F.lit("forbidden")).otherwise(F.lit("deleted")))
+    return delete_assets(assets, first), r.join(first, "id", "left").select("id", order, status.alias("status"))
+
+
 def replace_annotations(assets: DataFrame, annotations: DataFrame, updates: DataFrame, new_ann: DataFrame, mat: DataFrame,
                         now, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """SNK-04: replace the whole annotation list of each requested table after the checks.

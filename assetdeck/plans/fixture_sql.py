@@ -148,7 +148,7 @@ FROM events WHERE CAST(floor(value) AS BIGINT) % 3 <> 0"""
 
 
 CTES["cat_patches"] = """
-SELECT event_id AS request_id, CAST(event_id // 4 * 4 AS VARCHAR) AS id, event_id % 3 = 0 AS maturity_set,
+SELECT event_id AS request_id, user_id, CAST(event_id // 4 * 4 AS VARCHAR) AS id, event_id % 3 = 0 AS maturity_set,
   CASE WHEN event_id % 33 = 0 THEN NULL WHEN event_id % 21 = 0 THEN 'bogus' WHEN event_id % 3 = 0 THEN 'deprecated' ELSE 'draft' END AS maturity,
   event_id % 4 = 0 AS access_group_set,
   CASE WHEN event_id % 8 = 0 THEN NULL ELSE 'grp' || CAST(user_id % 5 AS VARCHAR) END AS access_group,
@@ -157,7 +157,8 @@ SELECT event_id AS request_id, CAST(event_id // 4 * 4 AS VARCHAR) AS id, event_i
     ELSE ts + INTERVAL 60 DAY END AS expires_at
 FROM events"""
 
-CTES["cat_deletes"] = "SELECT CAST(event_id * 5 AS VARCHAR) AS id FROM events WHERE event_id % 2 = 1"
+CTES["cat_deletes"] = ("SELECT event_id AS request_id, user_id, CAST(event_id // 4 * 5 AS VARCHAR) AS id "
+                       "FROM events WHERE event_id % 2 = 1")
 
 
 CTES["cat_forms"] = """

@@ -20,9 +20,13 @@ def _assets(spark, d):
     return FX.assets(spark, d, with_columns=False)
 
 
+EDITORS = {"may_edit": "SELECT user_id, resource FROM cat_permissions WHERE permission IN ('edit', 'admin')",
+           "admins": "SELECT user_id FROM cat_users WHERE is_admin"}
+
 #: Requests one by one: a request counts when no earlier one that counts has let the asset expire.
-PATCH_CTES = {
+PATCH_CTES = EDITORS | {
     "pv": f"""SELECT p.*, CASE WHEN x.id IS NULL OR coalesce(x.expires_at < {NOW_SQL}, false) THEN 'not_found'
+    WHEN (p.user_id, x.datastack) NOT IN (SELECT user_id, resource FROM may_edit) AND p.user_id NOT IN (SELECT user_id FROM admins) THEN 'forbidden'
     WHEN p.maturity_set AND (p.maturity IS NULL OR p.maturity NOT IN ('stable', 'draft', 'deprecated')) THEN 'invalid'
     ELSE 'updated' END AS st FROM cat_patches p LEFT JOIN cat_assets x ON x.id = p.id""",
     "ps": f"""SELECT p.* REPLACE (CASE WHEN EXISTS (SELECT 1 FROM pv q WHERE q.id = p.id AND q.request_id < p.request_id
@@ -41,21 +45,41 @@ PATCH_SQL = f"""SELECT a.id, a.datastack, a.name, a.mat_version, a.revision, a.u
 FROM cat_assets a"""
 
 
-@query("patch_assets", with_fixtures(PATCH_SQL, "cat_assets", "cat_patches", **PATCH_CTES))
+@query("patch_assets", with_fixtures(PATCH_SQL, "cat_assets", "cat_patches", "cat_permissions", "cat_users", **PATCH_CTES))
 def patch_assets(spark, d):
-    out, _ = CH.patch_assets(_assets(spark, d), FX.patches(spark, d), NOW)
+    out, _ = CH.patch_assets(_assets(spark, d), FX.patches(spark, d), NOW, permissions=FX.permissions(spark, d), users=FX.users(spark, d))
     return flat(out)
 
 
-@query("patch_status", with_fixtures("SELECT id, request_id, st AS status FROM ps", "cat_assets", "cat_patches", **PATCH_CTES))
+@query("patch_status", with_fixtures("SELECT id, request_id, st AS status FROM ps", "cat_assets", "cat_patches", "cat_permissions", "cat_users", **PATCH_CTES))
 def patch_status(spark, d):
-    return CH.patch_assets(_assets(spark, d), FX.patches(spark, d), NOW)[1]
+    return CH.patch_assets(_assets(spark, d), FX.patches(spark, d), NOW, permissions=FX.permissions(spark, d), users=FX.users(spark, d))[1]
+
+
+#: The first permitted request for an id deletes it.
+DELETE_CTES = EDITORS | {
+    "dr": """SELECT r.*, a.datastack, (r.user_id, a.datastack) IN (SELECT user_id, resource FROM may_edit)
+      OR r.user_id IN (SELECT user_id FROM admins) AS allowed
+    FROM cat_deletes r LEFT JOIN cat_assets a ON a.id = r.id""",
+    "df": "SELECT id, min(request_id) AS first FROM dr WHERE datastack IS NOT NULL AND allowed GROUP BY id",
+}
+_DELETES = ("cat_assets", "cat_deletes", "cat_permissions", "cat_users")
 
 
-@query("delete_assets", with_fixtures(f"SELECT {FLAT_COLS} FROM cat_assets WHERE id NOT IN (SELECT id FROM cat_deletes)",
-                                      "cat_assets", "cat_deletes"))
+def _deleted(spark, d):
+    return CH.delete_requests(_assets(spark, d), FX.delete_requests(spark, d), FX.permissions(spark, d), FX.users(spark, d))
+
+
+@query("delete_assets", with_fixtures(f"SELECT {FLAT_COLS} FROM cat_assets WHERE id NOT IN (SELECT id FROM df)", *_DELETES, **DELETE_CTES))
 def delete_assets(spark, d):
-    return flat(CH.delete_assets(_assets(spark, d), FX.delete_requests(spark, d)))
+    return flat(_deleted(spark, d)[0])
+
+
+@query("delete_status", with_fixtures(
+    "SELECT id, request_id, CASE WHEN datastack IS NULL OR coalesce(request_id > first, false) THEN 'not_found' "
+    "WHEN NOT allowed THEN 'forbidden' ELSE 'deleted' END AS status FROM dr LEFT JOIN df USING (id)", *_DELETES, **DELETE_CTES))
+def delete_status(spark, d):
+    return _deleted(spark, d)[1]
 
 
 _NA = ("SELECT * FROM cat_annotations WHERE (tie // 100003) % 2 = 0 "

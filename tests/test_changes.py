@@ -65,3 +65,15 @@ def test_refresh_stores_partition_columns_once(spark):
     assert [r["status"] for r in st.collect()] == ["refreshed"]
     (row,) = out.where(F.col("id") == a).collect()
     assert (row["cached_metadata"]["n_rows"], row["cached_metadata"]["partition_columns"]) == (5, ["day"])
+
+
+def test_deletes_need_edit_and_happen_once(spark):
+    assets = spark.createDataFrame([("1", "ds"), ("2", "ds"), ("3", "other")], "id string, datastack string")
+    req = spark.createDataFrame([(1, 8, "1"), (2, 7, "1"), (3, 7, "1"), (4, 9, "2"), (5, 7, "3"), (6, 7, "4")],
+                                "request_id long, user_id long, id string")
+    permissions = spark.createDataFrame([(7, "ds", "edit"), (8, "ds", "view")], "user_id long, resource string, permission string")
+    users = spark.createDataFrame([(7, False), (8, False), (9, True)], "user_id long, is_admin boolean")
+    left, st = CH.delete_requests(assets, req, permissions, users)
+    assert [r["id"] for r in left.collect()] == ["3"]
+    assert {r["request_id"]: r["status"] for r in st.collect()} == {
+        1: "forbidden", 2: "deleted", 3: "not_found", 4: "deleted", 5: "forbidden", 6: "not_found"}
