@@ -5,8 +5,7 @@ host, distinct documents are counted per host and line, lines above the host's l
 that loses more than a share of its words to them is rejected.
 
 Distinct documents are distinct texts: exact copies count once.  The first document (by digest) with a boilerplate
-line keeps it, so that no group of copies can vanish as a whole.  Paragraphs longer than ``max_line_words`` are
-prose, not boilerplate lines, and are left to the deduplication operators.
+line keeps it, so that no group of copies can vanish as a whole.  Lines of every length are counted.
 """
 
 from __future__ import annotations
@@ -20,7 +19,8 @@ from . import common as C
 
 WINDOW = 8
 SYMBOLS = "[#*$%&|<>]"
-SPACES = r"[\x20\x09-\x0D]+"
+#: Runs of white space in a line that are not a single blank.
+SPACES = r"\x20*+[\x09\x0B-\x0D][\x20\x09\x0B-\x0D]*+|\x20\x20++"
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,6 @@ class Limits:
     max_repeat_percent: int = 30
     min_docs: int = 20
     per_thousand: int = 2
-    max_line_words: int = 25
     max_removed_percent: int = 50
 
 
@@ -69,21 +68,17 @@ def _repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > WINDOW, C.let(hashes, from_hashes)).otherwise(F.lit(0).cast("long"))
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, digits as 0, runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), SPACES, " "))
+def normalised_lines(text: Column) -> Column:
+    """The lines of a text in lower case, digits as 0, runs of white space as one blank, none at the ends."""
+    whole = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), SPACES, " ")
+    return F.transform(F.split(whole, "\n", -1), lambda x: F.trim(x))
 
 
-def _boilerplate_lines(text: Column, host: Column, limits: Limits) -> Column:
-    """``array<struct<h, w>>``: hash and word count of each line that could be boilerplate."""
-    n = limits.max_line_words + 3  # up to one empty part at either end: longer lines are out before they are normalised
-    short = F.filter(F.split(text, "\n", -1), lambda x: F.size(F.split(x, SPACES, n)) < n)
-    norm = F.transform(short, normalised)
-    sized = F.transform(norm, lambda x: F.struct(F.xxhash64(host, x).alias("h"),
-                                                 (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("w"),
-                                                 (F.length(x) > 0).alias("any")))
-    return F.transform(F.filter(sized, lambda x: x["any"] & (x["w"] <= limits.max_line_words)),
-                       lambda x: F.struct(x["h"].alias("h"), x["w"].alias("w")))
+def _counted_lines(text: Column, host: Column) -> Column:
+    """``array<struct<h, w>>``: hash and word count of each line that is not blank."""
+    words = lambda x: F.octet_length(x) - F.octet_length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    return F.transform(F.filter(normalised_lines(text), lambda x: x != ""),
+                       lambda x: F.struct(F.xxhash64(host, x).alias("h"), words(x).alias("w")))
 
 
 def _host(column: str = "source") -> Column:
@@ -94,12 +89,12 @@ def _signature(host: Column, text: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws("\0", host, text)))
 
 
-def candidate_lines(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``host, sig, lines``: digest of (host, text) and the lines that could be boilerplate, per row."""
+def candidate_lines(docs: DataFrame) -> DataFrame:
+    """``host, sig, lines``: digest of (host, text) and the lines that are not blank, per row."""
     host, text = _host(), C.text_or_empty()
     return docs.select(host.alias("host"), text.alias("text")).select(
         "host", _signature(F.col("host"), F.col("text")).alias("sig"),
-        _boilerplate_lines(F.col("text"), F.col("host"), limits).alias("lines"))
+        _counted_lines(F.col("text"), F.col("host")).alias("lines"))
 
 
 def base(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -149,7 +144,7 @@ def _passes(limits: Limits) -> Column:
 
 
 def _lost(docs: DataFrame, limits: Limits) -> DataFrame:
-    counted = candidate_lines(docs, limits)
+    counted = C.written(candidate_lines(docs), "candidate-lines")
     frequent = C.written(frequent_lines(counted, limits), "frequent-lines")
     return C.written(removed_lines(counted, frequent), "removed-lines")
 
@@ -176,6 +171,7 @@ def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rows = (per_row.where(~failed).select("row", "text", "host", n.cast("long").alias("n_words"), F.lit(False).alias("base_failed"),
                                           _signature(F.col("host"), F.col("text")).alias("sig"))
             .join(removed, "sig", "left").where(_passes(limits)))
-    left = F.array_join(F.filter(F.split("text", "\n", -1),
-                                 lambda x: ~F.array_contains("lost", F.xxhash64("host", normalised(x)))), "\n")
+    left = F.array_join(F.filter(F.zip_with(F.split("text", "\n", -1), normalised_lines(F.col("text")), lambda line, norm:
+                                            F.when(~F.array_contains("lost", F.xxhash64("host", norm)), line)),
+                                 lambda x: x.isNotNull()), "\n")
     return rows.select(*C.with_text("row", docs.columns, F.when(F.col("lost").isNull(), F.col("text")).otherwise(left)))

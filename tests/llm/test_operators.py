@@ -97,6 +97,19 @@ def test_frequent_lines_go_and_the_first_document_keeps_them(spark):
     assert max(r.n_removed for r in quality_rules.verdicts(d, limits).collect()) == 4
 
 
+def test_long_lines_are_counted_like_short_ones(spark):
+    notice = " ".join(f"notice{k}" for k in range(60))
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{'x' * k}" for k in range(80))
+    rows = [(i, f"{notice.upper()} \t\n{own(i)}", "h", "en") for i in range(40)]
+    rows += [(100 + i, f"  {notice.replace(' ', chr(9) + ' ', 3)}\nshort tail t{i}", "h", "en") for i in range(3)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in quality_rules.verdicts(d).collect()}
+    assert sorted(r.n_removed for r in got.values()) == [0] + [60] * 42
+    assert all(got[i].kept for i in range(40)) and sum(got[100 + i].kept for i in range(3)) <= 1
+    texts = {r.doc_id: r.text for r in quality_rules.clean(d).collect()}
+    assert sum("notice" in t.lower() for t in texts.values()) == 1 and set(texts) == {i for i in got if got[i].kept}
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     if not words:
