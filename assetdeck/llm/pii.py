@@ -1,13 +1,14 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms around them.
 
-Every value found by a pattern is a protected entity.  Words near its mentions are counted over the corpus; a word
-reveals the entity if their pointwise mutual information is at least half of the entity's information content,
+Every value found by a pattern is a protected entity.  The words of the texts that hold it, outside the patterns' spans,
+are counted over the corpus; a word reveals the entity if their pointwise mutual information is at least half of the
+entity's information content,
 
     log(p(entity, term) / (p(entity) p(term))) >= log(1 / p(entity)) / 2,
 
-which is compared in whole numbers.  Co-occurrences are counted by distinct contexts, so copies of a passage count
-once, and must reach ``min_contexts``.  Words that pass are removed from the documents in which they stand beside the
-entity; other documents are left alone.  DataFrame functions only.
+which is compared in whole numbers.  Co-occurrences are counted over whole documents by distinct text, and no number of
+them is asked for besides the threshold.  Words that pass are removed from every document that holds their entity; other
+documents are left alone.  DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -86,43 +87,53 @@ def term_spans(text: Column, terms: Column) -> Column:
     return _spans(text, TERM, 4, lambda m: F.array_contains(terms, F.lower(m)))
 
 
-def _mentions(docs: DataFrame, window: int) -> DataFrame:
-    """``sig, entity, context, terms`` per base span: the words within ``window`` characters, cut words left out."""
-    text = F.col("text")
+def _replaced(text: Column, spans: Column, tags: Column) -> Column:
+    """``text`` with every span replaced by the tag of its kind; spans that overlap, together by that of the first."""
+    order = F.sort_array(F.transform(spans, lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"), s["kind"].alias("kind"))))
+
+    def rewrite(found: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            gap = F.substr(text, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int"))
+            return F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], gap, tags[x["kind"]]).alias("out"))
+                          ).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
+
+        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+        end = F.aggregate(found, start, step)
+        rest = C.let(end, lambda z: F.concat(z["out"], F.substr(text, (z["at"] + 1).cast("int"), F.length(text))))
+        return F.when(F.size(found) > 0, rest).otherwise(text)
+
+    return C.let(order, rewrite)
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
-    def mention(s: Column) -> Column:
-        start = F.greatest(s["s"] - window, F.lit(0))
-        left = F.substr(text, (start + 1).cast("int"), (s["s"] - start).cast("int"))
-        right = F.substr(text, (s["e"] + 1).cast("int"), F.lit(window))
-        around = F.concat(F.when(start > 0, F.regexp_replace(left, r"^\p{L}+", "")).otherwise(left), F.lit(" "),
-                          F.when(s["e"] + window < F.length(text), F.regexp_replace(right, r"\p{L}+$", "")).otherwise(right))
-        return F.struct(F.xxhash64(s["kind"], s["v"]).alias("entity"), F.lower(around).alias("around"))
-
-    found = docs.select(C.text_or_empty().alias("text")).select(
-        F.unhex(F.md5("text")).alias("sig"), F.explode(F.transform(base_spans(text), mention)).alias("m"))
-    return found.select("sig", "m.entity", F.xxhash64("m.around").alias("context"),
-                        F.array_distinct(F.regexp_extract_all("m.around", F.lit(TERM), F.lit(0))).alias("terms"))
-
-
-def disclosive_terms(docs: DataFrame, window: int = 80, min_contexts: int = 3) -> DataFrame:
-    """``(sig, terms)``: per distinct text (by digest) the words beside its entities that reveal them."""
-    mentions = C.written(_mentions(docs, window), "mentions")
-    entities = (mentions.groupBy("entity", "context").agg(F.count(F.lit(1)).alias("n"))
-                .groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")))
-    words = mentions.select("sig", "entity", "context", F.explode("terms").alias("term"))
-    together = (words.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-                .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_ct")).where(F.col("n_ct") >= min_contexts))
+
+def _holders(docs: DataFrame) -> DataFrame:
+    """``sig, entities, terms`` per distinct text with an entity: its entities, and its words outside the base spans."""
+    text, blanks = F.col("text"), F.array(*[F.lit(" ")] * len(KINDS))
+    found = docs.select(C.text_or_empty().alias("text")).select("text", base_spans(text).alias("spans")).where(F.size("spans") > 0)
+    held = found.select(F.unhex(F.md5("text")).alias("sig"),
+                        F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], s["v"]))).alias("entities"),
+                        _terms(_replaced(text, F.col("spans"), blanks)).alias("terms"))
+    return held.groupBy("sig").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"))
+
+
+def disclosive_terms(docs: DataFrame) -> DataFrame:
+    """``(sig, terms)``: per distinct text (by digest) the words that reveal its entities."""
+    holders = C.written(_holders(docs), "mentions")
+    entities = holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    words = holders.select("sig", "terms", F.explode("entities").alias("entity")).select("sig", "entity", F.explode("terms").alias("term"))
+    together = words.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
     candidates = C.written(together.join(entities, "entity"), "candidate-terms")
-    frequency = (docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(C.text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
-                 .groupBy("term").agg(F.count(F.lit(1)).alias("n_t")))
+    frequency = docs.select(F.explode(_terms(C.text_or_empty())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     total = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
-    d = {k: F.col(k).cast("double") for k in ("n_ct", "n_c", "n_t")}
+    d = {k: F.col(k).cast("double") for k in ("n_et", "n_e", "n_t")}
     n = total.scalar().cast("double")
     revealing = C.written(
-        candidates.join(frequency, "term").where(d["n_ct"] * d["n_ct"] * n >= d["n_c"] * d["n_t"] * d["n_t"]).select("entity", "term"),
+        candidates.join(frequency, "term").where(d["n_et"] * d["n_et"] * n >= d["n_e"] * d["n_t"] * d["n_t"]).select("entity", "term"),
         "disclosive-terms")
-    return C.written(words.select("sig", "entity", "term").join(revealing, ["entity", "term"])
-                     .groupBy("sig").agg(F.collect_set("term").alias("terms")), "terms-by-text")
+    return C.written(words.join(revealing, ["entity", "term"]).groupBy("sig").agg(F.collect_set("term").alias("terms")), "terms-by-text")
 
 
 def _listed(spans: Column) -> Column:
@@ -164,18 +175,5 @@ def sanitise(docs: DataFrame) -> DataFrame:
     none = F.array().cast(SPAN)
     text = F.col("text")
     spans = F.concat(base_spans(text), F.when(F.col("terms").isNull(), none).otherwise(term_spans(text, F.col("terms"))))
-    order = F.sort_array(F.transform(spans, lambda s: F.struct(s["s"].alias("s"), s["e"].alias("e"), s["kind"].alias("kind"))))
-    tag = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-
-    def rewrite(found: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            gap = F.substr(text, (acc["at"] + 1).cast("int"), (x["s"] - acc["at"]).cast("int"))
-            return F.when(x["s"] >= acc["at"], F.struct(x["e"].alias("at"), F.concat(acc["out"], gap, tag[x["kind"]]).alias("out"))
-                          ).otherwise(F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out")))
-
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-        end = F.aggregate(found, start, step)
-        rest = C.let(end, lambda z: F.concat(z["out"], F.substr(text, (z["at"] + 1).cast("int"), F.length(text))))
-        return F.when(F.size(found) > 0, rest).otherwise(text)
-
-    return rows.select("row", C.let(order, rewrite).alias("clean")).select(*C.with_text("row", docs.columns, F.col("clean")))
+    tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    return rows.select("row", _replaced(text, spans, tags).alias("clean")).select(*C.with_text("row", docs.columns, F.col("clean")))

@@ -264,6 +264,17 @@ def test_revealing_terms_go_and_common_ones_stay(spark):
     assert texts[12] == rows[7][1]
 
 
+def test_terms_of_whole_documents_reveal_without_a_floor(spark):
+    far = " ".join(["the common words"] * 20)
+    rows = [(0, f"lovelace {far} ada@example.org"), (1, f"ada@example.org {far} lovelace and hapaxword"), (2, f"bob@example.org {far} unusual")]
+    rows += [(10 + i, "the common words wrote about things") for i in range(2)] + [(100 + i, f"common words number{i} things") for i in range(97)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(d).collect()}
+    assert [got[i].n_term for i in (0, 1, 2, 10, 100)] == [1, 2, 1, 0, 0]
+    texts = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert texts[0] == f"[TERM] {far} [EMAIL]" and texts[1] == f"[EMAIL] {far} [TERM] and [TERM]" and texts[2] == f"[EMAIL] {far} [TERM]"
+
+
 def test_licences(spark):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "code\n# Licensed under the Apache License, Version 2.0.\n"),
              ("a/b/c/y.py", "nothing here"), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."),
