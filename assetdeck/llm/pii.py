@@ -126,8 +126,10 @@ def disclosive_terms(docs: DataFrame) -> DataFrame:
     words = holders.select("sig", "terms", F.explode("entities").alias("entity")).select("sig", "entity", F.explode("terms").alias("term"))
     together = words.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
     candidates = C.written(together.join(entities, "entity"), "candidate-terms")
-    frequency = docs.select(F.explode(_terms(C.text_or_empty())).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
+    sig = F.unhex(F.md5("text"))
+    texts = docs.select(C.text_or_empty().alias("text")).groupBy(sig.alias("sig")).agg(F.first("text").alias("text"))  # copies count once
+    frequency = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    total = docs.select(F.unhex(F.md5(C.text_or_empty())).alias("sig")).distinct().agg(F.count(F.lit(1)).alias("n"))  # one row
     d = {k: F.col(k).cast("double") for k in ("n_et", "n_e", "n_t")}
     n = total.scalar().cast("double")
     revealing = C.written(

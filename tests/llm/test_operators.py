@@ -275,6 +275,16 @@ def test_terms_of_whole_documents_reveal_without_a_floor(spark):
     assert texts[0] == f"[TERM] {far} [EMAIL]" and texts[1] == f"[EMAIL] {far} [TERM] and [TERM]" and texts[2] == f"[EMAIL] {far} [TERM]"
 
 
+def test_copying_documents_changes_no_span(spark):
+    rows = [(i, f"the common words physicist number {chr(97 + i) * 5} wrote to ada@example.org") for i in range(3)]
+    rows += [(10 + i, f"the common words {chr(97 + i % 26)}{chr(97 + i // 26)}xx physicist") for i in range(6)]
+    rows += [(100 + i, f"the common words wrote about things number{i}") for i in range(100)]
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    many = once.unionAll(spark.createDataFrame(rows[:9] * 40, once.schema))
+    spans = {r.doc_id: (r.spans, r.n_term) for r in pii.find(once).collect()}
+    assert spans[0][1] and {(r.doc_id, (r.spans, r.n_term)) for r in pii.find(many).collect()} == set(spans.items())
+
+
 def test_licences(spark):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/c/x.py", "code\n# Licensed under the Apache License, Version 2.0.\n"),
              ("a/b/c/y.py", "nothing here"), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."),
