@@ -206,6 +206,20 @@ def test_packing_places_every_piece_once(docs):
         assert at <= 1024
 
 
+def test_packing_ids_are_those_of_the_library_but_for_the_added_token():
+    from tokenizers import Tokenizer
+
+    library, codec = Tokenizer.from_file(bpe.VOCABULARY), bpe.Codec.here(bpe.VOCABULARY)
+    ids = lambda t: np.frombuffer(codec.encode([t])[0], "<i4").tolist()
+    for _, t in TEXTS:
+        if "<|endoftext|>" not in t:
+            assert ids(t) == library.encode(t, add_special_tokens=False).ids
+    assert library.encode("a<|endoftext|> b", add_special_tokens=False).ids == [64, 50256, 275]
+    library.encode_special_tokens = True
+    for t in ("a<|endoftext|> b", "don't we'll <|endoftext|>  %%%"):
+        assert ids(t) == library.encode(t, add_special_tokens=False).ids and 50256 not in ids(t)
+
+
 def test_lower_bound_is_a_bound_and_best_fit_fills_well():
     rng = np.random.default_rng(3)
     for _ in range(20):
