@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import (bpe, exact_dedup, licenses, packing, pii, quality_classifier, quality_rules, queries_conversations, queries_mixing,
-               simhash, suffixes, toxicity)
+               queries_negatives, simhash, suffixes, toxicity)
 
-QUERIES = {**queries_conversations.QUERIES, **queries_mixing.QUERIES}
-ORACLES = {**queries_conversations.ORACLES, **queries_mixing.ORACLES}
+QUERIES = {**queries_negatives.QUERIES, **queries_conversations.QUERIES, **queries_mixing.QUERIES}
+ORACLES = {**queries_negatives.ORACLES, **queries_conversations.ORACLES, **queries_mixing.ORACLES}
 
 
 def query(name: str, oracle: str | None = None):
