@@ -1,14 +1,18 @@
 """Personal data: pattern spans, and information-theoretic sanitisation of the terms around them.
 
 Every value found by a pattern is a protected entity.  The words of the texts that hold it, outside the patterns' spans,
-are counted over the corpus; a word reveals the entity if their pointwise mutual information is at least half of the
-entity's information content,
+are counted over the corpus in distinct whole texts.  A word reveals the entity if their pointwise mutual information,
+discounted for few observations, is at least a share (``SHARE``) of the entity's information content,
 
-    log(p(entity, term) / (p(entity) p(term))) >= log(1 / p(entity)) / 2,
+    k / (k + 1) * log(n k / (e t)) >= SHARE * log(n / e),
 
-which is compared in whole numbers.  Co-occurrences are counted over whole documents by distinct text, and no number of
-them is asked for besides the threshold.  Words that pass are removed from every document that holds their entity; other
-documents are left alone.  DataFrame functions only.
+with n texts, e of them with the entity, t with the word and k with both.  There is no least number of co-occurrences:
+one alone counts half, so it reveals where the word is found nowhere else.  Patterns are generalised to their kind;
+words that pass are removed from every document that holds their entity; other documents are left alone.
+
+Entities found in exactly the same texts have equal counts and are one class, so a list of addresses in one text is one
+class whatever its length; pairs of class and word are formed only where the counts of both let the word pass.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 TERM = r"\p{L}{4,}"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 SPAN = "array<struct<kind:int,s:bigint,e:bigint,v:string>>"
+#: Part of an entity's information that a word may disclose.
+SHARE = 0.5
 
 
 def _digits(match: Column) -> Column:
@@ -109,33 +115,57 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 
 
-def _holders(docs: DataFrame) -> DataFrame:
-    """``sig, entities, terms`` per distinct text with an entity: its entities, and its words outside the base spans."""
+def _signature(text: Column) -> Column:
+    return F.unhex(F.md5(text))
+
+
+def _found(docs: DataFrame, row: Column) -> DataFrame:
+    """``row, sig, base, text`` per row: the base spans, and the text where there are any (else null)."""
+    rows = docs.select(row.alias("row"), C.text_or_empty().alias("text"))
+    rows = rows.select("row", "text", _signature(F.col("text")).alias("sig"), base_spans(F.col("text")).alias("base"))
+    return C.written(rows.withColumn("text", F.when(F.size("base") > 0, F.col("text"))), "personal-spans")
+
+
+def _passes(k: Column, e: Column, t: Column, n: Column, share: float) -> Column:
+    k, e, t, n = (x.cast("double") for x in (k, e, t, n))
+    return k / (k + 1) * F.log(n * k / (e * t)) >= share * F.log(n / e)
+
+
+def _classes(holders: DataFrame) -> DataFrame:
+    """``sig, e, x, y`` per text and class of entities: how many texts hold them, and two digests of which."""
+    mentions = holders.select("sig", F.explode("entities").alias("entity"))
+    sets = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("e"), F.bit_xor(F.xxhash64("sig")).alias("x"),
+                                          F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y"))
+    return mentions.join(sets, "entity").select("sig", "e", "x", "y").distinct()
+
+
+def disclosive_terms(docs: DataFrame, found: DataFrame, share: float = SHARE) -> DataFrame:
+    """``(sig, terms)``: per distinct text with an entity the words that reveal one."""
     text, blanks = F.col("text"), F.array(*[F.lit(" ")] * len(KINDS))
-    found = docs.select(C.text_or_empty().alias("text")).select("text", base_spans(text).alias("spans")).where(F.size("spans") > 0)
-    held = found.select(F.unhex(F.md5("text")).alias("sig"),
-                        F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], s["v"]))).alias("entities"),
-                        _terms(_replaced(text, F.col("spans"), blanks)).alias("terms"))
-    return held.groupBy("sig").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms"))
-
-
-def disclosive_terms(docs: DataFrame) -> DataFrame:
-    """``(sig, terms)``: per distinct text (by digest) the words that reveal its entities."""
-    holders = C.written(_holders(docs), "mentions")
-    entities = holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    words = holders.select("sig", "terms", F.explode("entities").alias("entity")).select("sig", "entity", F.explode("terms").alias("term"))
-    together = words.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et"))
-    candidates = C.written(together.join(entities, "entity"), "candidate-terms")
-    sig = F.unhex(F.md5("text"))
-    texts = docs.select(C.text_or_empty().alias("text")).groupBy(sig.alias("sig")).agg(F.first("text").alias("text"))  # copies count once
-    frequency = texts.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    total = docs.select(F.unhex(F.md5(C.text_or_empty())).alias("sig")).distinct().agg(F.count(F.lit(1)).alias("n"))  # one row
-    d = {k: F.col(k).cast("double") for k in ("n_et", "n_e", "n_t")}
-    n = total.scalar().cast("double")
-    revealing = C.written(
-        candidates.join(frequency, "term").where(d["n_et"] * d["n_et"] * n >= d["n_e"] * d["n_t"] * d["n_t"]).select("entity", "term"),
-        "disclosive-terms")
-    return C.written(words.join(revealing, ["entity", "term"]).groupBy("sig").agg(F.collect_set("term").alias("terms")), "terms-by-text")
+    held = found.where("text IS NOT NULL").select(
+        "sig", F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], s["v"]))).alias("entities"),
+        _terms(_replaced(text, F.col("base"), blanks)).alias("terms"))
+    holders = C.written(held.groupBy("sig").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")), "mentions")
+    n = found.select("sig").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()  # one number
+    of_text = docs.select(_signature(C.text_or_empty()).alias("sig"), _terms(C.text_or_empty()).alias("terms"))
+    distinct = of_text.groupBy("sig").agg(F.first("terms").alias("terms"))  # copies count once
+    frequency = distinct.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("t"))
+    words = C.written(holders.select("sig", F.explode("terms").alias("term")).join(frequency, "term"), "word-counts")
+    classes = C.written(_classes(holders).withColumnRenamed("sig", "s"), "entity-classes")
+    e, t = F.col("e"), F.col("t")
+    able = _passes(F.least(e, t), e, t, n, share)  # as if they met wherever both can
+    pairs = words.join(classes, (F.col("sig") == F.col("s")) & able).select("sig", "term", "t", "e", "x", "y")
+    pairs = C.written(pairs, "candidate-terms")
+    counts = pairs.where("e > 1").groupBy("term", "t", "e", "x", "y").agg(F.count(F.lit(1)).alias("k"))
+    revealing = counts.where(_passes(F.col("k"), e, t, n, share)).select("term", "e", "x", "y")
+    several = pairs.where("e > 1").join(revealing, ["term", "e", "x", "y"]).select("sig", "term")
+    single = pairs.where("e = 1").select("sig", "term")  # the one text that holds the entity has the word: k is 1
+    return C.written(single.unionByName(several).groupBy("sig").agg(F.collect_set("term").alias("terms")), "terms-by-text")
+
+
+def _with_terms(found: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of ``found`` that hold an entity, with their revealing words (null if none): only these meet the words."""
+    return found.where("text IS NOT NULL").join(terms, "sig", "left")
 
 
 def _listed(spans: Column) -> Column:
@@ -143,39 +173,39 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name[s["kind"]], s["s"].cast("string"), s["e"].cast("string"))), ",")
 
 
-def find(docs: DataFrame) -> DataFrame:
+def find(docs: DataFrame, share: float = SHARE) -> DataFrame:
     """One row per input row: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term``.
 
     Null texts are empty and have no spans (``base_sha256`` of the empty text).  Repeated rows get equal results, ids
     may repeat or be null, other columns are not read, an empty table gives an empty result.
     """
-    terms = disclosive_terms(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_or_empty().alias("text"))
-    rows = rows.withColumn("sig", F.unhex(F.md5("text"))).join(terms, "sig", "left")
+    found = _found(docs, F.col("doc_id").cast("long"))
+    holders = _with_terms(found, disclosive_terms(docs, found, share))
     none = F.array().cast(SPAN)
-    both = F.struct(base_spans(F.col("text")).alias("base"),
-                    F.when(F.col("terms").isNull(), none).otherwise(term_spans(F.col("text"), F.col("terms"))).alias("term"))
 
-    def result(x: Column) -> Column:
+    def result(base: Column, term: Column) -> list[Column]:
         def count(kind: int) -> Column:
-            return F.size(F.filter(x["base"], lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+            return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
 
-        return F.struct(*map(count, range(4)), F.sha2(_listed(x["base"]).cast("binary"), 256).alias("base_sha256"),
-                        _listed(F.concat(x["base"], x["term"])).alias("spans"), F.size(x["term"]).cast("long").alias("n_term"))
+        return [F.col("row").alias("doc_id"), *map(count, range(4)), F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
+                _listed(F.concat(base, term)).alias("spans"), F.size(term).cast("long").alias("n_term")]
 
-    return rows.select("doc_id", C.let(both, result).alias("x")).select("doc_id", "x.*")
+    marked = holders.select("row", "base", F.when(F.col("terms").isNull(), none).otherwise(
+        term_spans(F.col("text"), F.col("terms"))).alias("term"))
+    return marked.select(*result(F.col("base"), F.col("term"))).unionByName(found.where("text IS NULL").select(*result(none, none)))
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with every span in the text replaced by its kind in brackets (``n_chars`` follows).
+def sanitise(docs: DataFrame, share: float = SHARE) -> DataFrame:
+    """All columns of ``docs`` with every span in the text replaced by its kind in brackets (``n_chars`` follows there).
 
     Base spans are generalised to their kind, revealing terms to ``[TERM]``; spans that overlap are replaced together
-    by the kind of the first.  Every row stays.
+    by the kind of the first.  Every row stays, repeated ones too; rows without a span, null and empty texts among them,
+    stay as they are; an empty table gives an empty one.
     """
-    terms = disclosive_terms(docs)
-    rows = C.packed(docs, text=C.text_or_empty(), sig=F.unhex(F.md5(C.text_or_empty()))).join(terms, "sig", "left")
-    none = F.array().cast(SPAN)
+    found = _found(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    holders = _with_terms(found, disclosive_terms(docs, found, share))
     text = F.col("text")
-    spans = F.concat(base_spans(text), F.when(F.col("terms").isNull(), none).otherwise(term_spans(text, F.col("terms"))))
+    spans = F.concat("base", F.when(F.col("terms").isNull(), F.array().cast(SPAN)).otherwise(term_spans(text, F.col("terms"))))
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    return rows.select("row", _replaced(text, spans, tags).alias("clean")).select(*C.with_text("row", docs.columns, F.col("clean")))
+    clean = holders.select("row", _replaced(text, spans, tags).alias("clean")).select(*C.with_text("row", docs.columns, F.col("clean")))
+    return clean.unionByName(found.where("text IS NULL").select("row.*"))
