@@ -43,6 +43,20 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+class Known(dict):
+    """Piece -> ids as little-endian 32-bit integers; what is not known yet is encoded when it is asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<i4").tobytes()
+        return ids
+
+
 class Codec:
     """One vocabulary in one worker process."""
 
@@ -58,7 +72,9 @@ class Codec:
             self.bytes[k] = bytes(table[c] for c in word) if all(c in table for c in word) else word.encode()
         self.lengths = np.array([len(b) for b in self.bytes])
         self.decimal = [str(k) for k in range(len(self.bytes))]
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.tokenizer)
+        self.added = {t.content: np.array([k], "<i4").tobytes() for k, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.of_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
 
     @classmethod
     def here(cls, vocabulary: str) -> Codec:
@@ -72,18 +88,21 @@ class Codec:
         return kept[vocabulary]
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        split = [(ASCII_PIECES if t.isascii() else PIECES).findall(t) for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(e.ids, dtype="<i4").tobytes()
-        known = self.known
-        return [b"".join([known[w] for w in words]) for words in split]
+        """The ids of each text as little-endian 32-bit integers; equal texts of a call are encoded once."""
+        ids_of, done = self.known.__getitem__, {}
+        for t in texts:
+            if t not in done:
+                done[t] = b"".join(map(ids_of, (ASCII_PIECES if t.isascii() else PIECES).findall(t)))
+        return [done[t] for t in texts]
+
+    def encode_with_added(self, texts: Iterable[str]) -> list[bytes]:
+        """As ``encode``, but the vocabulary's added tokens, written out in a text, get their own ids."""
+        out = self.encode(texts)
+        for k, t in enumerate(texts):
+            if self.of_added and self.of_added.search(t):
+                parts = self.of_added.split(t)  # every other one is an added token
+                out[k] = b"".join(b for pair in zip(self.encode(parts[::2]), [*map(self.added.get, parts[1::2]), b""]) for b in pair)
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         table = self.bytes

@@ -29,7 +29,8 @@ PLACED = PIECE + ", sequence_id long, offset long, partition_sequences long, par
 def pieces(docs: DataFrame, capacity: int = 1024, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
     """One row per piece: tokens of the document, then id 2; only the first of several pieces is shorter.
 
-    A null text is an empty one (a single token).
+    A null text is an empty one (a single token).  An added token written out in a text has its own id, as the library
+    encodes it by default.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +38,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, vocabulary: str = bpe.VOCABULA
         for batch in batches:
             for first, texts in bpe.slices(batch.column(1)):
                 doc, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(codec.encode(texts)):
+                for k, ids in enumerate(codec.encode_with_added(texts)):
                     ids += end
                     n = len(ids) // 4
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
