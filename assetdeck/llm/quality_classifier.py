@@ -123,7 +123,10 @@ def fit(texts: list[str], y: np.ndarray, min_docs: int = 4, cost: float = 1.0) -
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column) -> dict[str, float]:
-    """Fit on the bounded sample in one executor task; the weights, bounded by its n-grams, come to the driver."""
+    """Fit on the bounded sample in one executor task; the weights, bounded by its n-grams, come to the driver.
+
+    Without labels every document scores 0.5; with one class all go to that class.
+    """
     rows = sample(docs, labels, label, train_rows, MAX_PER_CLASS, MAX_CHARS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +134,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column) ->
         model = fit(rows["text"].tolist(), rows["y"].to_numpy(int)) if len(rows) else {"": 0.0, "\n": 1.0}
         yield pd.DataFrame({"feature": list(model), "weight": list(model.values())})
 
-    return {r.feature: r.weight for r in rows.repartition(1).mapInPandas(run, "feature string, weight double").collect()}
+    model = {r.feature: r.weight for r in rows.repartition(1).mapInPandas(run, "feature string, weight double").collect()}
+    return model or {"": 0.0, "\n": 1.0}  # no row, no task
 
 
 def margin(model: dict[str, float], bag: set[str], known: set[str]) -> float:

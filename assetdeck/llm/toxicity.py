@@ -34,7 +34,8 @@ MIN_WORDS = 8
 def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int, max_chars: int) -> DataFrame:
     """``(doc_id, text, y)``: the first ``per_class`` labelled training documents of each class by hash of the id.
 
-    Bounded by construction; the chosen ids are few, so the join with the texts needs no shuffle of them.
+    One row per id, the least text where an id has several, and then ``per_class`` of each class: no more reach the
+    fitting task, however often an id is repeated.  Ids with both labels are left out.
     """
     ids = labels.where(F.col(label).isin(0, 1) & train).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     ids = ids.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("y2")).where("y = y2").drop("y2")
@@ -42,7 +43,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_cl
     order = F.xxhash64("doc_id")
     # a little more than needed, as some labelled ids have no document within the bound
     chosen = [ids.where(f"y = {k}").orderBy(order).limit(per_class + per_class // 4) for k in (0, 1)]
-    return texts.join(F.broadcast(C.written(chosen[0].unionByName(chosen[1]), "sample-ids")), "doc_id")
+    rows = texts.join(F.broadcast(C.written(chosen[0].unionByName(chosen[1]), "sample-ids")), "doc_id")
+    rows = C.written(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "sample-texts")
+    both = [rows.where(f"y = {k}").orderBy(order).limit(per_class) for k in (0, 1)]
+    return both[0].unionByName(both[1]).select("doc_id", "text", "y")
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -121,7 +125,10 @@ def fit(texts: list[str], y: np.ndarray, min_docs: int = 3, deviations: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column) -> dict[str, float]:
-    """Fit on the bounded sample in one executor task; the weights, bounded by its words, come to the driver."""
+    """Fit on the bounded sample in one executor task; the weights, bounded by its words, come to the driver.
+
+    Without labels the model is its bias alone; with one class no feature can tell, and the bias follows that class.
+    """
     rows = sample(docs, labels, label, train_rows, MAX_PER_CLASS, MAX_CHARS)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,7 +136,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, train_rows: Column) ->
         model = fit(rows["text"].tolist(), rows["y"].to_numpy(int)) if len(rows) else {"": -5.0}
         yield pd.DataFrame({"feature": list(model), "weight": list(model.values())})
 
-    return {r.feature: r.weight for r in rows.repartition(1).mapInPandas(run, "feature string, weight double").collect()}
+    model = {r.feature: r.weight for r in rows.repartition(1).mapInPandas(run, "feature string, weight double").collect()}
+    return model or {"": -5.0}  # no row, no task
 
 
 class Scorer:
