@@ -42,7 +42,7 @@ rep AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, range(0, 8) AS r(k) G
 ln AS (SELECT rid, host, text, unnest(string_split(text, chr(10))) AS line FROM t),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 norm AS (SELECT rid, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g')) AS x FROM ln),
-cand AS (SELECT rid, host, text, x, len(string_split(x, ' ')) AS w FROM norm WHERE x <> '' AND len(string_split(x, ' ')) <= 25),
+cand AS (SELECT rid, host, text, x, len(string_split(x, ' ')) AS w FROM norm WHERE x <> ''),
 freq AS (SELECT host, x, min(md5(host || chr(0) || text)) AS keeper FROM cand GROUP BY host, x
          HAVING count(DISTINCT text) > 20 AND 1000 * count(DISTINCT text) >
                 2 * (SELECT count(DISTINCT text) FROM t WHERE t.host = cand.host)),
@@ -95,17 +95,19 @@ ok AS (SELECT rid, kind, s, e, CASE kind WHEN 0 THEN lower(m) WHEN 1 THEN m ELSE
           OR (kind = 2 AND length(d) BETWEEN 16 AND 19 AND
               list_sum([CASE WHEN k % 2 = 1 THEN d[length(d) - k + 1]::INT WHEN d[length(d) - k + 1]::INT < 5 THEN 2 * d[length(d) - k + 1]::INT
                         ELSE 2 * d[length(d) - k + 1]::INT - 9 END FOR k IN range(1, length(d) + 1)]) % 10 = 0)),
-men AS (SELECT rid, kind || ':' || v AS entity, lower(
-          CASE WHEN s > 80 THEN regexp_replace(substr(text, (s - 79)::BIGINT, 80), '^\p{L}+', '') ELSE substr(text, 1, s) END || ' ' ||
-          CASE WHEN e + 80 < length(text) THEN regexp_replace(substr(text, e + 1, 80), '\p{L}+$', '') ELSE substr(text, e + 1, 80) END) AS around
-        FROM ok JOIN t USING (rid)),
-wrd AS (SELECT rid, entity, around, unnest(list_distinct(regexp_extract_all(around, '\p{L}{4,}'))) AS term FROM men),
-cand AS (SELECT entity, term, count(DISTINCT around) AS n_ct FROM wrd GROUP BY ALL HAVING count(DISTINCT around) >= 3),
-ent AS (SELECT entity, count(DISTINCT around) AS n_c FROM men GROUP BY ALL),
-frq AS (SELECT term, count(*) AS n_t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}{4,}'))) AS term FROM t) GROUP BY ALL),
-rev AS (SELECT entity, term FROM cand JOIN ent USING (entity) JOIN frq USING (term)
-        WHERE n_ct::DOUBLE * n_ct * (SELECT count(*) FROM t) >= n_c::DOUBLE * n_t * n_t),
-mine AS (SELECT DISTINCT rid, term FROM wrd JOIN rev USING (entity, term)),
+bare AS (SELECT rid, list_reduce(list_prepend(struct_pack(t := any_value(text), s := 0::BIGINT, e := 0::BIGINT), list(struct_pack(t := '', s := s, e := e))),
+           lambda a, x: struct_pack(t := left(a.t, x.s) || repeat(' ', x.e - x.s) || substr(a.t, x.e + 1), s := 0::BIGINT, e := 0::BIGINT)).t AS text
+         FROM ok JOIN t USING (rid) GROUP BY rid),
+men AS (SELECT DISTINCT rid, kind || ':' || v AS entity FROM ok),
+one_text AS (SELECT rid, text FROM t QUALIFY row_number() OVER (PARTITION BY text ORDER BY rid) = 1),
+wrd AS (SELECT rid, unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}{4,}'))) AS term FROM bare),
+cand AS (SELECT entity, term, count(*) AS k FROM men JOIN wrd USING (rid) WHERE rid IN (SELECT rid FROM one_text) GROUP BY ALL),
+ent AS (SELECT entity, count(*) AS e FROM men WHERE rid IN (SELECT rid FROM one_text) GROUP BY ALL),
+frq AS (SELECT term, count(*) AS t FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}{4,}'))) AS term FROM one_text) GROUP BY ALL),
+n AS (SELECT count(*)::DOUBLE AS n FROM one_text),
+rev AS (SELECT entity, term FROM cand JOIN ent USING (entity) JOIN frq USING (term), n
+        WHERE k::DOUBLE / (k + 1) * ln(n * k / (e::DOUBLE * t)) >= %(share)s * ln(n / e)),
+mine AS (SELECT DISTINCT rid, term FROM men JOIN rev USING (entity) JOIN wrd USING (rid, term)),
 th AS (SELECT rid, regexp_extract_all(text, '\p{L}{4,}') AS ms, string_split_regex(text, '\p{L}{4,}') AS gs FROM t WHERE rid IN (SELECT rid FROM mine)),
 t1 AS (SELECT rid, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g, unnest(range(0, len(ms))) AS i FROM th),
 t2 AS (SELECT rid, m, sum(length(g) + length(m)) OVER (PARTITION BY rid ORDER BY i)::BIGINT AS e FROM t1),
@@ -118,7 +120,7 @@ agg AS (SELECT rid, count(*) FILTER (kind = 0) AS n_email, count(*) FILTER (kind
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
        sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans, coalesce(n_term, 0) AS n_term
 FROM t LEFT JOIN agg USING (rid)
-"""
+""".replace("%(share)s", str(pii.SHARE))
 
 
 @query("op10_pii_sanitisation", PII_SQL)
@@ -180,7 +182,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _remainder(n: int):
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n  # a null id like an empty one
 
 
 @query("op2_toxicity")

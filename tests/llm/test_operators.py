@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from assetdeck.llm import (bpe, exact_dedup, licenses, packing, pii, quality_classifier, quality_rules, queries, simhash, suffixes,
                            toxicity)
@@ -74,6 +75,31 @@ def test_digest_index_admits_only_unknown_texts(spark, docs):
     assert all(again[d] == k for d, k in first.items())
 
 
+def test_digest_index_outlives_its_table_and_session(spark, docs):
+    index = exact_dedup.DigestIndex.fresh(spark, buckets=3)
+    index.add(exact_dedup.digests(docs))
+    want = sorted(bytes(r.digest) for r in index.rows().collect())
+    other = spark.newSession()
+    again = exact_dedup.DigestIndex(other, "another_name_of_the_index", index.path, buckets=5)
+    assert again.buckets == 3 and sorted(bytes(r.digest) for r in again.rows().collect()) == want
+    assert again.add(exact_dedup.digests(other.createDataFrame([(77, "not seen before"), (78, "x" * 3000)], "doc_id long, text string"))).count() == 1
+    again.drop_table()
+    index.drop_table()
+    third = exact_dedup.DigestIndex(spark, "third_name", index.path, buckets=3)
+    assert third.rows().count() == len(want) + 1
+    third.drop_table()
+
+
+def test_known_texts_stay_with_their_earlier_document(spark):
+    index = exact_dedup.DigestIndex.fresh(spark, buckets=2)
+    kind = "doc_id long, text string"
+    exact_dedup.label(spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], kind), index).collect()
+    later = spark.createDataFrame([(9, "a"), (8, "a"), (7, "c"), (7, "c")], kind)
+    got = sorted(tuple(r)[:4] for r in exact_dedup.label(later, index).collect())
+    assert got == [(7, 7, 2, True), (7, 7, 2, True), (8, 2, 2, False), (9, 2, 2, False)]
+    assert exact_dedup.deduplicate(later, index).count() == 0
+
+
 def test_quality_rules(docs):
     for r in quality_rules.verdicts(docs).collect():
         assert not (r.base_failed and r.kept)
@@ -88,7 +114,8 @@ def test_quality_rules(docs):
 
 
 def test_frequent_lines_go_and_the_first_document_keeps_them(spark):
-    rows = [(i, "Share this page now\n" + " ".join(f"w{i}_{k}" for k in range(30)), "h", "en") for i in range(40)]
+    body = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{'x' * k}" for k in range(30))  # noqa: E731  digits are normalised
+    rows = [(i, f"Share this page now\n{body(i)}", "h", "en") for i in range(40)]
     rows += [(100 + i, "Share this page now\nshort tail of words " + f"t{i}", "h", "en") for i in range(3)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
     limits = quality_rules.Limits(min_words=3)
@@ -189,9 +216,11 @@ def test_bpe_equals_the_rank_file_on_any_characters():
 
 def test_packing_places_every_piece_once(docs):
     rows = packing.pack(packing.pieces(docs), per_partition=4, fan_in=2).collect()
-    want = collections.Counter()
+    from tokenizers import Tokenizer
+
+    library, want = Tokenizer.from_file(bpe.VOCABULARY), collections.Counter()
     for i, t in TEXTS:
-        ids = reference_ids(t) + [2]
+        ids = library.encode(t, add_special_tokens=False).ids + [2]
         cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)]
         want.update((i, p, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for p, (a, b) in enumerate(zip(cuts, cuts[1:])))
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
@@ -206,18 +235,23 @@ def test_packing_places_every_piece_once(docs):
         assert at <= 1024
 
 
-def test_packing_ids_are_those_of_the_library_but_for_the_added_token():
+def test_packing_ids_are_those_of_the_library_by_default():
     from tokenizers import Tokenizer
 
     library, codec = Tokenizer.from_file(bpe.VOCABULARY), bpe.Codec.here(bpe.VOCABULARY)
-    ids = lambda t: np.frombuffer(codec.encode([t])[0], "<i4").tolist()
-    for _, t in TEXTS:
-        if "<|endoftext|>" not in t:
-            assert ids(t) == library.encode(t, add_special_tokens=False).ids
-    assert library.encode("a<|endoftext|> b", add_special_tokens=False).ids == [64, 50256, 275]
+    ids = lambda of, t: np.frombuffer(of([t])[0], "<i4").tolist()
+    odd = ["a<|endoftext|> b", "<|endoftext|><|endoftext|>", " <|endoftext|>\n\nx", "<|endoftext|", "ü <|endoftext|>ü"]
+    for t in [t for _, t in TEXTS] + odd:
+        assert ids(codec.encode_with_added, t) == library.encode(t, add_special_tokens=False).ids
     library.encode_special_tokens = True
-    for t in ("a<|endoftext|> b", "don't we'll <|endoftext|>  %%%"):
-        assert ids(t) == library.encode(t, add_special_tokens=False).ids and 50256 not in ids(t)
+    for t in odd:  # elsewhere the literal is ordinary text
+        assert ids(codec.encode, t) == library.encode(t, add_special_tokens=False).ids and 50256 not in ids(codec.encode, t)
+
+
+def test_pieces_forgotten_and_asked_again(monkeypatch):
+    want = bpe.Codec(bpe.VOCABULARY).encode([t for _, t in TEXTS])
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    assert bpe.Codec(bpe.VOCABULARY).encode([t for _, t in TEXTS]) == want
 
 
 def test_lower_bound_is_a_bound_and_best_fit_fills_well():
@@ -258,15 +292,52 @@ def test_suffix_dedup(docs, monkeypatch):
     assert sorted((tuple(r)[:5] for r in suffixes.deduplicate(docs, with_data=False).collect()), key=key) == want
 
 
+def brute_terms(texts):
+    """Per text the words that reveal an entity of it, by the rule of the docstring; distinct texts, patterns as found."""
+    import math
+
+    found, words = {}, {}
+    for t in set(texts):
+        spans = [m.span() for p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",) for m in re.finditer(p, t)]
+        found[t] = {t[a:b].lower() for a, b in spans}
+        bare = list(t)
+        for a, b in spans:
+            bare[a:b] = " " * (b - a)
+        words[t] = {w.lower() for w in re.findall(r"[^\W\d_]{4,}", "".join(bare))}
+    n = len(found)
+    with_word = collections.Counter(w for t in found for w in {w.lower() for w in re.findall(r"[^\W\d_]{4,}", t)})
+    with_entity = collections.Counter(e for es in found.values() for e in es)
+    both = collections.Counter((e, w) for t in found for e in found[t] for w in words[t])
+    passes = {p for p, k in both.items() if k / (k + 1) * math.log(n * k / (with_entity[p[0]] * with_word[p[1]])) >= 0.5 * math.log(n / with_entity[p[0]])}
+    return {t: {w for e in found[t] for w in words[t] if (e, w) in passes} for t in found}
+
+
 def test_pii(docs):
     got = {r.doc_id: r for r in pii.find(docs).collect()}
     r, text = got[10], dict(TEXTS)[10]
     found = [(k, text[int(a):int(b)]) for k, a, b in (s.split(":") for s in r.spans.split(","))]
-    assert found == [("email", "Bob.X@mail.example.com"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+49 (30) 1234-5678")]
+    base = [("email", "Bob.X@mail.example.com"), ("ip", "10.0.0.255"), ("card", "4111 1111 1111 1111"), ("phone", "+49 (30) 1234-5678")]
+    assert found == base + [("term", "mail"), ("term", "mail"), ("term", "card")]  # words of this text alone
     assert got[3].spans == "" and got[3].base_sha256 == hashlib.sha256(b"").hexdigest()
     clean = pii.sanitise(docs)
     assert clean.columns == docs.columns and clean.count() == len(ROWS)
-    assert {r.doc_id: r.text for r in clean.collect()}[10] == "mail [EMAIL] or [PHONE], ip [IP] and 999.1.1.1, card [CARD], 12345"
+    texts = {r.doc_id: r.text for r in clean.collect()}
+    assert texts[10] == "[TERM] [EMAIL] or [PHONE], ip [IP] and 999.1.1.1, [TERM] [CARD], 12345" and texts[3] is None and texts[4] == ""
+
+
+def test_revealing_terms_equal_brute_force(spark):
+    rng = random.Random(2)
+    vocabulary = [f"{a}{b}word" for a in "abcdefgh" for b in "ijklmnop"]
+    texts = []
+    for k in range(220):
+        words = [rng.choice(vocabulary[: 1 + int(64 * rng.random() ** 2)]) for _ in range(12)]
+        texts.append(" ".join(words + [f"p{rng.randrange(25)}@x.org" for _ in range(rng.choice([0, 0, 0, 1, 3]))]))
+    texts += [" ".join(f"a{k}@list.org" for k in range(5_000)) + " lonelyword " + vocabulary[0]] * 2  # one class of entities
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = pii._found(d, F.col("doc_id"))
+    terms = {bytes(r.sig): set(r.terms) for r in pii.disclosive_terms(d, found).collect()}
+    want = brute_terms(texts)
+    assert {t: terms.get(hashlib.md5(t.encode()).digest(), set()) for t in want} == want and "lonelyword" in want[texts[-1]]
 
 
 def test_revealing_terms_go_and_common_ones_stay(spark):
@@ -318,6 +389,62 @@ def test_held_out_accuracy(spark, name, label):
         assert len(mine) > 20 and np.mean(mine) > 0.85
 
 
+@pytest.mark.parametrize("kind,empty", [(toxicity, 0.0), (quality_classifier, 0.5)])
+def test_training_without_labels_with_one_class_and_with_repeated_ids(spark, docs, kind, empty):
+    every = F.lit(True)
+    labels = lambda rows: spark.createDataFrame(rows, "doc_id long, y int")
+    none = kind.train(docs, labels([]), "y", every)
+    assert {r.score for r in kind.score(docs.where("text IS NULL"), none).collect()} == {empty}
+    one = kind.train(docs, labels([(1, 0), (2, 0), (5, None), (6, 7), (7, 0), (7, 1)]), "y", every)
+    assert all(0 <= r.score < 0.5 for r in kind.score(docs.where("doc_id = 1"), one).collect())
+    many = spark.createDataFrame([(1, f"text {k}") for k in range(200)] + [(k, "other") for k in range(2, 30)], "doc_id long, text string")
+    sample = toxicity.sample(many, labels([(k, k % 2) for k in range(30)]), "y", every, 5, 50)
+    rows = sample.collect()
+    assert len(rows) == 10 and sorted(r.y for r in rows) == [0] * 5 + [1] * 5 and len({r.doc_id for r in rows}) == 10
+
+
+def brute_noisy_or(model, text):
+    keep = 1.0
+    for a, b in toxicity.sentences(text):
+        s = model[""] + sum(model.get(f, 0.0) for w in text[a:b].lower().split() for f in toxicity.features(w) if f)
+        keep *= 1 - min(1 / (1 + np.exp(-s)), 1 - 1e-9)
+    return 1 - keep
+
+
+def test_noisy_or_scores_and_gradient():
+    texts = ["you scum went out into the rain today. fine words here for all of us now"] * 60 + ["all fine words here for us and the rain today"] * 90
+    y = np.array([1] * 60 + [0] * 90)
+    model = toxicity.fit(texts, y)
+    for t in texts[::50]:
+        spans, p = toxicity.Scorer(model).sentence_scores(t)
+        assert abs(1 - np.prod(1 - p) - brute_noisy_or(model, t)) < 1e-9
+
+    def loss(m):
+        each = [brute_noisy_or(m, t) for t in texts]
+        return sum(-np.log(q if k else 1 - q) * (0.5 / 60 if k else 0.5 / 90) for q, k in zip(each, y))
+
+    start = {"": -5.0}
+    assert loss(model) < 0.2 * loss(start)
+
+
+def test_dual_coordinate_descent_reaches_the_optimum():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 8)), np.where(rng.random(60) < 0.5, 1.0, -1.0)
+    cost = np.full(60, 0.7)
+    w = quality_classifier.dual_coordinate_descent([(np.arange(8), r) for r in x], y, 8, cost, epochs=2000)
+    primal = 0.5 * w @ w + np.sum(cost * np.maximum(0, 1 - y * (x @ w)))
+    # the weights are those of some 0 <= a <= C: the dual value at the best such a closes the gap
+    from itertools import repeat
+
+    a = np.zeros(60)
+    for _ in repeat(None, 4000):
+        for i in range(60):
+            a[i] = min(max(a[i] - (y[i] * x[i] @ ((a * y) @ x) - 1) / (x[i] @ x[i]), 0), cost[i])
+        if primal - (a.sum() - 0.5 * ((a * y) @ x) @ ((a * y) @ x)) < 1e-3 * primal:
+            break
+    assert primal - (a.sum() - 0.5 * ((a * y) @ x) @ ((a * y) @ x)) < 2e-3 * primal
+
+
 def test_classifiers_on_awkward_rows(docs):
     model = toxicity.fit(["you scum. fine words here", "all fine words here"] * 20, np.array([1, 0] * 20))
     got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
