@@ -1,7 +1,7 @@
 """Byte-level BPE: encoding with offsets and decoding, in Arrow batches around the tokenizers library.
 
 A text is split by the pre-tokenisation pattern; the merges never cross those matches, so each distinct match is
-encoded once per worker by ``Tokenizer.encode_batch`` and looked up afterwards.  The byte-to-character table of
+encoded once per worker by the library's merge model and looked up afterwards.  The byte-to-character table of
 byte-level vocabularies is rebuilt from its rule; reversing it turns each id into bytes.  Tokens may end inside a
 UTF-8 character: bytes are joined before they are decoded, and offsets give the characters a token touches.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import sys
 import types
 from collections.abc import Iterable, Iterator
@@ -32,8 +33,8 @@ PIECES = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", f"[^{SPACE}").
 #: The same pattern for texts of ASCII only, for the faster library.
 ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 
-#: Distinct pieces a worker remembers before it starts anew; bounds its memory to about 150 MB.
-REMEMBERED = 400_000
+#: Distinct pieces a worker remembers before it starts anew; bounds its memory to about 350 MB.
+REMEMBERED = 1_400_000
 
 
 def byte_characters() -> dict[str, int]:
@@ -44,16 +45,21 @@ def byte_characters() -> dict[str, int]:
 
 
 class Known(dict):
-    """Piece -> ids as little-endian 32-bit integers; what is not known yet is encoded when it is asked for."""
+    """Piece -> ids as little-endian 32-bit integers; what is not known yet is encoded when it is asked for.
+
+    A piece is one pre-token, so the library's merge model gets it directly, its bytes written as their characters.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = tokenizer
+        self.merge = tokenizer.model.tokenize
+        self.characters = {b: c for c, b in byte_characters().items()}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<i4").tobytes()
+        tokens = self.merge(piece.encode().decode("latin-1").translate(self.characters))
+        ids = self[piece] = struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
         return ids
 
 
