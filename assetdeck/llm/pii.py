@@ -147,10 +147,12 @@ def disclosive_terms(docs: DataFrame, found: DataFrame, share: float = SHARE) ->
         _terms(_replaced(text, F.col("base"), blanks)).alias("terms"))
     holders = C.written(held.groupBy("sig").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")), "mentions")
     n = found.select("sig").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()  # one number
-    of_text = docs.select(_signature(C.text_or_empty()).alias("sig"), _terms(C.text_or_empty()).alias("terms"))
-    distinct = of_text.groupBy("sig").agg(F.first("terms").alias("terms"))  # copies count once
-    frequency = distinct.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("t"))
-    words = C.written(holders.select("sig", F.explode("terms").alias("term")).join(frequency, "term"), "word-counts")
+    hashes = F.transform(_terms(C.text_or_empty()), lambda t: F.xxhash64(t))  # words travel as 64 bits to be counted
+    of_text = docs.select(_signature(C.text_or_empty()).alias("sig"), hashes.alias("hashes"))
+    distinct = of_text.groupBy("sig").agg(F.first("hashes").alias("hashes"))  # copies count once
+    frequency = distinct.select(F.explode("hashes").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("t"))
+    spoken = holders.select("sig", F.explode("terms").alias("term")).withColumn("h", F.xxhash64("term"))
+    words = C.written(spoken.join(frequency, "h").drop("h"), "word-counts")
     classes = C.written(_classes(holders).withColumnRenamed("sig", "s"), "entity-classes")
     e, t = F.col("e"), F.col("t")
     able = _passes(F.least(e, t), e, t, n, share)  # as if they met wherever both can
