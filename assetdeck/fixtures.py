@@ -8,6 +8,8 @@ one annotation per line item, one registration candidate per event.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -177,11 +179,11 @@ def candidates_from(ev: DataFrame) -> DataFrame:
         "ELSE concat('gs://bucket-', CAST(user_id % 10 AS STRING), '/c/', CAST(CAST(floor(value) AS BIGINT) AS STRING)) END AS uri",
         "CASE event_id % 5 WHEN 0 THEN 'delta' WHEN 1 THEN 'parquet' WHEN 2 THEN 'Parquet' WHEN 3 THEN 'precomputed' END AS format",
         "CASE WHEN event_id % 2 = 0 THEN 'table' ELSE 'asset' END AS asset_type",
-        "event_id % 3 = 0 AS is_managed",
+        "CASE WHEN event_id % 41 <> 0 THEN event_id % 3 = 0 END AS is_managed",
         "CASE WHEN event_id % 37 = 0 THEN 'frozen' WHEN event_id % 4 = 1 THEN 'mutable' ELSE 'static' END AS mutability",
         "CASE event_id % 3 WHEN 0 THEN 'stable' WHEN 1 THEN 'draft' ELSE 'deprecated' END AS maturity",
-        "CASE WHEN event_id % 31 = 0 THEN 'not json' "
-        "WHEN event_id % 29 = 0 THEN concat('{\"source\": \"materialization\", \"source_table\": \"nation_', "
+        "CASE WHEN event_id % 31 = 0 THEN 'not json' WHEN event_id % 47 = 0 THEN '[1, 2]' WHEN event_id % 53 = 0 THEN '7' "
+        "WHEN event_id % 59 = 0 THEN NULL WHEN event_id % 29 = 0 THEN concat('{\"source\": \"materialization\", \"source_table\": \"nation_', "
         "CAST(user_id % 30 AS STRING), '\", \"mat_version\": ', CAST(900 + user_id % 7 AS STRING), '}') "
         "WHEN event_id % 43 = 0 THEN '{\"source\": \"materialization\"}' "
         "ELSE props END AS properties",
@@ -283,35 +285,101 @@ def form_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def storage_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What exists in (simulated) object storage, with the table format actually found there.
+#: Kinds of stored tables, by number modulo ``MOUNTS``: their columns, rows and, for Delta, bytes follow from it.
+MOUNTS = 24
+#: Arrow's names of the types that stand for ``DTYPE_CYCLE`` in a Parquet file.
+PARQUET_DTYPES = ("int64", "int64", "uint64", "double", "string", "list<element: int64>", "decimal128(20, 0)", "double")
+_mounted: dict[tuple[str, str], str] = {}
+
+
+def _write_mounts(root: str):
+    """Writes table ``k`` as a Parquet file and as a Delta log (three files, one removed again, in two commits)."""
+
+    def run(batches):
+        import json
+
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        from assetdeck.sources.files import opened
+
+        arrow = [pa.int64(), pa.int64(), pa.uint64(), pa.float64(), pa.string(), pa.list_(pa.int64()), pa.decimal128(20, 0), pa.float64()]
+        for batch in batches:
+            for k in map(int, batch["id"]):
+                fs, base = opened(root)
+                rows, picks = 7 * k + 3, [(k + i) % 8 for i in range(1, 2 + k % 6)]
+                schema = pa.schema([(f"col_{i}", arrow[p]) for i, p in enumerate(picks, 1)])
+                table = pa.Table.from_arrays([pa.nulls(rows, f.type) for f in schema], schema=schema)
+                fs.create_dir(f"{base}/t{k}_delta/_delta_log")
+                with fs.open_output_stream(f"{base}/t{k}_parquet") as out:
+                    pq.write_table(table, out)
+                with fs.open_output_stream(f"{base}/t{k}_other") as out:
+                    out.write(b"neither of both")
+                fields = [{"name": f"col_{i}", "type": DTYPE_CYCLE[p], "nullable": True, "metadata": {}} for i, p in enumerate(picks, 1)]
+                add = lambda path, n, size: {"add": {"path": path, "size": size, "stats": json.dumps({"numRecords": n})}}
+                commits = [[{"metaData": {"schemaString": json.dumps({"type": "struct", "fields": fields}), "partitionColumns": []}},
+                            add("a", 3, 17), add("old", 5, 5)], [{"remove": {"path": "old"}}, add("b", 7 * k, 1000 * k)]]
+                for v, actions in enumerate(commits):
+                    with fs.open_output_stream(f"{base}/t{k}_delta/_delta_log/{v:020d}.json") as out:
+                        out.write("\n".join(map(json.dumps, actions)).encode())
+            yield pd.DataFrame({"id": batch["id"]})
+
+    return run
+
+
+def mounts(spark: SparkSession) -> str:
+    """The folder of stored tables, in the shared folder; written once per application."""
+    from .session import shared_dir
+
+    key = (spark.sparkContext.applicationId, shared_dir(spark, ""))
+    if key not in _mounted:
+        root = shared_dir(spark, f"mounts-{uuid.uuid4().hex}")
+        spark.range(0, MOUNTS, 1, MOUNTS).mapInPandas(_write_mounts(root), "id long").count()
+        _mounted[key] = root
+    return _mounted[key]
 
-    Most asset URIs still exist; candidate URIs exist when their number is
-    not a multiple of 3.  Used by the data-only reachability and sniff checks.
+
+def located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``uri, path``: where in the stored tables each asset's and candidate's URI leads; some paths lead nowhere.
+
+    Most asset URIs still exist; candidate URIs exist when their number is not a multiple of 3.
     """
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 17 <> 0").selectExpr(
-        "concat('gs://bucket-', CAST(o_orderkey % 10 AS STRING), '/t/', CAST(o_orderkey AS STRING)) AS uri",
-        "CASE o_orderkey % 3 WHEN 0 THEN 'parquet' WHEN 1 THEN 'delta' ELSE 'other' END AS actual_format",
-    )
-    e = table(spark, sf_dir, "events").where("CAST(floor(value) AS BIGINT) % 3 <> 0").selectExpr(
+    o = table(spark, sf_dir, "orders").selectExpr(
+        "concat('gs://bucket-', CAST(o_orderkey % 10 AS STRING), '/t/', CAST(o_orderkey AS STRING)) AS uri", "o_orderkey AS n",
+        "CASE WHEN o_orderkey % 17 = 0 THEN 'gone' WHEN o_orderkey % 3 = 0 THEN 'parquet' WHEN o_orderkey % 3 = 1 THEN 'delta' ELSE 'other' END AS kind")
+    e = table(spark, sf_dir, "events").selectExpr(
         "concat('gs://bucket-', CAST(user_id % 10 AS STRING), '/c/', CAST(CAST(floor(value) AS BIGINT) AS STRING)) AS uri",
-        "CASE WHEN CAST(floor(value) AS BIGINT) % 2 = 0 THEN 'parquet' ELSE 'delta' END AS actual_format",
-    ).distinct()
-    return o.unionByName(e)
+        "CAST(floor(value) AS BIGINT) AS n",
+        "CASE WHEN CAST(floor(value) AS BIGINT) % 3 = 0 THEN 'gone' WHEN CAST(floor(value) AS BIGINT) % 2 = 0 THEN 'parquet' ELSE 'delta' END AS kind").distinct()
+    path = F.concat(F.lit(mounts(spark) + "/t"), F.pmod("n", F.lit(MOUNTS)).cast("string"), F.lit("_"), "kind")
+    return o.unionByName(e).select("uri", path.alias("path"))
 
 
-def extracted_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata a reader would find at each readable storage URI: ``(uri, n_rows, n_bytes, columns)``.
+def _inventory(spark: SparkSession) -> DataFrame:
+    """What the readers find in the folder of stored tables, by path; read once per application, a row per stored table."""
+    from .sources import extract
 
-    Generated from the number at the end of the URI: ``1 + n % 6`` columns named
-    ``col_1..`` with dtypes from ``DTYPE_CYCLE``."""
-    s = storage_objects(spark, sf_dir).where(F.col("actual_format").isin("parquet", "delta"))
-    n = F.regexp_extract("uri", r"/([0-9]+)$", 1).cast("bigint")
-    cols = F.slice(F.array(*[
-        F.struct(F.lit(f"col_{i}").alias("name"), _dtype_col((n + i) % 8).alias("dtype")) for i in range(1, 7)
-    ]), 1, (n % 6 + 1).cast("int"))
-    return s.select("uri", ((n * 7919) % 1000003).alias("n_rows"), ((n * 1048573) % 1073741824).alias("n_bytes"),
-                    cols.alias("columns"))
+    root = mounts(spark)
+    key = (root, "inventory")
+    if key not in _mounted:
+        kinds = F.explode(F.array(*map(F.lit, ("parquet", "delta", "other", "gone"))))
+        path = F.concat(F.lit(root + "/t"), F.col("id").cast("string"), F.lit("_"), "kind")
+        paths = spark.range(MOUNTS).withColumn("kind", kinds).select(path.alias("uri"), path.alias("path"))
+        extract.inventory(paths).write.parquet(f"{root}-inventory")
+        _mounted[key] = f"{root}-inventory"
+    return spark.read.parquet(_mounted[key]).withColumnRenamed("uri", "path")
+
+
+def storage_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The storage inventory ``uri, actual_format`` as the readers see it, for the checks of whole batches."""
+    return located(spark, sf_dir).join(F.broadcast(_inventory(spark)), "path").select("uri", "actual_format")  # at most 3 * MOUNTS rows
+
+
+def extracted_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata the readers find at each readable storage URI: ``(uri, n_rows, n_bytes, columns, partition_columns)``."""
+    return located(spark, sf_dir).join(F.broadcast(_inventory(spark).where("actual_format <> 'other'")), "path").select(
+        "uri", "n_rows", "n_bytes", "columns", "partition_columns")
 
 
 def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,13 +406,13 @@ def delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotation_updates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Annotation replacement requests (every 5th order) and their new lists (even part keys; may be empty)."""
-    req = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").selectExpr("CAST(o_orderkey AS STRING) AS id")
+    req = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").selectExpr("CAST(o_orderkey AS STRING) AS id", "o_custkey AS user_id")
     new = annotations(spark, sf_dir).where("tie DIV 100003 % 2 = 0")
     return req, new.join(req.withColumnRenamed("id", "asset_id"), "asset_id", "left_semi")
 
 
 def refresh_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").selectExpr("CAST(o_orderkey AS STRING) AS id")
+    return table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").selectExpr("CAST(o_orderkey AS STRING) AS id", "o_custkey AS user_id")
 
 
 def registration_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,4 +430,5 @@ def registration_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END AS is_managed",
         "CASE WHEN event_id % 7 = 0 THEN concat(' grp', CAST(user_id % 5 AS STRING), ' ') ELSE '  ' END AS access_group",
         "CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'not json' WHEN 2 THEN '   ' ELSE props END AS properties",
+        "CASE event_id % 6 WHEN 0 THEN ' 2030-01-02 03:04:05 ' WHEN 1 THEN 'soon' WHEN 2 THEN '' WHEN 3 THEN '2031-05-06' END AS expires_at",
     )

@@ -24,6 +24,11 @@ def is_materialization_source(props: Column | str) -> Column:
     return F.coalesce(property_get(props, "source") == "materialization", F.lit(False))
 
 
+def is_object(props: Column | str) -> Column:
+    """Whether the text is a JSON object; false for NULL, other JSON and text that is not JSON."""
+    return F.coalesce(F.schema_of_variant(parsed(props)).startswith("OBJECT"), F.lit(False))
+
+
 def normalize_properties(raw: Column | str) -> Column:
     """Registration form rule: blank -> ``{}``; text that is not JSON -> ``{}``."""
     r = F.trim(_c(raw))

@@ -11,7 +11,8 @@ key -- URI.  It is computed exactly in rounds (Blelloch, Fineman, Shun, SPAA
 of both its key group and its URI group; drop undecided rows sharing a key or
 URI with a row just accepted; repeat until nothing is undecided.  Every round
 accepts at least the smallest undecided ``seq``, so it terminates; random
-inputs need a handful of rounds.  Group minima are grouped aggregations
+inputs need a handful of rounds.  After the first rounds, chains of conflicts
+are settled whole by pointer doubling, in logarithmically many joins.  Group minima are grouped aggregations
 (partial aggregation map-side, so a hot key costs one small row per task) and
 each round's state is cut from its lineage with a reliable ``checkpoint()``
 in the cluster's checkpoint folder, so a lost executor only recomputes one round.
@@ -20,7 +21,7 @@ in the cluster's checkpoint folder, so a lost executor only recomputes one round
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -33,8 +34,46 @@ def key_column() -> Column:
     return F.concat_ws("\u0001", F.col("datastack"), F.col("name"), mv, F.coalesce(F.col("revision"), F.lit(0)).cast("string"))
 
 
+#: Rounds without pointer doubling: they settle most of what collides, and chains are what is left.
+PLAIN_ROUNDS = 2
+
+
+def _two_smallest(undecided: DataFrame, group: str) -> DataFrame:
+    """``group, first, second``: the two smallest ``seq`` of each group (second NULL if there is one); a task keeps two rows a group."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy("seq"))
+    two = undecided.select(group, "seq").withColumn("n", place).where("n <= 2")
+    return two.groupBy(group).agg(F.min("seq").alias("first"), F.max(F.when(F.col("n") == 2, F.col("seq"))).alias("second"))
+
+
+def _settle_chains(undecided: DataFrame) -> tuple[DataFrame, int]:
+    """``(seq of accepted rows, doubling steps)``: rows that nothing precedes, and what follows from them along chains.
+
+    A row with one earlier neighbour (second in one of its groups, first in the other) is accepted exactly if that
+    neighbour is not.  Each such row points to its neighbour; the pointers are doubled until they end, so a chain of k
+    rows takes log k joins, and the parity of the distance to a row that nothing precedes decides.  Chains that end in a
+    row with several earlier neighbours stay undecided in this round.
+    """
+    k, u = (_two_smallest(undecided, c).checkpoint() for c in ("kkey", "uri"))
+    pair = lambda t, name: t.select(*[F.col(c).alias(f"{name}_{c}") for c in ("first", "second")])
+    k, u = pair(k, "k"), pair(u, "u")
+    roots = k.join(u, F.col("k_first") == F.col("u_first")).select(F.col("k_first").alias("seq"))
+    ways = (k.join(u, F.col("k_second") == F.col("u_first")).select(F.col("k_second").alias("seq"), F.col("k_first").alias("at"))
+            .unionByName(u.join(k, F.col("u_second") == F.col("k_first")).select(F.col("u_second").alias("seq"), F.col("u_first").alias("at"))))
+    ways, steps = ways.withColumn("odd", F.lit(True)).checkpoint(), 0
+    while True:
+        on = ways.select(F.col("seq").alias("_at"), F.col("at").alias("_to"), F.col("odd").alias("_odd"))
+        joined = ways.join(on, F.col("at") == F.col("_at"), "left")
+        ways = joined.select("seq", F.coalesce("_to", "at").alias("at"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
+                             F.col("_to").isNotNull().alias("moved")).checkpoint()
+        steps += 1
+        if ways.where("moved").isEmpty():
+            break
+    even = ways.where(~F.col("odd")).join(roots.withColumnRenamed("seq", "_root"), F.col("at") == F.col("_root"), "left_semi").select("seq")
+    return roots.unionByName(even), steps
+
+
 def greedy_accept(eligible: DataFrame) -> tuple[DataFrame, int]:
-    """Rows of ``eligible(seq, kkey, uri)`` accepted by the sequential rule; returns (accepted, rounds)."""
+    """Rows of ``eligible(seq, kkey, uri)`` accepted by the sequential rule; returns (accepted, rounds and doubling steps)."""
     spark = eligible.sparkSession
     ensure_checkpoint_dir(spark)
     undecided = eligible.select("seq", "kkey", "uri").checkpoint()
@@ -42,13 +81,19 @@ def greedy_accept(eligible: DataFrame) -> tuple[DataFrame, int]:
     rounds = 0
     while not undecided.isEmpty():
         rounds += 1
-        # the smallest seq of each key group and of each URI group; a seq that is both is accepted.
-        # Joining the two (small) group tables on seq avoids joining them back to every row.
-        mk = undecided.groupBy("kkey").agg(F.min("seq").alias("seq"))
-        mu = undecided.groupBy("uri").agg(F.min("seq").alias("seq"))
+        if rounds <= PLAIN_ROUNDS:
+            # the smallest seq of each key group and of each URI group; a seq that is both is accepted.
+            # Joining the two (small) group tables on seq avoids joining them back to every row.
+            mk = undecided.groupBy("kkey").agg(F.min("seq").alias("seq"))
+            mu = undecided.groupBy("uri").agg(F.min("seq").alias("seq"))
+            acc = mk.join(mu, "seq").select("seq", "kkey", "uri")
+        else:
+            settled, steps = _settle_chains(undecided)
+            rounds += steps
+            acc = undecided.join(settled, "seq", "left_semi")
         # kept (memory, spilling to disk) for the final union; if lost it is recomputed
         # from the checkpointed round state
-        acc = mk.join(mu, "seq").select("seq", "kkey", "uri").persist(StorageLevel.MEMORY_AND_DISK)
+        acc = acc.persist(StorageLevel.MEMORY_AND_DISK)
         accepted_parts.append(acc)
         undecided = (undecided.join(acc.select("kkey"), "kkey", "left_anti")
                      .join(acc.select("uri"), "uri", "left_anti").checkpoint())

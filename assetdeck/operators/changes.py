@@ -85,7 +85,8 @@ def delete_requests(assets: DataFrame, requests: DataFrame, permissions: DataFra
 
 
 def replace_annotations(assets: DataFrame, annotations: DataFrame, updates: DataFrame, new_ann: DataFrame, mat: DataFrame,
-                        now, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+                        now, order: str | None = None, permissions: DataFrame | None = None,
+                        users: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """SNK-04: replace the whole annotation list of each requested table after the checks.
 
     Annotations are stored in long form (``annotations``: one row per asset and
@@ -95,15 +96,18 @@ def replace_annotations(assets: DataFrame, annotations: DataFrame, updates: Data
     clear).  With ``order``, a column of both that numbers the requests, a table may have several: each
     is checked on its own and the list of the last valid one stays.
     A malformed kind -> invalid_request; missing or expired -> not_found, non-table
-    -> not_table; kind target, point group or dtype failures -> rejected, unchanged.
+    -> not_table; with ``permissions`` and ``users``, no ``edit`` for the request's ``user_id`` -> forbidden (requests
+    of one number by several users count once, by the least id);
+    kind target, point group or dtype failures -> rejected, unchanged.
     Returns (next annotation table, per-request status)."""
     number = F.col(order).cast("long") if order else F.lit(0).cast("long")
     key = lambda asset: F.concat_ws("\u0001", F.col(asset), F.col("_order").cast("string"))
-    req = updates.select("id", number.alias("_order")).distinct()
+    req = updates.select("id", number.alias("_order"), *(["user_id"] if permissions is not None else []))
+    req = req.distinct() if permissions is None else req.groupBy("id", "_order").agg(F.min("user_id").alias("user_id"))
     tgt = assets.withColumn("_expired", is_expired(now))
-    r = req.join(tgt, "id", "left").withColumn("_key", key("id"))
+    r = _may_edit(req.join(tgt, "id", "left").withColumn("_key", key("id")), permissions, users)
     # the checks see each request as an asset of its own
-    asked = r.drop("id").withColumnRenamed("_key", "id").drop("_order")
+    asked = r.drop("id", "allowed", "user_id").withColumnRenamed("_key", "id").drop("_order")
     a = new_ann.withColumn("_order", number).withColumn("_asset", F.col("asset_id")).withColumn("asset_id", key("asset_id")).join(
         req.select(key("id").alias("asset_id")), "asset_id", "left_semi")
     cols = AN.explode_columns(asked)
@@ -111,12 +115,13 @@ def replace_annotations(assets: DataFrame, annotations: DataFrame, updates: Data
            .unionByName(AN.point_group_uniqueness(a).select("asset_id"))
            .unionByName(AN.kind_dtype_check(a, cols).select("asset_id"))).distinct().withColumn("_bad", F.lit(True))
     malformed = AN.invalid_kinds(a).select("asset_id").distinct().withColumn("_malformed", F.lit(True))
-    st = (r.select("id", "_order", "_key", "asset_type", "_expired")
+    st = (r.select("id", "_order", "_key", "asset_type", "_expired", "allowed")
           .join(bad.withColumnRenamed("asset_id", "_key"), "_key", "left")
           .join(malformed.withColumnRenamed("asset_id", "_key"), "_key", "left"))
     status = (F.when(F.col("_malformed"), F.lit("invalid_request"))
               .when(F.col("asset_type").isNull() | F.col("_expired"), F.lit("not_found"))
               .when(F.col("asset_type") != "table", F.lit("not_table"))
+              .when(~F.col("allowed"), F.lit("forbidden"))
               .when(F.coalesce(F.col("_bad"), F.lit(False)), F.lit("rejected"))
               .otherwise(F.lit("updated")))
     st = st.select("id", "_order", status.alias("status"))
@@ -127,27 +132,40 @@ def replace_annotations(assets: DataFrame, annotations: DataFrame, updates: Data
     return kept.unionByName(replaced), st.withColumnRenamed("_order", order) if order else st.drop("_order")
 
 
-def refresh_metadata(assets: DataFrame, ids: DataFrame, extracted: DataFrame, now) -> tuple[DataFrame, DataFrame]:
+def refreshable(assets: DataFrame, ids: DataFrame, now) -> DataFrame:
+    """``uri, format`` of the requested tables that extraction may be tried for: present, not expired, with an extractor."""
+    wanted = assets.where((F.col("asset_type") == "table") & ~is_expired(now) & F.lower("format").isin(*S.SUPPORTED_EXTRACT_FORMATS))
+    return wanted.join(ids.select("id"), "id", "left_semi").select("uri", F.lower("format").alias("format")).distinct()
+
+
+def refresh_metadata(assets: DataFrame, ids: DataFrame, extracted: DataFrame, now, permissions: DataFrame | None = None,
+                     users: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """SNK-05: re-extract the metadata of the requested tables; annotations untouched.
 
-    ``extracted(uri, n_rows, n_bytes, columns)``.  Missing or expired -> not_found,
-    non-table -> not_table, NULL format -> no_format, format without an extractor ->
-    unsupported_format, nothing readable at the URI -> extraction_failed.  Several extractions
-    of one URI count as one; ``extracted.partition_columns``, where there, is stored."""
+    ``extracted(uri, n_rows, n_bytes, columns)`` is what the readers found (``refreshable`` says where to look); with a
+    column ``format`` it holds for tables of that format.  Missing or expired -> not_found,
+    non-table -> not_table, with ``permissions`` and ``users`` no ``edit`` for the request's ``user_id`` -> forbidden,
+    NULL format -> no_format, format without an extractor -> unsupported_format, nothing readable at the URI ->
+    extraction_failed.  Several extractions of one URI and format count as one; ``extracted.partition_columns``, where
+    there, is stored.  One status row per distinct request; any permitted one refreshes the table."""
     ts = now if not isinstance(now, str) else F.lit(now).cast("timestamp")
-    req = ids.select("id").distinct()
-    tgt = assets.select("id", "asset_type", "format", "uri", is_expired(now).alias("_expired"))
-    ex = extracted.select(F.col("uri").alias("_x_uri"), "n_rows", "n_bytes", "columns",
-                          partition_columns(extracted).alias("partition_columns")).dropDuplicates(["_x_uri"])
-    r = req.join(tgt, "id", "left").join(ex, F.col("uri") == F.col("_x_uri"), "left")
+    req = ids.select("id", *(["user_id"] if permissions is not None else [])).distinct()
+    tgt = assets.select("id", "datastack", "asset_type", "format", "uri", is_expired(now).alias("_expired"))
+    by = ["_x_uri"] + (["_x_format"] if "format" in extracted.columns else [])
+    ex = extracted.select(F.col("uri").alias("_x_uri"), *([F.lower("format").alias("_x_format")] if len(by) > 1 else []), "n_rows", "n_bytes", "columns",
+                          partition_columns(extracted).alias("partition_columns")).dropDuplicates(by)
+    match = [F.col("uri") == F.col("_x_uri")] + ([F.lower("format") == F.col("_x_format")] if len(by) > 1 else [])
+    r = _may_edit(req.join(tgt, "id", "left"), permissions, users).join(ex, match, "left")
     status = (F.when(F.col("asset_type").isNull() | F.col("_expired"), F.lit("not_found"))
               .when(F.col("asset_type") != "table", F.lit("not_table"))
+              .when(~F.col("allowed"), F.lit("forbidden"))
               .when(F.col("format").isNull(), F.lit("no_format"))
               .when(~F.lower("format").isin(*S.SUPPORTED_EXTRACT_FORMATS), F.lit("unsupported_format"))
               .when(F.col("_x_uri").isNull(), F.lit("extraction_failed"))
               .otherwise(F.lit("refreshed")))
-    st = r.select("id", status.alias("status"), "n_rows", "n_bytes", "columns", "partition_columns")
-    md = st.where(F.col("status") == "refreshed").select(
+    asked = [c for c in ("id", "user_id") if c in req.columns]
+    st = r.select(*asked, status.alias("status"), "n_rows", "n_bytes", "columns", "partition_columns")
+    md = st.where(F.col("status") == "refreshed").dropDuplicates(["id"]).select(
         "id", F.struct(F.col("n_rows").cast("bigint").alias("n_rows"), F.size("columns").cast("int").alias("n_columns"),
                        F.col("n_bytes").cast("bigint").alias("n_bytes"), F.col("columns").alias("columns"),
                        F.col("partition_columns")).cast(S.TABLE_METADATA).alias("_md"))
@@ -156,4 +174,4 @@ def refresh_metadata(assets: DataFrame, ids: DataFrame, extracted: DataFrame, no
         F.coalesce(F.col("_md"), F.col(c)).alias(c) if c == "cached_metadata"
         else F.when(F.col("_md").isNotNull(), ts).otherwise(F.col(c)).alias(c) if c == "metadata_cached_at"
         else F.col(c) for c in assets.columns])
-    return out, st.select("id", "status")
+    return out, st.select(*asked, "status")

@@ -98,12 +98,16 @@ def mat_table_verify(cands: DataFrame, mat: DataFrame) -> DataFrame:
 
 
 def uri_reachable(cands: DataFrame, storage: DataFrame) -> DataFrame:
-    """SRC-11 against a storage inventory ``(uri, actual_format)``."""
-    s = storage.select(F.col("uri").alias("_s_uri"), F.col("actual_format").alias("_actual")).distinct()
+    """SRC-11 against a storage inventory ``(uri, actual_format, error)``, as ``extract.inventory`` reads it.
+
+    A row with an ``error`` (an inventory may lack the column) stands for storage that cannot be reached."""
+    error = F.col("error") if "error" in storage.columns else F.lit(None).cast("string")
+    s = storage.select(F.col("uri").alias("_s_uri"), F.col("actual_format").alias("_actual"), error.alias("_s_error")).distinct()
     c = cands.join(s, F.col("uri") == F.col("_s_uri"), "left")
-    found = F.col("_s_uri").isNotNull()
-    return c.withColumn("reachable_passed", found).withColumn(
-        "reachable_message", F.when(~found, F.concat(F.lit("URI does not exist: "), F.col("uri")))).drop("_s_uri")
+    found = F.col("_s_uri").isNotNull() & F.col("_s_error").isNull()
+    message = F.when(F.col("_s_error").isNotNull(), F.concat(F.lit("URI unreachable: "), F.col("_s_error"))).when(
+        ~found, F.concat(F.lit("URI does not exist: "), F.col("uri")))
+    return c.withColumn("reachable_passed", found).withColumn("reachable_message", message).drop("_s_uri", "_s_error")
 
 
 def format_sniff(cands: DataFrame) -> DataFrame:

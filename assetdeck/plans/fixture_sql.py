@@ -82,11 +82,11 @@ SELECT event_id AS seq, user_id,
     ELSE 'gs://bucket-' || CAST(user_id % 10 AS VARCHAR) || '/c/' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) END AS uri,
   CASE event_id % 5 WHEN 0 THEN 'delta' WHEN 1 THEN 'parquet' WHEN 2 THEN 'Parquet' WHEN 3 THEN 'precomputed' END AS format,
   CASE WHEN event_id % 2 = 0 THEN 'table' ELSE 'asset' END AS asset_type,
-  event_id % 3 = 0 AS is_managed,
+  CASE WHEN event_id % 41 <> 0 THEN event_id % 3 = 0 END AS is_managed,
   CASE WHEN event_id % 37 = 0 THEN 'frozen' WHEN event_id % 4 = 1 THEN 'mutable' ELSE 'static' END AS mutability,
   CASE event_id % 3 WHEN 0 THEN 'stable' WHEN 1 THEN 'draft' ELSE 'deprecated' END AS maturity,
-  CASE WHEN event_id % 31 = 0 THEN 'not json'
-    WHEN event_id % 29 = 0 THEN '{"source": "materialization", "source_table": "nation_' || CAST(user_id % 30 AS VARCHAR)
+  CASE WHEN event_id % 31 = 0 THEN 'not json' WHEN event_id % 47 = 0 THEN '[1, 2]' WHEN event_id % 53 = 0 THEN '7'
+    WHEN event_id % 59 = 0 THEN NULL WHEN event_id % 29 = 0 THEN '{"source": "materialization", "source_table": "nation_' || CAST(user_id % 30 AS VARCHAR)
       || '", "mat_version": ' || CAST(900 + user_id % 7 AS VARCHAR) || '}'
     WHEN event_id % 43 = 0 THEN '{"source": "materialization"}'
     ELSE props END AS properties,
@@ -173,7 +173,8 @@ SELECT event_id AS seq,
   CASE event_id % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'draft' ELSE 'stable' END AS maturity,
   CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '' END AS is_managed,
   CASE WHEN event_id % 7 = 0 THEN ' grp' || CAST(user_id % 5 AS VARCHAR) || ' ' ELSE '  ' END AS access_group,
-  CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'not json' WHEN 2 THEN '   ' ELSE props END AS properties
+  CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'not json' WHEN 2 THEN '   ' ELSE props END AS properties,
+  CASE event_id % 6 WHEN 0 THEN ' 2030-01-02 03:04:05 ' WHEN 1 THEN 'soon' WHEN 2 THEN '' WHEN 3 THEN '2031-05-06' END AS expires_at
 FROM events"""
 
 

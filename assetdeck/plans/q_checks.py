@@ -9,6 +9,7 @@ from .. import fixtures as FX
 from ..operators import access as AC
 from ..operators import checks as CK
 from ..operators import reference as RF
+from ..sources import extract as EX
 from .fixture_sql import NOW_SQL, with_fixtures
 from .q_scalars import BUCKET_RE, PREFIX_RE, URI_RE, name_error_sql
 from .registry import query
@@ -231,13 +232,19 @@ def mat_table_verify(spark, d):
     return CK.mat_table_verify(_cands(spark, d), FX.mat_objects(spark, d)).select("seq", "matverify_passed", "matverify_message")
 
 
+def _seen(spark, d):
+    """What the readers see behind the candidates' URIs: folders listed, footers and logs read, now."""
+    wanted = FX.located(spark, d).join(FX.candidates(spark, d).select("uri"), "uri", "left_semi")
+    return EX.inventory(wanted)
+
+
 @query("uri_exists", _checks_sql("SELECT seq, reachable_passed, reachable_message FROM reach", "reach"))
 def uri_exists(spark, d):
-    return CK.uri_reachable(_cands(spark, d), FX.storage_objects(spark, d)).select("seq", "reachable_passed", "reachable_message")
+    return CK.uri_reachable(_cands(spark, d), _seen(spark, d)).select("seq", "reachable_passed", "reachable_message")
 
 
 def _sniffed(spark, d):
-    return CK.format_sniff(CK.uri_reachable(_cands(spark, d), FX.storage_objects(spark, d)))
+    return CK.format_sniff(CK.uri_reachable(_cands(spark, d), _seen(spark, d)))
 
 
 @query("sniff_dispatch", _checks_sql("SELECT seq, sniff_passed, sniff_message FROM sniff", "sniff"))

@@ -85,9 +85,12 @@ def request_errors_sql(table_format_required: bool = True) -> str:
         name_error_sql("name"),
         "CASE WHEN uri IS NULL THEN 'uri is required' END",
         "CASE WHEN asset_type IS NULL THEN 'asset_type is required' END",
+        "CASE WHEN is_managed IS NULL THEN 'is_managed is required' END",
         "CASE WHEN coalesce(revision, 0) < 0 THEN 'revision must be >= 0' END",
         "CASE WHEN coalesce(mutability, 'static') NOT IN ('static', 'mutable') THEN 'mutability must be one of: static, mutable' END",
         "CASE WHEN coalesce(maturity, 'stable') NOT IN ('stable', 'draft', 'deprecated') THEN 'maturity must be one of: stable, draft, deprecated' END",
+        "CASE WHEN properties IS NOT NULL AND NOT CASE WHEN json_valid(properties) THEN json_type(properties) = 'OBJECT' ELSE false END "
+        "THEN 'properties must be an object' END",
     ]
     if table_format_required:
         checks.append("CASE WHEN asset_type = 'table' AND format IS NULL THEN 'format is required for tables' END")

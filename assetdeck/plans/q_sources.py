@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import fixtures as FX
+from ..session import shared_dir
 from ..sources import delta_log as DL
 from ..sources import extract as EX
+from ..sources import files as FS
 from ..sources import storage as ST
 from .fixture_sql import NOW_SQL, with_fixtures
 from .registry import query
@@ -26,20 +30,32 @@ def storage_listing(spark, d):
                                      (F.col("length") > 0).alias("has_bytes"))
 
 
+#: DuckDB's names of column types and Arrow's for the same Parquet column.
+ARROW_TYPE = {"BIGINT": "int64", "INTEGER": "int32", "DOUBLE": "double", "FLOAT": "float", "VARCHAR": "string", "FLOAT[]": "list<element: float>",
+              "TIMESTAMP": "timestamp[us]", "DATE": "date32[day]", "BOOLEAN": "bool"}
+
+
 def _pm_sql() -> str:
+    arrow = "CASE column_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ARROW_TYPE.items()) + " END"
     parts = [f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS n_rows, "
              f"CAST((SELECT count(*) FROM (DESCRIBE {t})) AS INTEGER) AS n_columns, "
-             f"(SELECT string_agg(column_name, ',') FROM (DESCRIBE {t})) AS column_names" for t in TABLE_FILES]
+             f"(SELECT string_agg(column_name || ':' || {arrow}, ',') FROM (DESCRIBE {t})) AS column_list, true AS has_bytes, "
+             f"CAST(NULL AS VARCHAR) AS error" for t in TABLE_FILES]
     return "\nUNION ALL ".join(parts)
 
 
+def _column_list(columns="columns"):
+    return F.array_join(F.transform(columns, lambda c: F.concat_ws(":", c["name"], c["dtype"])), ",")
+
+
 @query("parquet_metadata", _pm_sql())
 def parquet_metadata(spark, d):
-    """SRC-03: footers of every Parquet file in the data folder, read on executors."""
-    files = _listing(spark, d).select(F.col("path").alias("uri"), F.lit("parquet").alias("format"))
-    prof = EX.profile_paths(files)
-    return prof.select(F.regexp_extract("uri", r"([^/]+)\.parquet$", 1).alias("table_name"), "n_rows", "n_columns",
-                       F.array_join(F.transform("columns", lambda c: c["name"]), ",").alias("column_names"))
+    """SRC-03: the tables of the data folder (files or folders of files), footers read file by file on executors."""
+    uris = F.concat(F.lit(d.rstrip("/") + "/"), F.col("t"), F.lit(".parquet"))
+    paths = spark.createDataFrame([(t,) for t in TABLE_FILES], "t string").select(uris.alias("uri"))
+    return EX.parquet_metadata(paths).select(
+        F.regexp_extract("uri", r"([^/]+)\.parquet$", 1).alias("table_name"), "n_rows", "n_columns", _column_list().alias("column_list"),
+        (F.col("n_bytes") > 0).alias("has_bytes"), "error")
 
 
 def _profile_requests(spark, d):
@@ -123,10 +139,7 @@ def all_or_nothing_sum(spark, d):
     m = live.select("name", F.lit(1).alias("_m"), F.col("cached_metadata.n_rows").alias("n_rows"),
                     F.col("cached_metadata.n_bytes").alias("n_bytes"))
     j = names.join(m, "name", "left")
-    cnt = F.count("_m")
-    return j.groupBy("name").agg(
-        F.when(cnt == F.count("n_rows"), F.coalesce(F.sum("n_rows"), F.lit(0))).alias("total_rows"),
-        F.when(cnt == F.count("n_bytes"), F.coalesce(F.sum("n_bytes"), F.lit(0))).alias("total_bytes"))
+    return j.groupBy("name").agg(DL.all_or_nothing_sum("n_rows", "_m").alias("total_rows"), DL.all_or_nothing_sum("n_bytes", "_m").alias("total_bytes"))
 
 
 ACTIONS_SQL = """SELECT 'tbl_' || CAST(l_orderkey % 50 AS VARCHAR) AS "table", CAST(l_linenumber AS BIGINT) AS version,
@@ -161,19 +174,95 @@ def live_delta_files(spark, d):
     return DL.live_files(_actions(spark, d), order=["version", "tie", "ok"])
 
 
-@query("delta_log_metadata", f"""SELECT t."table", CASE WHEN count(l.path) = count(l.num_records) THEN coalesce(sum(l.num_records), 0) END AS n_rows,
-  CASE WHEN count(l.path) = count(l.size) THEN coalesce(sum(l.size), 0) END AS n_bytes, count(l.path) AS n_files
-FROM (SELECT DISTINCT "table" FROM ({ACTIONS_SQL})) t LEFT JOIN ({LIVE_SQL}) l ON l."table" = t."table" GROUP BY t."table\"""")
+#: The logs that ``delta_log_metadata`` writes and reads: a checkpoint up to version 2 replaces the older commits of
+#: every fifth table, one log has a hole, one table has no log.
+CHECKPOINT_AT, HOLE_AT = 2, 3
+
+
+def _write_logs(root: str):
+    """Writes sorted log lines (``table, version, kind, line``) to the files they belong to, one open at a time."""
+
+    def run(batches):
+        import json
+
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+
+        types = {"add": pa.struct([("path", pa.string()), ("size", pa.int64()), ("stats", pa.string())]), "remove": pa.struct([("path", pa.string())]),
+                 "metaData": pa.struct([("schemaString", pa.string()), ("partitionColumns", pa.list_(pa.string()))])}
+
+        def close(key, lines):
+            fs, base = FS.opened(root)
+            log = f"{base}/{key[0]}/_delta_log"
+            fs.create_dir(log)
+            with fs.open_output_stream(f"{log}/{key[1]:020d}.{'checkpoint.parquet' if key[2] == 'checkpoint' else 'json'}") as out:
+                if key[2] == "checkpoint":
+                    rows = [{k: a.get(k) for k in types} for a in map(json.loads, lines)]
+                    pq.write_table(pa.Table.from_pylist(rows, pa.schema(list(types.items()))), out)
+                else:
+                    out.write("\n".join(lines).encode())
+
+        key, lines, n = None, [], 0
+        for batch in batches:
+            for row in zip(batch["table"], batch["version"], batch["kind"], batch["line"]):
+                if row[:3] != key:
+                    if lines:
+                        close(key, lines)
+                        n += 1
+                    key, lines = row[:3], []
+                lines.append(row[3])
+        if lines:
+            close(key, lines)
+        yield pd.DataFrame({"files": [n + bool(lines)]})
+
+    return run
+
+
+def _log_lines(actions):
+    """``table, version, kind, line``: the action log as the lines of commits and of the checkpoints."""
+    newest = actions.groupBy("table", "version", F.coalesce("add_path", "remove_path").alias("path")).agg(F.max_by(F.struct(
+        "add_path", "remove_path", "add_size", "num_records"), F.struct("tie", "ok")).alias("x")).select("table", "version", "x.*")
+    stats = F.when(F.col("num_records").isNotNull(), F.to_json(F.struct(F.col("num_records").alias("numRecords"))))
+    add = F.when(F.col("add_path").isNotNull(), F.struct(F.col("add_path").alias("path"), F.col("add_size").alias("size"), stats.alias("stats")))
+    remove = F.when(F.col("remove_path").isNotNull(), F.struct(F.col("remove_path").alias("path")))
+    number = F.regexp_extract("table", "([0-9]+)$", 1).cast("int")
+    line = F.to_json(F.struct(add.alias("add"), remove.alias("remove"))).alias("line")
+    commits = newest.select("table", (F.col("version") - 1).alias("version"), F.lit("commit").alias("kind"), F.lit(1).alias("seq"), line)
+    commits = commits.where(~((number % 5 == 0) & (F.col("version") <= CHECKPOINT_AT)) & ~((number == 49) & (F.col("version") == HOLE_AT)))
+    state = DL.live_files(newest.where(f"version <= {CHECKPOINT_AT + 1}")).where(number % 5 == 0)
+    kept = state.select("table", F.lit(CHECKPOINT_AT).cast("long").alias("version"), F.lit("checkpoint").alias("kind"), F.lit(1).alias("seq"),
+                        F.to_json(F.struct(F.struct("path", "size", F.when(F.col("num_records").isNotNull(), F.to_json(F.struct(
+                            F.col("num_records").alias("numRecords")))).alias("stats")).alias("add"))).alias("line"))
+    fields = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(t).alias("type")) for n, t in LOG_FIELDS])
+    schema = F.to_json(F.struct(F.lit("struct").alias("type"), F.slice(fields, 1, number % 4 + 1).alias("fields")))
+    parts = F.when(number % 3 == 0, F.array(F.lit("day"))).otherwise(F.array().cast("array<string>"))
+    first = number % 5 == 0
+    heads = actions.select("table").distinct().select(
+        "table", F.when(first, F.lit(CHECKPOINT_AT)).otherwise(0).cast("long").alias("version"), F.when(first, "checkpoint").otherwise("commit").alias("kind"),
+        F.lit(0).alias("seq"), F.to_json(F.struct(F.struct(schema.alias("schemaString"), parts.alias("partitionColumns")).alias("metaData"))).alias("line"))
+    return commits.unionByName(kept).unionByName(heads)
+
+
+LOG_FIELDS = (("day", "date"), ("id", "long"), ("price", "decimal(12,2)"), ("tags", "string"))
+_FIELD_LIST = "CASE CAST(regexp_extract(t.\"table\", '([0-9]+)$', 1) AS INTEGER) % 4 " + " ".join(
+    f"WHEN {k} THEN '{','.join(f'{n}:{t}' for n, t in LOG_FIELDS[: k + 1])}'" for k in range(4)) + " END"
+
+
+@query("delta_log_metadata", f"""SELECT t."table", CASE t."table" WHEN 'tbl_49' THEN 'Delta log at ''tbl_49'' lacks commits after version -1'
+    WHEN 'tbl_none' THEN 'No Delta transaction log found at ''tbl_none''. This path may not contain a Delta Lake table.' END AS error,
+  CASE WHEN t."table" NOT IN ('tbl_49', 'tbl_none') AND count(l.path) = count(l.num_records) THEN coalesce(sum(l.num_records), 0) END AS n_rows,
+  CASE WHEN t."table" NOT IN ('tbl_49', 'tbl_none') AND count(l.path) = count(l.size) THEN coalesce(sum(l.size), 0) END AS n_bytes,
+  CASE WHEN t."table" NOT IN ('tbl_49', 'tbl_none') THEN {_FIELD_LIST} END AS column_list,
+  CASE WHEN t."table" NOT IN ('tbl_49', 'tbl_none') THEN CASE WHEN CAST(regexp_extract(t."table", '([0-9]+)$', 1) AS INTEGER) % 3 = 0 THEN 'day' ELSE '' END END AS partition_list
+FROM (SELECT DISTINCT "table" FROM ({ACTIONS_SQL}) UNION ALL SELECT 'tbl_none') t LEFT JOIN ({LIVE_SQL}) l ON l."table" = t."table" GROUP BY t."table\"""")
 def delta_log_metadata(spark, d):
-    """SRC-04 totals over a Delta-style log: live files per table, all-or-nothing sums."""
+    """SRC-04: logs of all tables, written to the shared folder as commits and checkpoints and read back by path."""
+    root = shared_dir(spark, f"delta-logs-{uuid.uuid4().hex}")
     acts = _actions(spark, d)
-    tables = acts.select("table").distinct()
-    live = DL.live_files(acts, order=["version", "tie", "ok"]).withColumn("_f", F.lit(1))
-    j = tables.join(live, "table", "left")
-    # a table whose files were all removed has no live row: the left join keeps it with 0 files
-    return j.groupBy("table").agg(F.count("_f").alias("n_files"), F.count("num_records").alias("_c"),
-                                  F.sum("num_records").alias("_s"), F.count("size").alias("_cs"), F.sum("size").alias("_ss")).select(
-        "table",
-        F.when(F.col("n_files") == F.col("_c"), F.coalesce("_s", F.lit(0))).alias("n_rows"),
-        F.when(F.col("n_files") == F.col("_cs"), F.coalesce("_ss", F.lit(0))).alias("n_bytes"),
-        "n_files")
+    lines = _log_lines(acts).repartition("table").sortWithinPartitions("table", "kind", "version", "seq", "line")
+    lines.select("table", "version", "kind", "line").mapInPandas(_write_logs(root), "files long").collect()
+    names = acts.select("table").distinct().unionByName(spark.createDataFrame([("tbl_none",)], "table string"))
+    md = DL.table_metadata(names.select(F.concat(F.lit(root + "/"), "table").alias("uri")))
+    return md.select(F.regexp_extract("uri", "([^/]+)$", 1).alias("table"), F.regexp_replace("error", r"'[^']*/([^'/]+)'", "'$1'").alias("error"),
+                     "n_rows", "n_bytes", _column_list().alias("column_list"), F.array_join("partition_columns", ",").alias("partition_list"))

@@ -91,9 +91,11 @@ REG_ROW_SQL = f"""SELECT seq, {_blank('datastack')} AS n_datastack, {_blank('nam
   coalesce({_blank('mutability')}, 'static') AS n_mutability, coalesce({_blank('maturity')}, 'stable') AS n_maturity,
   is_managed = 'true' AS n_is_managed, {_blank('access_group')} AS n_access_group,
   CASE WHEN trim(properties) <> '' AND json_valid(trim(properties)) THEN trim(properties) ELSE '{{}}' END AS n_properties,
+  TRY_CAST({_blank('expires_at')} AS TIMESTAMP) AS n_expires_at,
   CASE WHEN {_blank('uri')} IS NULL OR {_blank('name')} IS NULL OR {_blank('datastack')} IS NULL THEN 'URI, name, and datastack are required.'
     WHEN {_blank('mat_version')} IS NOT NULL AND TRY_CAST({_blank('mat_version')} AS INTEGER) IS NULL THEN 'Mat version must be an integer.'
-    WHEN {_blank('revision')} IS NOT NULL AND TRY_CAST({_blank('revision')} AS INTEGER) IS NULL THEN 'Revision must be an integer.' END AS form_error
+    WHEN {_blank('revision')} IS NOT NULL AND TRY_CAST({_blank('revision')} AS INTEGER) IS NULL THEN 'Revision must be an integer.'
+    WHEN {_blank('expires_at')} IS NOT NULL AND TRY_CAST({_blank('expires_at')} AS TIMESTAMP) IS NULL THEN 'Expires at must be a timestamp.' END AS form_error
 FROM cat_forms"""
 
 

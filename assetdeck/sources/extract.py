@@ -1,29 +1,21 @@
 """Metadata extraction from Parquet and Delta tables (SRC-03 .. SRC-06, SRC-12 .. SRC-14).
 
-Each candidate path is profiled inside an executor task (``mapInPandas``):
-Parquet footers are read with pyarrow (schema, row count, byte size - no
-data pages), a Delta table's ``_delta_log`` commit files are read as JSON
-lines.  Failures become values (``status`` / ``error``), never job failures.
-Paths are spread over tasks by ``repartition``, so a batch of thousands of
-tables is profiled in parallel; one path is one small unit of work.
-
-Delta rules: the newest action per file path decides whether it is live
-(WIN-04); ``n_rows`` / ``n_bytes`` are sums over live files and NULL as soon as
-one live file lacks the statistic, 0 for a table without files (AGG-02).
+Requests are ``(uri, format)`` rows.  Parquet paths are listed, every file's footer is read in a task of its own, and an
+aggregation per path makes the profile: columns and partition keys of its first file, sums of rows and bytes.  Delta
+paths go through ``delta_log``.  Failures become values (``status`` / ``error``), never job failures.
+
+A path fails where its schema cannot be read; where only the count of some later file is missing, ``n_rows`` is NULL.
 """
 
 from __future__ import annotations
 
-import json
-import os
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from . import delta_log as DL
+from . import files as FS
 
 PROFILE = T.StructType([
     T.StructField("uri", T.StringType()),
@@ -38,170 +30,70 @@ PROFILE = T.StructType([
 ])
 
 
-def _local(uri: str) -> str:
-    for p in ("file://", "file:"):
-        if uri.startswith(p):
-            return uri[len(p):]
-    return uri
-
-
-def _arrow_fs_path(uri: str):
-    import pyarrow.fs as pafs
-
-    if "://" in uri and not uri.startswith("file:"):
-        return pafs.FileSystem.from_uri(uri)
-    return pafs.LocalFileSystem(), _local(uri)
-
-
-def _parquet_profile(uri: str) -> dict:
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
-    fs, path = _arrow_fs_path(uri)
-    info = fs.get_file_info(path)
-    if info.type == pafs.FileType.NotFound:
-        raise FileNotFoundError(f"No such file or directory: '{uri}'")
-    if info.type == pafs.FileType.Directory:
-        files = [f for f in fs.get_file_info(pafs.FileSelector(path, recursive=True))
-                 if f.type == pafs.FileType.File and not os.path.basename(f.path).startswith(("_", "."))]
-        if not files:
-            raise FileNotFoundError(f"No parquet files found under '{uri}'")
-    else:
-        files = [info]
-    schema = None
-    n_rows, n_bytes = 0, 0
-    stats_ok = True
-    parts: list[str] = []
-    for f in files:
-        with fs.open_input_file(f.path) as fh:
-            meta = pq.ParquetFile(fh).metadata
-        if schema is None:
-            schema = meta.schema.to_arrow_schema()
-        if meta.num_rows is None or f.size is None:
-            stats_ok = False
-        else:
-            n_rows += meta.num_rows
-            n_bytes += f.size
-        rel = os.path.relpath(f.path, path) if info.type == pafs.FileType.Directory else ""
-        for seg in rel.split("/")[:-1]:
-            if "=" in seg and seg.split("=", 1)[0] not in parts:
-                parts.append(seg.split("=", 1)[0])
-    cols = [{"name": n, "dtype": str(t)} for n, t in zip(schema.names, schema.types)]
-    return {"n_rows": n_rows if stats_ok else None, "n_bytes": n_bytes if stats_ok else None,
-            "columns": cols, "partition_columns": parts}
-
-
-def _delta_checkpoint_actions(fs, log: str) -> tuple[int, list[dict]]:
-    """Actions stored in the newest Parquet checkpoint named by ``_last_checkpoint`` (version -1 if none)."""
-    import pyarrow.fs as pafs
-    import pyarrow.parquet as pq
-
-    pointer = f"{log}/_last_checkpoint"
-    if fs.get_file_info(pointer).type != pafs.FileType.File:
-        return -1, []
-    with fs.open_input_stream(pointer) as fh:
-        version = int(json.loads(fh.read().decode("utf-8"))["version"])
-    prefix = f"{version:020d}.checkpoint"
-    parts = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(log))
-                   if os.path.basename(f.path).startswith(prefix) and f.path.endswith(".parquet"))
-    actions: list[dict] = []
-    for part in parts:
-        with fs.open_input_file(part) as fh:
-            for row in pq.read_table(fh).to_pylist():
-                actions.extend({k: v} for k, v in row.items() if k in ("add", "remove", "metaData") and v is not None)
-    return version, actions
-
-
-def _delta_profile(uri: str) -> dict:
-    import pyarrow.fs as pafs
-
-    fs, path = _arrow_fs_path(uri)
-    log = path.rstrip("/") + "/_delta_log"
-    if fs.get_file_info(log).type != pafs.FileType.Directory:
-        raise ValueError(f"No Delta transaction log found at '{uri}'. This path may not contain a Delta Lake table.")
-    ckpt_version, ckpt_actions = _delta_checkpoint_actions(fs, log)
-    commits = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(log)) if f.path.endswith(".json")
-                     and os.path.basename(f.path).split(".")[0].isdigit()
-                     and int(os.path.basename(f.path).split(".")[0]) > ckpt_version)
-    if not commits and ckpt_version < 0:
-        raise ValueError(f"No Delta transaction log found at '{uri}'. This path may not contain a Delta Lake table.")
-    # newest action per file and deletion vector decides whether the file is live
-    latest: dict[tuple, dict | None] = {}
-    metadata = None
-
-    def entry(action: dict) -> tuple:
-        v = action.get("deletionVector") or {}
-        return action["path"], v.get("storageType"), v.get("pathOrInlineDv"), v.get("offset")
-
-    def apply(act: dict) -> None:
-        nonlocal metadata
-        if act.get("metaData"):
-            metadata = act["metaData"]
-        elif act.get("add"):
-            latest[entry(act["add"])] = act["add"]
-        elif act.get("remove"):
-            latest[entry(act["remove"])] = None
-
-    for act in ckpt_actions:
-        apply(act)
-    for c in commits:
-        with fs.open_input_stream(c) as fh:
-            for line in fh.read().decode("utf-8").splitlines():
-                if line.strip():
-                    apply(json.loads(line))
-    if metadata is None:
-        raise ValueError(f"Delta log at '{uri}' has no metadata action")
-    fields = json.loads(metadata["schemaString"]).get("fields", [])
-    cols = [{"name": f["name"], "dtype": f["type"] if isinstance(f["type"], str) else json.dumps(f["type"])} for f in fields]
-    live = [a for a in latest.values() if a is not None]
-    sizes = [a.get("size") for a in live]
-    counts = []
-    for a in live:
-        st = a.get("stats")
-        try:
-            counts.append(json.loads(st).get("numRecords") if st else None)
-        except ValueError:
-            counts.append(None)
-    return {"n_rows": sum(counts) if all(c is not None for c in counts) else None,
-            "n_bytes": sum(sizes) if all(s is not None for s in sizes) else None,
-            "columns": cols, "partition_columns": list(metadata.get("partitionColumns") or [])}
-
-
-READERS = {"parquet": _parquet_profile, "delta": _delta_profile}
-
-
-def _profile_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for uri, fmt in zip(pdf["uri"], pdf["format"]):
-            row = {"uri": uri, "format": fmt, "status": "ok", "error": None, "n_rows": None, "n_columns": None,
-                   "n_bytes": None, "columns": None, "partition_columns": None}
-            reader = READERS.get((fmt or "").lower())
-            if reader is None:
-                row["status"] = "unsupported_format"
-                row["error"] = (f"No metadata extractor for format '{fmt}'. "
-                                f"Supported: {', '.join(sorted(READERS))}")
-            else:
-                try:
-                    md = reader(uri)
-                    row.update(md)
-                    row["n_columns"] = len(md["columns"])
-                except Exception as exc:  # noqa: BLE001 - errors become values
-                    row["status"] = "error"
-                    row["error"] = f"Metadata extraction failed: {exc}"
-            out.append(row)
-        yield pd.DataFrame(out, columns=PROFILE.fieldNames())
+FIELDS = ["n_rows", "n_columns", "n_bytes", "columns", "partition_columns"]
 
 
-def profile_paths(paths: DataFrame, uri_col: str = "uri", format_col: str = "format") -> DataFrame:
-    """SRC-06: ``(uri, format)`` rows -> one metadata row per path with ``status``/``error``.
+def parquet_metadata(paths: DataFrame) -> DataFrame:
+    """``uri, error, n_rows, n_columns, n_bytes, columns, partition_columns`` per distinct path of ``paths`` (``uri``)."""
+    listed = FS.data_files(paths.select("uri").where("uri IS NOT NULL").distinct())
+    missing = listed.where("file IS NULL").select("uri", F.lit(None).cast("bigint").alias("n_rows"), F.lit(None).cast("bigint").alias("length"),
+                                                  F.struct("name", F.lit(None).cast("array<struct<name:string,dtype:string>>").alias("columns"), "error").alias("file"))
+    read = FS.footers(listed).select("uri", "n_rows", "length", F.struct("name", "columns", "error").alias("file"))
+    per_path = read.unionByName(missing).groupBy("uri").agg(
+        F.min_by("file", F.col("file.name")).alias("first"), F.min("file.error").alias("some_error"), DL.all_or_nothing_sum("n_rows").alias("n_rows"),
+        F.sum("length").alias("n_bytes"))
+    first = F.coalesce("first", F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<struct<name:string,dtype:string>>").alias("columns"),
+                                         F.col("some_error").alias("error")))  # no file: the listing's error
+    out = per_path.withColumn("first", first).withColumn("error", F.col("first.error"))
+    good = lambda c: F.when(F.col("error").isNull(), c)
+    return out.select("uri", "error", good(F.col("n_rows")).alias("n_rows"), F.size("first.columns").alias("n_columns"), good(F.col("n_bytes")).alias("n_bytes"),
+                      FS.column_infos("first.columns").alias("columns"), good(FS.partition_keys("first.name")).alias("partition_columns"))
 
-    Unknown formats are an error naming the supported ones (SRC-05).  The paths are spread over
-    ``spark.sql.shuffle.partitions`` tasks: the number is stated so that adaptive execution does not
-    merge rows that are few bytes but much work."""
-    tasks = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p = paths.select(F.col(uri_col).alias("uri"), F.col(format_col).alias("format")).repartition(tasks, "uri")
-    return p.mapInPandas(_profile_batches, PROFILE)
+
+def profile_paths(paths: DataFrame, uri_col: str = "uri", format_col: str = "format") -> DataFrame:
+    """SRC-06: one metadata row per request row (``uri``, ``format``) with ``status``/``error``.
+
+    Unknown formats are an error naming the supported ones (SRC-05); a NULL path is an error.  Equal requests are read
+    once and every request gets its row."""
+    asked = paths.select(F.col(uri_col).alias("uri"), F.col(format_col).alias("format")).withColumn("reader", extractor_for("format"))
+    found = None
+    for reader, metadata in (("parquet", parquet_metadata), ("delta", DL.table_metadata)):
+        got = metadata(asked.where(F.col("reader") == reader)).withColumn("r", F.lit(reader))
+        found = got if found is None else found.unionByName(got)
+    found = found.withColumnRenamed("uri", "u").withColumnRenamed("error", "why")
+    out = asked.join(found, (F.col("uri") == F.col("u")) & (F.col("reader") == F.col("r")), "left")
+    failed = F.coalesce("why", F.when(F.col("uri").isNull(), F.lit("no path given")))
+    error = F.coalesce(extractor_error("format"), F.concat(F.lit("Metadata extraction failed: "), failed))
+    status = F.when(F.col("reader").isNull(), "unsupported_format").when(failed.isNotNull(), "error").otherwise("ok")
+    return out.select("uri", "format", status.alias("status"), error.alias("error"),
+                      *[F.col(c).cast(PROFILE[c].dataType).alias(c) for c in FIELDS])
+
+
+def extracted(located: DataFrame) -> DataFrame:
+    """``uri, format`` and the metadata read at ``path`` by the format's reader, for the rows of ``located`` where that works."""
+    asked = located.select(F.col("path").alias("uri"), "format").distinct()
+    found = profile_paths(asked).where("status = 'ok'").select(F.col("uri").alias("p"), F.col("format").alias("f"), *FIELDS)
+    return located.select("uri", "path", "format").join(found, (F.col("path") == F.col("p")) & (F.col("format") == F.col("f"))).select(
+        "uri", "format", *FIELDS)
+
+
+def inventory(located: DataFrame) -> DataFrame:
+    """What storage holds at each URI: ``uri, actual_format, error, n_rows, n_bytes, columns, partition_columns``.
+
+    ``located`` gives each ``uri`` the ``path`` it is reached by; equal paths are looked at once.  ``actual_format`` is
+    the reader that can read it (``delta`` before ``parquet``) or ``other``; URIs without a file or folder have no row,
+    unless the storage cannot be reached: then ``error`` says why and ``actual_format`` is NULL."""
+    paths = located.select(F.col("path").alias("uri")).where("path IS NOT NULL").distinct()
+    there = FS.existence(paths).where("found OR error IS NOT NULL").select(F.col("uri").alias("path"), F.col("error").alias("unreachable"))
+    read = {"delta": DL.table_metadata(paths), "parquet": parquet_metadata(paths)}
+    for name, found in read.items():
+        there = there.join(found.select(F.col("uri").alias(f"u_{name}"), F.struct("error", *FIELDS).alias(name)), F.col("path") == F.col(f"u_{name}"), "left")
+    fits = {name: F.col("unreachable").isNull() & F.col(name).isNotNull() & F.col(f"{name}.error").isNull() for name in read}
+    actual = F.when(F.col("unreachable").isNotNull(), F.lit(None)).when(fits["delta"], "delta").when(fits["parquet"], "parquet").otherwise("other")
+    value = lambda c: F.when(fits["delta"], F.col(f"delta.{c}").cast(PROFILE[c].dataType)).when(
+        fits["parquet"], F.col(f"parquet.{c}").cast(PROFILE[c].dataType)).alias(c)
+    seen = there.select(F.col("path").alias("p"), actual.alias("actual_format"), F.col("unreachable").alias("error"), *map(value, FIELDS))
+    return located.select("uri", "path").join(seen, F.col("path") == F.col("p")).drop("path", "p")
 
 
 def extractor_for(fmt_col: str = "format") -> F.Column:
@@ -227,10 +119,3 @@ def sniff(profiled: DataFrame) -> DataFrame:
                                                    F.regexp_replace("error", "^Metadata extraction failed: ", ""))))
     passed = F.col("format").isNull() | ~fmt.isin("parquet", "delta") | (F.col("status") == "ok")
     return profiled.withColumn("sniff_passed", passed).withColumn("sniff_message", msg)
-
-
-def as_metadata(profiled: DataFrame) -> F.Column:
-    """The profile as the store's ``TABLE_METADATA`` struct (NULL for failures)."""
-    return F.when(F.col("status") == "ok", F.struct(
-        F.col("n_rows"), F.col("n_columns"), F.col("n_bytes"), F.col("columns"), F.col("partition_columns")
-    ).cast(S.TABLE_METADATA))

@@ -95,3 +95,33 @@ def test_admission_with_a_hot_key(spark):
     got, want, _ = _run(spark, c, a)
     assert got == want
     assert sum(1 for s, _ in got.values() if s == "created") > 2
+
+
+def _chain(n):
+    """Candidate i shares its key with one neighbour and its URI with the other."""
+    return [(i, 1, "ds0", f"n{(i + 1) // 2}", 1, 0, f"gs://b/{i // 2}", "delta", "table", True, "static", "stable", "{}", None, None) for i in range(1, n + 1)]
+
+
+def _open(spark, rows):
+    none = F.lit(None).cast("string")
+    return spark.createDataFrame(rows, CANDIDATE).withColumn("gate_status", none).withColumn("content_status", none)
+
+
+def test_long_chain_takes_logarithmically_many_rounds(spark):
+    a = FX.assets(spark, SMALL, with_columns=False).limit(0)
+    got, want, rounds = _run(spark, _open(spark, _chain(10_000)), a)
+    assert got == want and rounds < 20
+
+
+def test_chains_of_any_shape_equal_the_loop(spark, monkeypatch):
+    monkeypatch.setattr(AD, "PLAIN_ROUNDS", 0)
+    rng = random.Random(3)
+    a = FX.assets(spark, SMALL, with_columns=False).limit(0)
+    for trial in range(3):
+        links = list(range(1, 200))
+        numbers = rng.sample(range(1000), 199)  # arrival in any order along the chain, and some extra collisions
+        rows = [(seq, *r[1:]) for seq, r in zip(numbers, _chain(199))]
+        rows += [(1000 + k, 1, "ds0", f"n{rng.choice(links) // 2}", 1, 0, f"gs://b/{rng.choice(links) // 2}", "delta", "table", True, "static",
+                  "stable", "{}", None, None) for k in range(40 * trial)]
+        got, want, _ = _run(spark, _open(spark, rows), a)
+        assert got == want, trial
