@@ -415,6 +415,17 @@ def refresh_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").selectExpr("CAST(o_orderkey AS STRING) AS id", "o_custkey AS user_id")
 
 
+def preview_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What readers report when a preview fails, one message per event: every kind of error, some with two reasons, some none."""
+    return table(spark, sf_dir, "events").selectExpr(
+        "event_id AS seq", "CASE WHEN event_id % 2 = 0 THEN 'parquet' ELSE 'delta' END AS format",
+        "CASE event_id % 9 WHEN 0 THEN concat('No such file or directory: ', event_type, '/', CAST(user_id AS STRING)) "
+        "WHEN 1 THEN concat('404 Not Found: object ', CAST(user_id AS STRING)) WHEN 2 THEN concat('bucket-', CAST(user_id % 10 AS STRING), ' does not exist') "
+        "WHEN 3 THEN concat('PERMISSION denied for user ', CAST(user_id AS STRING)) WHEN 4 THEN '403 Forbidden' "
+        "WHEN 5 THEN concat('no Access to ', event_type) WHEN 6 THEN concat('Invalid magic number in footer of ', event_type) "
+        "WHEN 7 THEN 'access denied or key not found' END AS message")
+
+
 def registration_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw registration-form text, one form per event (blank, padded and malformed values included)."""
     return table(spark, sf_dir, "events").selectExpr(

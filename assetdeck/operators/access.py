@@ -88,6 +88,18 @@ def shares_group(requests: DataFrame, memberships: DataFrame, users: DataFrame,
     return out.withColumn("shares", F.col("_is_admin") | F.coalesce(F.col("_overlap"), F.lit(False))).drop("_overlap", "_is_admin")
 
 
+def access_responses(requests: DataFrame, assets: DataFrame, permissions: DataFrame, memberships: DataFrame, users: DataFrame,
+                     now, auth_enabled: bool = True) -> DataFrame:
+    """JON-10 then PRJ-09: one row per request (``request_id, user_id, asset_id``) with the plan of the granted ones.
+
+    ``status`` is not_found, forbidden, error (a managed URI that cannot be served) or ok."""
+    judged = asset_view_access(requests, assets, permissions, memberships, users, now, auth_enabled)
+    granted = judged.where("status = 'ok'").select(F.col("asset_id").alias("id")).distinct()
+    plans = access_plan(assets.join(granted, "id", "left_semi"), now).withColumnRenamed("status", "_plan")
+    found = judged.withColumn("_granted", F.when(F.col("status") == "ok", F.col("asset_id"))).join(plans, F.col("_granted") == F.col("id"), "left")
+    return found.withColumn("status", F.coalesce("_plan", "status")).drop("_plan", "_granted", "id", "resource")
+
+
 def access_plan(assets: DataFrame, now) -> DataFrame:
     """PRJ-09: how a caller would reach each asset (no token is minted).
 

@@ -3,14 +3,13 @@
 
 Everything works on the long form: one row per (asset, column) and one row
 per (asset, annotation) with submission order ``(pos, tie)``.  Per-group
-"first"/"last" rules are grouped aggregations (``max_by``/``min_by``) joined
-back, not windows, so a hot asset or point group is pre-aggregated map-side
-and the join-back is split by AQE instead of landing in one task.
+"first"/"last" rules keep one row per task and group before the shuffle
+(group-limited windows, or grouped aggregations joined back).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kinds as K
@@ -32,11 +31,13 @@ def explode_columns(assets: DataFrame) -> DataFrame:
 
 
 def last_annotation_wins(ann: DataFrame) -> DataFrame:
-    """WIN-03: per (asset, column_name) keep the annotation submitted last."""
-    order = F.struct("pos", "tie")
-    payload = F.struct("pos", "tie", "description", *KIND_FIELDS)
-    g = ann.groupBy("asset_id", "column_name").agg(F.max_by(payload, order).alias("a"))
-    return g.select("asset_id", "column_name", "a.*")
+    """WIN-03: per (asset, column_name) keep the annotation submitted last.
+
+    Each task first keeps its own newest row per column, so a hot column is a row per task before the shuffle; the
+    shuffle by (asset, column) is the one a join with the discovered columns needs as well."""
+    newest = Window.partitionBy("asset_id", "column_name").orderBy(F.desc("pos"), F.desc("tie"))
+    kept = ann.withColumn("_nth", F.row_number().over(newest)).where("_nth = 1")
+    return kept.select("asset_id", "column_name", "pos", "tie", "description", *KIND_FIELDS)
 
 
 def merge_columns(columns: DataFrame, ann: DataFrame) -> DataFrame:

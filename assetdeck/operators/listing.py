@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
+from . import access as AC
 from . import display as D
-from .predicates import compose_filters, not_expired
+from .predicates import compose_filters
 
 
 def sort_column(sort_by: str | None) -> str:
@@ -60,6 +61,43 @@ def page(filtered: DataFrame, sort_by: str | None = "name", sort_order: str = "a
     return out
 
 
+def after(sort_by: str | None, sort_order: str, value: Any, id_: str) -> Column:
+    """Rows that come after the row with this sort value and id, in the order of ``order_nulls_first``.
+
+    The first condition alone is a plain comparison that reaches the scan."""
+    c = F.col(sort_column(sort_by))
+    if sort_order not in ("asc", "desc"):
+        raise ValueError("sort_order must be 'asc' or 'desc'")
+    same_later = F.col("id") > F.lit(id_)
+    if value is None:
+        return c.isNotNull() | same_later
+    v = F.lit(value)
+    beyond, upto = (c < v, c <= v) if sort_order == "desc" else (c > v, c >= v)
+    return upto & (beyond | same_later)
+
+
+def page_after(filtered: DataFrame, sort_by: str | None = "name", sort_order: str = "asc", limit: int = S.EXPLORE_LIMIT_DEFAULT,
+               cursor: tuple[Any, str] | None = None) -> DataFrame:
+    """SRT-03 by key: the next ``limit`` rows after ``cursor`` (sort value and id of the last row seen; None: from the start).
+
+    However deep the page lies, each task keeps ``limit`` rows only; ``total`` counts all of ``filtered``, ``cursor_value``
+    and ``cursor_id`` of the last row are the next cursor."""
+    check_page_args(limit, 0)
+    rest = filtered if cursor is None else filtered.where(after(sort_by, sort_order, *cursor))
+    top = rest.orderBy(*order_nulls_first(sort_by, sort_order)).limit(limit)
+    return top.withColumn("cursor_value", F.col(sort_column(sort_by))).withColumn("cursor_id", F.col("id")).withColumn("total", total_count(filtered))
+
+
+def for_caller(rows: DataFrame, user_id: int, datastack: str, permissions: DataFrame, users: DataFrame, wanted: str = "view") -> DataFrame:
+    """``rows`` with ``caller`` and ``status`` ok, if the caller has ``wanted`` on the datastack; else one row that says forbidden."""
+    who = rows.sparkSession.createDataFrame([(user_id, datastack)], "user_id long, datastack string")
+    verdict = AC.datastack_permission(who, permissions, users, wanted).select("allowed")
+    allowed = verdict.agg(F.max("allowed")).scalar()  # one row
+    caller = F.lit(user_id).cast("long").alias("caller")
+    granted = rows.where(allowed).select(caller, F.lit("ok").alias("status"), "*")
+    return granted.unionByName(verdict.where(~F.col("allowed")).select(caller, F.lit("forbidden").alias("status")), allowMissingColumns=True)
+
+
 def list_assets(assets: DataFrame, datastack: str, now, *, limit: int | None = None, offset: int = 0,
                 sort_by: str = "name", sort_order: str = "asc", **filters: Any) -> DataFrame:
     """PIP-07: required datastack, hides expired, optional equality / contains filters."""
@@ -108,7 +146,3 @@ def explore_page(assets: DataFrame, datastack: str, now, *, limit: int = S.EXPLO
         F.lit(offset > 0).alias("has_prev"),
         (F.lit(offset + limit) < total).alias("has_next"),
     ).withColumn("page_count", (F.col("_pc") + 1).cast("bigint")).drop("_pc")
-
-
-def not_expired_assets(assets: DataFrame, now) -> DataFrame:
-    return assets.where(not_expired(now))

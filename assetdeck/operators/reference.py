@@ -49,23 +49,22 @@ def target_columns(mat: DataFrame, requests: DataFrame) -> DataFrame:
     """SRC-10: fields of each requested target, ``_bbox`` stripped, in field order.
 
     ``requests(datastack, target_name, target_type)``: ``view`` looks among
-    views, anything else among tables; current objects only.
+    views, anything else among tables.  Where they have a column ``version``, it is the version
+    to look at, NULL standing for the current one; without it all ask for the current one.
     """
-    r = requests.withColumn("_otype", F.when(F.col("target_type") == "view", "view").otherwise("table"))
-    cur = mat.where(F.col("is_current")).select(
-        "datastack", F.col("object_type").alias("_otype"), F.col("object_name").alias("target_name"), "fields")
-    j = r.join(cur, ["datastack", "_otype", "target_name"], "inner")
-    return j.select("datastack", "target_name", "target_type", F.posexplode("fields").alias("pos", "f")).select(
-        "datastack", "target_name", "target_type", F.col("pos").cast("int").alias("pos"), strip_bbox("f").alias("column_name"))
-
-
-def linkable_targets(mat: DataFrame, datastack: str | None = None) -> DataFrame:
-    """SET-01: current tables UNION ALL current views, tagged; ordered by name, table before view on ties."""
-    t = mat_objects_of(mat, "table", datastack).select("datastack", F.col("object_name").alias("name"), F.lit("table").alias("target_type"))
-    v = mat_objects_of(mat, "view", datastack).select("datastack", F.col("object_name").alias("name"), F.lit("view").alias("target_type"))
+    asked = F.col("version").cast("string") if "version" in requests.columns else F.lit(None).cast("string")
+    r = requests.withColumn("_otype", F.when(F.col("target_type") == "view", "view").otherwise("table")).withColumn(
+        "_at", F.coalesce(asked, F.lit("current")))
+    known = ["datastack", F.col("object_type").alias("_otype"), F.col("object_name").alias("target_name"), "fields"]
+    # every object under its version and, if it is current, under that name too: one equality join serves both
+    objects = mat.select(*known, F.explode(F.array_compact(F.array(F.col("version").cast("string"), F.when(F.col("is_current"), F.lit("current"))))).alias("_at"))
+    j = r.join(objects, ["datastack", "_otype", "target_name", "_at"], "inner")
+    out = ["datastack", "target_name", "target_type", *(["version"] if "version" in requests.columns else [])]
+    return j.select(*out, F.posexplode("fields").alias("pos", "f")).select(*out, F.col("pos").cast("int").alias("pos"), strip_bbox("f").alias("column_name"))
+
+
+def linkable_targets(mat: DataFrame, datastack: str | None = None, version: int | None = None) -> DataFrame:
+    """SET-01: tables UNION ALL views, current or of a version, tagged; ordered by name, table before view on ties."""
+    t = mat_objects_of(mat, "table", datastack, version).select("datastack", F.col("object_name").alias("name"), F.lit("table").alias("target_type"))
+    v = mat_objects_of(mat, "view", datastack, version).select("datastack", F.col("object_name").alias("name"), F.lit("view").alias("target_type"))
     return t.unionByName(v).orderBy("datastack", "name", "target_type")
-
-
-def reference_available(mat: DataFrame) -> DataFrame:
-    """Datastacks the reference data covers; for others, lookups are 'unavailable'."""
-    return mat.select("datastack").distinct().withColumn("reference_available", F.lit(True))

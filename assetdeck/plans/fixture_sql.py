@@ -147,6 +147,14 @@ SELECT DISTINCT 'gs://bucket-' || CAST(user_id % 10 AS VARCHAR) || '/c/' || CAST
 FROM events WHERE CAST(floor(value) AS BIGINT) % 3 <> 0"""
 
 
+CTES["cat_errors"] = """
+SELECT event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'parquet' ELSE 'delta' END AS format,
+  CASE event_id % 9 WHEN 0 THEN 'No such file or directory: ' || event_type || '/' || CAST(user_id AS VARCHAR)
+    WHEN 1 THEN '404 Not Found: object ' || CAST(user_id AS VARCHAR) WHEN 2 THEN 'bucket-' || CAST(user_id % 10 AS VARCHAR) || ' does not exist'
+    WHEN 3 THEN 'PERMISSION denied for user ' || CAST(user_id AS VARCHAR) WHEN 4 THEN '403 Forbidden' WHEN 5 THEN 'no Access to ' || event_type
+    WHEN 6 THEN 'Invalid magic number in footer of ' || event_type WHEN 7 THEN 'access denied or key not found' END AS message
+FROM events"""
+
 CTES["cat_patches"] = """
 SELECT event_id AS request_id, user_id, CAST(event_id // 4 * 4 AS VARCHAR) AS id, event_id % 3 = 0 AS maturity_set,
   CASE WHEN event_id % 33 = 0 THEN NULL WHEN event_id % 21 = 0 THEN 'bogus' WHEN event_id % 3 = 0 THEN 'deprecated' ELSE 'draft' END AS maturity,

@@ -205,9 +205,9 @@ def admit_tables(spark, d):
     return out.withColumn("n_bytes", F.when(~F.coalesce(measured, F.lit(False)), F.col("n_bytes")))
 
 
-@query("append_snapshot", _snapshot_sql("SELECT datastack, asset_type, count(*) AS n_assets FROM snap GROUP BY datastack, asset_type"))
+@query("append_snapshot", _snapshot_sql("SELECT id, datastack, name, mat_version, revision, uri, asset_type, id LIKE 'new-%' AS appended FROM snap"))
 def append_snapshot(spark, d):
-    """SET-02: the store plus the rows accepted from the batch, by asset type and datastack."""
-    snap = _register_assets(spark, d).snapshot
-    return snap.groupBy("datastack", "asset_type").agg(F.count(F.lit(1)).alias("n_assets"))
+    """SET-02: the store plus the rows accepted from the batch, row by row."""
+    return _register_assets(spark, d).snapshot.select("id", "datastack", "name", "mat_version", "revision", "uri", "asset_type",
+                                                      F.col("id").startswith("new-").alias("appended"))
 

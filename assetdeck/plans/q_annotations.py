@@ -143,3 +143,11 @@ FROM (SELECT *, nullif(trim(kind), '') AS k, nullif(trim(target_table), '') AS t
 def annotation_cells_to_structs(spark, d):
     out = forms.cells_to_annotations(FX.form_cells(spark, d), keep_empty=False)
     return out.select("asset_id", "idx", "tie", "column_name", "description", "kind.*", "form_error").transform(flat_kind)
+
+
+@query("annotation_edit_cells", with_fixtures(f"SELECT * FROM ({CELLS_SQL})", "cat_form_cells", form_rows=FORM_ROWS_SQL))
+def annotation_edit_cells(spark, d):
+    """PRJ-10 on the edit form, which keeps rows with neither description nor kind."""
+    out = forms.cells_to_annotations(FX.form_cells(spark, d), keep_empty=True)
+    return out.select("asset_id", "idx", "tie", "column_name", "description", "kind.*", "form_error").transform(flat_kind)
+

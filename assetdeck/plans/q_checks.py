@@ -66,7 +66,7 @@ def shares_group(spark, d):
     return AC.shares_group(c, FX.memberships(spark, d), FX.users(spark, d)).select("request_id", "user_id", "shares")
 
 
-@query("access_plan", with_fixtures(f"""SELECT id, uri, format, is_managed,
+ACCESS_PLAN_SQL = f"""SELECT id, uri, format, is_managed,
   CASE WHEN err IS NULL THEN 'ok' WHEN expired THEN 'not_found' ELSE 'error' END AS status, err AS error,
   CASE WHEN err IS NULL AND is_managed THEN 'gcs' END AS storage_provider,
   CASE WHEN err IS NULL AND is_managed THEN 'Bearer' END AS token_type,
@@ -80,7 +80,10 @@ FROM (SELECT *, CASE WHEN expired THEN 'Asset not found' WHEN NOT is_managed THE
     WHEN prefix <> '' AND NOT regexp_full_match(prefix, '{PREFIX_RE}') THEN 'Invalid GCS prefix: ''' || prefix || '''' END AS err
   FROM (SELECT id, uri, format, is_managed, coalesce(expires_at < {NOW_SQL}, false) AS expired,
       lower(regexp_extract(uri, '{URI_RE}', 1)) AS scheme, regexp_extract(uri, '{URI_RE}', 3) AS bucket,
-      regexp_replace(regexp_extract(uri, '{URI_RE}', 4), '^/+', '') AS prefix FROM cat_assets))""", "cat_assets"))
+      regexp_replace(regexp_extract(uri, '{URI_RE}', 4), '^/+', '') AS prefix FROM cat_assets))"""
+
+
+@query("access_plan", with_fixtures(ACCESS_PLAN_SQL, "cat_assets"))
 def access_plan(spark, d):
     return AC.access_plan(_assets(spark, d), NOW)
 
@@ -111,40 +114,45 @@ def mat_views(spark, d):
     return RF.mat_objects_of(FX.mat_objects(spark, d), "view")
 
 
-TARGET_REQ_SQL = """SELECT DISTINCT s.datastack, a.target_table AS target_name, 'table' AS target_type
+TARGET_REQ_SQL = """SELECT DISTINCT s.datastack, a.target_table AS target_name, 'table' AS target_type, CAST(CASE WHEN a.pos % 2 = 1 THEN 900 + a.pos % 7 END AS INTEGER) AS version
 FROM cat_annotations a JOIN cat_assets s ON s.id = a.asset_id WHERE a.kind = 'materialization'
-UNION SELECT DISTINCT 'ds' || CAST(l_suppkey % 4 AS VARCHAR), lower(replace(r_name, ' ', '_')) || '_view', 'view'
+UNION SELECT DISTINCT 'ds' || CAST(l_suppkey % 4 AS VARCHAR), lower(replace(r_name, ' ', '_')) || '_view', 'view', CAST(CASE WHEN l_linenumber % 2 = 1 THEN 900 + l_linenumber % 7 END AS INTEGER)
 FROM lineitem JOIN region ON r_regionkey = l_suppkey % 5"""
 
 
 def _target_requests(spark, d):
     a = FX.annotations(spark, d).where(F.col("kind") == "materialization")
     s = _assets(spark, d).select(F.col("id").alias("asset_id"), "datastack")
-    t = a.join(s, "asset_id").select("datastack", F.col("target_table").alias("target_name"), F.lit("table").alias("target_type"))
-    li = FX.table(spark, d, "lineitem").select("l_suppkey")
+    version = lambda n: F.when(F.col(n) % 2 == 1, 900 + F.col(n) % 7).cast("int").alias("version")  # noqa: E731  NULL: the current one
+    t = a.join(s, "asset_id").select("datastack", F.col("target_table").alias("target_name"), F.lit("table").alias("target_type"), version("pos"))
+    li = FX.table(spark, d, "lineitem").select("l_suppkey", "l_linenumber")
     rg = FX.table(spark, d, "region")
     v = li.join(rg, F.col("r_regionkey") == F.col("l_suppkey") % 5).select(
         F.concat(F.lit("ds"), (F.col("l_suppkey") % 4).cast("string")).alias("datastack"),
         F.concat(F.lower(F.regexp_replace("r_name", " ", "_")), F.lit("_view")).alias("target_name"),
-        F.lit("view").alias("target_type"))
+        F.lit("view").alias("target_type"), version("l_linenumber"))
     return t.unionByName(v).distinct()
 
 
-@query("target_columns", with_fixtures(f"""SELECT r.datastack, r.target_name, r.target_type,
+@query("target_columns", with_fixtures(f"""SELECT r.datastack, r.target_name, r.target_type, r.version,
   CAST(generate_subscripts(m.fields, 1) - 1 AS INTEGER) AS pos, regexp_replace(unnest(m.fields), '_bbox$', '') AS column_name
-FROM ({TARGET_REQ_SQL}) r JOIN cat_mat_objects m ON m.is_current AND m.datastack = r.datastack AND m.object_name = r.target_name
+FROM ({TARGET_REQ_SQL}) r JOIN cat_mat_objects m ON CASE WHEN r.version IS NULL THEN m.is_current ELSE m.version = r.version END AND m.datastack = r.datastack AND m.object_name = r.target_name
   AND m.object_type = CASE WHEN r.target_type = 'view' THEN 'view' ELSE 'table' END""", "cat_assets", "cat_annotations", "cat_mat_objects"))
 def target_columns(spark, d):
     return RF.target_columns(FX.mat_objects(spark, d), _target_requests(spark, d))
 
 
-@query("linkable_targets", with_fixtures("""SELECT datastack, name, target_type,
-  CAST(row_number() OVER (PARTITION BY datastack ORDER BY name, target_type) AS INTEGER) AS rank
-FROM (SELECT DISTINCT datastack, object_name AS name, object_type AS target_type FROM cat_mat_objects WHERE is_current)""", "cat_mat_objects"))
+@query("linkable_targets", with_fixtures("""SELECT datastack, version, name, target_type,
+  CAST(row_number() OVER (PARTITION BY datastack, version ORDER BY name, target_type) AS INTEGER) AS rank
+FROM (SELECT DISTINCT datastack, CAST(NULL AS INTEGER) AS version, object_name AS name, object_type AS target_type FROM cat_mat_objects WHERE is_current
+      UNION SELECT DISTINCT datastack, version, object_name, object_type FROM cat_mat_objects WHERE version IN (902, 903))""", "cat_mat_objects"))
 def linkable_targets(spark, d):
-    t = RF.linkable_targets(FX.mat_objects(spark, d))
+    """Current targets (version NULL) and those of two versions."""
+    mat = FX.mat_objects(spark, d)
+    t = [RF.linkable_targets(mat, version=v).withColumn("version", F.lit(v).cast("int")) for v in (None, 902, 903)]
+    t = t[0].unionByName(t[1]).unionByName(t[2])
     # the reference data is per datastack and small; rank inside each datastack
-    w = Window.partitionBy("datastack").orderBy("name", "target_type")
+    w = Window.partitionBy("datastack", "version").orderBy("name", "target_type")
     return t.withColumn("rank", F.row_number().over(w).cast("int"))
 
 

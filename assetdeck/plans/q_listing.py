@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,6 +177,20 @@ def page_(spark, d):
     return flat_page(L.list_assets(_stored(spark, d), "ds1", NOW, limit=100, offset=250, sort_by="created_at"))
 
 
+_AFTER = ("TIMESTAMP '1998-03-01 00:00:00'", "4000")
+
+
+@query("page_after", with_fixtures(f"""SELECT {FLAT_COLS}, created_at AS cursor_value, id AS cursor_id,
+  (SELECT count(*) FROM cat_assets WHERE datastack = 'ds1' AND {_LIVE}) AS total FROM cat_assets
+WHERE datastack = 'ds1' AND {_LIVE} AND (created_at < {_AFTER[0]} OR created_at = {_AFTER[0]} AND id > '{_AFTER[1]}')
+ORDER BY created_at DESC NULLS FIRST, id LIMIT 100""", "cat_assets"))
+def page_after(spark, d):
+    """SRT-03 by key: the page after a given row costs the same wherever that row lies."""
+    live = _stored(spark, d).where(P.compose_filters(datastack="ds1", now=NOW))
+    rows = L.page_after(live, "created_at", "desc", 100, (dt.datetime(1998, 3, 1), _AFTER[1]))
+    return rows.select(*flat_cols(), "cursor_value", "cursor_id", "total")
+
+
 @query("total_count", with_fixtures(
     f"SELECT datastack, count(*) AS total FROM cat_assets WHERE {_LIVE} GROUP BY datastack", "cat_assets"))
 def total_count(spark, d):
@@ -202,9 +218,32 @@ def list_assets(spark, d):
                                    format="delta", name_contains="by_key"))
 
 
-@query("list_tables", _sql(f"datastack = 'ds1' AND asset_type = 'table' AND {_LIVE} AND source = 'user' AND maturity = 'stable'"))
-def list_tables(spark, d):
-    return flat(L.list_tables(_stored(spark, d), "ds1", NOW, source="user", maturity="stable"))
+#: Callers of the listings below: an administrator, and somebody nobody knows.
+CALLERS = (97, -1)
+
+
+def _called_sql(rows: str) -> str:
+    return f"SELECT CAST({CALLERS[0]} AS BIGINT) AS caller, 'ok' AS status, * FROM ({rows}) UNION ALL BY NAME SELECT CAST({CALLERS[1]} AS BIGINT) AS caller, 'forbidden' AS status"
+
+
+def _called(spark, d, rows, datastack):
+    both = [L.for_caller(rows, u, datastack, FX.permissions(spark, d), FX.users(spark, d)) for u in CALLERS]
+    return both[0].unionByName(both[1])
+
+
+@query("list_assets_as", with_fixtures(_called_sql(
+    f"SELECT {FLAT_COLS} FROM cat_assets WHERE datastack = 'ds2' AND {_LIVE} AND format = 'delta' AND maturity = 'draft'"), "cat_assets"))
+def list_assets_as(spark, d):
+    """PIP-07 with its permission step: whole listing for one caller, forbidden for another."""
+    return _called(spark, d, flat(L.list_assets(_stored(spark, d), "ds2", NOW, format="delta", maturity="draft")), "ds2")
+
+
+def _list_tables_sql() -> str:
+    from .q_views import VIEW_CTES, VIEW_FROM_SQL, VIEW_TEXT_SQL
+
+    rows = (f"SELECT a.*, {VIEW_TEXT_SQL} FROM {VIEW_FROM_SQL} WHERE datastack = 'ds1' AND asset_type = 'table' AND {_LIVE} "
+            "AND source = 'user' AND maturity = 'stable'")
+    return with_fixtures(_called_sql(rows), "cat_assets", "cat_columns", "cat_annotations", **VIEW_CTES)
 
 
 # --- explore view -----------------------------------------------------------

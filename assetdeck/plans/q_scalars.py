@@ -335,11 +335,18 @@ def kind_label(spark, d):
     return a.select("asset_id", "pos", "tie", K.kind_label(F.col("annotation.kind")).alias("label"))
 
 
-@query("triage_error", """
-SELECT conv_id, turn, CASE WHEN text IS NULL THEN NULL
-  WHEN contains(lower(text), 'not found') OR contains(lower(text), 'no such') OR contains(lower(text), 'does not exist') THEN 'missing'
-  WHEN contains(lower(text), 'permission') OR contains(lower(text), 'forbidden') OR contains(lower(text), 'access') THEN 'denied'
-  ELSE 'unreadable' END AS triage FROM conversations""")
+_TRIAGE_SQL = """CASE WHEN message IS NULL THEN NULL
+  WHEN contains(lower(message), 'not found') OR contains(lower(message), 'no such') OR contains(lower(message), 'does not exist') THEN 'missing'
+  WHEN contains(lower(message), 'permission') OR contains(lower(message), 'forbidden') OR contains(lower(message), 'access') THEN 'denied'
+  ELSE 'unreadable' END"""
+
+
+@query("triage_error", with_fixtures(f"""SELECT seq, message, triage, CASE triage
+    WHEN 'missing' THEN 'URI unreachable — the path does not exist or is not accessible: ' || message
+    WHEN 'denied' THEN 'URI unreachable — permission denied: ' || message
+    WHEN 'unreadable' THEN 'Failed to read ' || format || ' data: ' || message END AS diagnosis
+  FROM (SELECT *, {_TRIAGE_SQL} AS triage FROM cat_errors)""", "cat_errors"))
 def triage_error(spark, d):
-    c = FX.table(spark, d, "conversations")
-    return c.select("conv_id", "turn", FM.triage_error("text").alias("triage"))
+    """SCL-22 over the errors of previews, with the text shown for each."""
+    e = FX.preview_errors(spark, d)
+    return e.select("seq", "message", FM.triage_error("message").alias("triage"), FM.triage_message("message", "format").alias("diagnosis"))

@@ -9,12 +9,14 @@ from .. import schema as S
 from ..functions import kinds as K
 from ..functions import properties as PR
 from ..operators import access as AC
-from ..operators import annotations as A
 from ..operators import display as D
+from ..operators import listing as L
+from ..operators import views as V
 from ..operators.requests import registration_row as reg_row
 from .fixture_sql import NOW_SQL, with_fixtures
 from .q_annotations import LAST_SQL
-from .q_listing import flat_cols
+from .q_checks import ACCESS_PLAN_SQL
+from .q_listing import FLAT_COLS, LISTS_SQL, _called, _list_tables_sql, _stored, flat_cols
 from .q_scalars import KIND_LABEL_SQL
 from .registry import query
 
@@ -27,43 +29,39 @@ def asset_view(spark, d):
     return FX.assets(spark, d, with_columns=False).select(*S.BASE_COLUMNS)
 
 
-MERGED_COUNTS_SQL = f"""SELECT c.asset_id, count(*) AS n_merged_columns,
-  count(*) FILTER (WHERE l.description IS NOT NULL OR l.kind IS NOT NULL) AS n_annotated_columns
+#: Merged columns and annotations of each table as text, in order.
+MERGED_TEXT_SQL = f"""SELECT c.asset_id, string_agg(c.name || '|' || c.dtype || '|' || coalesce(l.description, '') || '|' || coalesce({KIND_LABEL_SQL}, ''), ';' ORDER BY c.pos) AS merged
 FROM cat_columns c LEFT JOIN ({LAST_SQL}) l ON c.asset_id = l.asset_id AND c.name = l.column_name GROUP BY c.asset_id"""
+ANNOTATION_TEXT_SQL = f"""SELECT asset_id, string_agg(column_name || '|' || coalesce(description, '') || '|' || coalesce({KIND_LABEL_SQL}, ''), ';' ORDER BY pos, tie) AS annotations
+FROM cat_annotations GROUP BY asset_id"""
+VIEW_CTES = {"merged_text": MERGED_TEXT_SQL, "annotation_text": ANNOTATION_TEXT_SQL}
+VIEW_FROM_SQL = f"""(SELECT {FLAT_COLS}{LISTS_SQL} FROM cat_assets) a
+LEFT JOIN merged_text m ON m.asset_id = a.id LEFT JOIN annotation_text n ON n.asset_id = a.id"""
+VIEW_TEXT_SQL = """CASE WHEN a.asset_type = 'table' THEN coalesce(m.merged, '') END AS merged,
+  CASE WHEN a.asset_type = 'table' THEN coalesce(n.annotations, '') END AS annotations"""
+
+
+def shown(rows, *before):
+    """Rows of a view as flat columns, nested arrays as text."""
+    label = lambda x: F.coalesce(K.kind_label(x["kind"]), F.lit(""))
+    text = lambda c: F.coalesce(c, F.lit(""))
+    merged = F.transform("merged", lambda x: F.concat_ws("|", x["name"], x["dtype"], text(x["description"]), label(x)))
+    annotations = F.transform("annotations", lambda x: F.concat_ws("|", x["column_name"], text(x["description"]), label(x)))
+    columns = F.transform("cached_metadata.columns", lambda c: F.concat_ws(":", c["name"], c["dtype"]))
+    return rows.select(*before, *flat_cols(), F.array_join(columns, ",").alias("column_list"),
+                       F.array_join("cached_metadata.partition_columns", ",").alias("partition_list"),
+                       F.array_join(merged, ";").alias("merged"), F.array_join(annotations, ";").alias("annotations"))
+
+
+@query("table_view", with_fixtures(f"SELECT a.*, {VIEW_TEXT_SQL} FROM {VIEW_FROM_SQL} WHERE a.asset_type = 'table'",
+                                   "cat_assets", "cat_columns", "cat_annotations", **VIEW_CTES))
+def table_view(spark, d):
+    return shown(V.table_view(FX.assets(spark, d), FX.annotations(spark, d)))
 
 
-def _merged_counts(spark, d):
-    m = A.merge_columns(A.explode_columns(FX.assets(spark, d)), FX.annotations(spark, d))
-    return m.groupBy("asset_id").agg(
-        F.count(F.lit(1)).alias("n_merged_columns"),
-        F.count(F.when(F.col("description").isNotNull() | F.col("kind").isNotNull(), 1)).alias("n_annotated_columns"))
-
-
-@query("table_view", with_fixtures(
-    "SELECT a.id, a.datastack, a.name, a.source, a.n_rows, a.n_columns, a.n_bytes, a.metadata_cached_at, "
-    "coalesce(m.n_merged_columns, 0) AS n_merged_columns, coalesce(m.n_annotated_columns, 0) AS n_annotated_columns "
-    f"FROM cat_assets a LEFT JOIN ({MERGED_COUNTS_SQL}) m ON m.asset_id = a.id WHERE a.asset_type = 'table'",
-    "cat_assets", "cat_columns", "cat_annotations"))
-def table_view(spark, d):
-    t = FX.assets(spark, d).where(F.col("asset_type") == "table")
-    m = _merged_counts(spark, d)
-    j = t.join(m.withColumnRenamed("asset_id", "id"), "id", "left")
-    return j.select("id", "datastack", "name", "source", F.col("cached_metadata.n_rows").alias("n_rows"),
-                    F.col("cached_metadata.n_columns").alias("n_columns"), F.col("cached_metadata.n_bytes").alias("n_bytes"),
-                    "metadata_cached_at", F.coalesce("n_merged_columns", F.lit(0)).alias("n_merged_columns"),
-                    F.coalesce("n_annotated_columns", F.lit(0)).alias("n_annotated_columns"))
-
-
-@query("mixed_view", with_fixtures(
-    f"SELECT a.*, CASE WHEN a.asset_type = 'table' THEN coalesce(m.n_merged_columns, 0) END AS n_merged_columns "
-    f"FROM cat_assets a LEFT JOIN ({MERGED_COUNTS_SQL}) m ON m.asset_id = a.id",
-    "cat_assets", "cat_columns", "cat_annotations"))
+@query("mixed_view", with_fixtures(f"SELECT a.*, {VIEW_TEXT_SQL} FROM {VIEW_FROM_SQL}", "cat_assets", "cat_columns", "cat_annotations", **VIEW_CTES))
 def mixed_view(spark, d):
-    a = FX.assets(spark, d)
-    m = _merged_counts(spark, d).select(F.col("asset_id").alias("id"), "n_merged_columns")
-    j = a.join(m, "id", "left")
-    return j.select(*flat_cols(), F.when(F.col("asset_type") == "table", F.coalesce("n_merged_columns", F.lit(0)))
-                    .alias("n_merged_columns"))
+    return shown(V.mixed_view(FX.assets(spark, d), FX.annotations(spark, d)))
 
 
 @query("dot_path", with_fixtures(
@@ -105,27 +103,38 @@ def registration_row(spark, d):
     return r.select("seq", *[c for c in r.columns if c.startswith("n_")], "form_error")
 
 
-DETAIL_SQL = f"""SELECT r.request_id, r.asset_id, c.pos, c.name, c.dtype, l.description, {KIND_LABEL_SQL} AS kind_label
-FROM cat_view_requests r
-JOIN cat_assets a ON a.id = r.asset_id AND NOT coalesce(a.expires_at < {NOW_SQL}, false)
-LEFT JOIN cat_users u ON u.user_id = r.user_id
-JOIN cat_columns c ON c.asset_id = r.asset_id
-LEFT JOIN ({LAST_SQL}) l ON l.asset_id = c.asset_id AND l.column_name = c.name
-WHERE coalesce(u.is_admin, false)
-  OR EXISTS (SELECT 1 FROM cat_permissions p WHERE p.user_id = r.user_id AND p.resource = coalesce(nullif(a.access_group, ''), a.datastack)
-             AND p.permission IN ('view', 'admin'))
-  OR EXISTS (SELECT 1 FROM cat_memberships m WHERE m.user_id = r.user_id AND m.group_name = coalesce(nullif(a.access_group, ''), a.datastack))"""
+#: The status of each view request (JON-10).
+VIEW_STATUS_SQL = f"""SELECT r.request_id, r.user_id, r.asset_id,
+  CASE WHEN a.id IS NULL OR coalesce(a.expires_at < {NOW_SQL}, false) THEN 'not_found'
+    WHEN coalesce(u.is_admin, false)
+      OR EXISTS (SELECT 1 FROM cat_permissions p WHERE p.user_id = r.user_id AND p.resource = coalesce(nullif(a.access_group, ''), a.datastack)
+                 AND p.permission IN ('view', 'admin'))
+      OR EXISTS (SELECT 1 FROM cat_memberships m WHERE m.user_id = r.user_id AND m.group_name = coalesce(nullif(a.access_group, ''), a.datastack))
+      THEN 'ok' ELSE 'forbidden' END AS status
+FROM cat_view_requests r LEFT JOIN cat_assets a ON a.id = r.asset_id LEFT JOIN cat_users u ON u.user_id = r.user_id"""
+_VIEW_FIXES = ("cat_assets", "cat_columns", "cat_annotations", "cat_view_requests", "cat_users", "cat_permissions", "cat_memberships")
 
 
-@query("asset_detail", with_fixtures(DETAIL_SQL, "cat_assets", "cat_columns", "cat_annotations", "cat_view_requests",
-                                     "cat_users", "cat_permissions", "cat_memberships"))
+@query("asset_detail", with_fixtures(f"""SELECT s.request_id, s.user_id, s.asset_id, s.status, v.* FROM ({VIEW_STATUS_SQL}) s
+LEFT JOIN (SELECT a.*, {VIEW_TEXT_SQL} FROM {VIEW_FROM_SQL}) v ON s.status = 'ok' AND v.id = s.asset_id""", *_VIEW_FIXES, **VIEW_CTES))
 def asset_detail(spark, d):
-    """PIP-09: for each permitted, live requested asset: merged columns with kind labels."""
-    assets = FX.assets(spark, d)
-    acc = AC.asset_view_access(FX.view_requests(spark, d), assets, FX.permissions(spark, d), FX.memberships(spark, d),
-                               FX.users(spark, d), NOW).where(F.col("status") == "ok").select("request_id", "asset_id")
-    merged = A.merge_columns(A.explode_columns(assets.join(acc.select(F.col("asset_id").alias("id")), "id", "left_semi")),
-                             FX.annotations(spark, d))
-    kind = F.when(F.col("kind").isNotNull(), F.struct(*[F.col(c) for c in A.KIND_FIELDS]))
-    return acc.join(merged, "asset_id").select("request_id", "asset_id", "pos", "name", "dtype", "description",
-                                               K.kind_label(kind).alias("kind_label"))
+    """PIP-09: every request with its status; granted ones with the asset's whole row, merged columns and kind labels."""
+    rows = V.asset_detail(FX.view_requests(spark, d), FX.assets(spark, d), FX.annotations(spark, d), FX.permissions(spark, d),
+                          FX.memberships(spark, d), FX.users(spark, d), NOW)
+    return shown(rows, "request_id", "user_id", "asset_id", "status")
+
+
+@query("access_response", with_fixtures(f"""SELECT s.request_id, s.user_id, s.asset_id, coalesce(p.status, s.status) AS status, p.* EXCLUDE (id, status)
+FROM ({VIEW_STATUS_SQL}) s LEFT JOIN ({ACCESS_PLAN_SQL}) p ON s.status = 'ok' AND p.id = s.asset_id""",
+                                        "cat_assets", "cat_view_requests", "cat_users", "cat_permissions", "cat_memberships"))
+def access_response(spark, d):
+    """PRJ-09 behind JON-10: how each caller would reach the asset asked for, or why not."""
+    return AC.access_responses(FX.view_requests(spark, d), FX.assets(spark, d, with_columns=False), FX.permissions(spark, d),
+                               FX.memberships(spark, d), FX.users(spark, d), NOW)
+
+
+@query("list_tables", _list_tables_sql())
+def list_tables(spark, d):
+    """PIP-08: tables with merged columns and annotations, for a caller who may see them and one who may not."""
+    tables = L.list_tables(_stored(spark, d), "ds1", NOW, source="user", maturity="stable")
+    return _called(spark, d, shown(V.table_view(tables, FX.annotations(spark, d))), "ds1")
