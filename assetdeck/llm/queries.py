@@ -129,42 +129,52 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def source_files(docs: DataFrame) -> DataFrame:
-    """The corpus as a tree: source/language/thousand/ten, where the first document of a directory is its licence file."""
+    """The corpus as a tree: source/language/thousand/ten, where the first document of a directory is its licence file.
+
+    ``doc_id, path, text``; a null id stands beside the directories of its source and language.
+    """
     n = F.col("doc_id")
     top = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")))
     k, j = F.floor(n / 1000).cast("string"), F.floor(n / 10).cast("string")
-    path = (F.when(n % 1000 == 0, F.concat_ws("/", top, k, F.lit("LICENSE"))).when(n % 10 == 0, F.concat_ws("/", top, k, j, F.lit("LICENSE")))
-            .otherwise(F.concat_ws("/", top, k, j, F.concat(n.cast("string"), F.lit(".txt")))))
-    return docs.select(path.alias("path"), "text")
+    path = (F.when(n.isNull(), F.concat_ws("/", top, F.lit("none.txt"))).when(n % 1000 == 0, F.concat_ws("/", top, k, F.lit("LICENSE")))
+            .when(n % 10 == 0, F.concat_ws("/", top, k, j, F.lit("LICENSE"))).otherwise(F.concat_ws("/", top, k, j, F.concat(n.cast("string"), F.lit(".txt")))))
+    return docs.select(n.alias("doc_id"), path.alias("path"), "text")
 
 
 def _license_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, text) in enumerate(licenses.TEMPLATES))
-    stop = "[" + ", ".join(map(quoted, licenses.STOP)) + "]"
-    terms = lambda x: f"list_filter(list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+')), lambda w: NOT list_contains({stop}, w))"
+    stop = "(" + ", ".join(map(quoted, licenses.STOP)) + ")"
+    words = lambda x: f"unnest(regexp_extract_all(lower({x}), '[a-z0-9]+'))"
     return f"""
-WITH f AS (SELECT CASE WHEN doc_id % 1000 = 0 THEN top || '/' || doc_id // 1000 || '/LICENSE'
+WITH f AS (SELECT CASE WHEN doc_id IS NULL THEN top || '/none.txt' WHEN doc_id % 1000 = 0 THEN top || '/' || doc_id // 1000 || '/LICENSE'
                        WHEN doc_id % 10 = 0 THEN top || '/' || doc_id // 1000 || '/' || doc_id // 10 || '/LICENSE'
                        ELSE top || '/' || doc_id // 1000 || '/' || doc_id // 10 || '/' || doc_id || '.txt' END AS path, coalesce(text, '') AS text, doc_id
            FROM (SELECT *, coalesce(source, 'none') || '/' || coalesce(lang, 'none') AS top FROM documents)),
 tpl(template, license, text) AS (VALUES {values}),
-tt AS (SELECT template, unnest({terms("text")}) AS term FROM tpl),
-ln AS (SELECT path, unnest(string_split(text, chr(10))) AS line FROM f),
-lw AS (SELECT DISTINCT line, unnest({terms("line")}) AS term FROM (SELECT DISTINCT line FROM ln)),
-hit AS (SELECT DISTINCT line FROM lw WHERE term IN (SELECT term FROM tt)),
-df AS (SELECT term, count(DISTINCT path) AS df FROM ln JOIN lw USING (line) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+tt AS (SELECT template, term, count(*) AS tf FROM (SELECT template, {words("text")} AS term FROM tpl) WHERE term NOT IN {stop} GROUP BY ALL),
+voc AS (SELECT DISTINCT term FROM tt),
+sp AS (SELECT path, text, string_split(text, chr(10)) AS lines FROM f),
+hd AS (SELECT path, text, lines, list_transform(lines, lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS b FROM sp),
+h2 AS (SELECT path, text, lines, list_position(b, true) AS i, b FROM hd),
+h3 AS (SELECT path, text, lines, i, list_position(b[i:], false) AS j FROM h2),
+part AS (SELECT path, unnest(list_concat(lines, CASE WHEN i > 0 THEN [array_to_string(CASE WHEN j > 0 THEN lines[i:i + j - 2] ELSE lines[i:] END, chr(10))] ELSE [] END,
+                CASE WHEN path LIKE '%/LICENSE' THEN [text] ELSE [] END)) AS line FROM h3),
+lw AS (SELECT line, term, count(*) AS tf FROM (SELECT line, {words("line")} AS term FROM (SELECT DISTINCT line FROM part)) WHERE term NOT IN {stop} GROUP BY ALL),
+hit AS (SELECT DISTINCT line FROM lw WHERE term IN (SELECT term FROM voc)),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT rid, term FROM (SELECT rid, {words("text")} AS term FROM (SELECT row_number() OVER () AS rid, text FROM f)))
+       WHERE term IN (SELECT term FROM voc) GROUP BY term),
 n AS (SELECT count(*)::DOUBLE AS n FROM documents),
-idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS w FROM (SELECT DISTINCT term FROM tt) LEFT JOIN df USING (term), n),
-a AS (SELECT line, term, coalesce(w, ln(n + 1) + 1) AS w FROM lw LEFT JOIN idf USING (term), n WHERE line IN (SELECT line FROM hit)),
-b AS (SELECT template, term, w FROM tt JOIN idf USING (term)),
+idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS w FROM voc LEFT JOIN df USING (term), n),
+a AS (SELECT line, term, tf * coalesce(w, ln(n + 1) + 1) AS w FROM lw LEFT JOIN idf USING (term), n WHERE line IN (SELECT line FROM hit)),
+b AS (SELECT template, term, tf * w AS w FROM tt JOIN idf USING (term)),
 an AS (SELECT line, sqrt(sum(w * w)) AS m FROM a GROUP BY line), bn AS (SELECT template, sqrt(sum(w * w)) AS m FROM b GROUP BY template),
 dot AS (SELECT line, template, sum(a.w * b.w) AS d FROM a JOIN b USING (term) GROUP BY line, template),
 sc AS (SELECT line, license, round(d / an.m / bn.m, 6) AS score FROM dot JOIN an USING (line) JOIN bn USING (template) JOIN tpl USING (template)),
-own AS (SELECT path, max(struct_pack(s := score, l := license)) AS x FROM ln JOIN sc USING (line) WHERE score >= 0.6 GROUP BY path),
+own AS (SELECT path, max(struct_pack(s := score, l := license)) AS x FROM part JOIN sc USING (line) WHERE score >= 0.6 GROUP BY path),
 lic AS (SELECT path, regexp_replace(path, '/LICENSE$', '') AS dir, x.l AS license FROM own WHERE path LIKE '%/LICENSE'),
-anc AS (SELECT f.path, k, array_to_string(string_split(regexp_replace(f.path, '/[^/]*$', ''), '/')[1:k], '/') AS dir
-        FROM f, range(0, 6) AS r(k) WHERE k <= len(string_split(f.path, '/')) - 1 AND f.path NOT IN (SELECT path FROM own)),
+anc AS (SELECT DISTINCT f.path, k, array_to_string(string_split(regexp_replace(f.path, '/[^/]*$', ''), '/')[1:k], '/') AS dir
+        FROM f, range(0, 40) AS r(k) WHERE k <= len(string_split(f.path, '/')) - 1 AND f.path NOT IN (SELECT path FROM own)),
 near AS (SELECT anc.path, max(struct_pack(k := k, f := lic.path, l := lic.license)) AS x FROM anc JOIN lic USING (dir) GROUP BY anc.path)
 SELECT f.doc_id, f.path, own.x.l AS own_license, own.x.s AS own_score, coalesce(own.x.l, near.x.l) AS license, near.x.f AS inherited_from
 FROM f LEFT JOIN own USING (path) LEFT JOIN near USING (path)
@@ -173,12 +183,9 @@ FROM f LEFT JOIN own USING (path) LEFT JOIN near USING (path)
 
 @query("op4_license_scans", _license_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan(source_files(C.documents(spark, sf_dir)))
-    part = F.split("path", "/")
-    name = F.element_at(part, -1)
-    doc_id = (F.when(name != "LICENSE", F.split(name, r"\.")[0].cast("long")).when(F.size(part) == 5, part[3].cast("long") * 10)
-              .otherwise(part[2].cast("long") * 1000))
-    return found.select(doc_id.alias("doc_id"), "*")
+    files = source_files(C.documents(spark, sf_dir))
+    found = licenses.scan(files)
+    return files.select("doc_id", F.col("path").alias("p")).join(found, F.col("p") == F.col("path")).drop("p")
 
 
 def _remainder(n: int):

@@ -379,6 +379,27 @@ def test_licences(spark):
                    "a/b/COPYING": ("GPL-3.0", "GPL-3.0", None), "z.py": (None, None, None), "a/y.py": (None, "MIT", "a/LICENSE")}
 
 
+def test_licences_of_whole_headers_and_files(spark):
+    """Among 400 other files, as rare as in a large corpus: titles and notices that wrap over lines, whole short licences."""
+    gpl2 = "\n                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Someone\n Everyone is permitted\n" + "text of it\n" * 300
+    notice = ("# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n"
+              "# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n#\n\nimport os\n")
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + "\n".join(dict(licenses.TEMPLATES)["MIT"].split(". "))
+    files = [("a/LICENSE", gpl2), ("b/x.py", notice), ("c/COPYING.txt", mit), ("c/d/e.py", "import os"), ("d/x.c", "// " + " ".join(f"word{k}" for k in range(5_000)))]
+    files += [(f"z/{k}.txt", f"version {k % 3} of the software, june {k} 1991 free license of some general kind\nother {k}\n" + "public words " * 30) for k in range(400)]
+    got = {r.path: r.license for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert [got[p] for p, _ in files[:5]] == ["GPL-2.0", "GPL-2.0", "MIT", "MIT", None] and {got[p] for p, _ in files[5:]} == {None}
+
+
+def test_licence_query_on_awkward_documents(spark, docs, tmp_path):
+    extra = spark.createDataFrame([(20, "Released under the MIT License.", "en", "a/b/c"), (21, "x", "en", "a/b/c"), (21, "y", "en", "a/b/c")],
+                                  "doc_id long, text string, lang string, source string")
+    docs.unionByName(extra, allowMissingColumns=True).write.parquet(str(tmp_path / "documents.parquet"))
+    got = collections.Counter((r.doc_id, r.license) for r in queries.QUERIES["op4_license_scans"](spark, str(tmp_path)).collect())
+    # 20 is the licence file of the directory that holds 21, both rows of it
+    assert sum(got.values()) == len(ROWS) + 3 and got[21, "MIT"] == 2 and got[20, "MIT"] == 1 and got[None, None] == 1
+
+
 @pytest.mark.parametrize("name,label", [("op2_toxicity", "toxic"), ("op9_quality_classifier", "quality")])
 def test_held_out_accuracy(spark, name, label):
     d = "/root/testdata/sf0.1"
