@@ -8,7 +8,7 @@ is exact, whatever the codebooks.
 
 A search goes in rounds.  In each, every open query takes further cells from its heap, for eight times as many vectors
 as in the round before, and the best scores found raise the bar for the next cells.  Vectors are packed in blocks of a
-cell and queries in batches, so a cell of any size is many rows of the join, and each meeting is one matrix product.
+cell and queries in batches, so a cell of any size is many rows of the join, and each meeting is one matrix product.  Neither side is broadcast: both grow with the table.
 Of vectors alike in everything only as many as a result can hold are indexed, so a group of copies stays small.
 """
 
@@ -206,7 +206,7 @@ def search(index: Index, queries: DataFrame, most: int, same: bool) -> DataFrame
         batch = F.pmod(F.xxhash64("query"), F.lit(-(-active // BATCH))).alias("part")
         item = F.struct("query", "label", "data", "least", "high")
         batches = wanted.select(F.explode("cells").alias("cell"), batch, item.alias("x")).groupBy("cell", "part").agg(F.collect_list("x").alias("batch"))
-        hits = batches.join(index.blocks, "cell").select("batch", "items").mapInPandas(compare, "query long, window int, score long, id long")
+        hits = batches.hint("merge").join(index.blocks.hint("merge"), "cell").select("batch", "items").mapInPandas(compare, "query long, window int, score long, id long")
         hits = hits if found is None else hits.unionByName(found)
         found = C.written(hits.withColumn("nth", F.row_number().over(better)).where(f"nth <= {most}").drop("nth"), "found")
         full = found.groupBy("query", "window").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("bar")).where(f"n = {most}")
