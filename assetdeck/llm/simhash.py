@@ -3,19 +3,21 @@
 Fingerprints are 64 majority bits over the XXH64 of word shingles.  Equal fingerprints are one class.  A tree of
 vantage points, fitted on a bounded sample of the classes, cuts the space by Hamming distance; every class goes to its
 shard and, where it lies at most ``radius`` bits outside a ball, by the triangle inequality also into the ball's
-shards, so each pair within ``radius`` bits meets in some shard.  A shard goes on splitting the same way in memory and
-compares what is left exactly.  Shards emit a spanning set of their links, never all pairs, and the links are merged
+shards, so each pair within ``radius`` bits meets in some shard.  Shards that are too large get trees of their own, level
+by level.  A shard that fits goes on splitting the same way in memory and compares what is left exactly.  Shards emit a spanning set of their links, never all pairs, and the links are merged
 into components by star contraction.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -23,8 +25,9 @@ from . import common as C
 SEED = 42
 #: Classes the tree is fitted on; every class is routed through it.
 SAMPLE = 16_384
-#: Classes a shard should hold.
+#: Classes a shard may hold, and sampled classes a leaf of a tree has at least.
 SHARD = 20_000
+LEAF = 32
 
 
 def fingerprint(data: bytes, shingle: int) -> int:
@@ -63,6 +66,16 @@ class VantageTree:
         self.radius, self.nodes, self.shards = radius, [], 0
         self.root = self._grow(sample, leaf, np.random.default_rng(7))
 
+    def packed(self) -> bytes:
+        return pickle.dumps((self.radius, self.root, [(int(v), b, i, o) for v, b, i, o in self.nodes]))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> VantageTree:
+        tree = cls.__new__(cls)
+        tree.radius, tree.root, nodes = pickle.loads(data)
+        tree.nodes = [(np.uint64(v), b, i, o) for v, b, i, o in nodes]
+        return tree
+
     def _grow(self, points: np.ndarray, leaf: int, rng: np.random.Generator) -> int:
         best = None if len(points) <= leaf else choose(points, self.radius, rng)
         if best is None:
@@ -128,26 +141,92 @@ def spanning_links(points: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def links(classes: DataFrame, radius: int, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
-    """``(a, b)``: spanning links between the distinct fingerprints of ``classes`` (column ``fp``)."""
+def _route(batches: Iterator[pd.DataFrame], tree: VantageTree) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        fp = batch["fp"].to_numpy()
+        for k, at in tree.route(fp.view(np.uint64)):
+            yield pd.DataFrame({"shard": str(k), "fp": fp[at]})
+
+
+def _route_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by shard, each shard's tree before its fingerprints: a batch and a tree are held at a time."""
+    tree, of = None, None
+    for batch in batches:
+        for shard, rows in batch.groupby("shard", sort=False):
+            if rows["tree"].iloc[0] is not None:
+                tree, of, rows = VantageTree.unpacked(rows["tree"].iloc[0]), shard, rows.iloc[1:]
+            assert of == shard
+            for part in _route([rows], tree):
+                yield part.assign(shard=shard + "/" + part["shard"])
+
+
+def shards(classes: DataFrame, radius: int, sample: int = SAMPLE, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+    """``(fitting, dense)``: fingerprints by ``shard`` (one may be in several), every shard of at most ``shard`` of them, and
+    the fingerprints of shards that no ball parts.
+
+    The first tree is fitted on the driver on ``sample`` classes.  Shards that are too large get a tree of their own,
+    fitted by a task each on as many of theirs, a job per level, until all fit.
+    """
     n = classes.count()
     fitted = [r.fp for r in classes.select("fp").orderBy(F.xxhash64("fp")).limit(sample).collect()]
-    taken = np.array(fitted, np.int64).view(np.uint64)
-    tree = VantageTree(taken, max(32, len(taken) * shard // max(n, 1)), radius)
+    leaf = lambda size, taken: max(LEAF, taken * shard // max(size, 1))
+    tree = VantageTree(np.array(fitted, np.int64).view(np.uint64), leaf(n, len(fitted)), radius)
+    routed = C.written(classes.select("fp").mapInPandas(lambda b: _route(b, tree), "shard string, fp long"), "shards")
+    first = Window.partitionBy("shard").orderBy(F.xxhash64("fp"), "fp")
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        points = rows["fp"].to_numpy().view(np.uint64)
+        grown = VantageTree(points, leaf(int(rows["size"].iloc[0]), len(points)), radius)
+        return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "tree": [grown.packed() if grown.shards > 1 else None]})
+
+    fitting, dense = [], []
+    while True:
+        large = C.written(routed.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > shard), "large-shards")
+        fitting.append(routed.join(large.select("shard"), "shard", "left_anti"))
+        if large.isEmpty():
+            break
+        over = routed.join(large, "shard")
+        taken = over.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= sample).select("shard", "fp", "size")
+        trees = C.written(taken.groupBy("shard").applyInPandas(fit, "shard string, tree binary"), "shard-trees")
+        dense.append(over.join(trees.where("tree IS NULL").select("shard"), "shard", "left_semi").select("fp"))
+        grown = trees.where("tree IS NOT NULL")
+        parts = over.join(grown.select("shard"), "shard", "left_semi").select("shard", F.lit(None).cast("binary").alias("tree"), "fp")
+        both = grown.select("shard", "tree", F.lit(0).cast("long").alias("fp")).unionByName(parts)
+        both = both.repartition("shard").sortWithinPartitions("shard", F.col("tree").isNull())
+        routed = C.written(both.mapInPandas(_route_again, "shard string, fp long"), "shards")
+    union = lambda parts, schema: reduce(DataFrame.unionByName, parts) if parts else classes.sparkSession.createDataFrame([], schema)
+    return union(fitting, "shard string, fp long"), union(dense, "fp long").distinct()
+
+
+def neighbourhood_links(points: DataFrame, radius: int) -> DataFrame:
+    """``(a, b)``: spanning links of fingerprints crowded so closely that no ball parts them; ``radius`` must be even.
+
+    Two are within ``radius`` bits exactly if some word is within half of it of both: all that share such a word are
+    linked to the least of them.  A word has few neighbours, so no group is large.
+    """
+    if radius % 2:
+        raise ValueError("fingerprints that no ball parts need an even radius")
+    bits = F.array(*[F.lit(np.array([1 << k], np.uint64).view(np.int64).item()) for k in range(64)])
+    words = F.array(F.col("fp"))
+    for _ in range(radius // 2):
+        flipped = F.transform(words, lambda w: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: w.bitwiseXOR(F.element_at(bits, k + 1))))
+        words = F.array_distinct(F.concat(words, F.flatten(flipped)))
+    sharing = points.select("fp", F.explode(words).alias("word")).groupBy("word").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
+    return sharing.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
+
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = batch["fp"].to_numpy()
-            for k, at in tree.route(fp.view(np.uint64)):
-                yield pd.DataFrame({"shard": k, "fp": fp[at]})
+def links(classes: DataFrame, radius: int, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+    """``(a, b)``: spanning links between the distinct fingerprints of ``classes`` (column ``fp``)."""
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         fp = rows["fp"].to_numpy()
         found = np.array(spanning_links(fp.view(np.uint64), radius), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": fp[found[:, 0]], "b": fp[found[:, 1]]})
 
-    routed = classes.select("fp").mapInPandas(route, "shard int, fp long")
-    return routed.groupBy("shard").applyInPandas(compare, "a long, b long").distinct()
+    fitting, dense = shards(classes, radius, sample, shard)
+    near = fitting.groupBy("shard").applyInPandas(compare, "a long, b long")
+    dense = C.written(dense, "dense-classes")
+    return (near if dense.isEmpty() else near.unionByName(neighbourhood_links(dense, radius))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -164,6 +164,40 @@ def test_simhash(docs):
     assert left.columns == docs.columns and left.count() == len(set(root.values()))
 
 
+def _components(points, links):
+    root = {p: p for p in points}
+
+    def find(p):
+        while root[p] != p:
+            p = root[p]
+        return p
+
+    for a, b in links:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {p: find(p) for p in points}
+
+
+@pytest.mark.parametrize("shard", [40, 500])
+def test_no_shard_outgrows_its_bound_and_no_link_is_lost(spark, monkeypatch, shard):
+    monkeypatch.setattr(simhash, "LEAF", 8)
+    rng = random.Random(shard)
+    centre = rng.getrandbits(64)
+    ball = {centre} | {centre ^ (1 << a) for a in range(64)} | {centre ^ (1 << a) ^ (1 << b) for a in range(40) for b in range(a)}  # no ball parts it
+    points = {rng.getrandbits(64) for _ in range(600)} | ball
+    for p in rng.sample(sorted(points), 200):
+        points.add(p ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    signed = [int(np.array([p], np.uint64).view(np.int64)[0]) for p in sorted(points)]
+    classes = spark.createDataFrame([(p,) for p in signed], "fp long").repartition(4)
+    fitting, dense = simhash.shards(classes, 2, sample=128, shard=shard)
+    sizes = [r["count"] for r in fitting.groupBy("shard").count().collect()]
+    assert max(sizes) <= shard and set(signed) == {r.fp for r in fitting.collect()} | {r.fp for r in dense.collect()}
+    got = [(r.a, r.b) for r in simhash.links(classes, 2, sample=128, shard=shard).collect()]
+    x = np.array(signed, np.int64).view(np.uint64)
+    near = np.argwhere(np.bitwise_count(x[:, None] ^ x[None, :]) <= 2)
+    assert _components(signed, got) == _components(signed, [(signed[a], signed[b]) for a, b in near if a < b])
+    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 2 for a, b in got)
+
+
 def test_spanning_links_connect_what_all_pairs_connect():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
