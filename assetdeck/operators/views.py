@@ -17,10 +17,9 @@ def _kind() -> Column:
     return F.when(F.col("kind").isNotNull(), F.struct(*AN.KIND_FIELDS)).alias("kind")
 
 
-def nested_columns(assets: DataFrame, annotations: DataFrame) -> DataFrame:
-    """``(asset_id, merged)``: discovered columns with their annotation, in position order; none: no row."""
+def nested_columns(merged: DataFrame) -> DataFrame:
+    """``(asset_id, merged)``: merged columns (``annotations.merge_columns``) as one array in position order; none: no row."""
     item = F.struct("pos", "name", "dtype", "description", _kind())
-    merged = AN.merge_columns(AN.explode_columns(assets), annotations)
     return merged.groupBy("asset_id").agg(F.array_sort(F.collect_list(item)).alias("merged"))
 
 
@@ -34,8 +33,13 @@ def mixed_view(assets: DataFrame, annotations: DataFrame) -> DataFrame:
     """PRJ-03: every asset; ``merged`` and ``annotations`` are arrays for tables (empty if they have none), NULL for others."""
     tables = assets.where(F.col("asset_type") == "table")
     mine = annotations.join(tables.select(F.col("id").alias("asset_id")), "asset_id", "left_semi")
+    return with_lists(assets, AN.merge_columns(AN.explode_columns(tables), mine), mine)
+
+
+def with_lists(assets: DataFrame, merged: DataFrame, annotations: DataFrame) -> DataFrame:
+    """``assets`` with the arrays ``merged`` and ``annotations``, from merged columns and annotations in long form."""
     out = assets
-    for part, column in ((nested_columns(tables, mine), "merged"), (nested_annotations(mine), "annotations")):
+    for part, column in ((nested_columns(merged), "merged"), (nested_annotations(annotations), "annotations")):
         out = out.join(part.withColumnRenamed("asset_id", "_id"), F.col("id") == F.col("_id"), "left").drop("_id")
         empty = F.array().cast(part.schema[column].dataType)
         out = out.withColumn(column, F.when(F.col("asset_type") == "table", F.coalesce(column, empty)))

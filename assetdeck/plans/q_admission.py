@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 from .. import fixtures as FX
 from ..operators import admission as AD
 from ..operators import registration as RG
+from ..operators import views as V
 from ..operators.requests import with_request_check
+from ..sources import column_store as CS
 from .fixture_sql import with_fixtures
 from .q_changes import BYTES_SQL, ROWS_SQL
-from .q_listing import flat
+from .q_listing import flat, flat_cols
 from .q_scalars import request_errors_sql
+from .q_views import shown_lists
 from .registry import query
 
 NOW = FX.DEFAULT_NOW
@@ -211,3 +214,26 @@ def append_snapshot(spark, d):
     return _register_assets(spark, d).snapshot.select("id", "datastack", "name", "mat_version", "revision", "uri", "asset_type",
                                                       F.col("id").startswith("new-").alias("appended"))
 
+
+
+def _registered_view_sql() -> str:
+    from .q_scalars import KIND_LABEL_SQL
+
+    last = """SELECT *, row_number() OVER (PARTITION BY asset_id, column_name ORDER BY pos DESC, tie DESC) AS rn FROM cat_annotations"""
+    text = f"coalesce(a.description, '') || '|' || coalesce({KIND_LABEL_SQL}, '')"
+    return _snapshot_sql(f"""SELECT s.*,
+  coalesce((SELECT string_agg(x.name || '|' || x.dtype || '|' || {text}, ';' ORDER BY CAST(substr(x.name, 5) AS INTEGER))
+    FROM xcols x LEFT JOIN ({last}) a ON a.rn = 1 AND 'new-' || a.asset_id = s.id AND a.column_name = x.name WHERE x.uri = s.uri), '') AS merged,
+  coalesce((SELECT string_agg(a.column_name || '|' || {text}, ';' ORDER BY pos, tie) FROM cat_annotations a WHERE 'new-' || a.asset_id = s.id), '') AS annotations
+FROM snap s WHERE s.id LIKE 'new-%'""", REGISTER_TABLES_SQL, NEW_TABLE_ROWS_SQL)
+
+
+@query("registered_table_view", _registered_view_sql())
+def registered_table_view(spark, d):
+    """SNK-02 then PRJ-02: the tables a batch creates, their columns and annotations stored and read back merged."""
+    done = _register_tables(spark, d)
+    store = CS.ColumnStore.fresh(spark)
+    store.add(done.created, done.annotations)
+    rows = V.with_lists(done.created, store.merged(), store.annotations())
+    out = shown_lists(rows, *flat_cols())
+    return out.withColumn("n_bytes", F.when(F.lower("format") != "parquet", F.col("n_bytes")))

@@ -41,16 +41,20 @@ VIEW_TEXT_SQL = """CASE WHEN a.asset_type = 'table' THEN coalesce(m.merged, '')
   CASE WHEN a.asset_type = 'table' THEN coalesce(n.annotations, '') END AS annotations"""
 
 
-def shown(rows, *before):
-    """Rows of a view as flat columns, nested arrays as text."""
+def shown_lists(rows, *before):
+    """The columns ``before`` and the nested arrays of a view as text."""
     label = lambda x: F.coalesce(K.kind_label(x["kind"]), F.lit(""))
     text = lambda c: F.coalesce(c, F.lit(""))
     merged = F.transform("merged", lambda x: F.concat_ws("|", x["name"], x["dtype"], text(x["description"]), label(x)))
     annotations = F.transform("annotations", lambda x: F.concat_ws("|", x["column_name"], text(x["description"]), label(x)))
+    return rows.select(*before, F.array_join(merged, ";").alias("merged"), F.array_join(annotations, ";").alias("annotations"))
+
+
+def shown(rows, *before):
+    """Rows of a view as flat columns, nested arrays as text."""
     columns = F.transform("cached_metadata.columns", lambda c: F.concat_ws(":", c["name"], c["dtype"]))
-    return rows.select(*before, *flat_cols(), F.array_join(columns, ",").alias("column_list"),
-                       F.array_join("cached_metadata.partition_columns", ",").alias("partition_list"),
-                       F.array_join(merged, ";").alias("merged"), F.array_join(annotations, ";").alias("annotations"))
+    return shown_lists(rows, *before, *flat_cols(), F.array_join(columns, ",").alias("column_list"),
+                       F.array_join("cached_metadata.partition_columns", ",").alias("partition_list"))
 
 
 @query("table_view", with_fixtures(f"SELECT a.*, {VIEW_TEXT_SQL} FROM {VIEW_FROM_SQL} WHERE a.asset_type = 'table'",

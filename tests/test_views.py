@@ -103,3 +103,36 @@ def test_required_and_object_fields(spark, managed, properties, error):
 
     got = RQ.with_request_check(spark.createDataFrame([row], CANDIDATE), True).first()["request_errors"]
     assert got == ([error] if error else [])
+
+
+def test_stored_columns_merge_without_a_shuffle(spark):
+    from assetdeck.operators import annotations as AN
+    from assetdeck.operators import changes as CH
+    from assetdeck.sources.column_store import ColumnStore
+
+    assets, ann = FX.assets(spark, SMALL), FX.annotations(spark, SMALL)
+    store = ColumnStore.fresh(spark, buckets=4)
+    half = F.pmod(F.col("id").cast("long"), F.lit(2))
+    for k in (0, 1):  # two batches
+        part = assets.where(half == k)
+        store.add(part, ann.join(part.select(F.col("id").alias("asset_id")), "asset_id", "left_semi"))
+    merged = store.merged()
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # these tables are small; large ones are joined like this
+    assert shuffles(store.merged()) == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    text = lambda rows: sorted(map(str, rows.collect()))
+    known = ann.join(assets.select(F.col("id").alias("asset_id")), "asset_id", "left_semi")
+    cols = AN.explode_columns(assets)
+    assert text(merged.select("asset_id", "pos", "name", "dtype", "description", "kind")) == text(
+        AN.merge_columns(cols, known).select("asset_id", "pos", "name", "dtype", "description", "kind"))
+    req, new = FX.annotation_updates(spark, SMALL)
+    after_, _ = CH.replace_annotations(assets, store.annotations(), req, new.select(*store.annotations().columns), FX.mat_objects(spark, SMALL), NOW)
+    later = store.replaced(after_)
+    again = ColumnStore(spark.newSession(), "other_name", store.root, 4, later.generation)  # another session, another name
+    assert again.annotations().count() == after_.count() and again.columns().count() == cols.count()
+    assert shuffles(again.merged()) == 0
+    assert store.annotations().count() == known.count()  # the earlier generation is untouched
+    later.drop_tables()
+    again.drop_tables()
