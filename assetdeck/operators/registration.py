@@ -43,35 +43,16 @@ def _gate(c: DataFrame, permissions: DataFrame, users: DataFrame, table: bool, a
                         .when(~F.col("allowed"), F.lit("forbidden")))
 
 
-def register_assets(cands: DataFrame, assets: DataFrame, mat: DataFrame, storage: DataFrame, permissions: DataFrame,
-                    users: DataFrame, now, auth_enabled: bool = True, batch: int | str | None = None) -> RegistrationResult:
-    """PIP-05 + SNK-01: request, permission, key, URI, content checks, then insert."""
-    storage = storage.dropDuplicates(["uri"])
+def _checked_assets(cands: DataFrame, mat: DataFrame, storage: DataFrame, permissions: DataFrame, users: DataFrame, auth_enabled: bool) -> DataFrame:
+    """Candidates with ``gate_status`` and ``content_status`` of an asset registration."""
     c = _gate(cands, permissions, users, False, auth_enabled)
-    c = CK.content_checks(c, mat, storage)
-    c = c.withColumn("content_status", F.when(_content_failed(), F.lit("invalid")))
-    labelled, rounds = AD.admit(c, assets, batch=batch)
-    new_rows = AD.to_asset_rows(labelled.where(F.col("admission_status") == "created"), now)
-    snapshot = assets.unionByName(new_rows, allowMissingColumns=True)
-    created = new_rows.select(*[F.col(f.name) if f.name in new_rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
-                                for f in S.ASSET.fields])
-    return RegistrationResult(labelled, snapshot, rounds, created)
-
-
-def register_tables(cands: DataFrame, ann: DataFrame, extracted: DataFrame, assets: DataFrame, mat: DataFrame,
-                    storage: DataFrame, permissions: DataFrame, users: DataFrame, now,
-                    auth_enabled: bool = True, batch: int | str | None = None) -> RegistrationResult:
-    """PIP-06 + SNK-02: PIP-05's checks, then kind targets, point groups, extractor,
-    extraction and dtypes; accepted rows carry metadata and annotations.
+    c = CK.content_checks(c, mat, storage.dropDuplicates(["uri"]))
+    return c.withColumn("content_status", F.when(_content_failed(), F.lit("invalid")))
 
-    A malformed kind (SCL-04) makes the whole request invalid, before any other check.
-    A candidate's ``source`` column, where there is one, is kept (NULL or none: the default);
-    so are ``extracted.partition_columns`` (none: an empty list).  Several storage or
-    extraction rows of one URI count as one.
 
-    ``ann``: candidate annotations in long form keyed ``asset_id`` = candidate seq (text);
-    ``extracted(uri, n_rows, n_bytes, columns)``: metadata found at each URI.
-    """
+def _checked_tables(cands: DataFrame, ann: DataFrame, extracted: DataFrame, mat: DataFrame, storage: DataFrame, permissions: DataFrame,
+                    users: DataFrame, auth_enabled: bool) -> tuple[DataFrame, DataFrame]:
+    """Candidates with ``gate_status`` and ``content_status`` of a table registration, and their annotations."""
     c = cands.withColumn("asset_type", F.lit("table"))
     storage, extracted = storage.dropDuplicates(["uri"]), extracted.dropDuplicates(["uri"])
     malformed = AN.invalid_kinds(ann).select(F.col("asset_id").alias("_mk_id")).distinct()
@@ -105,9 +86,58 @@ def register_tables(cands: DataFrame, ann: DataFrame, extracted: DataFrame, asse
         .when(F.col("_x_uri").isNull() | (F.coalesce(F.col("_actual_fmt"), F.lit("")) != fmt), F.lit("extraction_failed"))
         .when(F.coalesce(F.col("_dt"), F.lit(False)), F.lit("dtype_invalid"))
     )
-    c = c.withColumn("content_status", content)
+    return c.withColumn("content_status", content), a
+
+
+def register_assets(cands: DataFrame, assets: DataFrame, mat: DataFrame, storage: DataFrame, permissions: DataFrame,
+                    users: DataFrame, now, auth_enabled: bool = True, batch: int | str | None = None) -> RegistrationResult:
+    """PIP-05 + SNK-01: request, permission, key, URI, content checks, then insert."""
+    c = _checked_assets(cands, mat, storage, permissions, users, auth_enabled)
     labelled, rounds = AD.admit(c, assets, batch=batch)
-    created = labelled.where(F.col("admission_status") == "created")
+    created = _asset_rows(labelled.where(F.col("admission_status") == "created"), now)
+    return RegistrationResult(labelled, assets.unionByName(created, allowMissingColumns=True), rounds, created)
+
+
+def register_tables(cands: DataFrame, ann: DataFrame, extracted: DataFrame, assets: DataFrame, mat: DataFrame,
+                    storage: DataFrame, permissions: DataFrame, users: DataFrame, now,
+                    auth_enabled: bool = True, batch: int | str | None = None) -> RegistrationResult:
+    """PIP-06 + SNK-02: PIP-05's checks, then kind targets, point groups, extractor,
+    extraction and dtypes; accepted rows carry metadata and annotations.
+
+    A malformed kind (SCL-04) makes the whole request invalid, before any other check.
+    A candidate's ``source`` column, where there is one, is kept (NULL or none: the default);
+    so are ``extracted.partition_columns`` (none: an empty list).  Several storage or
+    extraction rows of one URI count as one.
+
+    ``ann``: candidate annotations in long form keyed ``asset_id`` = candidate seq (text);
+    ``extracted(uri, n_rows, n_bytes, columns)``: metadata found at each URI.
+    """
+    c, a = _checked_tables(cands, ann, extracted, mat, storage, permissions, users, auth_enabled)
+    labelled, rounds = AD.admit(c, assets, batch=batch)
+    created, new_ann = _table_rows(labelled.where(F.col("admission_status") == "created"), a, now, "source" in cands.columns)
+    return RegistrationResult(labelled, assets.unionByName(created, allowMissingColumns=True), rounds, created, new_ann)
+
+
+def register_all(cands: DataFrame, ann: DataFrame, extracted: DataFrame, assets: DataFrame, mat: DataFrame, storage: DataFrame,
+                 permissions: DataFrame, users: DataFrame, now, auth_enabled: bool = True, batch: int | str | None = None) -> RegistrationResult:
+    """Both kinds in one batch: candidates of type ``table`` by PIP-06, the others by PIP-05, keys and URIs decided together."""
+    table = F.coalesce(F.col("asset_type") == "table", F.lit(False))
+    c, a = _checked_tables(cands.where(table), ann, extracted, mat, storage, permissions, users, auth_enabled)
+    both = _checked_assets(cands.where(~table), mat, storage, permissions, users, auth_enabled).unionByName(c, allowMissingColumns=True)
+    labelled, rounds = AD.admit(both, assets, batch=batch)
+    done = labelled.where(F.col("admission_status") == "created")
+    tables, new_ann = _table_rows(done.where(table), a, now, "source" in cands.columns)
+    created = _asset_rows(done.where(~table), now).unionByName(tables)
+    return RegistrationResult(labelled, assets.unionByName(created, allowMissingColumns=True), rounds, created, new_ann)
+
+
+def _asset_rows(created: DataFrame, now) -> DataFrame:
+    rows = AD.to_asset_rows(created.drop("source", "cached_metadata", "column_annotations"), now)
+    return rows.select(*[F.col(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in S.ASSET.fields])
+
+
+def _table_rows(created: DataFrame, a: DataFrame, now, has_source: bool) -> tuple[DataFrame, DataFrame]:
+    """The created tables in asset columns, and their annotations."""
     # annotations stay in long form, re-keyed to the new asset id (no per-asset list is collected)
     new_ann = a.join(created.select(F.col("seq").cast("string").alias("asset_id"), "new_id"), "asset_id", "inner") \
         .withColumn("asset_id", F.col("new_id")).drop("new_id")
@@ -115,10 +145,7 @@ def register_tables(cands: DataFrame, ann: DataFrame, extracted: DataFrame, asse
         "cached_metadata", F.struct(F.col("_x_rows").cast("bigint").alias("n_rows"), F.size("_x_cols").alias("n_columns"),
                                     F.col("_x_bytes").cast("bigint").alias("n_bytes"), F.col("_x_cols").alias("columns"),
                                     F.col("_x_parts").alias("partition_columns"))).withColumn(
-        "source", F.coalesce(F.col("source") if "source" in cands.columns else F.lit(None).cast("string"),
+        "source", F.coalesce(F.col("source") if has_source else F.lit(None).cast("string"),
                              F.lit(S.DEFAULT_TABLE_SOURCE))).withColumn(
         "column_annotations", F.lit(None).cast(T.ArrayType(S.ANNOTATION)))
-    new_rows = AD.to_asset_rows(created, now, table=True)
-    new_rows = new_rows.select(*S.ASSET_COLUMNS)
-    snapshot = assets.unionByName(new_rows, allowMissingColumns=True)
-    return RegistrationResult(labelled, snapshot, rounds, new_rows, new_ann)
+    return AD.to_asset_rows(created, now, table=True).select(*S.ASSET_COLUMNS), new_ann

@@ -136,7 +136,8 @@ def _table_request_errors() -> str:
         "WHEN asset_type = 'table' AND format IS NULL", "WHEN format IS NULL")
 
 
-def _register_tables_sql() -> str:
+def _register_tables_sql(both: bool = False) -> str:
+    """Labels of table registrations; with ``both``, of tables and other assets in one batch."""
     from .q_changes import dtype_sql
     from .q_checks import CHECKS_SQL, FIXES
     from .q_scalars import KIND_ERROR_SQL, dtype_class_sql
@@ -153,7 +154,9 @@ def _register_tables_sql() -> str:
     extra["pgdup"] = """SELECT DISTINCT asset_id FROM (
   SELECT asset_id, row_number() OVER (PARTITION BY asset_id, point_group, axis ORDER BY pos, tie) AS rn FROM ca
   WHERE kind = 'split_point' AND coalesce(point_group, '') <> '' AND coalesce(axis, '') <> '') WHERE rn > 1"""
-    cand = f"""SELECT q.seq, q.uri, {kkey} AS kkey, len({_table_request_errors()}) > 0 AS bad,
+    is_table = "coalesce(q.asset_type = 'table', false)" if both else "true"
+    bad = f"CASE WHEN {is_table} THEN len({_table_request_errors()}) > 0 ELSE len({request_errors_sql(False)}) > 0 END"
+    cand = f"""SELECT q.seq, q.uri, {kkey} AS kkey, {bad} AS bad, {is_table} AS is_t,
   CAST(q.seq AS VARCHAR) IN (SELECT asset_id FROM malformed) AS bad_kind, q.auth_passed AS allowed, q.dup_id, q.uri_dup_id,
   NOT coalesce(q.reservation_passed, true) OR NOT coalesce(q.reachable_passed, true) OR NOT coalesce(q.sniff_passed, true)
     OR NOT coalesce(q.matverify_passed, true) AS content_failed,
@@ -170,15 +173,16 @@ def _register_tables_sql() -> str:
               OR (a.kind IN ('packed_point', 'split_point') AND {dtype_class_sql('x.dtype')} NOT IN ('integer', 'float')))) AS dt,
   (SELECT s.actual_format FROM cat_storage s WHERE s.uri = q.uri) AS actual
 FROM rep q"""
-    content = """CASE WHEN c.content_failed THEN 'invalid' WHEN c.kt THEN 'kind_invalid' WHEN c.pg THEN 'point_group_invalid'
+    content = """CASE WHEN c.content_failed THEN 'invalid' WHEN NOT c.is_t THEN NULL WHEN c.kt THEN 'kind_invalid' WHEN c.pg THEN 'point_group_invalid'
   WHEN c.fmt NOT IN ('delta', 'parquet') THEN 'unsupported_format'
   WHEN NOT c.has_x OR coalesce(c.actual, '') <> c.fmt THEN 'extraction_failed' WHEN c.dt THEN 'dtype_invalid' END"""
     return _admission_sql(cand, FIXES + ("cat_annotations",), extra,
-                          gate="CASE WHEN c.bad OR c.bad_kind THEN 'invalid_request' WHEN NOT c.allowed THEN 'forbidden' END",
+                          gate="CASE WHEN c.bad OR (c.is_t AND c.bad_kind) THEN 'invalid_request' WHEN NOT c.allowed THEN 'forbidden' END",
                           content=content)
 
 
 REGISTER_TABLES_SQL = _register_tables_sql()
+REGISTER_ALL_SQL = _register_tables_sql(both=True)
 NEW_TABLE_ROWS_SQL = f"""SELECT 'new-' || CAST(c.seq AS VARCHAR) AS id, c.datastack, c.name, c.mat_version, coalesce(c.revision, 0) AS revision,
   c.uri, c.format, 'table' AS asset_type, c.user_id AS owner, coalesce(c.is_managed, false) AS is_managed,
   coalesce(c.mutability, 'static') AS mutability, coalesce(c.maturity, 'stable') AS maturity,

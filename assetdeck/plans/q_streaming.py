@@ -1,28 +1,41 @@
-"""Registered query: streaming registration intake (STR-01, no SQL oracle)."""
+"""Registered query: streaming registration intake (STR-01)."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from .. import fixtures as FX
 from ..session import shared_dir
 from ..sources import store as ST
 from ..streaming import intake as IN
-from .q_admission import REGISTER_SQL
+from .q_admission import REGISTER_ALL_SQL
 from .registry import query
 
+#: Micro-batches the events arrive in.
+ARRIVALS = 3
+
+_BATCH = f"(SELECT CAST(n AS BIGINT) * {ARRIVALS} // (SELECT max(event_id) + 1 FROM events))"
+
+
+def _numbered(column: str) -> str:
+    """Ids of created assets with the number of the batch that created them."""
+    seq = f"TRY_CAST(substr({column}, 5) AS BIGINT)"
+    return f"CASE WHEN {column} LIKE 'new-%' THEN 'new-' || {_BATCH.replace('CAST(n AS BIGINT)', seq)} || '-' || {seq} ELSE {column} END AS {column}"
+
 
-# the events file arrives as one micro-batch, so the labels equal one registration pass with the ids of batch 0
-@query("registration_intake", REGISTER_SQL.replace("'new-'", "'new-0-'"))
+@query("registration_intake", f"SELECT seq, admission_status, {_numbered('existing_id')}, {_numbered('new_id')} FROM ({REGISTER_ALL_SQL})")
 def registration_intake(spark, d):
-    """Events streamed file by file through the registration pipeline; returns the labels."""
+    """Events arriving in three micro-batches, assets and tables registered together; returns the labels of all."""
     root = shared_dir(spark, f"intake-{uuid.uuid4().hex}")
     ST.write_base(FX.assets(spark, d), root)
-    events_schema = FX.table(spark, d, "events").schema
-    stream = (spark.readStream.schema(events_schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(d))
-    ctx = IN.IntakeContext(root, FX.mat_objects(spark, d), FX.storage_objects(spark, d), FX.permissions(spark, d),
-                           FX.users(spark, d), FX.DEFAULT_NOW)
-    q = IN.start_intake(FX.candidates_from(stream), ctx, root + "/_stream_checkpoint")
-    q.awaitTermination()
+    events = FX.table(spark, d, "events")
+    ends = events.agg(F.max("event_id") + 1).scalar()
+    ctx = IN.IntakeContext(root, FX.mat_objects(spark, d), FX.storage_objects(spark, d), FX.permissions(spark, d), FX.users(spark, d),
+                           FX.DEFAULT_NOW, annotations=FX.annotations(spark, d), extracted=FX.extracted_metadata(spark, d))
+    for k in range(ARRIVALS):
+        events.where(F.floor(F.col("event_id") * ARRIVALS / ends) == k).write.mode("append").parquet(f"{root}/arrivals")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/arrivals")
+        IN.start_intake(FX.candidates_from(stream), ctx, root + "/_stream_checkpoint").awaitTermination()
     return IN.read_labels(spark, root).select("seq", "admission_status", "existing_id", "new_id")

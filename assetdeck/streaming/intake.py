@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import registration as RG
@@ -33,6 +34,9 @@ class IntakeContext:
     users: DataFrame
     now: str
     auth_enabled: bool = True
+    #: With these two, candidates of type ``table`` are registered as tables; without, all as plain assets.
+    annotations: DataFrame | None = None
+    extracted: DataFrame | None = None
 
 
 def process_batch(ctx: IntakeContext, batch: DataFrame, batch_id: int) -> None:
@@ -40,8 +44,12 @@ def process_batch(ctx: IntakeContext, batch: DataFrame, batch_id: int) -> None:
     if ST.batch_done(spark, ctx.store_root, batch_id):
         return  # replay of a completed batch
     current = ST.read_store(spark, ctx.store_root)
-    res = RG.register_assets(batch, current, ctx.mat, ctx.storage, ctx.permissions, ctx.users, ctx.now,
-                             auth_enabled=ctx.auth_enabled, batch=batch_id)
+    known = ctx.mat, ctx.storage, ctx.permissions, ctx.users, ctx.now
+    if ctx.annotations is None:
+        res = RG.register_assets(batch, current, *known, auth_enabled=ctx.auth_enabled, batch=batch_id)
+    else:
+        res = RG.register_all(batch, ctx.annotations, ctx.extracted, current, *known, auth_enabled=ctx.auth_enabled, batch=batch_id)
+        res.annotations.write.mode("overwrite").parquet(f"{ctx.store_root.rstrip('/')}/annotations/batch={batch_id}")
     labels_path = f"{ctx.store_root.rstrip('/')}/labels/batch={batch_id}"
     res.labelled.select("seq", "admission_status", "existing_id", "new_id").write.mode("overwrite").parquet(labels_path)
     ST.append_batch(res.created, ctx.store_root, batch_id)
@@ -57,3 +65,10 @@ def start_intake(stream: DataFrame, ctx: IntakeContext, checkpoint_location: str
 
 def read_labels(spark: SparkSession, store_root: str) -> DataFrame:
     return spark.read.parquet(f"{store_root.rstrip('/')}/labels")
+
+
+def read_annotations(spark: SparkSession, store_root: str) -> DataFrame:
+    """Annotations of the tables that completed batches created, in long form."""
+    rows = spark.read.parquet(f"{store_root.rstrip('/')}/annotations")
+    done = [int(b.rsplit("=", 1)[1]) for b in ST.completed_batches(spark, f"{store_root.rstrip('/')}/appended")]
+    return rows.where(F.col("batch").isin(done)).drop("batch")
