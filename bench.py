@@ -20,6 +20,7 @@ HEADLINE = [
     "explore_page", "list_assets", "total_count", "compose_filters", "display_view", "access_plan",
     "merge_columns", "kind_errors_per_asset", "asset_view_access", "validate_report", "check_name",
     "patch_assets", "replace_annotations", "parquet_metadata", "batch_admission",
+    "register_assets", "register_tables", "table_view", "asset_detail",
 ]
 
 
