@@ -162,7 +162,12 @@ def verdicts(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def clean(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The documents that pass, all columns, without the lines above the limits (``n_chars`` follows the text)."""
+    """The documents that pass, all columns, without the lines above the limits (``n_chars`` follows the text).
+
+    Null and empty texts have no words and are rejected; a null source is the host ''.  Exact copies count once and are
+    kept or rejected together, rows that repeat an id included; the first text (by digest) with a line above the limits
+    keeps it.  An empty table gives an empty one.  Lines are told apart by 64-bit hashes.
+    """
     removed = _lost(docs, limits)
     per_row = C.packed(docs, text=C.text_or_empty(), host=_host())
     n = F.size(words_of(F.col("text")))

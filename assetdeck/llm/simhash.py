@@ -276,7 +276,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """All columns of one row per component: the one with the smallest id (a null id only where there is no other)."""
+    """All columns of one row per component: the one with the smallest id (a null id only where there is no other).
+
+    Null and empty texts are alike (fingerprint 0); of rows that repeat the smallest id one stays; an empty table gives
+    an empty one.
+    """
     of = fingerprint_column(shingle)
     rows = C.packed(docs, id=F.col("doc_id").cast("long"), fp=of(C.text_or_empty().cast("binary")))
     rows = C.written(rows, "fingerprinted")

@@ -183,7 +183,10 @@ def score(docs: DataFrame, model: dict[str, float]) -> DataFrame:
 
 
 def offending(docs: DataFrame, model: dict[str, float], threshold: float = 0.5) -> DataFrame:
-    """``doc_id, start, end, sentence, score`` of every sentence at or above ``threshold``."""
+    """``doc_id, start, end, sentence, score`` of every sentence at or above ``threshold``.
+
+    Null and empty texts have no sentence; repeated rows give their sentences again; ids may be null.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(model)

@@ -513,10 +513,38 @@ def test_empty_tables(docs):
     none = docs.where("false")
     for f in (exact_dedup.label, exact_dedup.deduplicate, quality_rules.verdicts, quality_rules.clean, simhash.near_duplicates, simhash.deduplicate,
               bpe.round_trip, suffixes.deduplicate, pii.find, pii.sanitise, lambda d: packing.pack(packing.pieces(d)),
-              lambda d: licenses.scan(queries.source_files(d)), lambda d: toxicity.score(d, {"": -5.0})):
+              lambda d: licenses.scan(queries.source_files(d)), lambda d: toxicity.score(d, {"": -5.0}), lambda d: toxicity.offending(d, {"": -5.0}),
+              lambda d: quality_classifier.score(d, {"": 0.0, "\n": 1.0})):
         assert f(none).count() == 0
 
 
+def test_pipeline_on_awkward_rows_and_on_none(spark, docs):
+    """Nulls, empty and very long texts, repeated rows and clashing columns go through every stage."""
+    import corpus_pipeline
+
+    for rows in (docs, docs.where("false")):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, rows, None)
+            assert after.columns == rows.columns and after.count() <= rows.count()
+            rows = after
+        placed = corpus_pipeline.STAGES[-1][1](spark, rows, None)
+        assert {r.doc_id for r in placed.collect()} == {r.doc_id for r in rows.collect()}
+    kept = corpus_pipeline.rules(spark, docs, None)
+    verdicts = {r.doc_id: r.kept for r in quality_rules.verdicts(docs).collect()}
+    assert {r.doc_id for r in kept.collect()} == {i for i, k in verdicts.items() if k}
+
+
+def test_very_long_texts(spark):
+    text = " ".join(f"word{k % 7919} mail{k}@x.org" if k % 5_000 == 0 else f"word{k % 7919}" for k in range(150_000))
+    d = spark.createDataFrame([(1, text + ". Released under the MIT License."), (2, "x" * 2_000_000), (3, "short text. of two")], "doc_id long, text string")
+    assert toxicity.score(d, {"": -5.0}).count() == 3
+    assert {r.score for r in quality_classifier.score(d, {"": 0.0, "\n": 1.0}).collect()} == {0.5}
+    spans = {r.doc_id: r for r in pii.find(d).collect()}
+    assert spans[1].n_email == 30 and spans[2].spans == "" and spans[3].n_term == 0
+    files = d.select(F.concat(F.lit("a/"), "doc_id").alias("path"), "text")
+    assert {r.path: r.license for r in licenses.scan(files).collect()} == {"a/1": None, "a/2": None, "a/3": None}
+
+
 def test_pipeline_keeps_one_of_each_group(spark):
     import corpus_pipeline
 
