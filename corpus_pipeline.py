@@ -9,27 +9,30 @@ from assetdeck.llm import exact_dedup, packing, pii, quality_rules, simhash
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines above the limits."""
+    """Documents that pass the rules, without the lines above the limits.
+
+    Null and empty texts have no words and go; rows that repeat one stay or go together; no rows give none.
+    """
     return quality_rules.clean(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per distinct text."""
+    """One document per distinct text, the one with the largest id; a null id only where there is no other."""
     return exact_dedup.deduplicate(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document per component of near-duplicates."""
+    """One document per component of near-duplicates, the one with the smallest id; a null id only where there is no other."""
     return simhash.deduplicate(docs, shingle=3, radius=2)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data and the terms that reveal it replaced by their kind."""
+    """All documents, personal data and the terms that reveal it replaced by their kind; texts without any stay as they are."""
     return pii.sanitise(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences."""
+    """The pieces of all documents, placed in sequences; an empty or null text is one piece of one token."""
     return packing.pack(packing.pieces(docs))
 
 
