@@ -88,17 +88,41 @@ def is_license_file(path: str = "path") -> Column:
     return F.regexp_extract(path, "[^/]*$", 0).rlike(f"^{LICENSE_NAMES}$")
 
 
-def header(lines: Column) -> Column:
-    """The first block of lines with a word in them, as one text; comment signs are no words."""
-    def block(worded: Column) -> Column:  # array<boolean>
-        def cut(first: Column) -> Column:  # 1-based, 0: none
-            after = F.slice(worded, F.greatest(first, F.lit(1)), F.size(worded))
-            stop = F.array_position(after, F.lit(False)).cast("int")
-            return F.when(first > 0, F.array_join(F.slice(lines, first, F.when(stop > 0, stop - 1).otherwise(F.size(after))), "\n"))
+def _stretches(words: Column) -> Column:
+    """``array<struct<first, n, words>>`` of a file's words by line: every line, the first block of lines with words (comment
+    signs are none), and for licence files all lines; ``first`` counts from 1."""
+    def stretch(first: Column, n: Column, of: Column) -> Column:
+        return F.struct(first.cast("int").alias("first"), n.cast("int").alias("n"), of.alias("words"))
 
-        return C.let(F.array_position(worded, F.lit(True)).cast("int"), cut)
+    def block(begin: Column) -> Column:
+        after = F.transform(F.slice(words, F.greatest(begin, F.lit(1)), F.size(words)), lambda w: F.size(w) > 0)
+        length = C.let(F.array_position(after, F.lit(False)).cast("int"), lambda stop: F.when(stop > 0, stop - 1).otherwise(F.size(words) - begin + 1))
+        return C.let(length, lambda n: F.when(begin > 0, F.array(stretch(begin, n, F.flatten(F.slice(words, F.greatest(begin, F.lit(1)), F.greatest(n, F.lit(0))))))))
 
-    return C.let(F.transform(lines, lambda x: x.rlike("[A-Za-z0-9]")), block)
+    none = F.array().cast("array<struct<first:int,n:int,words:array<string>>>")
+    header = C.let(F.array_position(F.transform(words, lambda w: F.size(w) > 0), F.lit(True)).cast("int"), block)
+    whole = F.when(is_license_file(), F.array(stretch(F.lit(1), F.size(words), F.flatten(words))))
+    lines = F.transform(words, lambda w, k: stretch(k + 1, F.lit(1), w))
+    return F.concat(lines, F.coalesce(header, none), F.coalesce(whole, none))
+
+
+def _possible(words: Column, vocabulary: Column, threshold: float) -> Column:
+    """Whether a text of these words can reach the threshold with any template.
+
+    Its cosine is at most the share of its length that lies in the templates' terms.  No weight exceeds that of a term in
+    no template, and each of those counts once at least, so counts alone give a bound that loses nothing.
+    """
+    least = (threshold - 1e-6) ** 2
+
+    def bound(terms: Column) -> Column:
+        def compare(known: Column) -> Column:
+            squares = F.aggregate(known, F.lit(0).cast("long"), lambda s, t: s + C.let(
+                (F.size(words) - F.size(F.array_remove(words, t))).cast("long"), lambda n: n * n))
+            return F.when(F.size(known) > 0, squares * (1 - least) >= least * (F.size(terms) - F.size(known))).otherwise(F.lit(False))
+
+        return C.let(F.array_intersect(terms, vocabulary), compare)
+
+    return C.let(F.array_except(words, F.array(*[F.lit(s) for s in STOP])), bound)
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -120,9 +144,9 @@ def own_licenses(files: DataFrame, threshold: float = 0.6) -> DataFrame:
     known = sorted({t for r in form.select(_terms(F.col("text")).alias("terms")).collect() for t in r.terms})  # of the templates, a parameter
     vocabulary = F.array(*[F.lit(t) for t in known])
     lines = F.split(C.text_or_empty(), "\n", -1)
-    parts = C.let(lines, lambda x: F.concat(x, F.array(header(x)), F.when(is_license_file(), F.array(F.array_join(x, "\n"))).otherwise(F.array())))
-    likely = F.filter(parts, lambda x: x.isNotNull() & F.arrays_overlap(_terms(x), vocabulary))
-    hits = files.select("path", F.explode(likely).alias("text"))
+    likely = C.let(F.transform(lines, _words), lambda w: F.filter(_stretches(w), lambda x: _possible(x["words"], vocabulary, threshold)))
+    found = files.select("path", lines.alias("lines"), F.explode(likely).alias("x"))
+    hits = found.select("path", F.array_join(F.slice("lines", F.col("x.first"), F.col("x.n")), "\n").alias("text"))
     hits = C.written(hits.select("path", "text", F.xxhash64("text").alias("part")), "licence-parts")
     df = (files.select(F.explode(F.array_intersect(_terms(C.text_or_empty()), vocabulary)).alias("term"))
           .groupBy("term").agg(F.count(F.lit(1)).alias("df")))

@@ -155,7 +155,7 @@ tpl(template, license, text) AS (VALUES {values}),
 tt AS (SELECT template, term, count(*) AS tf FROM (SELECT template, {words("text")} AS term FROM tpl) WHERE term NOT IN {stop} GROUP BY ALL),
 voc AS (SELECT DISTINCT term FROM tt),
 sp AS (SELECT path, text, string_split(text, chr(10)) AS lines FROM f),
-hd AS (SELECT path, text, lines, list_transform(lines, lambda x: regexp_matches(x, '[A-Za-z0-9]')) AS b FROM sp),
+hd AS (SELECT path, text, lines, list_transform(lines, lambda x: regexp_matches(lower(x), '[a-z0-9]')) AS b FROM sp),
 h2 AS (SELECT path, text, lines, list_position(b, true) AS i, b FROM hd),
 h3 AS (SELECT path, text, lines, i, list_position(b[i:], false) AS j FROM h2),
 part AS (SELECT path, unnest(list_concat(lines, CASE WHEN i > 0 THEN [array_to_string(CASE WHEN j > 0 THEN lines[i:i + j - 2] ELSE lines[i:] END, chr(10))] ELSE [] END,
