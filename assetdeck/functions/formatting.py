@@ -18,7 +18,7 @@ def _c(c: Column | str) -> Column:
 
 def fixed1(x: Column) -> Column:
     """One decimal, no grouping."""
-    return F.regexp_replace(F.format_number(x, 1), ",", "")
+    return F.replace(F.format_number(x, 1), F.lit(","), F.lit(""))
 
 
 def format_number(x: Column | str, grouping: bool = True, integral: bool = True) -> Column:
@@ -29,22 +29,25 @@ def format_number(x: Column | str, grouping: bool = True, integral: bool = True)
     return F.format_number(v, 1) if grouping else fixed1(v)
 
 
-_BIN_UNITS = ("KB", "MB", "GB", "TB", "PB")
+_BIN_UNITS = ("KB", "MB", "GB", "TB", "PB", "EB")
 
 
 def format_bytes(x: Column | str) -> Column:
     """B as an integer, then KB..PB with one decimal (base 1024), then EB.
 
-    The unit is chosen before rounding, so 1048575 B is ``1024.0 KB``.
+    The unit is chosen before rounding, so 1048575 B is ``1024.0 KB``; the number is then formatted once.
     """
     n = _c(x).cast("double")
-    expr = F.when(n.isNull(), F.lit(MISSING_MARK)).when(F.abs(n) < 1024.0, F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
-    scale = 1.0
-    for unit in _BIN_UNITS:
-        scale *= 1024.0
-        expr = expr.when(F.abs(n) < scale * 1024.0, F.concat(fixed1(n / F.lit(scale)), F.lit(" " + unit)))
-    scale *= 1024.0
-    return expr.otherwise(F.concat(fixed1(n / F.lit(scale)), F.lit(" EB")))
+
+    def by_size(values: list) -> Column:
+        out = F.when(F.abs(n) < 1024.0**2, F.lit(values[0]))
+        for k, v in enumerate(values[1:-1], 3):
+            out = out.when(F.abs(n) < 1024.0**k, F.lit(v))
+        return out.otherwise(F.lit(values[-1]))
+
+    scaled = fixed1(n / by_size([1024.0**k for k in range(1, 7)]))
+    return (F.when(n.isNull(), F.lit(MISSING_MARK)).when(F.abs(n) < 1024.0, F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
+            .otherwise(F.concat(scaled, F.lit(" "), by_size(list(_BIN_UNITS)))))
 
 
 def format_bytes_preview(x: Column | str) -> Column:
