@@ -210,4 +210,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_suffix_array_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.deduplicate(C.documents(spark, sf_dir), with_data=False)
+    found = suffixes.deduplicate(C.documents(spark, sf_dir), with_data=False)
+    share = F.when(F.col("n_bytes") > 0, F.col("n_removed") / F.nullif(F.col("n_bytes"), F.lit(0))).otherwise(0.0)
+    return found.withColumn("removed_share", share)
