@@ -35,7 +35,7 @@ def key_column() -> Column:
 
 
 #: Rounds without pointer doubling: they settle most of what collides, and chains are what is left.
-PLAIN_ROUNDS = 2
+PLAIN_ROUNDS = 3
 
 
 def _two_smallest(undecided: DataFrame, group: str) -> DataFrame:

@@ -51,9 +51,8 @@ def _column_list(columns="columns"):
 @query("parquet_metadata", _pm_sql())
 def parquet_metadata(spark, d):
     """SRC-03: the tables of the data folder (files or folders of files), footers read file by file on executors."""
-    uris = F.concat(F.lit(d.rstrip("/") + "/"), F.col("t"), F.lit(".parquet"))
-    paths = spark.createDataFrame([(t,) for t in TABLE_FILES], "t string").select(uris.alias("uri"))
-    return EX.parquet_metadata(paths).select(
+    files = FS.below(ST.list_files(spark, d, glob="*.parquet", recursive=True), r".*?\.parquet")
+    return EX.parquet_metadata(files.select("uri"), files).select(
         F.regexp_extract("uri", r"([^/]+)\.parquet$", 1).alias("table_name"), "n_rows", "n_columns", _column_list().alias("column_list"),
         (F.col("n_bytes") > 0).alias("has_bytes"), "error")
 

@@ -123,7 +123,7 @@ def table_metadata(tables: DataFrame) -> DataFrame:
     No log, a gap in it, an unreadable file and a log without metadata are errors; a NULL path has no log.
     """
     uris = tables.select("uri").where("uri IS NOT NULL").distinct()
-    listed = FS.log_files(uris)
+    listed = FS.log_files(uris)  # two small reads of it follow: what to open, and what could not be listed
     files, found = segments(listed)
     actions = read_actions(files)
     newest = actions.where(F.col("schema_string").isNotNull()).groupBy("table").agg(

@@ -33,13 +33,12 @@ PROFILE = T.StructType([
 FIELDS = ["n_rows", "n_columns", "n_bytes", "columns", "partition_columns"]
 
 
-def parquet_metadata(paths: DataFrame) -> DataFrame:
-    """``uri, error, n_rows, n_columns, n_bytes, columns, partition_columns`` per distinct path of ``paths`` (``uri``)."""
-    listed = FS.data_files(paths.select("uri").where("uri IS NOT NULL").distinct())
-    missing = listed.where("file IS NULL").select("uri", F.lit(None).cast("bigint").alias("n_rows"), F.lit(None).cast("bigint").alias("length"),
-                                                  F.struct("name", F.lit(None).cast("array<struct<name:string,dtype:string>>").alias("columns"), "error").alias("file"))
-    read = FS.footers(listed).select("uri", "n_rows", "length", F.struct("name", "columns", "error").alias("file"))
-    per_path = read.unionByName(missing).groupBy("uri").agg(
+def parquet_metadata(paths: DataFrame, listed: DataFrame | None = None) -> DataFrame:
+    """``uri, error, n_rows, n_columns, n_bytes, columns, partition_columns`` per distinct path of ``paths`` (``uri``).
+
+    ``listed`` may bring the files of the paths (as ``files.data_files`` or ``files.below`` list them); else they are listed."""
+    read = FS.footers(FS.data_files(paths) if listed is None else listed).select("uri", "n_rows", "length", F.struct("name", "columns", "error").alias("file"))
+    per_path = read.groupBy("uri").agg(
         F.min_by("file", F.col("file.name")).alias("first"), F.min("file.error").alias("some_error"), DL.all_or_nothing_sum("n_rows").alias("n_rows"),
         F.sum("length").alias("n_bytes"))
     first = F.coalesce("first", F.struct(F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<struct<name:string,dtype:string>>").alias("columns"),

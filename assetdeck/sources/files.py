@@ -98,14 +98,28 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _distinct(uris: DataFrame) -> DataFrame:
+    """The distinct paths, dealt over the tasks by the one shuffle that finds the equal ones."""
+    return uris.select("uri").where("uri IS NOT NULL").repartition(_tasks(uris), "uri").dropDuplicates(["uri"])
+
+
 def data_files(uris: DataFrame) -> DataFrame:
-    """``uri, file, name, length, error`` of the data files of each path (``uri``); ``name`` is relative to the path."""
-    return uris.select("uri").repartition(_tasks(uris), "uri").mapInPandas(_listing(_data_files), LISTED)
+    """``uri, file, name, length, error`` of the data files of each distinct path (``uri``); ``name`` is relative to the path."""
+    return _distinct(uris).mapInPandas(_listing(_data_files), LISTED)
+
+
+def below(listing: DataFrame, path_pattern: str) -> DataFrame:
+    """``uri, file, name, length, error`` from a listing (``storage.list_files``): each file belongs to the path that
+    ``path_pattern`` matches at its beginning."""
+    uri = F.regexp_extract("path", f"^{path_pattern}", 0)
+    name = F.regexp_replace(F.substr("path", F.length("uri") + 1, F.length("path")), "^/", "")
+    return listing.select("path", "length", uri.alias("uri")).where("uri <> ''").select(
+        "uri", F.regexp_replace("path", "^file:(//)?", "").alias("file"), name.alias("name"), "length", F.lit(None).cast("string").alias("error"))
 
 
 def log_files(uris: DataFrame) -> DataFrame:
-    """``uri, file, name, length, error`` of the files in each path's ``_delta_log``; none where there is no log."""
-    return uris.select("uri").repartition(_tasks(uris), "uri").mapInPandas(_listing(_log_files), LISTED)
+    """``uri, file, name, length, error`` of the files in each distinct path's ``_delta_log``; none where there is no log."""
+    return _distinct(uris).mapInPandas(_listing(_log_files), LISTED)
 
 
 FOOTER = "uri string, name string, length long, n_rows long, columns array<struct<name:string,dtype:string>>, error string"
@@ -116,7 +130,10 @@ def _footers(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         rows = []
-        for uri, file, name, length in zip(batch["uri"], batch["file"], batch["name"], batch["length"]):
+        for uri, file, name, length, missing in zip(*(batch[c] for c in ("uri", "file", "name", "length", "error"))):
+            if pd.notna(missing):
+                rows.append((uri, None, None, None, None, missing))
+                continue
             try:
                 with opened(uri)[0].open_input_file(file) as handle:
                     meta = pq.ParquetFile(handle).metadata
@@ -125,12 +142,12 @@ def _footers(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((uri, name, length, meta.num_rows, columns, None))
             except Exception as exc:  # noqa: BLE001
                 rows.append((uri, name, length, None, None, str(exc)))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOOTER.split(", ", 5)]).astype({"n_rows": "Int64"})
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in FOOTER.split(", ", 5)]).astype({"n_rows": "Int64", "length": "Int64"})
 
 
 def footers(files: DataFrame) -> DataFrame:
-    """``uri, name, length, n_rows, columns, error`` per listed Parquet file; only footers are read."""
-    files = files.where("file IS NOT NULL").select("uri", "file", "name", "length")
+    """``uri, name, length, n_rows, columns, error`` per listed Parquet file, of which only the footer is read; a path that
+    could not be listed stays a row with its error and no name."""
     return files.repartition(_tasks(files), "file").mapInPandas(_footers, FOOTER)
 
 
