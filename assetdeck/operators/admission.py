@@ -35,7 +35,7 @@ def key_column() -> Column:
 
 
 #: Rounds without pointer doubling: they settle most of what collides, and chains are what is left.
-PLAIN_ROUNDS = 3
+PLAIN_ROUNDS = 6
 
 
 def _two_smallest(undecided: DataFrame, group: str) -> DataFrame:
@@ -45,6 +45,14 @@ def _two_smallest(undecided: DataFrame, group: str) -> DataFrame:
     return two.groupBy(group).agg(F.min("seq").alias("first"), F.max(F.when(F.col("n") == 2, F.col("seq"))).alias("second"))
 
 
+def _doubled(ways: DataFrame) -> DataFrame:
+    """Pointers ``(seq, at, odd)`` followed by the pointers they lead to; ``moved`` where there was one."""
+    on = ways.select(F.col("seq").alias("_at"), F.col("at").alias("_to"), F.col("odd").alias("_odd"))
+    joined = ways.join(on, F.col("at") == F.col("_at"), "left")
+    return joined.select("seq", F.coalesce("_to", "at").alias("at"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
+                         F.col("_to").isNotNull().alias("moved"))
+
+
 def _settle_chains(undecided: DataFrame) -> tuple[DataFrame, int]:
     """``(seq of accepted rows, doubling steps)``: rows that nothing precedes, and what follows from them along chains.
 
@@ -61,10 +69,7 @@ def _settle_chains(undecided: DataFrame) -> tuple[DataFrame, int]:
             .unionByName(u.join(k, F.col("u_second") == F.col("k_first")).select(F.col("u_second").alias("seq"), F.col("u_first").alias("at"))))
     ways, steps = ways.withColumn("odd", F.lit(True)).checkpoint(), 0
     while True:
-        on = ways.select(F.col("seq").alias("_at"), F.col("at").alias("_to"), F.col("odd").alias("_odd"))
-        joined = ways.join(on, F.col("at") == F.col("_at"), "left")
-        ways = joined.select("seq", F.coalesce("_to", "at").alias("at"), (F.col("odd") != F.coalesce("_odd", F.lit(False))).alias("odd"),
-                             F.col("_to").isNotNull().alias("moved")).checkpoint()
+        ways = _doubled(_doubled(ways)).checkpoint()  # a step follows four times the distance
         steps += 1
         if ways.where("moved").isEmpty():
             break
