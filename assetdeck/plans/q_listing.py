@@ -31,7 +31,7 @@ def _assets(spark, d):
 
 def _stored(spark, d):
     """Whole rows as stored (partitioned by datastack): filters prune partitions and reach the Parquet scan."""
-    return stored_assets(spark, d, ["orders"], FX.assets)
+    return stored_assets(spark, d, ["orders"], FX.assets_to_store)
 
 
 def _sql(where: str, extra: str = "") -> str:

@@ -29,7 +29,7 @@ def _numbered(column: str) -> str:
 def registration_intake(spark, d):
     """Events arriving in three micro-batches, assets and tables registered together; returns the labels of all."""
     root = shared_dir(spark, f"intake-{uuid.uuid4().hex}")
-    ST.write_base(FX.assets(spark, d), root)
+    ST.write_base(FX.assets_to_store(spark, d), root)
     events = FX.table(spark, d, "events")
     ends = events.agg(F.max("event_id") + 1).scalar()
     ctx = IN.IntakeContext(root, FX.mat_objects(spark, d), FX.storage_objects(spark, d), FX.permissions(spark, d), FX.users(spark, d),
