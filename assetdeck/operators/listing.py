@@ -8,6 +8,7 @@ scalar subquery over the same filtered scan with a partial count per task.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -88,14 +89,20 @@ def page_after(filtered: DataFrame, sort_by: str | None = "name", sort_order: st
     return top.withColumn("cursor_value", F.col(sort_column(sort_by))).withColumn("cursor_id", F.col("id")).withColumn("total", total_count(filtered))
 
 
+def for_callers(rows: DataFrame, user_ids: Sequence[int], datastack: str, permissions: DataFrame, users: DataFrame, wanted: str = "view") -> DataFrame:
+    """``rows`` with ``caller`` and ``status`` ok for each caller who has ``wanted`` on the datastack; one row that says forbidden for each other.
+
+    The rows are computed once, however many callers ask for them."""
+    who = rows.sparkSession.createDataFrame([(u, datastack) for u in user_ids], "user_id long, datastack string")
+    verdict = AC.datastack_permission(who, permissions, users, wanted).select(F.col("user_id").alias("caller"), "allowed")
+    allowed = verdict.where("allowed").agg(F.collect_list("caller")).scalar()  # one row
+    granted = rows.withColumn("_callers", allowed).select(F.explode("_callers").alias("caller"), F.lit("ok").alias("status"), *rows.columns)
+    return granted.unionByName(verdict.where(~F.col("allowed")).select("caller", F.lit("forbidden").alias("status")), allowMissingColumns=True)
+
+
 def for_caller(rows: DataFrame, user_id: int, datastack: str, permissions: DataFrame, users: DataFrame, wanted: str = "view") -> DataFrame:
-    """``rows`` with ``caller`` and ``status`` ok, if the caller has ``wanted`` on the datastack; else one row that says forbidden."""
-    who = rows.sparkSession.createDataFrame([(user_id, datastack)], "user_id long, datastack string")
-    verdict = AC.datastack_permission(who, permissions, users, wanted).select("allowed")
-    allowed = verdict.agg(F.max("allowed")).scalar()  # one row
-    caller = F.lit(user_id).cast("long").alias("caller")
-    granted = rows.where(allowed).select(caller, F.lit("ok").alias("status"), "*")
-    return granted.unionByName(verdict.where(~F.col("allowed")).select(caller, F.lit("forbidden").alias("status")), allowMissingColumns=True)
+    """``for_callers`` for one caller."""
+    return for_callers(rows, [user_id], datastack, permissions, users, wanted)
 
 
 def list_assets(assets: DataFrame, datastack: str, now, *, limit: int | None = None, offset: int = 0,

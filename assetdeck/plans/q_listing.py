@@ -227,8 +227,7 @@ def _called_sql(rows: str) -> str:
 
 
 def _called(spark, d, rows, datastack):
-    both = [L.for_caller(rows, u, datastack, FX.permissions(spark, d), FX.users(spark, d)) for u in CALLERS]
-    return both[0].unionByName(both[1])
+    return L.for_callers(rows, CALLERS, datastack, FX.permissions(spark, d), FX.users(spark, d))
 
 
 @query("list_assets_as", with_fixtures(_called_sql(

@@ -136,3 +136,14 @@ def test_stored_columns_merge_without_a_shuffle(spark):
     assert store.annotations().count() == known.count()  # the earlier generation is untouched
     later.drop_tables()
     again.drop_tables()
+
+
+def test_listing_for_several_callers_is_computed_once(spark, tmp_path):
+    spark.range(3).selectExpr("CAST(id AS STRING) AS id").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    users = spark.createDataFrame([(97, True), (5, False)], "user_id long, is_admin boolean")
+    permissions = spark.createDataFrame([(5, "ds1", "view"), (6, "ds2", "view")], "user_id long, resource string, permission string")
+    out = L.for_callers(rows, (97, 5, 6, -1), "ds1", permissions, users)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count(" parquet") == 1
+    got = sorted((r["caller"], r["status"], r["id"] or "") for r in out.collect())
+    assert got == [(-1, "forbidden", "")] + [(5, "ok", i) for i in "012"] + [(6, "forbidden", "")] + [(97, "ok", i) for i in "012"]
