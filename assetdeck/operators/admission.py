@@ -126,7 +126,8 @@ def admit(cands: DataFrame, assets: DataFrame, gate_status: str = "gate_status",
     prefix = F.lit("new-" if batch is None else f"new-{batch}-")
     # used twice (eligibility and labelling): cut here instead of re-joining the store; nothing stays cached
     ensure_checkpoint_dir(cands.sparkSession)
-    c = CK.find_by_uri(CK.find_duplicate(cands, assets), assets).withColumn("kkey", key_column()).checkpoint()
+    # by URI first: registration's last checks join by URI as well
+    c = CK.find_duplicate(CK.find_by_uri(cands, assets), assets).withColumn("kkey", key_column()).checkpoint()
     eligible = c.where(F.col(gate_status).isNull() & F.col(content_status).isNull()
                        & F.col("dup_id").isNull() & F.col("uri_dup_id").isNull() & F.col("uri").isNotNull())
     accepted, rounds = greedy_accept(eligible)

@@ -92,9 +92,11 @@ def kind_dtype_check(ann: DataFrame, columns: DataFrame) -> DataFrame:
 
 
 def invalid_kinds(annotations: DataFrame) -> DataFrame:
-    """Annotations (long form) whose kind is itself malformed (SCL-04); a request holding one is invalid."""
-    kind = F.when(F.col("kind").isNotNull(), F.struct(*KIND_FIELDS))
-    return annotations.withColumn("kind_error", K.kind_error(kind)).where(F.col("kind_error").isNotNull())
+    """Annotations (long form) whose kind is itself malformed (SCL-04); a request holding one is invalid.
+
+    Without a kind nothing is wrong.  The struct is not nullable, so its fields are read as the plain columns they are."""
+    kinds = annotations.where(F.col("kind").isNotNull())
+    return kinds.withColumn("kind_error", K.kind_error(F.struct(*KIND_FIELDS))).where(F.col("kind_error").isNotNull())
 
 
 def point_group_uniqueness(ann: DataFrame) -> DataFrame:

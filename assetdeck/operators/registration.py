@@ -55,29 +55,29 @@ def _checked_tables(cands: DataFrame, ann: DataFrame, extracted: DataFrame, mat:
     """Candidates with ``gate_status`` and ``content_status`` of a table registration, and their annotations."""
     c = cands.withColumn("asset_type", F.lit("table"))
     storage, extracted = storage.dropDuplicates(["uri"]), extracted.dropDuplicates(["uri"])
-    malformed = AN.invalid_kinds(ann).select(F.col("asset_id").alias("_mk_id")).distinct()
-    c = _gate(c, permissions, users, True, auth_enabled)
-    c = c.join(malformed, F.col("seq").cast("string") == F.col("_mk_id"), "left").withColumn(
-        "gate_status", F.when(F.col("_mk_id").isNotNull(), F.lit("invalid_request")).otherwise(F.col("gate_status"))).drop("_mk_id")
-    c = CK.content_checks(c, mat, storage)
-    key = c.select(F.col("seq").cast("string").alias("asset_id"), "datastack")
-    a = ann.join(key.select("asset_id"), "asset_id", "left_semi")
-    target_err = AN.kind_target_check(a, key.withColumnRenamed("asset_id", "id"), mat).select("asset_id").distinct()
-    group_err = AN.point_group_uniqueness(a).select("asset_id").distinct()
     ex = extracted.select(F.col("uri").alias("_x_uri"), F.col("columns").alias("_x_cols"), F.col("n_rows").alias("_x_rows"),
                           F.col("n_bytes").alias("_x_bytes"), partition_columns(extracted).alias("_x_parts"))
-    c = c.join(ex, F.col("uri") == F.col("_x_uri"), "left")
-    cols_long = c.where(F.col("_x_cols").isNotNull()).select(
-        F.col("seq").cast("string").alias("asset_id"), F.posexplode("_x_cols").alias("pos", "col")).select(
+    # what the annotations say of a candidate needs its seq, datastack and URI alone, not the checked row
+    key = cands.select(F.col("seq").cast("string").alias("asset_id"), "datastack", "uri")
+    a = ann.join(key.select("asset_id"), "asset_id", "left_semi")
+    malformed = AN.invalid_kinds(ann).select("asset_id").distinct()
+    target_err = AN.kind_target_check(a, key.select(F.col("asset_id").alias("id"), "datastack"), mat).select("asset_id").distinct()
+    group_err = AN.point_group_uniqueness(a).select("asset_id").distinct()
+    cols_long = key.join(ex, F.col("uri") == F.col("_x_uri")).where(F.col("_x_cols").isNotNull()).select(
+        "asset_id", F.posexplode("_x_cols").alias("pos", "col")).select(
         "asset_id", (F.col("pos") + 1).alias("pos"), F.col("col.name").alias("name"), F.col("col.dtype").alias("dtype"))
     dtype_err = AN.kind_dtype_check(a, cols_long).select("asset_id").distinct()
-    flags = (target_err.withColumn("_kt", F.lit(True))
-             .join(group_err.withColumn("_pg", F.lit(True)), "asset_id", "full")
-             .join(dtype_err.withColumn("_dt", F.lit(True)), "asset_id", "full"))
-    c = c.withColumn("asset_id", F.col("seq").cast("string")).join(flags, "asset_id", "left")
-    fmt = F.lower(F.col("format"))
+    flags = [malformed.withColumn("_mk", F.lit(True)), target_err.withColumn("_kt", F.lit(True)),
+             group_err.withColumn("_pg", F.lit(True)), dtype_err.withColumn("_dt", F.lit(True))]
+    # whole candidates are shuffled once by seq and once by URI, joins by the same key follow each other
+    c = _gate(c, permissions, users, True, auth_enabled).withColumn("asset_id", F.col("seq").cast("string"))
+    for f in flags:
+        c = c.join(f, "asset_id", "left")
+    c = c.withColumn("gate_status", F.when(F.col("_mk").isNotNull(), F.lit("invalid_request")).otherwise(F.col("gate_status"))).drop("_mk")
     st = storage.select(F.col("uri").alias("_s2_uri"), F.col("actual_format").alias("_actual_fmt"))
-    c = c.join(st, F.col("uri") == F.col("_s2_uri"), "left").drop("_s2_uri")
+    c = CK.content_checks(c, mat, storage)
+    c = c.join(ex, F.col("uri") == F.col("_x_uri"), "left").join(st, F.col("uri") == F.col("_s2_uri"), "left").drop("_s2_uri")
+    fmt = F.lower(F.col("format"))
     content = (
         F.when(_content_failed(), F.lit("invalid"))
         .when(F.coalesce(F.col("_kt"), F.lit(False)), F.lit("kind_invalid"))

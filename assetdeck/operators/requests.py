@@ -31,8 +31,7 @@ def request_errors(table_request: bool | Column = False) -> Column:
 
 
 def with_request_check(candidates: DataFrame, table_request: bool | Column = False) -> DataFrame:
-    errs = request_errors(table_request)
-    return candidates.withColumn("request_errors", errs).withColumn("request_valid", F.size(errs) == 0)
+    return candidates.withColumn("request_errors", request_errors(table_request)).withColumn("request_valid", F.size("request_errors") == 0)
 
 
 def registration_row(raw: DataFrame) -> DataFrame:

@@ -1,6 +1,11 @@
 """Merge and annotation checks on small hand-written inputs."""
 
+from pyspark.sql import functions as F
+
+from assetdeck import fixtures as FX
+from assetdeck.functions import kinds as K
 from assetdeck.operators import annotations as A
+from conftest import SMALL
 
 ANN = "asset_id string, pos int, tie long, column_name string, description string, kind string, target_table string, " \
       "target_column string, node_level string, resolution array<double>, axis string, point_group string, axis_resolution double"
@@ -64,3 +69,15 @@ def test_kind_targets(spark):
                        dict(asset_id="u", pos=1, column_name="d", kind="materialization", target_table="nope", target_column="id")])
     errs = [(r["asset_id"], r["column_name"]) for r in A.kind_target_check(ann, assets, mat).collect()]
     assert errs == [("t", "b")]  # empty target skipped; uncovered datastack passes (fail-open)
+
+
+def test_malformed_kinds_read_plain_columns(spark):
+    ann = FX.annotations(spark, SMALL)
+    bad = A.invalid_kinds(ann)
+    # a nullable struct is built anew for every field that the rule reads
+    assert "named_struct(" not in bad._jdf.queryExecution().optimizedPlan().toString()
+    nullable = F.when(F.col("kind").isNotNull(), F.struct(*A.KIND_FIELDS))
+    want = ann.withColumn("kind_error", K.kind_error(nullable)).where("kind_error IS NOT NULL")
+    assert want.count() > 0 and bad.exceptAll(want).isEmpty() and want.exceptAll(bad).isEmpty()
+    none = ann.limit(1).withColumn("kind", F.lit(None).cast("string"))
+    assert A.invalid_kinds(none).isEmpty()
