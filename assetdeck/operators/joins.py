@@ -1,4 +1,4 @@
-"""Join helpers: size-checked broadcast.
+"""Join helpers: size-checked broadcast, and a filter ahead of a join of wide rows.
 
 A side gets a broadcast hint only when the optimizer's size estimate for it
 is below the session's broadcast threshold (a plan-time check, no job).
@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BYTES = 64 * 1024 * 1024
+#: Words of 64 bits in the table of ``among``, at most, whatever the number of keys; a power of two.
+WORDS = 1 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -35,3 +37,19 @@ def maybe_broadcast(df: DataFrame, max_bytes: int | None = None) -> DataFrame:
             limit = 10 * 1024 * 1024
     size = estimated_bytes(df)
     return F.broadcast(df) if size is not None and 0 <= size <= limit else df
+
+
+def among(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose ``key`` may be one of ``keys`` (one column): none of these is lost, few others stay.
+
+    Goes before the exact join where rows are wide and few of them match: the others are dropped where they are read
+    instead of being shuffled. Each key sets the bit of its hash in a broadcast table of at most ``WORDS`` words; when
+    keys are many times 64 ``WORDS``, most rows stay. Keys of another type hash otherwise, so then all rows stay."""
+    name = keys.columns[0]
+    if keys.schema[name].dataType != rows.schema[key].dataType:
+        return rows
+    word, bit = f"xxhash64({{0}}) & {WORDS - 1}L", "CAST(shiftrightunsigned(xxhash64({0}), 58) AS INT)"
+    table = keys.selectExpr(f"{word.format(name)} AS _word", f"{bit.format(name)} AS _bit").groupBy("_word").agg(
+        F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    hit = F.expr(f"{word.format(key)} = _word AND shiftright(_bits, {bit.format(key)}) & 1L = 1L")
+    return rows.join(F.broadcast(table), hit, "left_semi")

@@ -147,3 +147,44 @@ def test_listing_for_several_callers_is_computed_once(spark, tmp_path):
     assert out._jdf.queryExecution().optimizedPlan().toString().count(" parquet") == 1
     got = sorted((r["caller"], r["status"], r["id"] or "") for r in out.collect())
     assert got == [(-1, "forbidden", "")] + [(5, "ok", i) for i in "012"] + [(6, "forbidden", "")] + [(97, "ok", i) for i in "012"]
+
+
+def test_no_row_whose_key_is_wanted_is_lost(spark):
+    from assetdeck.operators.joins import among
+
+    rows = spark.range(20_000).selectExpr("CAST(id % 10000 AS STRING) AS id", "id AS n").unionByName(
+        spark.createDataFrame([(None, -1)], "id string, n long"))
+    keys = spark.range(0, 30_000, 100).selectExpr("CAST(id AS STRING) AS k").unionByName(spark.createDataFrame([(None,), ("0",)], "k string"))
+    kept = among(rows, "id", keys)
+    assert kept.columns == rows.columns and kept.count() < 300
+    exact = lambda df: sorted(r["n"] for r in df.join(keys, F.col("id") == F.col("k"), "left_semi").collect())
+    assert exact(kept) == exact(rows) and len(exact(kept)) == 200
+    numbers = keys.selectExpr("CAST(k AS INT) AS k")  # another type: left to the join, which compares them all the same
+    assert among(rows, "id", numbers).count() == rows.count()
+    assert among(rows, "id", keys.where("false")).count() == 0
+
+
+def test_what_nobody_may_see_is_not_shuffled(spark, tmp_path):
+    FX.assets(spark, SMALL).write.parquet(str(tmp_path / "assets"))
+    FX.annotations(spark, SMALL).write.parquet(str(tmp_path / "annotations"))
+    assets, ann = (spark.read.parquet(str(tmp_path / t)) for t in ("assets", "annotations"))
+    requests = assets.where("pmod(crc32(id), 50) = 0").selectExpr("CAST(id AS LONG) AS request_id", "97L AS user_id", "id AS asset_id")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # these tables are small; large ones are joined like this
+    try:
+        detail = V.asset_detail(requests, assets, ann, FX.permissions(spark, SMALL), FX.memberships(spark, SMALL), FX.users(spark, SMALL), NOW)
+        rows = detail.collect()
+        plan = detail._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    at = [i for i, line in enumerate(plan) if "FileScan parquet [asset_id#" in line]
+    assert at
+    for i in at:  # filtered before it is shuffled
+        shuffle = max(k for k in range(i) if "Exchange hashpartitioning(asset_id#" in plan[k])
+        assert any("_word#" in line and "LeftSemi" in line for line in plan[shuffle:i])
+    seen = {r["asset_id"] for r in rows if r["status"] == "ok"}
+    assert seen and len(rows) == requests.count()
+    for r in rows:
+        assert (r["id"] is not None) == (r["status"] == "ok")
+    counts = {r["asset_id"]: r["count"] for r in ann.groupBy("asset_id").count().collect()}
+    assert all(len(r["annotations"]) == counts.get(r["id"], 0) for r in rows if r["asset_type"] == "table")
